@@ -21,8 +21,13 @@ BROADCAST_ROWS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 LOWER_TABLE = _LOWER.tobytes()
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Which bytes are part of a word: all but ASCII white space; or ASCII letters and bytes over 0x7F alone; or these and digits.
+INK = np.ones(256, dtype=bool)
+INK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+LETTERS_DIGITS = LETTERS.copy()
+LETTERS_DIGITS[48:58] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,11 +106,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, ink_bytes: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word of the texts begins and ends, and at which word each text begins (with the end at last)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    ink = ~_SPACE[data]
+    ink = ink_bytes[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
     before = np.empty_like(ink)

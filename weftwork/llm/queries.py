@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import mixing, quality, sharding, simhash
+from weftwork.llm import mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by their nearest examples of `labels.toxic`."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents; sources by code point weigh 5, 2, 1, repeating, and share 150% of all words."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -31,7 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_simhash, op8_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op5_simhash, op8_quality, op10_sharding)}
 
 SQL = {
     "op2_mixing": r"""
