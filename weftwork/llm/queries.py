@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import mixing, quality, sharding, simhash, toxicity
+from weftwork.llm import fingerprints, langid, mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints all documents and holds each against its edited text and the next document."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash over 4-word shingles of whole documents; fingerprints link at 4 or fewer differing bits."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of all documents by cross-parsing against labelled text."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents by trees learned from `labels.quality`."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op5_simhash, op8_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op5_simhash, op6_langid, op8_quality, op10_sharding)}
 
 SQL = {
     "op2_mixing": r"""
