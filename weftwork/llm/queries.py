@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import fingerprints, langid, mixing, quality, sharding, simhash, toxicity
+from weftwork.llm import decontamination, fingerprints, langid, mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the items of `benchmark` in all documents, a row for each pair."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash over 4-word shingles of whole documents; fingerprints link at 4 or fewer differing bits."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -46,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op5_simhash, op6_langid, op8_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_decontamination, op5_simhash, op6_langid, op8_quality, op10_sharding)}
 
 SQL = {
     "op2_mixing": r"""
