@@ -19,11 +19,15 @@ from weftwork.llm.common import BROADCAST_ROWS, WORD, written
 DIGITS, LEVELS = 3, 3
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def hash_digits(seed: str = "mix") -> Column:
+    """The first 36 bits of the md5 of doc_id (of the text where it is null), as hex digits."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS)
+
+
+def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and the hash digits key of each document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), text))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS).alias("key"))
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), hash_digits().alias("key"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2) -> DataFrame:
@@ -57,11 +61,11 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     edge = goals.withColumn("whole", whole.cast("long")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     edge = edge.withColumn("prefix", F.lit(""))
     for level in range(LEVELS):
-        inside = sizes if not level else _with(sizes.withColumn("at", _digit(level - 1)), edge.select(F.col("source").alias("s"), F.col("prefix").alias("p")), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("p")))
+        inside = sizes if not level else _with(sizes.withColumn("at", _digit(level - 1)), edge.select(F.col("source").alias("s"), F.col("prefix").alias("p")), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("p"))).drop("s", "p", "at")
         sums = inside.filter("size > 0").groupBy("source", _digit(level).alias("bucket")).agg(F.sum("size").alias("mass"))
         upto = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("mass").over(upto))
-        sums = _with(sums, edge.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
+        sums = _with(sums, edge.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         last = level == LEVELS - 1
         # The bucket in which the budget ends; at the last level it is taken if that comes nearer to the target.
         over = F.col("upto") - F.col("mass") / 2 > F.col("left") if last else F.col("upto") > F.col("left")
@@ -75,7 +79,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 def _with(big: DataFrame, few: DataFrame, on: Column) -> DataFrame:
     """big joined with a table of one row a source, broadcast where their count allows."""
-    return big.join(F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few, on).drop("s", "p", "at")
+    return big.join(F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few, on)
 
 
 def copies(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2) -> DataFrame:
@@ -95,10 +99,8 @@ def mix_sources(docs: DataFrame, **kw) -> DataFrame:
 def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken. docs is read again, its rows are not shuffled."""
     sizes = written(sized(docs), "mix-sizes")
-    edge = thresholds(sizes, written(targets(sizes, share, weights, most), "mix-targets")).select(F.col("source").alias("_mix_s"), "whole", "below")
-    edge = edge.select("_mix_s", F.struct("whole", "below").alias("_mix"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), text)).cast("binary")), 1, DIGITS * LEVELS)
-    n = (F.col("_mix.whole") + (key < F.col("_mix.below")).cast("long")).cast("int")
-    kept = _with(docs, edge.withColumnRenamed("_mix_s", "_mix_s"), F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix", n).filter("_mix > 0")
-    return kept.withColumn("_mix", F.explode(F.array_repeat(F.lit(0), F.col("_mix")))).select(*[kept[c] for c in docs.columns])
+    edge = thresholds(sizes, written(targets(sizes, share, weights, most), "mix-targets")).select(F.col("source").alias("s"), "whole", "below")
+    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), hash_digits().alias("key"))
+    row = _with(row, edge, F.col("of").eqNullSafe(F.col("s")))
+    times = (F.col("whole") + (F.col("key") < F.col("below")).cast("long")).cast("int")
+    return row.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
