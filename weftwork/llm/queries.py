@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import decontamination, fingerprints, langid, mixing, quality, sharding, simhash, toxicity
+from weftwork.llm import decontamination, fingerprints, langid, licenses, mixing, quality, sharding, simhash, tokencounts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,17 +41,27 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds or inherits a license for all documents, laid out as a tree of files."""
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents by trees learned from `labels.quality`."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by source, language and tokenizer version, kept by signed batches."""
+    return tokencounts.roll_up(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals all documents into 16 shards of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_decontamination, op5_simhash, op6_langid, op8_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_decontamination, op5_simhash, op6_langid, op7_licenses, op8_quality, op9_token_counts, op10_sharding)}
 
 SQL = {
     "op2_mixing": r"""
