@@ -29,31 +29,26 @@ def title(nodes: Column) -> Column:
     return F.coalesce(F.nullif(t.text, F.lit("")), dom.attr(first(nodes, lambda n: (n.tag == "meta") & (dom.attr(n, "property") == "og:title")), "content"), F.lit(""))
 
 
-def content_root(nodes: Column, boiler: Column) -> Column:
+def content_root(nodes: Column) -> Column:
     """The first content container that is no boilerplate, else the body, else all."""
-    clear = lambda n: ~dom.within(n, boiler)
-    return F.coalesce(first(nodes, lambda n: dom.is_content(n) & clear(n)), first(nodes, lambda n: (n.tag == "body") & clear(n)), F.try_element_at(nodes, F.lit(1)))
+    return F.coalesce(first(nodes, lambda n: n.content & ~n.boiler), first(nodes, lambda n: (n.tag == "body") & ~n.boiler), F.try_element_at(nodes, F.lit(1)))
 
 
 def main_text(nodes: Column) -> Column:
     """Text of the main container without boilerplate, white space collapsed."""
-    boiler = dom.spans(nodes, lambda n: dom.is_boilerplate(n) | n.tag.isin("head", "title"))
-    return F.coalesce(clean_lines(one_spaced(dom.text_of(nodes, content_root(nodes, dom.spans(nodes, dom.is_boilerplate)), boiler))), F.lit(""))
+    return F.coalesce(clean_lines(one_spaced(dom.text_of(nodes, content_root(nodes)))), F.lit(""))
 
 
 def markdown(nodes: Column) -> Column:
     """The main container as markdown: headings, paragraphs, list items, emphasis and links."""
-    boiler = dom.spans(nodes, lambda n: dom.is_boilerplate(n) | n.tag.isin("head", "title"))
-    root = content_root(nodes, dom.spans(nodes, dom.is_boilerplate))
-    inside = F.filter(F.slice(nodes, root.id + 1, root.last - root.id + 1), lambda n: ~dom.within(n, boiler))
-    links = F.filter(inside, lambda n: (n.tag == "a") & dom.attr(n, "href").isNotNull())
-    strong, em = dom.spans(inside, lambda n: n.tag.isin("b", "strong")), dom.spans(inside, lambda n: n.tag.isin("i", "em"))
+    root = content_root(nodes)
+    inside = F.filter(F.slice(nodes, root.id + 1, root.last - root.id + 1), lambda n: ~n.boiler & ~n.tag.isin("head", "title", "#comment"))
 
     def written(n: Column) -> Column:
         t = F.regexp_replace(n.own, r"\s+", " ")
-        link = F.try_element_at(F.filter(links, lambda a: (a.id <= n.id) & (n.id <= a.last)), F.lit(1))
-        t = F.when(trimmed(t) == "", t).when(dom.within(n, strong), F.concat(F.lit("**"), trimmed(t), F.lit("**"))).when(dom.within(n, em), F.concat(F.lit("*"), trimmed(t), F.lit("*"))).otherwise(t)
-        t = F.when(link.isNotNull() & (trimmed(t) != ""), F.concat(F.lit("["), t, F.lit("]("), F.coalesce(dom.attr(link, "href"), F.lit("")), F.lit(")"))).otherwise(t)
+        bare = trimmed(t)
+        t = F.when(bare == "", t).when(n.strong, F.concat(F.lit("**"), bare, F.lit("**"))).when(n.em, F.concat(F.lit("*"), bare, F.lit("*"))).otherwise(t)
+        t = F.when(n.href.isNotNull() & (bare != ""), F.concat(F.lit("["), t, F.lit("]("), n.href, F.lit(")"))).otherwise(t)
         heading = F.when(n.tag.rlike("^h[1-6]$"), F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(n.tag, 2, 1).try_cast("int")), F.lit(" ")))
         block = F.when(n.tag == "li", "\n- ").when(n.tag == "br", "\n").when(n.tag.isin(*dom.BLOCKS), "\n\n").otherwise("")
         return F.when(n.tag == "#text", t).otherwise(F.coalesce(heading, block))

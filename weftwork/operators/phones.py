@@ -31,16 +31,14 @@ def valid(candidates: Column) -> Column:
     return F.filter(candidates, lambda c: valid_phone(c.value))
 
 
-def tel(nodes: Column, regions: Column, tracking: Column) -> Column:
+def tel(nodes: Column) -> Column:
     """tel: links; demoted in a tracking part, unless that holds the whole contact area; else by region."""
 
     def one(n: Column) -> Column:
-        tracked, region = dom.nearest(n, tracking), dom.nearest(n, regions)
-        part = F.try_element_at(F.filter(tracking, lambda s: s.id == tracked), F.lit(1))
-        demoted = tracked.isNotNull() & (region.isNull() | F.exists(regions, lambda r: (r.id <= part.id) & (part.id <= r.last)))
+        demoted = n.tracking.isNotNull() & (n.region.isNull() | dom.node(nodes, n.tracking).region.isNotNull())
         shown = trimmed(n.text)
         value = F.when(valid_phone(shown), shown).otherwise(F.regexp_replace(dom.attr(n, "href"), "^(?:tel:)?(?:TEL:)?", ""))
-        return candidate(value, F.when(demoted, DEMOTED).when(region.isNotNull(), CONTACTS).otherwise(BODY), n.role)
+        return candidate(value, F.when(demoted, DEMOTED).when(n.region.isNotNull(), CONTACTS).otherwise(BODY), n.role)
 
     return valid(F.transform(F.filter(nodes, lambda n: (n.tag == "a") & dom.attr(n, "href").rlike("^(?:tel:|TEL:)")), one))
 
@@ -114,11 +112,11 @@ def vendor(nodes: Column) -> Column:
 
 
 def with_candidates(pages: DataFrame, prior: Column | None = None) -> DataFrame:
-    """pages with nodes, plus regions, tracking, vendor, and candidates in the finders' order (it breaks ties)."""
+    """pages with nodes, plus vendor and candidates in the finders' order (it breaks ties)."""
     n = F.col("nodes")
-    out = pages.withColumns({"regions": dom.spans(n, dom.is_region), "tracking": dom.spans(n, dom.is_tracking), "vendor": vendor(n)})
+    out = pages.withColumn("vendor", vendor(n))
     before = valid(F.array(candidate(prior, MICRODATA))) if prior is not None else F.array().cast(_KIND)
-    return out.withColumn("candidates", F.concat(before, social(n), tel(n, F.col("regions"), F.col("tracking")), microdata(n), meta_phone(n)))
+    return out.withColumn("candidates", F.concat(before, social(n), tel(n), microdata(n), meta_phone(n)))
 
 
 def region(tier: Column) -> Column:
@@ -136,9 +134,9 @@ def pick(candidates: Column, city: Column, vendor_name: Column) -> Column:
     return F.struct(value.alias("value"), F.when(value.isNotNull(), region(F.when(tracked, chat.tier).otherwise(best.tier))).alias("region"), (some & tracked & chat.isNull()).alias("poisoned"))
 
 
-def site_contacts(nodes: Column, regions: Column, tracking: Column) -> Column:
+def site_contacts(nodes: Column) -> Column:
     """struct(phone, region): a contact-area link, a chat link, any other link (tracked ones last), microdata."""
-    links, chats, data = tel(nodes, regions, tracking), social(nodes), microdata(nodes)
+    links, chats, data = tel(nodes), social(nodes), microdata(nodes)
     one = lambda a: F.try_element_at(a, F.lit(1))
     area, other = one(F.filter(links, lambda c: c.natural == CONTACTS)), F.coalesce(one(F.filter(links, lambda c: c.natural != DEMOTED)), one(links))
     which = F.when(area.isNotNull(), F.struct(area.value.alias("phone"), F.lit("contacts").alias("region"))).when(F.size(chats) > 0, F.struct(one(chats).value.alias("phone"), F.lit("contacts").alias("region")))

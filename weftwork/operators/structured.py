@@ -40,13 +40,11 @@ def kinds(item: Column) -> Column:
 def microdata(nodes: Column) -> Column:
     """Items of itemscope elements that lie in no other, as JSON texts; the items nested in them are objects of theirs."""
     scopes = F.filter(nodes, lambda n: dom.attr(n, "itemscope").isNotNull())
-    ranges = F.transform(scopes, lambda n: F.struct(n.id.alias("id"), n.last.alias("last")))
-    holder = lambda n: F.array_max(F.transform(F.filter(ranges, lambda s: (s.id < n.id) & (n.id <= s.last)), lambda s: s.id))
     text = lambda n: F.coalesce(dom.attr(n, "content"), F.when(n.tag.isin("a", "link", "area"), dom.attr(n, "href")), F.when(n.tag.isin("img", "source"), dom.attr(n, "src")), dom.attr(n, "datetime"), trimmed(n.text))
 
     def flat(s: Column) -> Column:
         """Plain properties of one scope; the first value of a name."""
-        props = F.filter(nodes, lambda n: dom.attr(n, "itemprop").isNotNull() & dom.attr(n, "itemscope").isNull() & (holder(n) == s.id))
+        props = F.filter(nodes, lambda n: dom.attr(n, "itemprop").isNotNull() & dom.attr(n, "itemscope").isNull() & (n.scope == s.id))
         names = F.transform(props, lambda n: dom.attr(n, "itemprop"))
         once = F.filter(props, lambda n, i: F.array_position(names, dom.attr(n, "itemprop")) == i + 1)
         kind = F.struct(F.lit("@type").alias("k"), F.coalesce(dom.attr(s, "itemtype"), F.lit("")).alias("v"))
@@ -55,10 +53,10 @@ def microdata(nodes: Column) -> Column:
     as_json = lambda pairs: F.to_json(F.map_from_entries(pairs))
 
     def whole(s: Column) -> Column:
-        inner = F.filter(scopes, lambda n: dom.attr(n, "itemprop").isNotNull() & (holder(n) == s.id))
+        inner = F.filter(scopes, lambda n: dom.attr(n, "itemprop").isNotNull() & (n.scope == s.id))
         return as_json(F.concat(flat(s), F.transform(inner, lambda n: F.struct(dom.attr(n, "itemprop").alias("k"), as_json(flat(n)).alias("v")))))
 
-    return F.transform(F.filter(scopes, lambda s: holder(s).isNull()), whole)
+    return F.transform(F.filter(scopes, lambda s: s.scope.isNull()), whole)
 
 
 def items(nodes: Column) -> Column:

@@ -2,7 +2,8 @@
 
 `with_nodes` parses each page once into array<node>; every finder after that is a Catalyst expression over it. A node has
 its number in document order, its parent, the number of its last descendant (so a subtree is a range of numbers), its tag
-(`#text` for text, `#comment`), its attributes, its own text and, for short subtrees, all of its text. Phone-bearing nodes also carry the text that names
+(`#text` for text, `#comment`), its attributes, its own text and, for short subtrees, all of its text; and what it lies in: boilerplate, the nearest contact
+area, tracking part and item, emphasis, a link. (Asked for in a lambda, these would be worked out again for every node.) Phone-bearing nodes also carry the text that names
 their role, and phones printed as plain text near a phone label come as `#phone` nodes at the end.
 
 What the parser promises: void elements, implied ends of p, li, dt, dd, tr, td, th and option, raw text in script, style,
@@ -13,7 +14,7 @@ full HTML5 tree construction.
 from __future__ import annotations
 
 import re
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
@@ -24,7 +25,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import any_of
 
 # Elements without content, elements whose content is text, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,9 +47,17 @@ NODE = T.StructType(
         T.StructField("next", T.IntegerType()),
         T.StructField("link", T.StringType()),
         T.StructField("role", T.StringType()),
+        T.StructField("boiler", T.BooleanType()),
+        T.StructField("content", T.BooleanType()),
+        T.StructField("region", T.IntegerType()),
+        T.StructField("tracking", T.IntegerType()),
+        T.StructField("scope", T.IntegerType()),
+        T.StructField("strong", T.BooleanType()),
+        T.StructField("em", T.BooleanType()),
+        T.StructField("href", T.StringType()),
     ]
 )
-_ARROW = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("text", pa.string()), ("next", pa.int32()), ("link", pa.string()), ("role", pa.string())]))
+_ARROW = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("text", pa.string()), ("next", pa.int32()), ("link", pa.string()), ("role", pa.string()), ("boiler", pa.bool_()), ("content", pa.bool_()), ("region", pa.int32()), ("tracking", pa.int32()), ("scope", pa.int32()), ("strong", pa.bool_()), ("em", pa.bool_()), ("href", pa.string())]))
 
 
 class _Builder(HTMLParser):
@@ -110,6 +118,8 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if data.strip() or self.open:
             self._in_body()
+            if self.nodes[self.open[-1]]["tag"] in ("title", "textarea"):
+                data = unescape(data)
             self._add("#text", own=data)
 
     def handle_comment(self, data: str) -> None:
@@ -143,7 +153,6 @@ class _Page:
         for i, n in enumerate(nodes):
             if n["tag"][0] != "#":
                 self.children.setdefault(n["parent"], []).append(i)
-        self.tracking = [n for n in nodes if n["tag"][0] != "#" and any(p in dict(n["attrs"]).get("class", "") for p in P.TRACKING_PARTS) or set(dict(n["attrs"]).get("class", "").split()) & set(P.TRACKING_CLASSES)]
 
     def text(self, i: int) -> str:
         """Text under a node without that of noise elements; the node itself counts whatever it is."""
@@ -201,7 +210,7 @@ class _Page:
             if n["tag"][0] == "#" or n["tag"] in P.NOISE_TAGS or not _PHONE_LABEL.search(n["own"]):
                 continue
             scope = self.scope(i)
-            if scope < 0 or any(t["id"] <= scope <= t["last"] for t in self.tracking):
+            if scope < 0 or self.nodes[scope]["tracking"] is not None:
                 continue
             at = self.narrowest(scope)
             text = self.text(at)
@@ -210,6 +219,31 @@ class _Page:
         return out
 
 
+def _surroundings(nodes: list[dict]) -> None:
+    """Sets what each node lies in, from its parent's and its own tag and attributes."""
+    outside = {"boiler": False, "content": False, "region": None, "tracking": None, "scope": None, "strong": False, "em": False, "href": None}
+    for i, n in enumerate(nodes):
+        up = nodes[n["parent"]] if n["parent"] >= 0 else None
+        n.update({k: up[k] for k in outside} if up else outside)
+        n["content"] = False
+        if up and any(k == "itemscope" for k, _ in up["attrs"]):
+            n["scope"] = n["parent"]
+        if n["tag"][0] == "#":
+            continue
+        a, tag = dict(n["attrs"]), n["tag"]
+        names = set(a.get("class", "").split())
+        if tag in P.BOILER_TAGS or names & set(P.BOILER_CLASSES) or a.get("role") in P.BOILER_ROLES or a.get("aria-hidden") == "true" or "hidden" in a:
+            n["boiler"] = True
+        n["content"] = tag in P.CONTENT_TAGS or bool(names & set(P.CONTENT_CLASSES)) or a.get("id") in P.CONTENT_IDS
+        if tag in P.REGION_TAGS or names & set(P.REGION_CLASSES) or a.get("id") in P.REGION_IDS:
+            n["region"] = i
+        if any(p in a.get("class", "") for p in P.TRACKING_PARTS) or names & set(P.TRACKING_CLASSES):
+            n["tracking"] = i
+        n["strong"], n["em"] = n["strong"] or tag in ("b", "strong"), n["em"] or tag in ("i", "em")
+        if tag == "a" and "href" in a:
+            n["href"] = a["href"]
+
+
 def _nodes(html: str | None, url: str | None, phones: bool = True) -> list[dict]:
     if not html:
         return []
@@ -217,6 +251,7 @@ def _nodes(html: str | None, url: str | None, phones: bool = True) -> list[dict]
     b.feed(html)
     b.close()
     nodes = b.nodes
+    _surroundings(nodes)
     texts: list[str | None] = [""] * len(nodes)
     follows: dict[int, int] = {}
     for i in range(len(nodes) - 1, -1, -1):
@@ -248,7 +283,7 @@ def _nodes(html: str | None, url: str | None, phones: bool = True) -> list[dict]
                 n["role"] = page.role(n["id"])
         for value, role in page.plain_phones():
             i = len(nodes)
-            nodes.append({"id": i, "parent": -1, "last": i, "tag": "#phone", "attrs": [], "own": value, "text": value, "next": None, "link": None, "role": role})
+            nodes.append({"id": i, "parent": -1, "last": i, "tag": "#phone", "attrs": [], "own": value, "text": value, "next": None, "link": None, "role": role, "boiler": False, "content": False})
     return nodes
 
 
@@ -262,62 +297,17 @@ def with_nodes(pages: DataFrame, html: str = "html", url: str = "url", to: str =
     return pages.withColumn(to, parse_nodes(html, url))
 
 
-def has_class(n: Column, names) -> Column:
-    return F.arrays_overlap(F.split(F.coalesce(F.try_element_at(n.attrs, F.lit("class")), F.lit("")), r"\s+"), F.array(*map(F.lit, names)))
-
-
 def attr(n: Column, name: str) -> Column:
     return F.try_element_at(n.attrs, F.lit(name))
 
 
-def is_region(n: Column) -> Column:
-    """The page's own contact area."""
-    return n.tag.isin(*P.REGION_TAGS) | has_class(n, P.REGION_CLASSES) | F.coalesce(attr(n, "id").isin(*P.REGION_IDS), F.lit(False))
-
-
-def is_tracking(n: Column) -> Column:
-    """A part that a call-tracking vendor put in."""
-    c = F.coalesce(attr(n, "class"), F.lit(""))
-    return any_of(F.contains(c, F.lit(p)) for p in P.TRACKING_PARTS) | has_class(n, P.TRACKING_CLASSES)
-
-
-def is_boilerplate(n: Column) -> Column:
-    role, hidden = F.coalesce(attr(n, "role"), F.lit("")), F.coalesce(attr(n, "aria-hidden") == "true", F.lit(False))
-    return n.tag.isin(*P.BOILER_TAGS) | has_class(n, P.BOILER_CLASSES) | role.isin(*P.BOILER_ROLES) | hidden | attr(n, "hidden").isNotNull()
-
-
-def is_content(n: Column) -> Column:
-    return n.tag.isin(*P.CONTENT_TAGS) | has_class(n, P.CONTENT_CLASSES) | F.coalesce(attr(n, "id").isin(*P.CONTENT_IDS), F.lit(False))
-
-
-def is_noise(n: Column) -> Column:
-    return n.tag.isin(*P.NOISE_TAGS)
-
-
-def spans(nodes: Column, pred) -> Column:
-    """The number ranges of the subtrees under matching nodes."""
-    return F.transform(F.filter(nodes, pred), lambda n: F.struct(n.id.alias("id"), n.last.alias("last")))
-
-
-def within(n: Column, ranges: Column) -> Column:
-    """Whether a node is a matching one or lies under it."""
-    return F.exists(ranges, lambda s: (s.id <= n.id) & (n.id <= s.last))
-
-
-def nearest(n: Column, ranges: Column) -> Column:
-    """The number of the nearest matching node at or above n, null if there is none."""
-    return F.array_max(F.transform(F.filter(ranges, lambda s: (s.id <= n.id) & (n.id <= s.last)), lambda s: s.id))
-
-
 def node(nodes: Column, i: Column) -> Column:
     return F.try_element_at(nodes, i + 1)
 
 
-def text_of(nodes: Column, root: Column, without: Column | None = None) -> Column:
-    """All text under a node, but for what lies in the ranges given."""
-    inside = F.filter(F.slice(nodes, root.id + 1, root.last - root.id + 1), lambda n: n.tag == "#text")
-    if without is not None:
-        inside = F.filter(inside, lambda n: ~within(n, without))
+def text_of(nodes: Column, root: Column) -> Column:
+    """All text under a node, but for boilerplate, head and title."""
+    inside = F.filter(F.slice(nodes, root.id + 1, root.last - root.id + 1), lambda n: (n.tag == "#text") & ~n.boiler)
     return F.array_join(F.transform(inside, lambda n: n.own), "")
 
 
