@@ -53,6 +53,11 @@ def _quoted(word: str) -> str:
     return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def let(value: Col, then) -> Col:
+    """then(value), with value worked out once however often it is used."""
+    return F.try_element_at(F.transform(F.array(value), then), F.lit(1))
+
+
 def any_of(conditions) -> Col:
     out = F.lit(False)
     for c in conditions:
@@ -78,14 +83,13 @@ def clean_hours(c: Col) -> Col:
         good = (line != "") & ~line.rlike(P.ORG_NOISE) & line.rlike(P.HOURS_VALUE)
         return F.struct((acc.done | (~good & (F.size(acc.kept) > 0))).alias("done"), F.when(good & ~acc.done, F.concat(acc.kept, F.array(line))).otherwise(acc.kept).alias("kept"))
 
-    kept = F.aggregate(lines, start, step).kept
-    return F.when(usable_hours(c) & (F.size(kept) > 0), F.array_join(kept, "; "))
+    return let(F.aggregate(lines, start, step).kept, lambda kept: F.when(usable_hours(c) & (F.size(kept) > 0), F.array_join(kept, "; ")))
 
 
 def is_department(label: Col) -> Col:
     """Whether a role label names a department rather than the general line."""
     low = F.lower(one_spaced(F.coalesce(label, F.lit(""))))
-    return holds_any(low, P.DEPARTMENT_PARTS) | any_of(has_token(low, w) for w in P.DEPARTMENT_WORDS)
+    return low.rlike("|".join(map(_quoted, P.DEPARTMENT_PARTS)) + rf"|(?<!\p{{L}})(?:{'|'.join(P.DEPARTMENT_WORDS)})(?!\p{{L}})")
 
 
 def first_group(c: Col, pattern: str) -> Col:

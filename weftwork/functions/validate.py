@@ -6,17 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import any_of, digits, trimmed
+from weftwork.functions.text import any_of, digits, let, trimmed
+
+
+def _codes() -> str:
+    """A pattern of the valid area codes, by their first two digits."""
+    tens: dict[str, str] = {}
+    for low, high in P.AREA_CODES:
+        for code in map(str, range(low, high + 1)):
+            tens[code[:2]] = tens.get(code[:2], "") + code[2]
+    return "|".join(f"{t}[{last}]" for t, last in tens.items())
+
+
+_PHONE = rf"^[78]({_codes()})[0-9]{{7}}$"
 
 
 def area_code(phone: Column) -> Column:
     """Digits 2 to 4 of a valid phone, else -1."""
-    return F.when(valid_phone(phone), F.substring(digits(phone), 2, 3).cast("int")).otherwise(F.lit(-1))
+    return F.coalesce(F.regexp_extract(digits(phone), _PHONE, 1).try_cast("int"), F.lit(-1))
 
 
 def valid_phone(phone: Column) -> Column:
-    d = digits(F.coalesce(phone, F.lit("")))
-    return (F.length(d) == 11) & F.substring(d, 1, 1).isin("7", "8") & valid_code(F.substring(d, 2, 3).try_cast("int"))
+    return F.coalesce(digits(phone).rlike(_PHONE), F.lit(False))
 
 
 def valid_code(code: Column) -> Column:
@@ -45,13 +56,19 @@ def canonical_phone(phone: Column) -> Column:
 
 
 def valid_price(price: Column) -> Column:
-    p = trimmed(F.coalesce(price, F.lit("")))
+    return let(trimmed(F.coalesce(price, F.lit(""))), _price)
+
+
+def _price(p: Column) -> Column:
     number = p.rlike("[0-9]") | p.rlike(P.PRICE_FREE)
     return (p != "") & (F.length(p) <= P.PRICE_MOST) & number & ~p.rlike(P.STYLE) & ~p.rlike(P.TAG) & ~p.rlike(P.SCRIPT) & ~F.contains(p, F.lit("://"))
 
 
 def valid_address(address: Column) -> Column:
-    a = trimmed(F.coalesce(address, F.lit("")))
+    return let(trimmed(F.coalesce(address, F.lit(""))), _address)
+
+
+def _address(a: Column) -> Column:
     return F.length(a).between(*P.ADDRESS_LENGTH) & a.rlike(P.STREET) & ~a.rlike(P.MARKETING) & ~a.rlike(P.STYLE) & ~F.contains(a, F.lit("://"))
 
 

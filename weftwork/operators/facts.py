@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import first_group, first_match, trimmed
+from weftwork.functions.text import first_group, first_match, let, trimmed
 from weftwork.functions.validate import area_code, city_codes, legal_address, valid_address, valid_phone, valid_price
 from weftwork.operators import extract, phones, structured
 from weftwork.sources import dom
@@ -15,15 +15,15 @@ FIELDS = ("place_name", "place_type", "address", "legal_address", "phone", "webs
 
 
 def _if(test, value: Column) -> Column:
-    return F.when(test(value), value)
+    return let(value, lambda v: F.when(test(v), v))
 
 
 def venue(address: Column) -> Column:
-    return F.when(valid_address(address) & ~legal_address(address), address)
+    return _if(lambda a: valid_address(a) & ~legal_address(a), address)
 
 
 def legal(address: Column) -> Column:
-    return F.when(valid_address(address) & legal_address(address), address)
+    return _if(lambda a: valid_address(a) & legal_address(a), address)
 
 
 def snippet_facts(text: Column) -> Column:
@@ -54,7 +54,7 @@ def page_facts(pages: DataFrame, city: str = "city") -> DataFrame:
     cols = [c for c in pages.columns if c != "nodes"]
     p = dom.with_nodes(pages).withColumns({"clean": dom.noise_free_html(F.col("html")), "items": structured.items(F.col("nodes"))})
     i = F.col("items")
-    p = p.withColumns({"pl": structured.place(structured.first_of(i, P.PLACE_TYPES)), "ar": structured.article(structured.first_of(i, P.ARTICLE_TYPES)), "ev": structured.event(structured.first_of(i, ("Event",))), "orgi": structured.first_of(i, P.ORGANIZATION_TYPES)})
+    p = p.withColumns({"pl": let(structured.first_of(i, P.PLACE_TYPES), structured.place), "ar": let(structured.first_of(i, P.ARTICLE_TYPES), structured.article), "ev": let(structured.first_of(i, ("Event",)), structured.event), "orgi": structured.first_of(i, P.ORGANIZATION_TYPES)})
     p = p.withColumns({"og": structured.organization(F.col("orgi")), "rx": markup_facts(F.col("clean"))})
     elements = F.transform(F.filter(F.col("nodes"), lambda n: n.tag == "address"), lambda n: trimmed(n.text))
     p = p.withColumns({"venues": F.filter(elements, lambda a: valid_address(a) & ~legal_address(a)), "seats": F.filter(elements, lambda a: valid_address(a) & legal_address(a))})

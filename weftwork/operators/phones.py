@@ -1,7 +1,6 @@
 """Phones of a page: finders, call-tracking detection, the single pick, and the set of all numbers with roles.
 
-A candidate has its value, its tier (how much the place it was found in tells), its natural tier (the same, whatever its
-area code), its area code and the text that names its role.
+A candidate has its value, its natural tier (how much the place it was found in tells) and the text that names its role.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import any_of, digits, is_department, trimmed
+from weftwork.functions.text import any_of, digits, is_department, let, trimmed
 from weftwork.functions.validate import area_code, canonical_phone, city_codes, geographic_code, toll_free, valid_phone
 from weftwork.operators import structured
 from weftwork.sources import dom
@@ -22,9 +21,13 @@ SCRIPT_BYTES, MOST = 256 * 1024, 200
 
 
 def candidate(value: Column, tier: Column | int, role: Column | None = None) -> Column:
-    v, t = trimmed(F.coalesce(value, F.lit(""))), F.lit(tier) if isinstance(tier, int) else tier
-    code = area_code(v)
-    return F.struct(v.alias("value"), F.when(toll_free(code), F.lit(DEMOTED)).otherwise(t).cast("int").alias("tier"), t.cast("int").alias("natural"), code.alias("code"), F.coalesce(role, F.lit("")).alias("label") if role is not None else F.lit("").alias("label"))
+    natural = F.lit(tier) if isinstance(tier, int) else tier
+    return F.struct(trimmed(F.coalesce(value, F.lit(""))).alias("value"), natural.cast("int").alias("natural"), F.coalesce(role if role is not None else F.lit(""), F.lit("")).alias("label"))
+
+
+def tier(c: Column) -> Column:
+    """The tier that counts for a pick: a toll-free number has the lowest wherever it stands."""
+    return F.when(toll_free(area_code(c.value)), F.lit(DEMOTED)).otherwise(c.natural)
 
 
 def valid(candidates: Column) -> Column:
@@ -88,20 +91,16 @@ def branches(nodes: Column) -> Column:
 
 def places(nodes: Column) -> Column:
     """Phones of pages that describe two places or more, one each."""
-    found = structured.places(nodes)
-    return F.when(F.size(found) >= 2, F.slice(valid(F.transform(found, lambda p: candidate(p.phone, PLACE))), 1, MOST)).otherwise(F.array().cast(_KIND))
+    several = F.filter(F.array(structured.places(nodes)), lambda p: F.size(p) >= 2)
+    return F.flatten(F.transform(several, lambda ps: F.slice(valid(F.transform(ps, lambda p: candidate(p.phone, PLACE))), 1, MOST)))
 
 
-def plain(nodes: Column, known: Column) -> Column:
-    """Phones printed near a phone label that no other finder has, each once."""
-    keys = F.transform(known, lambda c: canonical_phone(c.value))
-    found = valid(F.transform(F.filter(nodes, lambda n: n.tag == "#phone"), lambda n: candidate(n.own, CONTACTS, n.role)))
-    new = F.filter(found, lambda c: ~F.array_contains(keys, canonical_phone(c.value)))
-    every = F.transform(new, lambda c: canonical_phone(c.value))
-    return F.filter(new, lambda c, i: F.array_position(every, canonical_phone(c.value)) == i + 1)
+def plain(nodes: Column) -> Column:
+    """Phones printed near a phone label."""
+    return valid(F.transform(F.filter(nodes, lambda n: n.tag == "#phone"), lambda n: candidate(n.own, CONTACTS, n.role)))
 
 
-_KIND = "array<struct<value: string, tier: int, natural: int, code: int, label: string>>"
+_KIND = "array<struct<value: string, natural: int, label: string>>"
 
 
 def vendor(nodes: Column) -> Column:
@@ -127,16 +126,28 @@ def pick(candidates: Column, city: Column, vendor_name: Column) -> Column:
     """struct(value, region, poisoned): with a vendor active only a chat link's number holds; else the best candidate, first
     of the city's area codes, then of the tier (a chat link counts as body text), then the first."""
     codes = city_codes(city)
-    ranked = F.transform(candidates, lambda c, i: F.struct(F.coalesce(F.array_contains(codes, c.code), F.lit(False)).alias("near"), F.when(c.tier == SOCIAL, F.lit(BODY)).otherwise(c.tier).alias("pick"), (-i).alias("place"), c.value.alias("value"), c.tier.alias("tier")))
-    best, chat = F.array_max(ranked), F.try_element_at(F.filter(candidates, lambda c: c.tier == SOCIAL), F.lit(1))
-    some, tracked = F.size(candidates) > 0, vendor_name.isNotNull()
-    value = F.when(some & tracked, chat.value).when(some, best.value)
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), region(F.when(tracked, chat.tier).otherwise(best.tier))).alias("region"), (some & tracked & chat.isNull()).alias("poisoned"))
+
+    def ranked(c: Column, i: Column) -> Column:
+        near = F.coalesce(F.array_contains(codes, area_code(c.value)), F.lit(False))
+        return let(tier(c), lambda t: F.struct(near.alias("near"), F.when(t == SOCIAL, F.lit(BODY)).otherwise(t).alias("pick"), (-i).alias("place"), c.value.alias("value"), t.alias("tier")))
+
+    def chosen(r: Column) -> Column:
+        best = F.array_max(r)
+        chat = F.array_max(F.transform(F.filter(r, lambda x: x.tier == SOCIAL), lambda x: F.struct(x.place, x.value.alias("value"), x.tier.alias("tier"))))
+        some, tracked = F.size(r) > 0, vendor_name.isNotNull()
+        value = F.when(some & tracked, chat.value).when(some, best.value)
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), region(F.when(tracked, chat.tier).otherwise(best.tier))).alias("region"), (some & tracked & chat.isNull()).alias("poisoned"))
+
+    return let(F.transform(candidates, ranked), chosen)
 
 
 def site_contacts(nodes: Column) -> Column:
     """struct(phone, region): a contact-area link, a chat link, any other link (tracked ones last), microdata."""
-    links, chats, data = tel(nodes), social(nodes), microdata(nodes)
+    return let(F.struct(tel(nodes).alias("links"), social(nodes).alias("chats"), microdata(nodes).alias("data")), _contacts)
+
+
+def _contacts(found: Column) -> Column:
+    links, chats, data = found.links, found.chats, found.data
     one = lambda a: F.try_element_at(a, F.lit(1))
     area, other = one(F.filter(links, lambda c: c.natural == CONTACTS)), F.coalesce(one(F.filter(links, lambda c: c.natural != DEMOTED)), one(links))
     which = F.when(area.isNotNull(), F.struct(area.value.alias("phone"), F.lit("contacts").alias("region"))).when(F.size(chats) > 0, F.struct(one(chats).value.alias("phone"), F.lit("contacts").alias("region")))
@@ -162,10 +173,12 @@ def site_numbers(pages: DataFrame, poisoned: Column | None = None) -> DataFrame:
     A number found by several finders keeps its strongest reading; it is departmental only if every labelled reading is.
     """
     n = F.col("nodes")
-    out = with_candidates(pages)
-    known = F.concat(F.col("candidates"), branches(n), places(n))
-    out = out.withColumn("known", known).withColumn("all", F.concat("known", plain(n, F.col("known"))))
-    rows = out.select("page_id", (F.col("vendor").isNotNull() | (F.coalesce(poisoned, F.lit(False)) if poisoned is not None else F.lit(False))).alias("dni"), F.posexplode("all").alias("seq", "c")).select("page_id", "dni", "seq", "c.*")
+    found = with_candidates(pages).select("page_id", "vendor", F.concat(F.transform(F.concat("candidates", branches(n), places(n)), lambda c: F.struct(c.alias("c"), F.lit(False).alias("plain"))), F.transform(plain(n), lambda c: F.struct(c.alias("c"), F.lit(True).alias("plain")))).alias("all"))
+    dni = F.col("vendor").isNotNull() | (F.coalesce(poisoned, F.lit(False)) if poisoned is not None else F.lit(False))
+    rows = found.select("page_id", dni.alias("dni"), F.posexplode("all").alias("seq", "f")).select("page_id", "dni", "seq", "f.plain", "f.c.*")
+    # A plainly printed number counts only where no other finder has it, and once.
+    same = Window.partitionBy("page_id", canonical_phone(F.col("value")))
+    rows = rows.withColumn("first", F.min("seq").over(same)).filter(~F.col("plain") | (F.col("first") == F.col("seq")))
     rows = rows.withColumns({"key": digits(F.col("value")), "department": is_department(F.col("label"))})
     w = Window.partitionBy("page_id", "key")
     rows = rows.withColumns({"general": F.min(F.when(~F.col("department"), F.struct("seq", "label"))).over(w)})

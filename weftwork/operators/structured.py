@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import trimmed
+from weftwork.functions.text import let, trimmed
 from weftwork.sources import dom
 
 _TEXTS = "array<string>"
@@ -14,8 +14,7 @@ _TEXTS = "array<string>"
 
 def _listed(value: Column) -> Column:
     """A JSON value as an array of its elements' texts; a single value is one element; null is none."""
-    one = F.array(value)
-    return F.when(value.isNull(), F.array().cast(_TEXTS)).when(value.rlike(r"^\s*\["), F.coalesce(F.from_json(value, _TEXTS), F.array().cast(_TEXTS))).otherwise(one)
+    return F.coalesce(let(value, lambda v: F.when(v.rlike(r"^\s*\["), F.from_json(v, _TEXTS)).when(v.isNotNull(), F.array(v))), F.array().cast(_TEXTS))
 
 
 def raw(item: Column, key: str) -> Column:
@@ -29,8 +28,7 @@ def prop(item: Column, *keys: str) -> Column:
 
 def nested(item: Column, key: str) -> Column:
     """The first nested item of a property as JSON text, null if it is not one."""
-    v = F.try_element_at(_listed(raw(item, key)), F.lit(1))
-    return F.when(v.rlike(r"^\s*\{"), v)
+    return let(F.try_element_at(_listed(raw(item, key)), F.lit(1)), lambda v: F.when(v.rlike(r"^\s*\{"), v))
 
 
 def kinds(item: Column) -> Column:
@@ -71,13 +69,18 @@ def of_kind(item: Column, names: tuple[str, ...]) -> Column:
 
 def first_of(all_items: Column, names: tuple[str, ...]) -> Column:
     """The first item of the first type that any item has: types go before document order."""
-    return F.coalesce(*[F.try_element_at(F.filter(all_items, lambda i, name=name: F.array_contains(kinds(i), name)), F.lit(1)) for name in names])
+    known = F.array(*map(F.lit, names))
+    ranked = F.transform(all_items, lambda i, at: F.struct(F.array_min(F.transform(kinds(i), lambda k: F.nullif(F.array_position(known, k), F.lit(0).cast("long")))).alias("rank"), at.alias("at"), i.alias("item")))
+    return F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))["item"]
 
 
 def address(item: Column) -> Column:
-    inner = nested(item, "address")
-    parts = F.concat_ws(", ", *[prop(inner, k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")])
-    return F.coalesce(F.nullif(parts, F.lit("")), F.when(inner.isNull(), prop(item, "address")))
+
+    def joined(inner: Column) -> Column:
+        parts = F.concat_ws(", ", *[prop(inner, k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")])
+        return F.coalesce(F.nullif(parts, F.lit("")), F.when(inner.isNull(), prop(item, "address")))
+
+    return let(nested(item, "address"), joined)
 
 
 def price(item: Column) -> Column:
@@ -89,8 +92,7 @@ def hours(item: Column) -> Column:
 
     def clause(spec: Column) -> Column:
         days = F.array_join(F.filter(F.transform(_listed(raw(spec, "dayOfWeek")), lambda d: F.regexp_replace(trimmed(d), "^.*/", "")), lambda d: d != ""), ",")
-        times = F.concat(prop(spec, "opens"), F.lit("-"), prop(spec, "closes"))
-        return F.when(days == "", times).otherwise(F.concat(days, F.lit(" "), times))
+        return F.ltrim(F.concat(days, F.lit(" "), prop(spec, "opens"), F.lit("-"), prop(spec, "closes")))
 
     clauses = F.filter(F.transform(F.filter(_listed(raw(item, "openingHoursSpecification")), lambda s: s.rlike(r"^\s*\{")), clause), lambda c: c.isNotNull())
     plain = F.filter(F.transform(_listed(raw(item, "openingHours")), trimmed), lambda h: h != "")
