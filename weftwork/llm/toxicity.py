@@ -18,12 +18,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftwork.llm.common import LETTERS, LOWER_TABLE, doc_crc, raw, slices, word_hashes, words
+from weftwork.llm.common import LETTERS, LOWER_TABLE, doc_crc, mix, raw, slices, word_hashes, words
 from weftwork.llm.learning import labelled
 
 #: Labelled rows in the index, terms, neighbours that vote, examples to a posting block.
@@ -40,14 +41,20 @@ _STEM = np.uint64(0xA0761D6478BD642F)
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
-@arrow_udf(T.ArrayType(T.BinaryType()))
+@arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("least", T.ArrayType(T.LongType()))]))
 def terms_udf(texts: pa.Array) -> pa.Array:
-    """The distinct terms of a text: runs of letters (any byte over 0x7F counts as one), A-Z lowered, and their beginnings with a *."""
-    found = []
+    """The distinct terms of a text, and two least hashes of its runs of three words (near copies mostly share them).
+
+    Terms are runs of letters (any byte over 0x7F counts as one), A-Z lowered, and their beginnings with a *.
+    """
+    found, least = [], []
     for t in pa.compute.fill_null(texts, "").cast(pa.binary()).to_pylist():
-        whole = set(_TOKEN.findall(t.translate(LOWER_TABLE)))
+        tokens = _TOKEN.findall(t.translate(LOWER_TABLE))
+        whole = set(tokens)
         found.append(sorted(whole.union(w[:n] + b"*" for n in STEMS for w in whole if len(w) > n)))
-    return pa.array(found, pa.list_(pa.binary()))
+        runs = np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + 3])) for i in range(max(1, len(tokens) - 2))], dtype=np.uint64)
+        least.append([int(mix(runs ^ np.uint64(k)).min().astype(np.int64)) for k in (0, 1)])
+    return pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.binary())), pa.array(least, pa.list_(pa.int64()))], ["terms", "least"])
 
 
 @dataclass
@@ -147,15 +154,13 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def without_copies(known: DataFrame) -> DataFrame:
-    """(y, terms), one row for the examples whose longer terms have the same least hash, twice over.
+    """(y, terms), one row for the examples that share a least hash of their word runs, for each of two hashes.
 
     Near copies of one text would else vouch for its chance words many times.
     """
-    rows = known.select("doc_id", "y", terms_udf("text").alias("terms"))
-    for seed in (1, 2):
-        long = F.filter("terms", lambda t: (F.length(t) >= 7) & ~F.endswith(t, F.lit(b"*")))
-        least = F.array_min(F.transform(F.when(F.size(long) > 0, long).otherwise(F.col("terms")), lambda t: F.xxhash64(F.lit(seed), t)))
-        rows = rows.groupBy(F.coalesce(least, F.xxhash64("doc_id")).alias("least")).agg(F.min(F.struct("doc_id", "y", "terms")).alias("r")).select("r.*")
+    rows = known.select("doc_id", "y", terms_udf("text").alias("t")).select("doc_id", "y", "t.terms", "t.least")
+    for k in (0, 1):
+        rows = rows.groupBy(F.col("least")[k].alias("key")).agg(F.min(F.struct("doc_id", "y", "terms", "least")).alias("r")).select("r.*")
     return rows
 
 
