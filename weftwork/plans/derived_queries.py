@@ -174,17 +174,16 @@ def site_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(c("page_id").alias("c_custkey"), "place", "value", "source", "anchored", "dni", "trustworthy", "role")
 
 
-@query(f"""select c_nationkey, {_CP} as value, 'branch_json' as source from customer where {_VALID} and c_custkey < 150
-union all select c_nationkey, '+7812' || lpad((c_custkey + 9000000)::varchar, 7, '0'), 'schema_place' from customer where c_custkey < 150
-  and c_nationkey in (select c_nationkey from customer where c_custkey < 150 group by 1 having count(*) > 1)""")
+@query(f"""select c_custkey // 50 as chain, {_CP} as value, 'branch_json' as source from customer where {_VALID}
+union all select c_custkey // 50, '+7812' || lpad((c_custkey + 9000000)::varchar, 7, '0'), 'schema_place' from customer where c_custkey // 50 in (select c_custkey // 50 from customer group by 1 having count(*) > 1)""")
 def branch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain's branches from a script's JSON text and from several schema.org places (one page a nation, 150 branches)."""
-    b = _customers(spark, sf_dir).filter("c_custkey < 150").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "phone"))).alias("b"))
+    """A chain's branches from a script's JSON text and from several schema.org places; fifty customers make a chain."""
+    b = _customers(spark, sf_dir).groupBy(F.expr("c_custkey div 50").alias("chain")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "phone"))).alias("b"))
     flat = F.array_join(F.transform("b", lambda x: F.concat(F.lit('{"id": '), x.c_custkey.cast("string"), F.lit(', "phone": "'), x.phone, F.lit('", "tel": 78125550000}'))), ", ")
     graph = F.array_join(F.transform("b", lambda x: F.concat(F.lit('{"@type": "Store", "telephone": "+7812'), F.lpad((x.c_custkey + 9000000).cast("string"), 7, "0"), F.lit('"}'))), ", ")
     html = _html("<script>var branches = '[", flat, "]';</script><script type='application/ld+json'>{\"@graph\": [", graph, "]}</script>")
-    n = phones.site_numbers(_page(b, html, "c_nationkey"))
-    return n.select(c("page_id").alias("c_nationkey"), "value", "source")
+    n = phones.site_numbers(_page(b, html, "chain"))
+    return n.select(c("page_id").alias("chain"), "value", "source")
 
 
 @query(f"""select c_custkey, {_CP} as value, 'contacts' as source from customer where {_VALID} and c_custkey % 3 < 2""")
@@ -518,17 +517,17 @@ def search_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select c_custkey as item_pos, 'active' as status, case when c_custkey % 3 = 0 then 'Seed ' || c_custkey else 'ул. Мира, д. ' || c_custkey end as address, case when c_custkey % 3 = 0 then 'operator_verified' else 'official_site' end as address_source,
-  '10:00-20:00' as hours, case when c_custkey % 2 = 0 then 'official_site' else 'maps' end as hours_source, '+7812555' || lpad(c_custkey::varchar, 4, '0') as phone, false as phone_poisoned, 'hello ' || c_custkey as content from customer where c_custkey < 1000""")
+  '10:00-20:00' as hours, case when c_custkey % 2 = 0 then 'official_site' else 'maps' end as hours_source, '+7812' || lpad(c_custkey::varchar, 7, '0') as phone, false as phone_poisoned, 'hello ' || c_custkey as content from customer""")
 def enrich_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, their homepages and map cards through the whole plan: four-digit keys make the phones, so keys under 1,000."""
+    """Records, their homepages and map cards through the whole plan."""
     from weftwork.plans.enrich import Sources, enrich
 
     k = c("c_custkey").cast("string")
-    t = table(spark, sf_dir, "customer").filter("c_custkey < 1000")
+    t = table(spark, sf_dir, "customer")
     url = F.concat(F.lit("https://s"), k, F.lit(".example/"))
     items = t.select(c("c_custkey").alias("item_pos"), "c_name", url.alias("url"), F.lit("").alias("city"), F.lit("places").alias("mode"), F.lit(False).alias("skip_maps_check"), F.when(c("c_custkey") % 3 == 0, F.concat(F.lit("Seed "), k)).alias("seed_address"))
     hours = F.when(c("c_custkey") % 2 == 0, F.lit("<p>Часы работы: 10:00-20:00</p>")).otherwise("")
-    html = _html("<article>hello ", k, "</article><footer><a href='tel:+7812555", F.lpad(k, 4, "0"), "'>x</a><address>ул. Мира, д. ", k, "</address>", hours, "</footer>")
+    html = _html("<article>hello ", k, "</article><footer><a href='tel:+7812", F.lpad(k, 7, "0"), "'>x</a><address>ул. Мира, д. ", k, "</address>", hours, "</footer>")
     fetches = t.select(url.alias("url"), F.lit(1).alias("attempt"), html.alias("html"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), F.lit(False).alias("tls_error"))
     cards = t.select(c("c_custkey").alias("item_pos"), F.lit("permanent_closed").alias("status"), F.lit("Card").alias("name"), F.lit("ул. Иная, д. 1").alias("address"), F.lit("+78120000000").alias("phone"), F.lit("").alias("website"), F.lit("10:00-20:00").alias("hours"))
     out = enrich(items, Sources(fetches, cards=cards))
