@@ -75,11 +75,11 @@ def breaker(calls: DataFrame, by: str, at: str, failed: str) -> DataFrame:
 def throttled(calls: DataFrame, by: str, at: str, per_second: float, burst: int) -> DataFrame:
     """(by, seq, start_s): when each call may start under a token bucket, an ordered fold of a provider's calls."""
     g = calls.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000).alias("at_s"), F.col("seq").cast("long").alias("seq")))).alias("calls"))
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(0.0).alias("seen"), F.array().cast("array<struct<seq: bigint, start_s: double>>").alias("out"))
+    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(-1.0).alias("seen"), F.array().cast("array<struct<seq: bigint, start_s: double>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         now = F.greatest(c.at_s, acc.seen)
-        have = F.when(acc.seen == 0, acc.tokens).otherwise(F.least(F.lit(float(burst)), acc.tokens + (now - acc.seen) * per_second))
+        have = F.when(acc.seen < 0, acc.tokens).otherwise(F.least(F.lit(float(burst)), acc.tokens + (now - acc.seen) * per_second))
         wait = F.greatest(F.lit(0.0), (1 - have) / per_second)
         return F.struct((have + wait * per_second - 1).alias("tokens"), (now + wait).alias("seen"), F.concat(acc.out, F.array(F.struct(c.seq.alias("seq"), (now + wait).alias("start_s")))).alias("out"))
 
