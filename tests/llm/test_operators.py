@@ -183,7 +183,7 @@ def test_simhash(spark):
 
 def test_bit_sliced_comparison_by_brute_force():
     rng = np.random.default_rng(2)
-    for lanes, radius in ((1, 4), (4, 50)):
+    for lanes, radius in ((1, 4), (8, 92)):
         base = rng.integers(0, 1 << 63, size=(700, lanes), dtype=np.uint64)
         for i in range(0, 300):
             for _ in range(rng.integers(0, 8 * lanes)):
