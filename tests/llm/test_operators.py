@@ -305,14 +305,15 @@ def test_toxicity_held_out(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
-    w = np.where(rng.random((40, 640)) < 0.1, rng.random((40, 640)), 0)
-    index = toxicity.Index(None, None, np.arange(640), rng.integers(0, 2, 640).astype(float), w, w.reshape(40, -1, 64).max(axis=2), 0.1)
+    n = 10 * toxicity.BLOCK
+    w = np.where(rng.random((40, n)) < 0.1, rng.random((40, n)), 0)
+    index = toxicity.Index(None, None, np.arange(n), rng.integers(0, 2, n).astype(float), w, w.reshape(40, -1, toxicity.BLOCK).max(axis=2), 0.1)
     for _ in range(50):
         terms = rng.choice(40, 5, replace=False)
         q = rng.random(5)
         best, cosines = index.nearest(terms, q)
         whole = np.round(q @ w[terms], 9)
-        order = np.lexsort((np.arange(640), -whole))[: toxicity.K]
+        order = np.lexsort((np.arange(n), -whole))[: toxicity.K]
         assert best.tolist() == order.tolist() and np.allclose(cosines, whole[order])
 
 

@@ -28,7 +28,7 @@ from weftwork.llm.common import LETTERS, LOWER_TABLE, doc_crc, mix, raw, slices,
 from weftwork.llm.learning import labelled
 
 #: Labelled rows in the index, terms, neighbours that vote, examples to a posting block.
-SAMPLE, TERMS, K, BLOCK = 8_000, 512, 15, 64
+SAMPLE, TERMS, K, BLOCK = 8_000, 512, 15, 512
 #: Scores from here on are predicted toxic.
 TOXIC = 0.3
 #: A term is kept from this log-likelihood ratio on and if at least so many examples hold it.
@@ -118,18 +118,20 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K examples of greatest cosine over 0 and their cosines, by falling cosine, then place."""
         bounds = weights @ self.greatest[terms]
-        best, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < floor - 1e-9:
+        best, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 1e-12
+        for block in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[block] < floor - 1e-9 or bounds[block] <= 0:
                 break
             a = block * BLOCK
-            found = weights @ self.weights[terms, a : a + BLOCK]
-            keep = np.flatnonzero((found > 0) & (found >= floor - 1e-9))
-            keep = keep[keep + a != without]
-            best, cosines = np.r_[best, keep + a], np.r_[cosines, found[keep]]
-            top = np.lexsort((best, -np.round(cosines, 9)))[:K]
-            best, cosines = best[top], cosines[top]
-            floor = cosines[-1] if len(best) == K else 0.0
+            found = np.round(weights @ self.weights[terms, a : a + BLOCK], 9)
+            keep = np.flatnonzero(found >= floor)
+            if without >= 0:
+                keep = keep[keep + a != without]
+            if len(keep):
+                best, cosines = np.concatenate([best, keep + a]), np.concatenate([cosines, found[keep]])
+                top = np.lexsort((best, -cosines))[:K]
+                best, cosines = best[top], cosines[top]
+                floor = max(floor, cosines[-1]) if len(best) == K else floor
         return best, cosines
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
