@@ -75,7 +75,8 @@ def branches(nodes: Column) -> Column:
     """Phones of JSON string literals assigned in inline scripts (a chain's list of branches): flat objects, text values only."""
 
     def literals(n: Column) -> Column:
-        found = F.regexp_extract_all(n.own, F.lit(r"""=[ \t\n\r]*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""), F.lit(1))
+        # Possessive, since a repeated alternation recurses once a character and overflows the stack on a long literal.
+        found = F.regexp_extract_all(n.own, F.lit(r"""=[ \t\n\r]*('(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")"""), F.lit(1))
         plain = F.transform(found, lambda x: F.when(F.substring(x, 1, 1) == "'", F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit("\\'"), F.lit("'"))).otherwise(F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('\\"'), F.lit('"'))))
         return F.filter(plain, lambda x: x.rlike(r"^\s*[\[{]"))
 

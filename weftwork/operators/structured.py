@@ -124,7 +124,7 @@ def organization(item: Column) -> Column:
 def has_legal_id(item: Column) -> Column:
     """Whether any key of an item, nested ones too, is a tax or registry number, or any text holds the label of one."""
     keys = F.regexp_extract_all(item, F.lit(r'"([^"\\]+)"\s*:'), F.lit(1))
-    values = F.regexp_extract_all(item, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    values = F.regexp_extract_all(item, F.lit(r'"((?:[^"\\]++|\\.)*+)"'), F.lit(1))
     return F.exists(keys, lambda k: trimmed(k).rlike(P.LEGAL_ID_KEY)) | F.exists(values, lambda v: v.rlike(P.LEGAL_ID))
 
 
