@@ -95,6 +95,12 @@ def test_mixed_rows_follow_the_mix(docs):
     assert got == {k: v for k, v in want.items() if v} and mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixed_takes_wordless_rows_like_the_mix(spark):
+    d = spark.createDataFrame([(i, ("a b c", "", None)[i % 3], None, "ab"[i % 2]) for i in range(300)], "doc_id long, text string, lang string, source string")
+    want = {r.doc_id: r.copies for r in mixing.copies(d).collect() if r.copies}
+    assert {r.doc_id: r["count"] for r in mixing.mixed(d).groupBy("doc_id").count().collect()} == want
+
+
 def test_mixing_near_targets_with_many_small_documents(spark):
     r = random.Random(3)
     d = spark.createDataFrame([(i, _words(r, r.randrange(1, 9)), None, r.choice("aaaaab")) for i in range(4000)], "doc_id long, text string, lang string, source string")

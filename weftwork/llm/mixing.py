@@ -100,7 +100,8 @@ def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2,
     """The rows of docs that the mix takes, each as often as it is taken. docs is read again, its rows are not shuffled."""
     sizes = written(sized(docs), "mix-sizes")
     edge = thresholds(sizes, written(targets(sizes, share, weights, most), "mix-targets")).select(F.col("source").alias("s"), "whole", "below")
-    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), hash_digits().alias("key"))
+    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), hash_digits().alias("key"), some.alias("some"))
     row = _with(row, edge, F.col("of").eqNullSafe(F.col("s")))
-    times = (F.col("whole") + (F.col("key") < F.col("below")).cast("long")).cast("int")
+    times = (F.col("whole") + (F.col("some") & (F.col("key") < F.col("below"))).cast("long")).cast("int")
     return row.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
