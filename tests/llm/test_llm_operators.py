@@ -234,6 +234,45 @@ def test_deduplicated(spark):
 # 4 Decontamination
 
 
+def test_deduplicated_links_by_exact_similarity(spark):
+    r = random.Random(9)
+    texts = []
+    for _ in range(40):  # similarity from about 0.6 up, across the limit
+        base = _words(r, 120).split()
+        w = list(base)
+        for at in r.sample(range(5, 115), r.randrange(1, 6)):
+            w[at] = f"x{r.random()}"
+        texts += [" ".join(base), " ".join(w)]
+    for _ in range(10):  # equal sets of shingles, a tenth of them twice in one text and seven times in the other
+        words, loop = _words(r, 90).split(), _words(r, 10).split()
+        texts += [" ".join(words + loop * 3), " ".join(words + loop * 8)]
+    for _ in range(20):  # 4 shingles of 5: similarity 0.8
+        w = _words(r, 9).split()
+        texts += [" ".join(w[:8]), " ".join(w)]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicated(d).collect()) == sorted(set(root))
+    assert 20 < len(texts) - len(set(root)) < len(texts) / 2
+
+
+def test_similar_sets_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 300)
+    r = random.Random(10)
+    base, rows = _words(r, 100).split(), []
+    for i in range(24):
+        w = list(base)
+        w[r.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x.doc_id for x in simhash.deduplicated(d).collect()] == [0]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     items = [(i, _words(r, r.randrange(12, 60))) for i in range(30)] + [(98, "too short"), (99, None), (None, _words(r, 20))]

@@ -8,6 +8,8 @@ over CELL fingerprints is cut into chunks, and every two chunks meet in a cell o
 
 Nulls and edges: a null or wordless text has the fingerprint zero and links like any other; fewer words than a shingle give
 one shingle; equal fingerprints are one node; null doc_ids are kept, and a component of them alone has a null id.
+
+The pipeline's near-duplicate filter (`deduplicated`) proposes groups in this way and confirms their links by exact Jaccard.
 """
 
 from __future__ import annotations
@@ -71,6 +73,36 @@ def fingerprint_udf(size: int, lanes: int = 1, keys: int = 0):
     return fingerprint
 
 
+def set_print_udf(size: int, lanes: int, keys: int):
+    """Column function text -> array<long> of the set of its shingles: a hash of the whole set, how many shingles it has, the
+    lanes of its fingerprint, then `keys` minima of remixed shingle hashes. Repeats count once."""
+
+    @arrow_udf("array<bigint>")
+    def set_print(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), 2 + lanes + keys), dtype=np.uint64)
+        for a, b in slices(texts, 4 << 20):
+            for i, t in enumerate(pa.compute.fill_null(texts[a:b], "").cast(pa.binary()).to_pylist(), a):
+                h = np.unique(shingle_hashes(t, size))
+                out[i, :2] = xxhash.xxh64_intdigest(h.tobytes()), len(h)
+                out[i, 2 : 2 + lanes] = fold(h, lanes)
+                if len(h):
+                    out[i, 2 + lanes :] = [mix(h ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) % (1 << 64))).min() for k in range(keys)]
+        at = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
+        return pa.ListArray.from_arrays(at, pa.array(out.view(np.int64).ravel()))
+
+    return set_print
+
+
+def shingles_udf(size: int):
+    """Column function text -> its distinct shingle hashes, rising, as bytes."""
+
+    @arrow_udf("binary")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t or b"", size)).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return shingles
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints (n, lanes): row b holds bit b of all of them, 64 to a word."""
     n, lanes = prints.shape
@@ -243,14 +275,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(prints: DataFrame, least, radius: int, lanes: int, cells) -> tuple[DataFrame, DataFrame]:
+def similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) that join all sets of Jaccard similarity SIMILAR or more, exactly; a spanning forest."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    alike = lambda both, i, j: both * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (sizes[i] + sizes[j])
+    if n == 2:
+        return [(0, 1)] if alike(len(np.intersect1d(*sets, assume_unique=True)), 0, 1) else []
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    owners = owner[np.argsort(term, kind="stable")]
+    ends = np.cumsum(np.bincount(term, minlength=1))
+    begins = np.r_[0, ends[:-1]]
+    at = np.r_[0, np.cumsum(sizes)]
+    label, out = np.arange(n), []
+    for i in range(n):
+        if (label == label[i]).all():
+            break
+        mine = term[at[i] : at[i + 1]]
+        times = ends[mine] - begins[mine]
+        places = np.repeat(begins[mine] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(owners[places], minlength=n)
+        for j in np.flatnonzero(alike(both, i, slice(None)) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over rows sorted by cell: (cell, node, shingles): gives the links (u, v) that hold exactly."""
+    last, nodes, sets = None, [], []
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for cell, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            if cell != last:
+                out += [(nodes[i], nodes[j]) for i, j in similar_forest(sets)] if len(sets) > 1 else []
+                last, nodes, sets = cell, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(shingles, dtype=np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+    out = [(nodes[i], nodes[j]) for i, j in similar_forest(sets)] if len(sets) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """Links (u, v) between nodes of one proposed group (node, root) whose shingle sets are similar, compared exactly.
+
+    docs has id, h and text, nodes the id and h of one text of each. A group of over SHINGLES shingles is cut by a hash of
+    the node; every two chunks of it meet in one cell of their own.
+    """
+    nodes = nodes.select("node", "n", F.col("least.id").alias("k_id"), F.col("least.h").alias("k_h")).join(roots, "node")
+    sums = nodes.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("k"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    wanted = written(nodes.join(sums, "root").select("node", "root", "k", "k_id", "k_h"), "simhash-proposed")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
+    texts = docs.join(wanted.hint("shuffle_hash"), same).groupBy("node").agg(F.first("root").alias("root"), F.first("k").alias("k"), F.first("text").alias("text"))
+    sets = texts.select("node", "root", "k", shingles_udf(size)("text").alias("shingles"))
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")
+    few = F.col("k") <= 1
+    cells = sets.withColumn("other", F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
+    cells = cells.select(F.when(few, F.col("root")).otherwise(F.xxhash64("root", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))).alias("cell"), "node", "shingles")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(confirm, "u long, v long").distinct()
+
+
+def grouped(prints: DataFrame, least, radius: int, lanes: int, cells, confirm=None) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes and (root, least): the least value, of an expression over prints, in each component.
 
-    prints has node and print (and keys); equal prints are summed up before anything meets in one place.
+    prints has node and print (and keys, n); equal nodes are summed up before anything meets in one place. With `confirm`,
+    what the fingerprints link is only proposed: components are made of the links that confirm(nodes, roots) gives.
     """
-    keys = [F.first("keys").alias("keys")] if "keys" in prints.columns else []
-    nodes = written(prints.groupBy("node").agg(F.first("print").alias("print"), F.min(least).alias("least"), *keys), "simhash-nodes")
+    more = [F.first(c).alias(c) for c in ("keys", "n") if c in prints.columns]
+    nodes = written(prints.groupBy("node").agg(F.first("print").alias("print"), F.min(least).alias("least"), *more), "simhash-nodes")
     roots = components(links(cells(nodes), radius, lanes))
+    if confirm:
+        roots = components(confirm(nodes, roots))
     tagged = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return tagged.select("node", "root"), tagged.groupBy("root").agg(F.min("least").alias("least"))
 
@@ -264,25 +362,31 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4) -> DataF
     return prints.join(ids, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate filter: shingles of five words, fingerprints of eight lanes, cells by eight minima of shingle hashes.
-#: Texts of Jaccard similarity 0.8 differ in 75 of the 512 bits on average, with a deviation of 8; so 0.8 and more are
-#: within RADIUS in all but one case in fifty, while 0.7 is in one of five and 0.6 in none of three hundred.
-SHINGLE, LANES, KEYS, RADIUS = 5, 8, 8, 92
+#: Near-duplicate filter: shingles of five words, fingerprints of eight lanes, cells by eight minima of shingle hashes. The
+#: fingerprint only proposes: sets of similarity 0.8 differ in 78 of the 512 bits on average with a deviation of 8, and in 96
+#: in the worst case (4 shingles of 5), so RADIUS is over five deviations off.
+SHINGLE, LANES, KEYS, RADIUS = 5, 8, 8, 144
+#: Texts are near duplicates from a Jaccard similarity of 4 / 5 on: as a ratio, so that it is compared in whole numbers.
+SIMILAR = (4, 5)
+#: A proposed group of so many shingles is cut into chunks.
+SHINGLES = 2_000_000
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, unchanged, of which one stays for each group of near duplicates: that of the smallest doc_id.
 
     Texts meet in a cell for each minimum that they share; two texts of similarity 0.8 share none of eight once in 400,000.
-    Links hold between fingerprints within the radius, and groups are their connected components. Rows of the same doc_id
+    Fingerprints of the shingle sets within the radius propose groups; within each, sets of Jaccard similarity 0.8 or more,
+    compared exactly, link, and the groups that count are the connected components of these links. Rows of the same doc_id
     and text count as one; rows without a doc_id stay only if all of their group are such.
     """
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    prints = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), fingerprint_udf(size, LANES, KEYS)("text").alias("all"))
-    prints = prints.select("id", "h", F.slice("all", 1, LANES).alias("print"), F.slice("all", LANES + 1, KEYS).alias("keys")).withColumn("node", F.xxhash64("print"))
+    prints = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), set_print_udf(size, LANES, KEYS)("text").alias("all"))
+    prints = prints.select("id", "h", F.col("all")[0].alias("node"), F.col("all")[1].alias("n"), F.slice("all", 3, LANES).alias("print"), F.slice("all", LANES + 3, KEYS).alias("keys"))
     prints = written(prints, "simhash-prints")
     cells = lambda nodes: nodes.select(F.explode(F.transform("keys", lambda k, i: F.xxhash64(i, k))).alias("cell"), "node", "print")
-    _, least = grouped(prints, F.struct(F.col("id").isNull().alias("none"), "id", "h"), radius, LANES, cells)
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    _, least = grouped(prints, F.struct(F.col("id").isNull().alias("none"), "id", "h"), radius, LANES, cells, lambda nodes, roots: confirmed(texts, nodes, roots, size))
     stay = written(least.select(F.col("least.id").alias("k_id"), F.col("least.h").alias("k_h")), "simhash-stay")
     same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
     again = prints.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(stay, same).select("k_id", "k_h")
