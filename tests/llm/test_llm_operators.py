@@ -463,6 +463,17 @@ def test_token_counts(spark, docs, tmp_path):
     assert got == want
 
 
+def test_roll_up_counts_every_document(docs):
+    want = {}
+    for r in docs.collect():
+        a = want.setdefault((r.source, r.lang), [0, 0, 0])
+        a[0], a[1], a[2] = a[0] + 1, a[1] + len((r.text or "").split()), a[2] + len((r.text or "").encode())
+    assert any(lang is None for _, lang in want)
+    got = tokencounts.roll_up(docs).collect()
+    assert {(r.source, r.lang): [r.docs, r.tokens, r.bytes] for r in got if r.tokenizer == "words-1"} == want
+    assert {(r.source, r.lang): r.docs for r in got if r.tokenizer != "words-1"} == {k: v[0] for k, v in want.items()}
+
+
 def test_bpe_counts(docs):
     pytest.importorskip("tiktoken")
     enc = tokencounts.encoding(f"{tokencounts.VOCABULARIES}/byte_bpe_50k.tiktoken")

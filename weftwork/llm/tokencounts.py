@@ -97,7 +97,8 @@ def totals(spark: SparkSession, log: str, batches: list[str]) -> DataFrame:
 def roll_up(docs: DataFrame) -> DataFrame:
     """Rollups of all documents by source, language and tokenizer version, through the log, in two batches.
 
-    load: every document, counted in words and by the byte-level vocabulary. retire: documents of no language are deleted.
+    load: every document, counted in words and by the byte-level vocabulary. recount: documents of no language are counted
+    again, as a revision from the same texts and tokenizers, so totals stay those of all documents.
     """
     import uuid
 
@@ -105,6 +106,6 @@ def roll_up(docs: DataFrame) -> DataFrame:
     both = docs.select("source", "lang", "text")
     load = reduce(DataFrame.union, [deltas(both, name) for name in TOKENIZERS])
     commit(load, log, "load")
-    gone = both.filter("lang is null")
-    commit(reduce(DataFrame.union, [deltas(gone, name, -1) for name in TOKENIZERS]), log, "retire")
-    return totals(spark, log, ["load", "retire"])
+    bare = both.filter("lang is null")
+    commit(reduce(DataFrame.union, [revision(bare, bare, name, name) for name in TOKENIZERS]), log, "recount")
+    return totals(spark, log, ["load", "recount"])
