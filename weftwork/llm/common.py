@@ -80,6 +80,12 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All whole numbers from each start to its end, one run after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -106,13 +112,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(data: np.ndarray, at: np.ndarray, ink_bytes: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each word of the texts begins and ends, and at which word each text begins (with the end at last)."""
+def words(data: np.ndarray, at: np.ndarray, ink_bytes: np.ndarray = INK, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the texts begins and ends, and at which word each text begins (with the end at last).
+
+    Words also end at `cuts`, places in data.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     ink = ink_bytes[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
+    if cuts is not None:
+        edge[cuts] = True
     before = np.empty_like(ink)
     before[0], before[1:] = False, ink[:-1]
     begins = np.flatnonzero(ink & (~before | edge[:-1]))

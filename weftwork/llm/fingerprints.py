@@ -1,9 +1,11 @@
-"""Operator 3, document fingerprints: closed syncmers as anchors, sketched with their places.
+"""Operator 3, document fingerprints: closed syncmers as anchors with their places, compared by anchors in the same order.
 
 A run of K code points is an anchor if the least hash among its runs of S lies at either of its edges. Whether a run is an
 anchor depends on the run alone, so shared passages share their anchors whatever surrounds them, and an edit disturbs only
-the runs that touch it. A fingerprint keeps the SKETCH anchors with the least hashes, each with its place in 1/16 of the text,
-and two fingerprints are compared by the share of anchors in common (Jaccard, by bottom sketches).
+the runs that touch it. A fingerprint holds every anchor of the text, as its hash and its distance from the one before, so
+places can be read back. Two fingerprints are compared by position: the i-th anchor of a hash in one text is paired with the
+i-th of that hash in the other, and of these pairs the longest chain counts that goes forward in both texts; likeness is the
+share of all anchors of both texts that are in it.
 
 Nulls and edges: a null text is the empty text, with an empty fingerprint, which is like another empty one (1) and unlike
 the rest (0); a text shorter than K is one anchor of its own; equal doc_ids are ordered by a hash of their text, equal rows
@@ -14,6 +16,7 @@ follows itself.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftwork.llm.common import mix
+from weftwork.llm.common import mix, written
 
-K, S, SKETCH = 16, 8, 64
-#: Documents between two places where the order of all documents is cut, about; such runs at most; code points at once.
-RUN, RUNS, CHUNK = 1024, 100_000, 1 << 20
+K, S = 32, 8
+#: Bytes of text between two places where the order of all documents is cut, about; bytes of text in a shuffle partition,
+#: about; code points looked at at once; equal rows from which on they are sent as one with their number.
+RUN, PART, CHUNK, EQUAL = 16 << 20, 256 << 20, 1 << 20, 1000
 
 
 def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,34 +40,21 @@ def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     h = mix(points.astype(np.uint64))
-    span = 1
-    while span < S:
+    span, inner = 1, h
+    while span < K:
+        if span == S:
+            inner = mix(h)
         h = h[:-span] * np.uint64(pow(0x9E3779B97F4A7C15, span, 1 << 64)) + h[span:]
         span *= 2
-    inner = mix(h)
-    whole = h[:n] * np.uint64(pow(0x9E3779B97F4A7C15, S, 1 << 64)) + h[S : S + n]
-    # Least of the K - S + 1 inner runs: two overlapping windows of 8.
+    # Least of the K - S + 1 inner runs: two overlapping windows of a power of two.
     least, span = inner, 1
-    while span < 8:
+    while 2 * span <= K - S + 1:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    least = np.minimum(least[:n], inner[K - S : K - S + n])
+    last = K - S + 1 - span
+    least = np.minimum(least[:n], least[last : last + n])
     at = np.flatnonzero((inner[:n] == least) | (inner[K - S : K - S + n] == least))
-    return at, (mix(whole[at]) >> np.uint64(32)).astype(np.uint32)
-
-
-def sketch(place: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The SKETCH least distinct hashes, rising, and the sixteenth of the text in which each comes first."""
-    if len(hashes) > 4 * SKETCH:
-        # Almost surely the least SKETCH distinct ones are among these; else all are looked at.
-        few = np.flatnonzero(hashes <= np.partition(hashes, 2 * SKETCH)[2 * SKETCH])
-        kept, first = np.unique(hashes[few], return_index=True)
-        first = few[first]
-        if len(kept) < SKETCH:
-            kept, first = np.unique(hashes, return_index=True)
-    else:
-        kept, first = np.unique(hashes, return_index=True)
-    return kept[:SKETCH], place[first[:SKETCH]] * 16 // max(size, 1)
+    return at, (mix(h[at]) >> np.uint64(32)).astype(np.uint32)
 
 
 def short(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +64,54 @@ def short(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(1, np.int64), np.frombuffer(hashlib.sha256(points.tobytes()).digest()[:4], dtype=np.uint32)
 
 
+def _nth(hashes: np.ndarray) -> np.ndarray:
+    """Each hash with how many equal ones come before it, as one number."""
+    order = np.argsort(hashes, kind="stable")
+    rising = hashes[order]
+    starts = np.flatnonzero(np.r_[True, rising[1:] != rising[:-1]])
+    nth = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.r_[starts, len(hashes)]))
+    out = np.empty(len(hashes), dtype=np.uint64)
+    out[order] = rising.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64)
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness of two anchor sets from their sketches: the shared part of the least SKETCH of their union."""
+    """Share of the anchors of both texts (hashes in order of place) that pair up in one order."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+    if np.array_equal(a, b):
+        return 1.0
+    left, right = _nth(a), _nth(b)
+    order = np.argsort(right)
+    found = np.minimum(np.searchsorted(right, left, sorter=order), len(right) - 1)
+    there = order[found]
+    there = there[right[there] == left]
+    # Steps of one are followed without a search: a shared passage is one run of them.
+    ends: list[int] = []
+    for place in there.tolist():
+        if not ends or place > ends[-1]:
+            ends.append(place)
+        else:
+            ends[bisect_left(ends, place)] = place
+    return 2 * len(ends) / (len(a) + len(b))
+
 
+_HEX = np.frombuffer(b"".join(b"%02x" % i for i in range(256)), dtype=np.uint8).reshape(256, 2)
 
-def written_out(kept: np.ndarray, place: np.ndarray) -> str:
-    """Eight hex digits of the hash and one of the place, for each anchor."""
-    return "".join(f"{h:08x}{p:x}" for h, p in zip(kept.tolist(), place.tolist()))
+
+def written_out(place: np.ndarray, hashes: np.ndarray) -> str:
+    """Ten hex digits an anchor: its hash, then its distance from the anchor before (under K, for every K - S runs hold one)."""
+    if not len(hashes):
+        return ""
+    gaps = np.diff(place, prepend=0).astype(np.uint8)
+    each = np.column_stack([hashes.astype(">u4").view(np.uint8).reshape(-1, 4), gaps])
+    return _HEX[each].tobytes().decode()
+
+
+def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors of a written fingerprint."""
+    each = np.frombuffer(bytes.fromhex(fingerprint), dtype=np.uint8).reshape(-1, 5)
+    return np.cumsum(each[:, 4], dtype=np.int64), np.ascontiguousarray(each[:, :4]).view(">u4").ravel().astype(np.uint32)
 
 
 class Document:
@@ -97,78 +125,116 @@ class Document:
         self.hashes = np.concatenate([h for _, h in parts])
         if len(self.points) < K:
             self.at, self.hashes = short(self.points)
-        self.print = sketch(self.at, self.hashes, len(self.points))
 
-    def edited(self, after: Document) -> tuple[str, tuple[np.ndarray, np.ndarray]]:
-        """The edited text and its sketch."""
+    def edited(self, after: Document) -> tuple[str, np.ndarray, np.ndarray]:
+        """The edited text, and the places and hashes of its anchors."""
         n = len(self.points)
         cut, most = n - n // 2, min(n // 2, len(after.points))
         text = self.text[:cut] + after.text[:most]
-        size = cut + most
-        if size < K:
-            points = np.concatenate([self.points[:cut], after.points[:most]])
-            return text, sketch(*short(points), size)
+        if cut + most < K:
+            return text, *short(np.concatenate([self.points[:cut], after.points[:most]]))
         seam = np.concatenate([self.points[max(0, cut - K + 1) : cut], after.points[: min(most, K - 1)]])
         at, hashes = anchors(seam)
         at = at + max(0, cut - K + 1)
         head = self.at <= cut - K if n >= K else np.zeros(len(self.at), bool)
         tail = after.at <= most - K if len(after.points) >= K else np.zeros(len(after.at), bool)
-        place = np.concatenate([self.at[head], at, after.at[tail] + cut])
-        return text, sketch(place, np.concatenate([self.hashes[head], hashes, after.hashes[tail]]), size)
+        return text, np.concatenate([self.at[head], at, after.at[tail] + cut]), np.concatenate([self.hashes[head], hashes, after.hashes[tail]])
+
 
+COLUMNS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "times": pa.int64()}
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long"
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+def _compared(doc_id: int | None, one: Document, after: Document, times: int) -> tuple:
+    text, at, hashes = one.edited(after)
+    digest = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+    return doc_id, len(one.points), digest, written_out(one.at, one.hashes), written_out(at, hashes), likeness(one.hashes, hashes), likeness(one.hashes, after.hashes), times
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints each document against the next one of its run; a row with ghost set only follows."""
+    """Compares each document with the next one of its run; a row with ghost set only follows. Of n equal rows sent as one, all
+    but the last follow each other."""
     last: tuple[int, int | None, Document] | None = None
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for run, doc_id, ghost, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        out: list[tuple] = []
+        held = 0
+        for run, doc_id, ghost, times, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
             doc = Document(text)
             if last and last[0] == run:
-                text, edited = last[2].edited(doc)
-                kept, place = last[2].print
-                values = (last[1], len(last[2].points), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), written_out(kept, place), written_out(*edited), likeness(kept, edited[0]), likeness(kept, doc.print[0]))
-                for column, value in zip(out, values):
-                    column.append(value)
+                out.append(_compared(last[1], last[2], doc, 1))
+                held += len(out[-1][3]) + len(out[-1][4])
+            if times > 1 and not ghost:
+                out.append(_compared(doc_id, doc, doc, times - 1))
             last = None if ghost else (run, doc_id, doc)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-
-def _run_udf(marks: list[int]):
-    """Column function doc_id -> its run: how many marks lie at or above it, null for null."""
-    rising = np.array(marks, dtype=np.int64)
-
-    @arrow_udf(T.IntegerType())
-    def run(ids: pa.Array) -> pa.Array:
-        known = np.asarray(pa.compute.fill_null(ids, 0), dtype=np.int64)
-        return pa.array((len(rising) - np.searchsorted(rising, known, side="left")).astype(np.int32), mask=np.asarray(ids.is_null(), dtype=bool))
-
-    return run
-
-
-def fingerprint(docs: DataFrame) -> DataFrame:
+            if held > 32 << 20:
+                yield _batch(out)
+                out, held = [], 0
+        yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(COLUMNS.values())], list(COLUMNS))
+
+
+def _places(marks: pa.Table):
+    """Column function (doc_id, tie) -> (run, ghost) of each place that a row is sent to: its run, and if the row begins that
+    run, as a ghost to the run before. marks: (doc_id, tie) where runs begin, in order."""
+    ids, ties = marks["doc_id"].combine_chunks(), np.asarray(marks["tie"], dtype=np.int64)
+    none = np.asarray(ids.is_null(), dtype=bool)
+    known = int((~none).sum())
+    down = ~np.asarray(pa.compute.fill_null(ids, 0), dtype=np.int64)[:known]
+    runs = len(ties)
+
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField("run", T.LongType()), T.StructField("ghost", T.BooleanType())])))
+    def places(doc_id: pa.Array, tie: pa.Array) -> pa.Array:
+        absent, tie = np.asarray(doc_id.is_null(), dtype=bool), np.asarray(tie, dtype=np.int64)
+        at = ~np.asarray(pa.compute.fill_null(doc_id, 0), dtype=np.int64)
+        low, high = np.searchsorted(down, at, "left"), np.searchsorted(down, at, "right")
+        low[absent], high[absent] = known, runs
+        run = high - 1
+        begins = np.zeros(len(at), dtype=bool)
+        # Where marks share the id, the tie decides: few ids, or the nulls all at once.
+        open_ = np.flatnonzero(high > low)
+        for a, b in set(zip(low[open_].tolist(), high[open_].tolist())):
+            mine = open_[(low[open_] == a) & (high[open_] == b)]
+            run[mine] = a + np.searchsorted(ties[a:b], tie[mine], "right") - 1
+            begins[mine] = (run[mine] >= a) & (ties[np.maximum(run[mine], 0)] == tie[mine])
+        size = np.where(begins, 2, 1)
+        to = np.repeat(run, size)
+        ghost = np.zeros(len(to), dtype=bool)
+        second = np.cumsum(size)[begins] - 1
+        ghost[second] = True
+        to[second] = (to[second] - 1) % runs
+        rows = pa.StructArray.from_arrays([pa.array(to.astype(np.int64)), pa.array(ghost)], ["run", "ghost"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), rows)
+
+    return places
+
+
+def fingerprint(docs: DataFrame, run: int = RUN) -> DataFrame:
     """One row a document, its fingerprint held against its edited text's and the next document's.
 
-    The order of all documents (descending doc_id) is cut at quantiles of doc_id into runs, each sorted in one task; the
-    first document of the next run is sent after each run, so that no task has more than its run and no text moves twice.
+    The order of all documents (descending doc_id, nulls last, then a hash of the text) is cut into runs of about `run`
+    bytes at documents drawn by a hash of both, so neither nulls nor a repeated doc_id gather in one run. The marks are read
+    from doc_id and hash alone and sent to all tasks: 16 bytes for each `run` bytes of text. A document that begins a run is
+    also sent to the run before, so texts move once. Equal rows over EQUAL are sent as one, with their number.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = min(RUNS, max(1, rows.count() // RUN))
-    marks = rows.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], max(10_000, 20 * runs))).first()[0] if runs > 1 else None
-    rows = rows.withColumns({"run": F.coalesce(_run_udf(sorted(set(marks or ())))("doc_id"), F.lit(RUNS)), "tie": F.xxhash64("text")})
-    first = rows.select("run", F.struct(F.coalesce(-F.col("doc_id"), F.lit(0)).alias("down"), "tie").alias("key")).groupBy("run").agg(F.min("key").alias("key")).orderBy("run").collect()
-    heads = [(r.run, r.key.down, r.key.tie) for r in first]
-    # The first row of each run, again, as the ghost that closes the run before it (the last run: the first).
-    ghosts = [(before, run, down, tie) for before, (run, down, tie) in zip([heads[-1][0], *(h[0] for h in heads[:-1])] if heads else [], heads)]
-    send = docs.sparkSession.createDataFrame(ghosts, "before int, g_run int, g_down long, g_tie long")
-    same = (F.col("run") == F.col("g_run")) & (F.coalesce(-F.col("doc_id"), F.lit(0)) == F.col("g_down")) & (F.col("tie") == F.col("g_tie"))
-    closing = rows.join(F.broadcast(send), same).groupBy(F.col("before").alias("run")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
-    cols = ["run", "doc_id", "ghost", "tie", "text"]
-    both = rows.withColumn("ghost", F.lit(False)).select(cols).union(closing.withColumn("ghost", F.lit(True)).select(cols))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(parts, "run").sortWithinPartitions("run", "ghost", F.col("doc_id").desc_nulls_last(), "tie")
-    return dealt.select("run", "doc_id", "ghost", "text").mapInArrow(_rows, SCHEMA)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = written(rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b")), "fingerprint-order")
+    n, size = order.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("b") * F.least("n", F.lit(EQUAL))), F.lit(0))).first()
+    every = max(1, n // max(1, size // run))
+    by = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    drawn = order.filter(F.pmod(F.xxhash64("doc_id", "tie", F.lit("run")), F.lit(every)) == 0).select("doc_id", "tie")
+    marks = order.orderBy(*by).limit(1).select("doc_id", "tie").union(drawn).distinct().orderBy(*by).toArrow()
+    heavy = order.filter(F.col("n") > EQUAL).select(F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), F.col("n").alias("times"))
+    if heavy.limit(1).count():
+        with_times = rows.join(heavy, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left").select("doc_id", "tie", "text", "times")
+        one = with_times.filter("times is not null").groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("times").alias("times"))
+        rows = with_times.filter("times is null").withColumn("times", F.lit(1).cast("long")).unionByName(one)
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    sent = rows.withColumn("to", F.explode(_places(marks)("doc_id", "tie"))).select("to.run", "doc_id", "to.ghost", "tie", "times", "text")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART)
+    dealt = sent.repartition(parts, "run").sortWithinPartitions("run", "ghost", *by)
+    out = dealt.select("run", "doc_id", "ghost", "times", "text").mapInArrow(_rows, SCHEMA)
+    return out.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("again", "times")

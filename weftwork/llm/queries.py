@@ -42,8 +42,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finds or inherits a license for all documents, laid out as a tree of files."""
-    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+    """Finds or inherits a license for all documents, laid out as a tree of files, and all pages, by their addresses."""
+    return licenses.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ given to shards largest first, and the map is kept with a version. Rebalancing e
 and leaves every other slot where it was, so only records of moved slots change place.
 
 Nulls and edges: a null text has no bytes (size 1) and the crc32 of the empty text; a null doc_id is dealt by its text alone;
-repeated rows share a slot and get places of their own; an empty table gives an empty result.
+repeated rows share a slot and get places of their own, but over EQUAL equal rows are dealt to slots one by one, so that they
+fill no slot, shard or task; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import written
+from weftwork.llm.common import small, written
 
 SLOTS = 8192
 #: A slot is cut into parts of about so many rows before its rows are numbered, so that no task sorts a whole slot of any size.
 PART_ROWS = 100_000
+#: Equal rows from which on they are dealt one by one.
+EQUAL = 1000
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
@@ -33,6 +36,17 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), record_hash().alias("hash")).withColumn("vslot", F.pmod("hash", F.lit(slots)).cast("int"))
 
 
+def spread(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """recs, written; rows that are one of over EQUAL equal ones get a hash of their own. Which of them is where does not matter."""
+    recs = written(recs, "shard-records")
+    many = recs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EQUAL).select(F.col("hash").alias("of"))
+    if not many.limit(1).count():
+        return recs
+    own = F.when(F.col("of").isNotNull(), F.xxhash64("hash", F.rand(7))).otherwise(F.col("hash"))
+    recs = recs.join(small(many), F.col("hash") == F.col("of"), "left").withColumn("hash", own).drop("of")
+    return written(recs.withColumn("vslot", F.pmod("hash", F.lit(slots)).cast("int")), "shard-records")
+
+
 def slot_bytes(recs: DataFrame) -> list[tuple[int, int]]:
     """(virtual slot, bytes): at most SLOTS pairs, so they fit the driver at any input."""
     return sorted((r.vslot, r.bytes) for r in recs.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect())
@@ -80,8 +94,8 @@ def rebalanced(old: list[tuple[int, int, int, int]], weights: list[tuple[int, in
 
 
 def save_map(spark: SparkSession, rows: list[tuple[int, int, int, int]], path: str) -> None:
-    """Stores one version of a map; a version is a folder of its own, so writing it again replaces it."""
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/map-{rows[0][0]:06d}")
+    """Stores one version of a map, a folder of its own. A version that is there already is an error: maps are never rewritten."""
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{path}/map-{rows[0][0]:06d}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -107,7 +121,7 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str |
 
     With map_path, the map is kept there as version 1.
     """
-    recs = written(records(docs, slots), "shard-records")
+    recs = spread(records(docs, slots), slots)
     weights = slot_bytes(recs)
     rows = first_map(weights, shards, slots)
     if map_path:

@@ -3,8 +3,9 @@
 Fingerprints at most `radius` bits apart must be equal in one of radius+1 blocks of bits, so each distinct fingerprint goes
 to one cell a block (pigeonhole: no link is lost). Within a cell, bit planes are stored vertically, one machine word holding
 one bit of 64 fingerprints; carry-save counters add up the differing bits of many pairs at once, and pairs of a block are
-abandoned once all of them exceed the radius. A cell gives a spanning forest of its links, never all its pairs; a cell
-over CELL fingerprints is cut into chunks, and every two chunks meet in a cell of their own.
+abandoned once all of them exceed the radius. A cell gives a spanning forest of its links, never all its pairs. A cell over
+CELL fingerprints is divided by the blocks of another cut of the bits, of which one must agree too; what is still over CELL
+after DIVIDED such cuts (fingerprints that hardly differ) is cut into chunks, and every two chunks meet in a cell of their own.
 
 Nulls and edges: a null or wordless text has the fingerprint zero and links like any other; fewer words than a shingle give
 one shingle; equal fingerprints are one node; null doc_ids are kept, and a component of them alone has a null id.
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftwork.llm.common import LOWER_TABLE, mix, slices, written
+from weftwork.llm.common import LOWER_TABLE, mix, slices, small, written
 
 #: A cell over so many fingerprints is cut into chunks; cells under MERGE share one comparison.
-CELL, MERGE = 8192, 1024
+CELL, MERGE, DIVIDED = 8192, 1024, 3
 #: Queries compared at once, and bit planes between two looks at whether all pairs exceed the radius.
 ROWS, LOOK = 256, 16
 
@@ -239,12 +240,31 @@ def block_cells(prints: DataFrame, radius: int, count: int) -> DataFrame:
     return prints.select(F.explode(F.array(*keys)).alias("cell"), "node", "print")
 
 
+def divided(cells: DataFrame, radius: int, level: int) -> DataFrame:
+    """cells with those over CELL nodes of one lane divided by radius+1 blocks of bits, cut elsewhere at each level: two
+    fingerprints within the radius agree in one of any radius+1 blocks, so they meet again."""
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select(F.col("cell").alias("of"))
+    if not large.limit(1).count():
+        return cells
+    shift, n, keys = 64 * level // (DIVIDED + 1) // (radius + 1) + level, radius + 1, []
+    for k in range(n):
+        mask = sum(1 << (b + shift) % 64 for b in range(64 * k // n, 64 * (k + 1) // n))
+        mask -= (1 << 64) if mask >> 63 else 0
+        keys.append(F.xxhash64("cell", F.lit(level), F.lit(k), F.col("print")[0].bitwiseAND(F.lit(mask))))
+    to = F.when(F.col("of").isNull(), F.array("cell")).otherwise(F.array(*keys))
+    out = cells.join(small(large), F.col("cell") == F.col("of"), "left").select(F.explode(to).alias("cell"), "node", "print")
+    return written(out, "simhash-cells")
+
+
 def links(cells: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     """Distinct links (u, v) between nodes that share a cell and are at most radius bits apart, a spanning forest a cell.
 
-    Cells over CELL nodes are cut by a hash of the node; every two chunks of a cell meet in one cell of their own.
+    Cells over CELL nodes are divided; those that stay so large are cut by a hash of the node, and every two chunks of a cell
+    meet in one cell of their own.
     """
     cells = written(cells, "simhash-cells")
+    for level in range(1, DIVIDED + 1) if lanes == 1 else ():
+        cells = divided(cells, radius, level)
     sums = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(CELL)).cast("int")
     cells = cells.join(sums, "cell").withColumn("k", chunks)

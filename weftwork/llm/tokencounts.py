@@ -2,8 +2,10 @@
 
 A log holds signed rows by source, language and tokenizer version: an insert adds a document's counts, a delete takes them
 away, and a revision (the text or the tokenizer changed) is a delete of the old count and an insert of the new. Counts are
-additive, so each batch is summed before it is committed and totals are the sum of all committed batches. A batch is a folder
-named by its id and is written as a whole, so committing it again replaces it by itself and changes no total.
+additive, so each batch is summed before it is committed and totals are the sum of all committed batches. A batch is written
+to a new folder first; a row of the log's manifest then names that folder, and only folders that the manifest names count. A
+batch that is committed again gets a later row, which takes the place of the earlier one: retries change no total, a crash
+before the row leaves all as it was, and readers never see half a batch.
 
 Nulls and edges: a null text has no tokens and no bytes but counts as a document; null sources and languages are groups of
 their own; repeated rows each count; groups whose documents are all gone leave the totals; an empty batch commits nothing
@@ -13,22 +15,24 @@ and counts as committed.
 from __future__ import annotations
 
 import base64
-import os
-from functools import lru_cache, reduce
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftwork.llm.common import WORD, shared_dir, slices
+from weftwork.llm.common import WORD, shared_dir
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens", "bytes")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
-#: Where the public vocabularies lie; every executor has them.
+MANIFEST = "batch string, path string, seq long"
+#: Where the public vocabularies lie on the driver.
 VOCABULARIES = "/opt/tokenizers"
 
 # Fixed value: the split pattern that the byte-level vocabulary was made with.
@@ -36,23 +40,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
-    """The tokenizer of a vocabulary file, once a Python worker."""
+def encoding(name: str, vocabulary: bytes):
+    """The tokenizer of a vocabulary, once a Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def bpe(name: str = "byte_bpe_50k", folder: str = VOCABULARIES):
-    """Column function text -> tokens of a byte-level vocabulary. Whole texts; equal texts of a batch are encoded once."""
-    path = f"{folder}/{name}.tiktoken"
+def bpe(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = VOCABULARIES):
+    """Column function text -> tokens of a byte-level vocabulary. Whole texts; equal texts of a batch are encoded once.
+
+    The vocabulary lies on the driver and is sent to the executors, under a megabyte.
+    """
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
 
     @arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
         known = pa.compute.dictionary_encode(pa.compute.fill_null(texts, ""))
-        sizes = np.array([len(encoding(path).encode_ordinary(t)) for t in known.dictionary.to_pylist()], dtype=np.int64)
+        sizes = np.array([len(encoding(name, sent.value).encode_ordinary(t)) for t in known.dictionary.to_pylist()], dtype=np.int64)
         return pa.array(sizes[np.asarray(known.indices)] if len(texts) else sizes)
 
     return count
@@ -62,19 +69,23 @@ def words_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-#: Tokenizer versions by name: a function Column -> Column of token counts.
-TOKENIZERS = {"words-1": words_count, "byte_bpe_50k-1": lambda text: bpe("byte_bpe_50k")(text)}
+#: Tokenizer versions by name: a function (session, Column) -> Column of token counts.
+TOKENIZERS = {"words-1": lambda spark, text: words_count(text), "byte_bpe_50k-1": lambda spark, text: bpe(spark, "byte_bpe_50k")(text)}
 
 
-def deltas(docs: DataFrame, tokenizer: str, sign: int = 1) -> DataFrame:
-    """Summed signed counts of docs: one row a (source, lang), whatever the number of documents."""
-    rows = docs.select("source", "lang", TOKENIZERS[tokenizer](F.col("text")).alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))
-    return rows.groupBy("source", "lang").agg((F.count(F.lit(1)) * sign).alias("docs"), (F.sum("t") * sign).alias("tokens"), (F.sum("b") * sign).cast("long").alias("bytes")).select("source", "lang", F.lit(tokenizer).alias("tokenizer"), *SUMS)
+def deltas(docs: DataFrame, *tokenizers: str, sign: int = 1) -> DataFrame:
+    """Summed signed counts of docs: one row a (source, lang, tokenizer), whatever the number of documents, which are read once."""
+    counts = [TOKENIZERS[name](docs.sparkSession, F.col("text")).alias(f"t{i}") for i, name in enumerate(tokenizers)]
+    rows = docs.select("source", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"), *counts)
+    sums = rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("b").alias("bytes"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(tokenizers))])
+    each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("tokens")) for i, name in enumerate(tokenizers)])
+    sums = sums.withColumn("e", F.explode(each))
+    return sums.select("source", "lang", "e.tokenizer", (F.col("docs") * sign).alias("docs"), (F.col("e.tokens") * sign).alias("tokens"), (F.col("bytes") * sign).cast("long").alias("bytes"))
 
 
-def revision(old: DataFrame, new: DataFrame, before: str, after: str) -> DataFrame:
-    """Deltas of documents that change from old rows under one tokenizer version to new rows under another."""
-    return summed(deltas(old, before, -1).union(deltas(new, after)))
+def revision(old: DataFrame, new: DataFrame, before: tuple[str, ...], after: tuple[str, ...]) -> DataFrame:
+    """Deltas of documents that change from old rows under some tokenizer versions to new rows under others."""
+    return summed(deltas(old, *before, sign=-1).union(deltas(new, *after)))
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -82,16 +93,34 @@ def summed(rows: DataFrame) -> DataFrame:
 
 
 def commit(rows: DataFrame, log: str, batch: str) -> None:
-    """Writes one batch as a whole. A batch committed before, wholly or in part, is replaced, so retries change nothing."""
-    summed(rows).coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={batch}")
+    """Commits one batch as a whole, in place of an earlier commit of the same name."""
+    spark, at = rows.sparkSession, f"{log}/data/{uuid.uuid4().hex}"
+    summed(rows).coalesce(1).write.parquet(at)
+    last = manifest(spark, log).agg(F.max("seq")).first()[0]
+    spark.createDataFrame([(batch, at, 1 + (last or 0))], MANIFEST).coalesce(1).write.mode("append").parquet(f"{log}/manifest")
+
+
+def manifest(spark: SparkSession, log: str) -> DataFrame:
+    """(batch, path, seq): a row a commit. One writer at a time: seq puts commits of one batch in order."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{log}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def totals(spark: SparkSession, log: str) -> DataFrame:
+    """The rollup of all committed batches: groups that still hold a document or a count. `compacted` keeps their number small."""
+    paths = [r.path for r in manifest(spark, log).groupBy("batch").agg(F.max_by("path", "seq").alias("path")).orderBy("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    return summed(spark.read.schema(SCHEMA).parquet(*paths)).filter(" or ".join(f"{c} != 0" for c in SUMS))
 
 
-def totals(spark: SparkSession, log: str, batches: list[str]) -> DataFrame:
-    """The rollup of the named batches: groups that still hold a document or a count."""
-    if not batches:
-        return spark.createDataFrame([], SCHEMA)
-    rows = reduce(DataFrame.union, [spark.read.schema(SCHEMA).parquet(f"{log}/batch={b}") for b in dict.fromkeys(batches)])
-    return summed(rows).filter(" or ".join(f"{c} != 0" for c in SUMS))
+def compacted(spark: SparkSession, log: str, to: str, batch: str = "all") -> None:
+    """A new log whose one batch has the totals of an old one."""
+    commit(totals(spark, log), to, batch)
 
 
 def roll_up(docs: DataFrame) -> DataFrame:
@@ -100,12 +129,9 @@ def roll_up(docs: DataFrame) -> DataFrame:
     load: every document, counted in words and by the byte-level vocabulary. recount: documents of no language are counted
     again, as a revision from the same texts and tokenizers, so totals stay those of all documents.
     """
-    import uuid
-
     spark, log = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/token-counts-{uuid.uuid4().hex}"
     both = docs.select("source", "lang", "text")
-    load = reduce(DataFrame.union, [deltas(both, name) for name in TOKENIZERS])
-    commit(load, log, "load")
+    commit(deltas(both, *TOKENIZERS), log, "load")
     bare = both.filter("lang is null")
-    commit(reduce(DataFrame.union, [revision(bare, bare, name, name) for name in TOKENIZERS]), log, "recount")
-    return totals(spark, log, ["load", "recount"])
+    commit(revision(bare, bare, tuple(TOKENIZERS), tuple(TOKENIZERS)), log, "recount")
+    return totals(spark, log)

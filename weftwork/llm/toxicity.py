@@ -1,142 +1,184 @@
 """Operator 1, toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled documents (SAMPLE) over the terms that tell their classes apart (TERMS,
-whole words and word beginnings with the greatest log-likelihood ratio); how many documents hold each term is counted over the whole corpus. Examples lie in blocks of
-BLOCK, each posting block with the greatest weight of its term; a query opens blocks by falling upper bound and stops when
-none can reach its K-th cosine, so the K nearest are exact. They vote weighted by their cosine, and the vote is calibrated
-by isotonic regression over the examples themselves, each left out of its own neighbours.
-
-Nulls and edges: a null text is scored as the empty text; a text without any term gets the smoothed rate of such examples;
-equal cosines are taken by place in the index; with no usable label the score is 0; an empty table gives an empty result.
+The index holds a bounded sample of labelled documents (SAMPLE) with all their terms (runs of letters, A-Z lowered).
+A term weighs its inverse document frequency over the whole corpus, times how much it tells the classes apart
+in the sample (between TELL and 1, by log-likelihood ratio); a term that no example holds counts in a text's length as if one
+document held it. Examples lie in blocks of BLOCK, and each term keeps its sorted postings and the greatest weight of each
+block that it occurs in. A query opens blocks by falling upper bound and stops when none can reach its K-th cosine, so the K
+nearest are exact. They vote weighted by their cosine, and the vote is calibrated by isotonic regression over the examples
+themselves, each left out of its own neighbours.
+
+Nulls and edges: a null text is scored as the empty text; a text that shares no term with any example gets the smoothed rate
+of all examples; equal cosines are taken by place in the index; with no usable label the score is 0; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftwork.llm.common import LETTERS, LOWER_TABLE, doc_crc, mix, raw, slices, word_hashes, words
+from weftwork.llm.common import LETTERS, doc_crc, mix, ranges, raw, slices, word_hashes, words, written
 from weftwork.llm.learning import labelled
 
-#: Labelled rows in the index, terms, neighbours that vote, examples to a posting block.
-SAMPLE, TERMS, K, BLOCK = 8_000, 512, 15, 512
+#: Labelled rows in the index, neighbours that vote, examples to a posting block.
+SAMPLE, K, BLOCK = 8_000, 15, 128
+#: A term that one in so many examples holds has all its postings in one dense row.
+COMMON = 24
 #: Scores from here on are predicted toxic.
 TOXIC = 0.3
-#: A term is kept from this log-likelihood ratio on and if at least so many examples hold it.
-RATIO, HELD = 20.0, 5
-#: A longer word also counts as its first so many bytes.
-STEMS = (4, 6, 8)
+#: Share of its weight that a term keeps which tells nothing, and the log-likelihood ratio at which it keeps half.
+TELL, HALF = 0.01, 30.0
+_BITS = np.uint64(44)
 
-#: Tells a beginning from the same letters as a word.
-_STEM = np.uint64(0xA0761D6478BD642F)
-_TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
 
-
-@arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("least", T.ArrayType(T.LongType()))]))
-def terms_udf(texts: pa.Array) -> pa.Array:
-    """The distinct terms of a text, and two least hashes of its runs of three words (near copies mostly share them).
-
-    Terms are runs of letters (any byte over 0x7F counts as one), A-Z lowered, and their beginnings with a *.
-    """
-    found, least = [], []
-    for t in pa.compute.fill_null(texts, "").cast(pa.binary()).to_pylist():
-        tokens = _TOKEN.findall(t.translate(LOWER_TABLE))
-        whole = set(tokens)
-        found.append(sorted(whole.union(w[:n] + b"*" for n in STEMS for w in whole if len(w) > n)))
-        runs = np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + 3])) for i in range(max(1, len(tokens) - 2))], dtype=np.uint64)
-        least.append([int(mix(runs ^ np.uint64(k)).min().astype(np.int64)) for k in (0, 1)])
-    return pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.binary())), pa.array(least, pa.list_(pa.int64()))], ["terms", "least"])
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times), sorted by text and term: hashes of 44 bits of all terms of up to a million texts."""
+    data, at = raw(texts)
+    begins, ends, first = words(data, at, LETTERS)
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    owner = np.searchsorted(first, np.arange(len(begins)), side="right") - 1
+    both = owner.astype(np.uint64) << _BITS | word_hashes(data, begins, ends) >> (np.uint64(64) - _BITS)
+    both.sort()
+    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    return (both[new] >> _BITS).astype(np.int64), both[new] & ((np.uint64(1) << _BITS) - np.uint64(1)), np.diff(np.r_[new, len(both)])
 
 
-@dataclass
-class Vocabulary:
-    terms: list[bytes]
-    #: Sorted hashes of the terms, and the term of each.
-    keys: np.ndarray = field(init=False)
-    order: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        data = np.frombuffer(b" ".join(self.terms), dtype=np.uint8)
-        begins, ends, _ = words(data, np.array([0, len(data)]), LETTERS)
-        hashes = word_hashes(data, begins, ends) ^ np.array([_STEM if t.endswith(b"*") else 0 for t in self.terms], dtype=np.uint64)
-        self.order = np.argsort(hashes)
-        self.keys = hashes[self.order]
-
-    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, times) of all terms found, sorted by text and term; the last term of each such text counts its words."""
-        data, at = raw(texts)
-        begins, ends, first = words(data, at, LETTERS)
-        if not len(begins) or not self.terms:
-            return (np.zeros(0, np.int64),) * 3
-        pairs = []
-        for n in (0, *STEMS):
-            whose = np.flatnonzero(ends - begins > n) if n else np.arange(len(begins))
-            hashes = word_hashes(data, begins[whose], begins[whose] + n) ^ _STEM if n else word_hashes(data, begins, ends)
-            place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[place] == hashes)
-            pairs.append((np.searchsorted(first, whose[hit], side="right") - 1) * len(self.terms) + self.order[place[hit]])
-        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
-        text, term = pair // len(self.terms), pair % len(self.terms)
-        # One more term stands for words of any kind, so that a chance hit in a long text weighs little.
-        hit = np.unique(text)
-        text, term, times = np.r_[text, hit], np.r_[term, np.full(len(hit), len(self.terms))], np.r_[times, np.diff(first)[hit]]
-        order = np.argsort(text, kind="stable")
-        return text[order], term[order], times[order]
+@arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("least", T.ArrayType(T.LongType()))]))
+def terms_udf(texts: pa.Array) -> pa.Array:
+    """The terms of a text with their times, and two least hashes of its runs of three words (near copies mostly share them)."""
+    at, keys, times, least = [np.zeros(1, np.int64)], [], [], []
+    for a, b in slices(texts, 4 << 20):
+        text, key, n = terms(texts[a:b])
+        keys.append(key), times.append(n), at.append(np.searchsorted(text, np.arange(1, b - a + 1)) + at[-1][-1])
+        data, where = raw(texts[a:b])
+        begins, ends, first = words(data, where, LETTERS)
+        w = word_hashes(data, begins, ends)
+        for i in range(b - a):
+            own = w[first[i] : first[i + 1]]
+            runs = own[:-2] * np.uint64(3) + own[1:-1] * np.uint64(5) + own[2:] if len(own) > 2 else own.sum(keepdims=True)
+            least += [int(mix(runs ^ np.uint64(k)).min().astype(np.int64)) for k in (0, 1)]
+    offsets = pa.array(np.concatenate(at).astype(np.int32))
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, times)]
+    pairs = pa.array(np.arange(0, len(least) + 1, 2, dtype=np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.uint64).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(np.int64))), pa.ListArray.from_arrays(pairs, pa.array(least, pa.int64()))], ["terms", "times", "least"])
 
 
 @dataclass
 class Index:
-    """Postings of unit vectors as dense blocks: weights (term, example), greatest weights (term, block)."""
+    """Postings of unit vectors by term and block.
 
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    keys: the terms' hashes, rising, and weight, what one occurrence of each weighs. Entry e stands for one block of a term:
+    its number block[e], its greatest weight most[e], and its postings from start[e] to start[e + 1]; term t has the entries
+    from first[t] to first[t + 1]. A posting is an example's place and its weight. Common terms have rows instead, row[t] in
+    dense (-1 for none): their part of all cosines is one product, and its greatest value in a block is part of the bound.
+    """
+
+    keys: np.ndarray
+    weight: np.ndarray
+    rare: float
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
-    greatest: np.ndarray
-    prior: float
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    row: np.ndarray
+    dense: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     rates: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
-    def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(text, terms, weights) of each text that holds a term; the weights have unit length."""
-        text, term, times = self.vocabulary.counts(texts)
-        value = (1 + np.log(np.maximum(times, 1))) * self.idf[term] if len(term) else np.zeros(0)
-        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else []
-        for a, b in zip(starts, [*starts[1:], len(text)]):
-            yield int(text[a]), term[a:b], value[a:b] / np.sqrt((value[a:b] ** 2).sum())
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def of(keys: np.ndarray, weight: np.ndarray, rare: float, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, value: np.ndarray) -> Index:
+        """The index of postings (example, term, value)."""
+        width = -(-max(len(ids), 1) // BLOCK) * BLOCK
+        often = np.flatnonzero(np.bincount(term, minlength=len(keys)) * COMMON >= max(len(ids), 1))
+        row = np.full(len(keys), -1)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), width), dtype=np.float32)
+        common = row[term] >= 0
+        dense[row[term[common]], example[common]] = value[common]
+        order = np.lexsort((example, term))
+        order = order[~common[order]]
+        example, term, value = example[order].astype(np.int32), term[order], value[order]
+        block = example // BLOCK
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(value, new) if len(new) else np.zeros(0)
+        return Index(keys, weight, rare, ids, labels, np.searchsorted(term[new], np.arange(len(keys) + 1)), block[new], most, np.r_[new, len(term)], example, value, row, dense)
+
+    @property
+    def prior(self) -> float:
+        return float((self.labels.sum() + 0.5) / (len(self.labels) + 1)) if len(self.labels) else 0.0
+
+    def vectors(self, text: np.ndarray, key: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, terms, weights) of each text that holds a term; its whole vector has unit length."""
+        if not len(self.keys) or not len(text):
+            return
+        term = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[term] == key
+        value = (1 + np.log(times)) * np.where(known, self.weight[term], self.rare)
+        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        value = value.astype(float)
+        length = np.sqrt(np.add.reduceat(value**2, starts))
+        for a, b, size in zip(starts, [*starts[1:], len(text)], length):
+            hit = a + np.flatnonzero(known[a:b])
+            if len(hit):
+                yield int(text[a]), term[hit], value[hit] / size
+
+    def nearest(self, which: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K examples of greatest cosine over 0 and their cosines, by falling cosine, then place."""
-        bounds = weights @ self.greatest[terms]
-        best, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 1e-12
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] < floor - 1e-9 or bounds[block] <= 0:
+        rows = self.row[which]
+        base = weights[rows >= 0].astype(np.float32) @ self.dense[rows[rows >= 0]]
+        if without >= 0:
+            base[without] = -np.inf
+        which, weights = which[rows < 0], weights[rows < 0]
+        entries = ranges(self.first[which], self.first[which + 1])
+        share = np.repeat(weights, self.first[which + 1] - self.first[which])
+        block = self.block[entries]
+        bounds = base.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, share * self.most[entries], len(base) // BLOCK)
+        order = np.argsort(-bounds, kind="stable")
+        best, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 1e-6
+        at, step = 0, 4
+        while at < len(order):
+            open_ = order[at : at + step]
+            open_ = open_[(bounds[open_] > 0) & (bounds[open_] >= floor - 1e-6)]
+            if not len(open_):
                 break
-            a = block * BLOCK
-            found = np.round(weights @ self.weights[terms, a : a + BLOCK], 9)
-            keep = np.flatnonzero(found >= floor)
-            if without >= 0:
-                keep = keep[keep + a != without]
-            if len(keep):
-                best, cosines = np.concatenate([best, keep + a]), np.concatenate([cosines, found[keep]])
-                top = np.lexsort((best, -cosines))[:K]
-                best, cosines = best[top], cosines[top]
-                floor = max(floor, cosines[-1]) if len(best) == K else floor
+            mine = np.zeros(len(bounds), dtype=bool)
+            mine[open_] = True
+            some = mine[block]
+            few = entries[some]
+            begin, end = self.start[few], self.start[few + 1]
+            postings = ranges(begin, end)
+            sums = base + np.bincount(self.place[postings], np.repeat(share[some], end - begin) * self.value[postings], len(base))
+            sums = np.round(sums, 6)
+            keep = np.flatnonzero((sums >= floor) & np.repeat(mine, BLOCK))
+            best, cosines = np.concatenate([best, keep]), np.concatenate([cosines, sums[keep]])
+            if len(best) > K:
+                high = np.flatnonzero(cosines >= np.partition(cosines, len(cosines) - K)[len(cosines) - K])
+                best, cosines = best[high], cosines[high]
+            top = np.lexsort((best, -cosines))[:K]
+            best, cosines = best[top], cosines[top]
+            floor = max(floor, cosines[-1]) if len(best) == K else floor
+            at, step = at + step, len(order)
         return best, cosines
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic neighbours weighted by cosine, drawn to the prior by one vote of weight a half."""
-        return float((cosines @ self.labels[best] + 0.5 * self.prior) / (cosines.sum() + 0.5))
+        """Share of toxic neighbours weighted by cosine, drawn to the prior by half the vote of the nearest."""
+        if not len(best):
+            return self.prior
+        pull = 0.5 * cosines[0]
+        return float((cosines @ self.labels[best] + pull * self.prior) / (cosines.sum() + pull))
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.votes, self.rates)
@@ -155,121 +197,123 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k for k, _ in knots]), np.maximum.accumulate(np.array([r for _, r in knots]))
 
 
-def without_copies(known: DataFrame) -> DataFrame:
-    """(y, terms), one row for the examples that share a least hash of their word runs, for each of two hashes.
-
-    Near copies of one text would else vouch for its chance words many times.
-    """
-    rows = known.select("doc_id", "y", terms_udf("text").alias("t")).select("doc_id", "y", "t.terms", "t.least")
-    for k in (0, 1):
-        rows = rows.groupBy(F.col("least")[k].alias("key")).agg(F.min(F.struct("doc_id", "y", "terms", "least")).alias("r")).select("r.*")
-    return rows
-
-
-def choose_terms(known: DataFrame, most: int = TERMS) -> list[bytes]:
-    """The terms whose presence tells most of the class: log-likelihood ratio (G) over the bounded sample."""
-    known = without_copies(known).persist()
-    n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    clean = n - toxic
-    if not toxic or not clean:
-        return []
-    held = known.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    cells = ((F.col("a"), F.lit(toxic)), (F.col("b"), F.lit(clean)), (toxic - F.col("a"), F.lit(toxic)), (clean - F.col("b"), F.lit(clean)))
-    whole = F.col("a") + F.col("b")
-    ratio = sum((2 * n * F.log(n * (toxic + clean) / (side * (whole if i < 2 else toxic + clean - whole))) for i, (n, side) in enumerate(cells) for n in [F.greatest(n, F.lit(1e-9))]), F.lit(0.0))
-    z = held.filter(whole.between(HELD, toxic + clean - 1)).select("term", ratio.alias("ratio")).filter(F.col("ratio") >= RATIO)
-    return [bytes(r.term) for r in z.orderBy(F.desc("ratio"), "term").limit(most).collect()]
-
-
-def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
-    """How many documents there are and how many hold each term (the last: any word), over all of docs: one row a term leaves each task."""
+def document_counts(docs: DataFrame, keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are and how many hold each term, over all of docs. Each task sums its own first."""
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(len(vocabulary.terms) + 1, dtype=np.int64), 0
+        keys = sent.value
+        held, n = np.zeros(len(keys) + 1, dtype=np.int64), 0
         for batch in batches:
             for a, b in slices(batch.column(0), 4 << 20):
-                held += np.bincount(vocabulary.counts(batch.column(0)[a:b])[1], minlength=len(held))
+                key = terms(batch.column(0)[a:b])[1]
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                held[:-1] += np.bincount(place[keys[place] == key], minlength=len(keys)) if len(keys) else 0
             n += batch.num_rows
-        held[-1] = n  # the term of any word: all documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held), dtype=np.int64)), pa.array(held)], ["term", "n"])
+        held[-1] = n
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(vocabulary.terms) + 1, dtype=np.int64)
-    for r in rows:
-        out[r.term] = r.n
-    return int(out[-1]), out
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(keys) + 1, dtype=np.int64)
+    out[np.asarray(rows["term"])] = np.asarray(rows["n"])
+    return int(out[-1]), out[:-1]
 
 
-def build(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = TERMS) -> Index:
-    """The index over labelled rows that may teach: those whose crc32(doc_id as text) mod 4 is not 2."""
-    known = labelled(docs, labels, "toxic", doc_crc(F.col("doc_id")) % 4 != 2, sample).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).persist()
-    try:
-        vocabulary = Vocabulary(choose_terms(known, most_terms))
+def ratio(held: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each term: held (class, term) documents of n (class) hold it."""
+    both, total = held.sum(axis=0), n.sum()
+    out = np.zeros(held.shape[1])
+    for k in (0, 1):
+        for seen, whole in ((held[k], both), (n[k] - held[k], total - both)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out += np.where(seen > 0, 2 * seen * np.log(seen * total / (n[k] * whole)), 0)
+    return out
 
-        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                text, term, times = vocabulary.counts(batch.column(2))
-                edges = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int64))) for x in (term, times)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "y", "terms", "times"])
-
-        rows = known.mapInArrow(vectors, "doc_id long, y int, terms array<long>, times array<long>")
-        # A doc_id that repeats is one example, so the examples are at most `sample`.
-        rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "terms", "times")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
-    finally:
-        known.unpersist()
-    total, held = document_counts(docs, vocabulary)
+
+def build(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
+    """The index over labelled rows that may teach: those whose crc32(doc_id as text) mod 4 is not 2."""
+    known = labelled(docs, labels, "toxic", doc_crc(F.col("doc_id")) % 4 != 2, sample)
+    rows = known.select("doc_id", "y", terms_udf("text").alias("t")).select("doc_id", "y", "t.*")
+    # A doc_id that repeats is one example, so the examples are at most `sample`.
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("y", "terms", "times", "least")).alias("r")).select("doc_id", "r.*"), "toxicity-sample")
+    got = rows.orderBy("doc_id").toArrow()
+    ids, y = np.asarray(got["doc_id"], dtype=np.int64), np.asarray(got["y"], dtype=np.int64)
+    flat = [np.asarray(got[c].combine_chunks().flatten()) if len(got) else np.zeros(0, np.int64) for c in ("terms", "times")]
+    size = np.array([len(x) for x in got["terms"]], dtype=np.int64)
+    keys, term = np.unique(flat[0].view(np.uint64), return_inverse=True)
+    example = np.repeat(np.arange(len(ids)), size)
+    total, held = document_counts(docs, keys)
     idf = np.log((total + 1) / (held + 1)) + 1
-    bare = [r.y for r in rows if not r.terms]
-    prior = (sum(bare) + 0.5) / (len(bare) + 1) if rows else 0.0
+    # Near copies would else vouch for their chance words many times: of those that share a least hash one counts.
+    once = np.ones(len(ids), dtype=bool)
+    least = np.asarray(got["least"].combine_chunks().flatten()).reshape(-1, 2) if len(got) else np.zeros((0, 2), np.int64)
+    for k in (0, 1):
+        at = np.flatnonzero(once)
+        once[:] = False
+        once[at[np.unique(least[at, k], return_index=True)[1]]] = True
+    mine = once[example]
+    counts = np.stack([np.bincount(term[mine & (y[example] == k)], minlength=len(keys)) for k in (0, 1)]).astype(float)
+    apart = (ratio(counts, np.array([(once & (y == k)).sum() for k in (0, 1)], dtype=float)) / HALF) ** 2
+    weight = idf * (TELL + (1 - TELL) * apart / (1 + apart))
+    value = (1 + np.log(flat[1])) * weight[term] if len(term) else np.zeros(0)
+    value = value / np.sqrt(np.bincount(example, value**2, len(ids)))[example]
     # Examples that share their weightiest term lie together, so the bounds of a block are tight.
-    rows = sorted((r for r in rows if r.terms), key=lambda r: (max(zip(((1 + np.log(t)) * idf[k] for k, t in zip(r.terms, r.times)), r.terms))[1], r.doc_id))
-    width = -(-max(len(rows), 1) // BLOCK) * BLOCK
-    weights = np.zeros((len(idf), width))
-    for i, r in enumerate(rows):
-        w = (1 + np.log(np.array(r.times))) * idf[r.terms]
-        weights[r.terms, i] = w / np.sqrt((w**2).sum())
-    out = Index(vocabulary, idf, np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.y for r in rows] + [0] * (width - len(rows)), dtype=float), weights, weights.reshape(len(weights), -1, BLOCK).max(axis=2), prior)
-    if rows:
-        votes = [out.vote(*out.nearest(np.array(r.terms), weights[r.terms, i], i)) for i, r in enumerate(rows)]
-        out.votes, out.rates = isotonic(np.array(votes), out.labels[: len(rows)])
+    heaviest = np.full(len(ids), -1)
+    order = np.lexsort((value, example))
+    heaviest[example[order]] = term[order]
+    place = np.empty(len(ids), dtype=np.int64)
+    by = np.lexsort((ids, heaviest))
+    place[by] = np.arange(len(ids))
+    out = Index.of(keys, weight, (np.log((total + 1) / 2) + 1) * TELL, ids[by], y[by].astype(float), place[example], term, value)
+    if len(ids):
+        sent = _broadcast(docs, out)
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            where = {i: p for p, i in enumerate(index.ids.tolist())}
+            for batch in batches:
+                owner = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(batch.column(1))))
+                votes = np.full(batch.num_rows, index.prior)
+                for i, t, w in index.vectors(owner, np.asarray(batch.column(1).flatten()).view(np.uint64), np.asarray(batch.column(2).flatten())):
+                    votes[i] = index.vote(*index.nearest(t, w, where[batch.column(0)[i].as_py()]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes)], ["doc_id", "vote"])
+
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        got = rows.select("doc_id", "terms", "times").repartition(parts, "doc_id").mapInArrow(left_out, "doc_id long, vote double").orderBy("doc_id").toArrow()
+        out.votes, out.rates = isotonic(np.asarray(got["vote"]), y.astype(float))
     return out
 
 
-def score_udf(index: Index, evidence: int = 3):
-    """Column function text -> struct(score, evidence: doc_ids of the nearest examples, terms: what the text shares with them)."""
-    kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("terms", T.StringType())])
-    sent = _broadcast(index)
+def score_udf(docs: DataFrame, index: Index, evidence: int = 3):
+    """Column function text -> struct(score, evidence: doc_ids of the nearest examples). Equal texts of a batch are scored once."""
+    sent = _broadcast(docs, index)
 
-    @arrow_udf(kind)
+    @arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
     def score(texts: pa.Array) -> pa.Array:
         index = sent.value
-        votes = np.full(len(texts), np.nan)
-        near: list[list[int]] = [[] for _ in range(len(texts))]
-        named: list[str | None] = [None] * len(texts)
-        for a, b in slices(texts, 4 << 20):
-            for i, terms, weights in index.vectors(texts[a:b]):
-                best, cosines = index.nearest(terms, weights)
-                if len(best):
-                    votes[a + i] = index.vote(best, cosines)
-                    near[a + i] = index.ids[best[:evidence]].tolist()
-                    named[a + i] = " ".join(index.vocabulary.terms[t].decode("utf-8", "replace") for t in terms[:-1][np.argsort(-weights[:-1], kind="stable")[:8]])
+        known = pa.compute.dictionary_encode(pa.compute.fill_null(texts, ""))
+        distinct = known.dictionary
+        votes = np.full(len(distinct), np.nan)
+        near: list[list[int]] = [[] for _ in range(len(distinct))]
+        for a, b in slices(distinct, 1 << 20):
+            for i, which, weights in index.vectors(*terms(distinct[a:b])):
+                best, cosines = index.nearest(which, weights)
+                votes[a + i], near[a + i] = index.vote(best, cosines), index.ids[best[:evidence]].tolist()
         scores = np.where(np.isnan(votes), index.prior, index.calibrated(np.nan_to_num(votes)))
-        return pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64())), pa.array(named, pa.string())], ["score", "evidence", "terms"])
+        out = pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64()))], ["score", "evidence"])
+        return out.take(known.indices)
 
     return score
 
 
-def _broadcast(index: Index):
-    """At most TERMS x SAMPLE weights."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().sparkContext.broadcast(index)
+def _broadcast(docs: DataFrame, index: Index):
+    """Bounded by SAMPLE examples: some 20 bytes for each of their terms."""
+    return docs.sparkSession.sparkContext.broadcast(index)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out (no label of it was learned), score, predicted, evidence (nearest examples), terms."""
-    found = score_udf(build(docs, labels, sample))
+    """doc_id, held_out (no label of it was learned), score, predicted, evidence (nearest examples)."""
+    found = score_udf(docs, build(docs, labels, sample))
     out = docs.select("doc_id", (doc_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), found("text").alias("f"))
-    out = out.select("doc_id", "held_out", "f.score", (F.col("f.score") >= TOXIC).cast("int").alias("predicted"), "f.evidence", "f.terms")
-    return out
+    return out.select("doc_id", "held_out", "f.score", (F.col("f.score") >= TOXIC).cast("int").alias("predicted"), "f.evidence")
