@@ -29,9 +29,10 @@ from pyspark.sql.pandas.functions import arrow_udf
 from weftwork.llm.common import mix, written
 
 K, S = 32, 8
-#: Bytes of text between two places where the order of all documents is cut, about; bytes of text in a shuffle partition,
-#: about; code points looked at at once; equal rows from which on they are sent as one with their number.
-RUN, PART, CHUNK, EQUAL = 16 << 20, 256 << 20, 1 << 20, 1000
+#: Bytes of text between two places where the order of all documents is cut, at most, and runs to a shuffle partition, at
+#: least, about; bytes of text in such a partition, about; places drawn for one that is kept, so that runs are even; code points
+#: looked at at once; equal rows from which on they are sent as one with their number.
+RUN, RUNS, PART, DRAWN, CHUNK, EQUAL = 16 << 20, 8, 256 << 20, 16, 1 << 20, 1000
 
 
 def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,21 +212,31 @@ def _places(marks: pa.Table):
     return places
 
 
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One of DRAWN rows of each sorted partition."""
+    at = 0
+    for batch in batches:
+        yield batch.take(pa.array(np.arange(-at % DRAWN, batch.num_rows, DRAWN)))
+        at += batch.num_rows
+
+
 def fingerprint(docs: DataFrame, run: int = RUN) -> DataFrame:
     """One row a document, its fingerprint held against its edited text's and the next document's.
 
     The order of all documents (descending doc_id, nulls last, then a hash of the text) is cut into runs of about `run`
     bytes at documents drawn by a hash of both, so neither nulls nor a repeated doc_id gather in one run. The marks are read
-    from doc_id and hash alone and sent to all tasks: 16 bytes for each `run` bytes of text. A document that begins a run is
+    from doc_id and hash alone and sent to all tasks: 16 bytes for each `run` bytes of text (100 MB for 100 TB). A document that begins a run is
     also sent to the run before, so texts move once. Equal rows over EQUAL are sent as one, with their number.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = written(rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b")), "fingerprint-order")
     n, size = order.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("b") * F.least("n", F.lit(EQUAL))), F.lit(0))).first()
-    every = max(1, n // max(1, size // run))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART)
+    every = max(1, n // (DRAWN * max(1, size // run, RUNS * parts)))
     by = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     drawn = order.filter(F.pmod(F.xxhash64("doc_id", "tie", F.lit("run")), F.lit(every)) == 0).select("doc_id", "tie")
-    marks = order.orderBy(*by).limit(1).select("doc_id", "tie").union(drawn).distinct().orderBy(*by).toArrow()
+    even = drawn.orderBy(*by).mapInArrow(_every, "doc_id long, tie long")
+    marks = order.orderBy(*by).limit(1).select("doc_id", "tie").union(even).distinct().orderBy(*by).toArrow()
     heavy = order.filter(F.col("n") > EQUAL).select(F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), F.col("n").alias("times"))
     if heavy.limit(1).count():
         with_times = rows.join(heavy, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left").select("doc_id", "tie", "text", "times")
@@ -234,7 +245,6 @@ def fingerprint(docs: DataFrame, run: int = RUN) -> DataFrame:
     else:
         rows = rows.withColumn("times", F.lit(1).cast("long"))
     sent = rows.withColumn("to", F.explode(_places(marks)("doc_id", "tie"))).select("to.run", "doc_id", "to.ghost", "tie", "times", "text")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART)
     dealt = sent.repartition(parts, "run").sortWithinPartitions("run", "ghost", *by)
     out = dealt.select("run", "doc_id", "ghost", "times", "text").mapInArrow(_rows, SCHEMA)
     return out.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("again", "times")
