@@ -519,6 +519,7 @@ def test_block_max_search_is_exact():
     w = np.where(rng.random((size, n)) < np.r_[np.full(20, 0.3), np.full(size - 20, 0.02)][:, None], rng.random((size, n)), 0)
     term, example = np.nonzero(w)
     index = toxicity.Index.of(np.arange(size, dtype=np.uint64), np.ones(size), 1.0, np.arange(n), rng.integers(0, 2, n).astype(float), example, term, w[term, example])
+    index.ready()
     assert (index.row >= 0).any() and (index.row < 0).any()
     for k in range(60):
         which = np.sort(rng.choice(size, 12, replace=False))

@@ -76,10 +76,11 @@ def terms_udf(texts: pa.Array) -> pa.Array:
 class Index:
     """Postings of unit vectors by term and block.
 
-    keys: the terms' hashes, rising, and weight, what one occurrence of each weighs. Entry e stands for one block of a term:
-    its number block[e], its greatest weight most[e], and its postings from start[e] to start[e + 1]; term t has the entries
-    from first[t] to first[t + 1]. A posting is an example's place and its weight. Common terms have rows instead, row[t] in
-    dense (-1 for none): their part of all cosines is one product, and its greatest value in a block is part of the bound.
+    keys: the terms' hashes, rising, and weight, what one occurrence of each weighs. Term t has the postings from first[t] to
+    first[t + 1], an example's place and its weight each. All else is made of these where it is used: entry e of a rare term
+    stands for one block, its number block[e], its greatest weight most[e] and its postings from start[e] to start[e + 1];
+    term t has the entries from entry[t] to entry[t + 1]. A common term has a row instead, row[t] in dense (-1 for none): the
+    common terms' part of all cosines is one product, and its greatest value in a block is part of the block's bound.
     """
 
     keys: np.ndarray
@@ -88,33 +89,41 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     first: np.ndarray
-    block: np.ndarray
-    most: np.ndarray
-    start: np.ndarray
     place: np.ndarray
     value: np.ndarray
-    row: np.ndarray
-    dense: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     rates: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    row: np.ndarray | None = None
 
     @staticmethod
     def of(keys: np.ndarray, weight: np.ndarray, rare: float, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, value: np.ndarray) -> Index:
         """The index of postings (example, term, value)."""
-        width = -(-max(len(ids), 1) // BLOCK) * BLOCK
-        often = np.flatnonzero(np.bincount(term, minlength=len(keys)) * COMMON >= max(len(ids), 1))
-        row = np.full(len(keys), -1)
+        order = np.lexsort((example, term))
+        first = np.searchsorted(term[order], np.arange(len(keys) + 1)).astype(np.int32)
+        return Index(keys, weight.astype(np.float32), rare, ids, labels, first, example[order].astype(np.int32), value[order].astype(np.float32))
+
+    def __getstate__(self) -> dict:
+        made = ("entry", "block", "most", "start", "dense", "places", "values")
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"row": None}
+
+    def ready(self) -> None:
+        """Entries and dense rows, once a Python worker."""
+        if self.row is not None:
+            return
+        held, width = np.diff(self.first), -(-max(len(self.ids), 1) // BLOCK) * BLOCK
+        often = np.flatnonzero(held * COMMON >= max(len(self.ids), 1))
+        term = np.repeat(np.arange(len(self.keys)), held)
+        row = np.full(len(self.keys), -1)
         row[often] = np.arange(len(often))
-        dense = np.zeros((len(often), width), dtype=np.float32)
         common = row[term] >= 0
-        dense[row[term[common]], example[common]] = value[common]
-        order = np.lexsort((example, term))
-        order = order[~common[order]]
-        example, term, value = example[order].astype(np.int32), term[order], value[order]
-        block = example // BLOCK
+        self.dense = np.zeros((len(often), width), dtype=np.float32)
+        self.dense[row[term[common]], self.place[common]] = self.value[common]
+        term, self.places, self.values = term[~common], self.place[~common], self.value[~common]
+        block = self.places // BLOCK
         new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        most = np.maximum.reduceat(value, new) if len(new) else np.zeros(0)
-        return Index(keys, weight, rare, ids, labels, np.searchsorted(term[new], np.arange(len(keys) + 1)), block[new], most, np.r_[new, len(term)], example, value, row, dense)
+        self.most = np.maximum.reduceat(self.values, new) if len(new) else np.zeros(0)
+        self.entry, self.block, self.start = np.searchsorted(term[new], np.arange(len(self.keys) + 1)), block[new], np.r_[new, len(term)]
+        self.row = row
 
     @property
     def prior(self) -> float:
@@ -137,13 +146,14 @@ class Index:
 
     def nearest(self, which: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K examples of greatest cosine over 0 and their cosines, by falling cosine, then place."""
+        self.ready()
         rows = self.row[which]
         base = weights[rows >= 0].astype(np.float32) @ self.dense[rows[rows >= 0]]
         if without >= 0:
             base[without] = -np.inf
         which, weights = which[rows < 0], weights[rows < 0]
-        entries = ranges(self.first[which], self.first[which + 1])
-        share = np.repeat(weights, self.first[which + 1] - self.first[which])
+        entries = ranges(self.entry[which], self.entry[which + 1])
+        share = np.repeat(weights, self.entry[which + 1] - self.entry[which])
         block = self.block[entries]
         bounds = base.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, share * self.most[entries], len(base) // BLOCK)
         order = np.argsort(-bounds, kind="stable")
@@ -160,7 +170,7 @@ class Index:
             few = entries[some]
             begin, end = self.start[few], self.start[few + 1]
             postings = ranges(begin, end)
-            sums = base + np.bincount(self.place[postings], np.repeat(share[some], end - begin) * self.value[postings], len(base))
+            sums = base + np.bincount(self.places[postings], np.repeat(share[some], end - begin) * self.values[postings], len(base))
             sums = np.round(sums, 6)
             keep = np.flatnonzero((sums >= floor) & np.repeat(mine, BLOCK))
             best, cosines = np.concatenate([best, keep]), np.concatenate([cosines, sums[keep]])
@@ -215,6 +225,7 @@ def document_counts(docs: DataFrame, keys: np.ndarray) -> tuple[int, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     out = np.zeros(len(keys) + 1, dtype=np.int64)
     out[np.asarray(rows["term"])] = np.asarray(rows["n"])
     return int(out[-1]), out[:-1]
@@ -281,6 +292,7 @@ def build(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
 
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         got = rows.select("doc_id", "terms", "times").repartition(parts, "doc_id").mapInArrow(left_out, "doc_id long, vote double").orderBy("doc_id").toArrow()
+        sent.destroy()
         out.votes, out.rates = isotonic(np.asarray(got["vote"]), y.astype(float))
     return out
 
@@ -308,7 +320,7 @@ def score_udf(docs: DataFrame, index: Index, evidence: int = 3):
 
 
 def _broadcast(docs: DataFrame, index: Index):
-    """Bounded by SAMPLE examples: some 20 bytes for each of their terms."""
+    """Bounded by SAMPLE examples: eight bytes for each of their terms, and sixteen for each distinct one."""
     return docs.sparkSession.sparkContext.broadcast(index)
 
 
