@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import text as X
 from weftwork.functions import urls as U
 from weftwork.functions import validate as V
-from weftwork.operators import extract, facts, maps, news, phones, resolve, search, state
+from weftwork.operators import extract, facts, maps, news, phones, resolve, search, state, structured
 from weftwork.plans.enrich import Sources, enrich
 from weftwork.sources import dom, tables
 
@@ -249,7 +249,7 @@ def test_cards(spark):
 def test_organization_pages(spark):
     page = '<script>{"x": {"shortTitle": "A \\"B\\"", "status": "temporary-closed", "phones": [{"formatted": "1"}, {"formatted": "2"}], "coordinates": [30.5, 59.5]}} var y = "}"</script>'
     r = maps.organization(spark.createDataFrame([(page,), ("",), ("broken \"shortTitle\": \"Name\" \"coordinates\": [30.5, 59.5]",)], "html string")).select("org.*").collect()
-    assert (r[0].name, r[0].status, r[0].phone, r[0].latitude) == ('A "B"', "temporary_closed", "2", 59.5)
+    assert (r[0].name, r[0].status, r[0].phone, r[0].latitude) == ('A "B"', "temporarily_closed", "2", 59.5)
     assert r[1].name is None and (r[2].name, r[2].latitude) == ("Name", 30.5)
 
 
@@ -274,6 +274,46 @@ def test_fetch_status_and_retries(spark):
     assert {r.url: (r.attempt, r.status) for r in f.collect()} == {"https://a.b/": (2, "active"), "https://c.d/": (1, "redirect"), "https://g.h/": (2, "active"), "https://i.j/": (2, "unreachable")}
 
 
+def test_certificate_errors(spark):
+    rows = [("https://a.b/", 1, "", 0, None, True), ("https://c.d/", 1, "", 0, None, True), ("https://c.d/", 2, "", 0, None, False), ("https://e.f/", 1, "", 0, None, True), ("https://e.f/", 2, "page", 200, None, False), ("https://g.h/", 1, "page", 200, None, False)]
+    f = tables.settled(spark.createDataFrame(rows, "url string, attempt int, html string, status_code int, final_url string, tls_error boolean"))
+    assert {r.url: (r.status, r.tls_fallback_used) for r in f.collect()} == {"https://a.b/": ("tls_invalid", False), "https://c.d/": ("tls_invalid", False), "https://e.f/": ("active", True), "https://g.h/": ("active", False)}
+
+
+def test_bodies_are_cut_between_letters(spark):
+    rows = [("https://a.b/", 1, "x" + "я" * 1_200_000, 200, None, False), ("https://c.d/", 1, "я" * 10, 200, None, False)]
+    got = {r.url: r.html for r in tables.classified(spark.createDataFrame(rows, "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")).collect()}
+    assert got == {"https://a.b/": "x" + "я" * 999_999, "https://c.d/": "я" * 10}
+
+
+def test_long_texts_are_whole(spark):
+    long = "word " * 2000
+    html = f'<html><head><title>{long}</title></head><body><div itemscope itemtype="https://schema.org/Article"><p itemprop="articleBody">{long}</p></div></body></html>'
+    n = nodes(spark, html)
+    r = n.select(extract.title(F.col("nodes")).alias("t"), structured.items(F.col("nodes")).alias("i")).first()
+    assert r.t.strip() == long.strip() and long.strip() in r.i[0]
+
+
+def test_promotion_does_not_renew_itself(spark):
+    shared = spark.createDataFrame([("k", 0, 0, "old"), ("k", 300, 0, "new")], "cache_key string, s long, ttl_seconds long, value string").withColumn("put_at", F.timestamp_seconds("s"))
+    gets = spark.createDataFrame([(1, "k", 60), (2, "k", 290), (3, "k", 480)], "get_id long, cache_key string, s long").withColumn("get_at", F.timestamp_seconds("s"))
+    assert {r.get_id: (r.value, r.level) for r in state.tiered_hits(shared.limit(0), shared, gets).collect()} == {1: ("old", "second"), 2: ("old", "first"), 3: ("new", "second")}
+
+
+def test_a_page_is_parsed_once(spark):
+    plan = phones.site_numbers(nodes(spark, "<a href='tel:+78121112233'>x</a>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_parse_nodes(") == 1
+
+
+def test_walks_are_linear():
+    import time
+
+    page = "<ul>" + "".join(f"<li>a {i}</li><li><a href='tel:+7812{i:07d}'>+7812{i:07d}</a></li>" for i in range(3000)) + "</ul>"
+    began = time.time()
+    assert sum(n["role"] is not None for n in dom._nodes(page, "https://a.b/")) >= 3000
+    assert time.time() - began < 5
+
+
 def test_enrichment_without_a_page_reads_search_results(spark):
     items = spark.createDataFrame([(1, "n", "", "", "news", False)], "item_pos long, name string, url string, city string, mode string, skip_maps_check boolean")
     fetches = spark.createDataFrame([("https://r.example/1", 1, "<article>found</article>", 200, None, False), ("https://r.example/2", 1, "<article>more</article>", 404, None, False)], "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
-from weftwork.functions.text import clean_hours, clean_lines, one_spaced, trimmed
+from weftwork.functions.text import clean_hours, clean_lines, let, one_spaced, trimmed
 from weftwork.functions.urls import host_port, path, scheme, slug_class
 from weftwork.sources import dom
 
@@ -26,7 +26,7 @@ def meta(nodes: Column, *names: str) -> Column:
 
 def title(nodes: Column) -> Column:
     t = first(nodes, lambda n: n.tag == "title")
-    return F.coalesce(F.nullif(t.text, F.lit("")), dom.attr(first(nodes, lambda n: (n.tag == "meta") & (dom.attr(n, "property") == "og:title")), "content"), F.lit(""))
+    return F.coalesce(F.nullif(let(t, lambda x: dom.whole(nodes, x)), F.lit("")), dom.attr(first(nodes, lambda n: (n.tag == "meta") & (dom.attr(n, "property") == "og:title")), "content"), F.lit(""))
 
 
 def content_root(nodes: Column) -> Column:
@@ -73,7 +73,7 @@ def visible_hours(nodes: Column) -> Column:
 
     def value(n: Column) -> Column:
         inline = F.regexp_replace(trimmed(F.regexp_replace(trimmed(n.own), P.HOURS_LABEL, "")), r"^[ :—–\-\t\n]+", "")
-        return F.coalesce(clean_hours(inline), clean_hours(trimmed(dom.node(nodes, n.next).text)))
+        return F.coalesce(clean_hours(inline), let(dom.node(nodes, n.next), lambda x: let(trimmed(dom.whole(nodes, x)), clean_hours)))
 
     labelled = F.filter(nodes, lambda n: ~n.tag.startswith("#") & n.own.rlike(P.HOURS_LABEL))
     return F.try_element_at(F.filter(F.transform(labelled, value), lambda v: v.isNotNull()), F.lit(1))
@@ -102,7 +102,7 @@ def contacts_page(nodes: Column, base: Column) -> Column:
     """The same-origin link that best looks like a contacts page: by slug, then by its text, then the first."""
 
     def candidate(n: Column) -> Column:
-        text = F.lower(trimmed(F.coalesce(n.text, F.lit("")))).isin(*P.CONTACT_TEXTS)
+        text = F.lower(trimmed(dom.whole(nodes, n))).isin(*P.CONTACT_TEXTS)
         decoded = F.coalesce(F.try_url_decode(F.regexp_replace(path(n.link), r"\+", "%2B")), path(n.link))
         return F.struct(slug_class(decoded).alias("slug"), text.alias("labelled"), (-n.id).alias("place"), n.link.alias("url"))
 

@@ -46,20 +46,21 @@ def organization_is_legal(org: Column, address: Column, element: Column) -> Colu
 
 
 def page_facts(pages: DataFrame, city: str = "city") -> DataFrame:
-    """pages (page_id, url, html, city) with one column a fact, phone_poisoned and phone_region.
+    """pages (page_id, url, html, city, and nodes if they are parsed already) with one column a fact, phone_poisoned and vendor.
 
-    The page is parsed once; each layer only fills what the ones before it left open, but for the phone, which the
+    The page is parsed once for its nodes and once for its markup without noise; each layer only fills what the ones before it left open, but for the phone, which the
     best-placed candidate may replace.
     """
     cols = [c for c in pages.columns if c != "nodes"]
-    p = dom.with_nodes(pages).withColumns({"clean": dom.noise_free_html(F.col("html")), "items": structured.items(F.col("nodes"))})
+    p = pages if "nodes" in pages.columns else dom.with_nodes(pages)
+    p = p.withColumns({"clean": dom.noise_free_html(F.col("html")), "items": structured.items(F.col("nodes"))})
     i = F.col("items")
     p = p.withColumns({"pl": let(structured.first_of(i, P.PLACE_TYPES), structured.place), "ar": let(structured.first_of(i, P.ARTICLE_TYPES), structured.article), "ev": let(structured.first_of(i, ("Event",)), structured.event), "orgi": structured.first_of(i, P.ORGANIZATION_TYPES)})
     p = p.withColumns({"og": structured.organization(F.col("orgi")), "rx": markup_facts(F.col("clean"))})
-    elements = F.transform(F.filter(F.col("nodes"), lambda n: n.tag == "address"), lambda n: trimmed(n.text))
+    c = F.col
+    elements = F.transform(F.filter(F.col("nodes"), lambda n: n.tag == "address"), lambda n: trimmed(dom.whole(c("nodes"), n)))
     p = p.withColumns({"venues": F.filter(elements, lambda a: valid_address(a) & ~legal_address(a)), "seats": F.filter(elements, lambda a: valid_address(a) & legal_address(a))})
     element = F.try_element_at(F.col("venues"), F.lit(1))
-    c = F.col
     before = F.coalesce(venue(c("pl.address")), venue(c("ev.location")))
     p = p.withColumn("seat", organization_is_legal(c("og"), before, element))
     p = p.withColumns(

@@ -133,7 +133,7 @@ _BLOCK = (
 
 
 def _status(c: Column) -> Column:
-    return F.when(c == "permanent-closed", "permanent_closed").when(c == "temporary-closed", "temporary_closed").when(c == "open", "open")
+    return F.when(c == "permanent-closed", "permanently_closed").when(c == "temporary-closed", "temporarily_closed").when(c == "open", "open")
 
 
 def unescaped(c: Column) -> Column:
@@ -206,7 +206,7 @@ def is_org_link(url: Column) -> Column:
 
 def preferred_page(pages: DataFrame, by: str = "item_pos") -> DataFrame:
     """(by, status, page): of an item's organization pages the first that is not closed, else the first closed one."""
-    closed = F.col("status").isin("permanent_closed", "temporary_closed").cast("int")
+    closed = F.col("status").isin("permanently_closed", "temporarily_closed").cast("int")
     best = F.min(F.struct(closed.alias("closed"), "ord", "status", "url"))
     return pages.filter("status is not null").groupBy(by).agg(best.alias("b")).select(by, F.col("b.status").alias("status"), F.col("b.url").alias("page"))
 

@@ -39,8 +39,7 @@ def tel(nodes: Column) -> Column:
 
     def one(n: Column) -> Column:
         demoted = n.tracking.isNotNull() & (n.region.isNull() | dom.node(nodes, n.tracking).region.isNotNull())
-        shown = trimmed(n.text)
-        value = F.when(valid_phone(shown), shown).otherwise(F.regexp_replace(dom.attr(n, "href"), "^(?:tel:)?(?:TEL:)?", ""))
+        value = let(trimmed(dom.whole(nodes, n)), lambda shown: F.when(valid_phone(shown), shown).otherwise(F.regexp_replace(dom.attr(n, "href"), "^(?:tel:)?(?:TEL:)?", "")))
         return candidate(value, F.when(demoted, DEMOTED).when(n.region.isNotNull(), CONTACTS).otherwise(BODY), n.role)
 
     return valid(F.transform(F.filter(nodes, lambda n: (n.tag == "a") & dom.attr(n, "href").rlike("^(?:tel:|TEL:)")), one))
@@ -61,7 +60,7 @@ def social(nodes: Column) -> Column:
 
 
 def microdata(nodes: Column) -> Column:
-    value = lambda n: F.coalesce(F.nullif(trimmed(dom.attr(n, "content")), F.lit("")), trimmed(n.text))
+    value = lambda n: F.coalesce(F.nullif(trimmed(dom.attr(n, "content")), F.lit("")), trimmed(dom.whole(nodes, n)))
     return valid(F.transform(F.filter(nodes, lambda n: dom.attr(n, "itemprop") == "telephone"), lambda n: candidate(value(n), MICRODATA, n.role)))
 
 
@@ -168,14 +167,25 @@ NAMES = {SOCIAL: "social_link", BRANCH: "branch_json", PLACE: "schema_place", CO
 ANCHORED = (MICRODATA, CONTACTS, BRANCH, PLACE, SOCIAL)
 
 
+def every(nodes: Column) -> Column:
+    """All candidates of all finders in their order, each as struct(c, plain): plain ones count only where no other finder has them."""
+    found = F.concat(social(nodes), tel(nodes), microdata(nodes), meta_phone(nodes), branches(nodes), places(nodes))
+    tagged = lambda a, is_plain: F.transform(a, lambda c: F.struct(c.alias("c"), F.lit(is_plain).alias("plain")))
+    return F.concat(tagged(found, False), tagged(plain(nodes), True))
+
+
 def site_numbers(pages: DataFrame, poisoned: Column | None = None) -> DataFrame:
+    """`numbers` of parsed pages (page_id, nodes)."""
+    n = F.col("nodes")
+    return numbers(pages.select("page_id", vendor(n).alias("vendor"), every(n).alias("all"), (poisoned if poisoned is not None else F.lit(False)).alias("poisoned")))
+
+
+def numbers(found: DataFrame) -> DataFrame:
     """(page_id, place, value, key, source, anchored, dni, trustworthy, role_label_raw, role): every number of each page once.
 
     A number found by several finders keeps its strongest reading; it is departmental only if every labelled reading is.
     """
-    n = F.col("nodes")
-    found = with_candidates(pages).select("page_id", "vendor", F.concat(F.transform(F.concat("candidates", branches(n), places(n)), lambda c: F.struct(c.alias("c"), F.lit(False).alias("plain"))), F.transform(plain(n), lambda c: F.struct(c.alias("c"), F.lit(True).alias("plain")))).alias("all"))
-    dni = F.col("vendor").isNotNull() | (F.coalesce(poisoned, F.lit(False)) if poisoned is not None else F.lit(False))
+    dni = F.col("vendor").isNotNull() | F.coalesce("poisoned", F.lit(False))
     rows = found.select("page_id", dni.alias("dni"), F.posexplode("all").alias("seq", "f")).select("page_id", "dni", "seq", "f.plain", "f.c.*")
     # A plainly printed number counts only where no other finder has it, and once.
     same = Window.partitionBy("page_id", canonical_phone(F.col("value")))

@@ -1,7 +1,8 @@
 """Conflicting values of one record by a fixed priority of sources, with provenance and confidence.
 
 Every candidate value is a claim (item_pos, field, value, source, seq, confidence); a pick is one ordered aggregate over the
-claims of (item_pos, field). Among claims of equal rank the last wins, but the longer one for `address`; a poison verdict is
+claims of (item_pos, field). Among claims of equal rank the last wins, but the longer one for `address` and the first one for
+`place_type` and `event_date`; a poison verdict is
 a claim on the phone without a value, which outranks sites but not the operator, and comes too late after a site's phone.
 """
 
@@ -14,7 +15,7 @@ from weftwork.functions import patterns as P
 
 RANK = {name: i for i, name in enumerate(P.SOURCES)}
 POISON = RANK["poison_lock"]
-LONGER = ("address",)
+LONGER, FIRST = ("address",), ("place_type", "event_date")
 
 
 def rank_of(source: Column) -> Column:
@@ -48,7 +49,8 @@ def resolve(rows: DataFrame, keys: tuple[str, ...] = ("item_pos", "field")) -> D
     c = rows.withColumn("rank", rank_of(F.col("source")))
     strong = F.min(F.when((F.col("rank") >= RANK["official_site"]) & (F.col("rank") != POISON), F.col("seq")))
     longer = F.col("field").isin(*LONGER) & (F.col("rank") == RANK["official_site"])
-    order = F.struct("rank", F.when(longer, F.length("value")).otherwise(0).alias("a"), F.when(longer, -F.col("seq")).otherwise(F.col("seq")).alias("b"))
+    first = longer | F.col("field").isin(*FIRST)
+    order = F.struct("rank", F.when(longer, F.length("value")).otherwise(0).alias("a"), F.when(first, -F.col("seq")).otherwise(F.col("seq")).alias("b"))
     value = F.struct("value", "source", "confidence")
     plain, verdict = F.col("rank") != POISON, F.col("rank") == POISON
     g = c.groupBy(*keys).agg(
@@ -63,14 +65,16 @@ def resolve(rows: DataFrame, keys: tuple[str, ...] = ("item_pos", "field")) -> D
 
 
 def conflicts(rows: DataFrame, keys: tuple[str, ...] = ("item_pos", "field")) -> DataFrame:
-    """(keys, conflicts): how often, in order of seq, a claim met another value from another source than the owner's."""
-    c = rows.filter("value is not null").withColumn("rank", rank_of(F.col("source")))
+    """(keys, conflicts): how often, in order of seq, a claim met another value from another source than the owner's, or a
+    verdict took a value of lower rank away."""
+    c = rows.withColumn("rank", rank_of(F.col("source"))).filter((F.col("value").isNotNull()) | (F.col("rank") == POISON))
     g = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "rank", "value"))).alias("all"))
     start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("rank"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        meets = acc.value.isNotNull() & (acc.value != x.value) & (x.rank != acc.rank) & (acc.rank > 0) & (x.rank > 0)
-        wins = x.rank >= acc.rank
+        verdict, site = x.rank == POISON, acc.rank >= RANK["official_site"]
+        meets = acc.value.isNotNull() & (acc.rank > 0) & (x.rank > 0) & F.when(verdict, ~site).otherwise((acc.value != x.value) & (x.rank != acc.rank))
+        wins = (x.rank >= acc.rank) & ~(verdict & site)
         return F.struct(F.when(wins, x.value).otherwise(acc.value).alias("value"), F.when(wins, x.rank).otherwise(acc.rank).alias("rank"), (acc.n + F.coalesce(meets, F.lit(False)).cast("int")).alias("n"))
 
     return g.select(*keys, F.aggregate("all", start, step).n.alias("conflicts"))
@@ -83,9 +87,10 @@ def provenance(resolved: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def closed_status(site_status: Column, maps_status: Column, fetched: Column) -> Column:
-    """A closed verdict of a map stands unless the record's own site was fetched and is active."""
-    closed = maps_status.isin("permanent_closed", "temporary_closed")
-    return F.when(F.coalesce(closed, F.lit(False)) & ~(fetched & (F.coalesce(site_status, F.lit("")) == "active")), maps_status).otherwise(site_status)
+    """A map's verdict, `closed` for a permanent one, stands unless the record's own site was fetched and is active."""
+    closed = F.when(maps_status == "permanently_closed", "closed").when(maps_status == "temporarily_closed", "temporarily_closed")
+    live = fetched & (F.coalesce(site_status, F.lit("")) == "active")
+    return F.when(closed.isNotNull() & ~live, closed).otherwise(site_status)
 
 
 def accumulated_numbers(numbers: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ Time is a column, never the wall clock, so a rerun gives the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,29 +16,78 @@ SUSPEND, SUSPEND_MOST, DOUBLINGS, PROMOTED = 30, 600, 8, 300
 
 
 def cache_hits(puts: DataFrame, gets: DataFrame, by: str = "cache_key") -> DataFrame:
-    """gets with the value of the last put before them that has not expired (a TTL of 0 never does), null for a miss.
+    """gets with the value of the last put before them that has not expired (a TTL of 0 never does), null for a miss. Of puts
+    at one instant that of the greatest `seq` counts, if they have one.
 
     One window over puts and gets of a key carries the last put along: no join of every get with every put.
     """
-    p = puts.select(by, F.col("put_at").alias("at"), F.lit(0).alias("get"), F.struct("value", "ttl_seconds", "put_at").alias("put"), F.lit(None).cast("long").alias("get_id"))
-    g = gets.select(by, F.col("get_at").alias("at"), F.lit(1).alias("get"), F.lit(None).cast(p.schema["put"].dataType).alias("put"), "get_id")
-    w = Window.partitionBy(by).orderBy("at", "get", "get_id").rowsBetween(Window.unboundedPreceding, 0)
+    seq = F.col("seq").cast("long") if "seq" in puts.columns else F.lit(0).cast("long")
+    p = puts.select(by, F.col("put_at").alias("at"), F.lit(0).alias("get"), seq.alias("seq"), F.struct("value", "ttl_seconds", "put_at").alias("put"), F.lit(None).cast("long").alias("get_id"))
+    g = gets.select(by, F.col("get_at").alias("at"), F.lit(1).alias("get"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast(p.schema["put"].dataType).alias("put"), "get_id")
+    w = Window.partitionBy(by).orderBy("at", "get", "seq", "get_id").rowsBetween(Window.unboundedPreceding, 0)
     r = p.unionByName(g).withColumn("last", F.last("put", ignorenulls=True).over(w)).filter("get = 1")
     age = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("last.put_at").cast("timestamp"))
     live = F.col("last").isNotNull() & ((F.col("last.ttl_seconds") == 0) | (age < F.col("last.ttl_seconds") * 1_000_000))
     return r.select("get_id", by, F.when(live, F.col("last.value")).alias("value"))
 
 
+def folded(rows: DataFrame, by: str, order: list[str], start: tuple, step: Callable, out: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of each key through step(state, row) -> (state, what the row gives or None), in order. rows: by, then the columns
+    that step takes.
+
+    Spark deals the keys out and sorts, with spill; a task keeps one state and no rows, however many a key has.
+    """
+    names = [by, *out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), start
+        for batch in batches:
+            given: list[tuple] = []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    key, state = k, start
+                state, made = step(state, row)
+                if made is not None:
+                    given.append((k, *made))
+            types = [batch.schema.field(0).type, *out.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in given], t) for i, t in enumerate(types)], names)
+
+    kinds = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string"}
+    schema = ", ".join([f"{by} {rows.schema[by].dataType.simpleString()}", *(f"{n} {kinds[t]}" for n, t in out.items())])
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
 def tiered_hits(local: DataFrame, shared: DataFrame, gets: DataFrame, by: str = "cache_key") -> DataFrame:
-    """get_id, value, level: from the first tier, else from the second; a value found there is promoted for five minutes,
-    so a later get within them finds it in the first."""
-    one, two = cache_hits(local, gets, by), cache_hits(shared, gets, by)
-    both = gets.join(one.select("get_id", F.col("value").alias("v1")), "get_id").join(two.select("get_id", F.col("value").alias("v2")), "get_id")
-    lifted = both.filter("v1 is null and v2 is not null").select(by, F.col("get_at").alias("put_at"), F.lit(PROMOTED).cast("long").alias("ttl_seconds"), F.col("v2").alias("value"))
-    again = cache_hits(lifted, gets.withColumn("get_at", F.col("get_at") - F.expr("interval 1 microsecond")), by).select("get_id", F.col("value").alias("v3"))
-    both = both.join(again, "get_id")
-    level = F.when(F.col("v1").isNotNull() | F.col("v3").isNotNull(), "first").when(F.col("v2").isNotNull(), "second").otherwise("miss")
-    return both.select("get_id", by, F.coalesce("v1", "v3", "v2").alias("value"), level.alias("level"))
+    """by, get_id, value, level: from the first tier, else from the second; a value found there is put into the first for five
+    minutes. What a get finds depends on the gets before it: an ordered fold. Puts come before gets of the same instant."""
+    none = F.lit(None).cast("long")
+
+    def puts(rows: DataFrame, kind: int) -> DataFrame:
+        seq = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
+        return rows.select(by, _micros("put_at").alias("at"), F.lit(kind).alias("kind"), seq.alias("seq"), F.col("value").cast("string").alias("value"), (F.col("ttl_seconds") * 1_000_000).cast("long").alias("ttl"))
+
+    asked = gets.select(by, _micros("get_at").alias("at"), F.lit(2).alias("kind"), F.col("get_id").cast("long").alias("seq"), F.lit(None).cast("string").alias("value"), none.alias("ttl"))
+
+    def live(entry: tuple | None, at: int) -> bool:
+        return entry is not None and (entry[1] is None or at < entry[1])
+
+    def step(state: tuple, row: list) -> tuple:
+        (one, two), (at, kind, seq, value, ttl) = state, row
+        if kind < 2:
+            entry = value, (at + ttl if ttl else None)
+            return ((entry, two) if kind == 0 else (one, entry)), None
+        if live(one, at):
+            return state, (seq, one[0], "first")
+        if live(two, at):
+            return ((two[0], at + PROMOTED * 1_000_000), two), (seq, two[0], "second")
+        return state, (seq, None, "miss")
+
+    rows = puts(local, 0).unionByName(puts(shared, 1)).unionByName(asked)
+    return folded(rows, by, ["at", "kind", "seq"], (None, None), step, {"get_id": pa.int64(), "value": pa.string(), "level": pa.string()})
 
 
 def suspension(errors: Column) -> Column:
@@ -52,38 +104,36 @@ def error_streaks(calls: DataFrame, by: str, order: list[str], failed: Column) -
 
 
 def breaker(calls: DataFrame, by: str, at: str, failed: str) -> DataFrame:
-    """(by, seq, at, outcome): each call through a circuit breaker, suspended while an earlier error's suspension lasts.
+    """(by, seq, outcome): each call through a circuit breaker, suspended while an earlier error's suspension lasts.
 
-    A suspended call does not reach the provider, so what later calls meet depends on it: an ordered fold over each
-    provider's calls. A provider's calls are one group; cut long histories by a reset (a day) in `by`.
+    A suspended call does not reach the provider, so what later calls meet depends on it: an ordered fold.
     """
-    seconds = (F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000).alias("at_s")
-    g = calls.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(seconds, F.col("seq").alias("seq"), F.col(failed).alias("failed")))).alias("calls"))
-    done = "array<struct<seq: bigint, outcome: string>>"
-    start = F.struct(F.lit(0).alias("errors"), F.lit(-1.0).alias("until"), F.array().cast(done).alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        shut = c.at_s < acc.until
-        errors = F.when(shut, acc.errors).when(c.failed, acc.errors + 1).otherwise(0)
-        until = F.when(shut, acc.until).when(c.failed, c.at_s + suspension(acc.errors + 1)).otherwise(F.lit(-1.0))
-        outcome = F.when(shut, "suspended").when(c.failed, "error").otherwise("success")
-        return F.struct(errors.cast("int").alias("errors"), until.cast("double").alias("until"), F.concat(acc.out, F.array(F.struct(c.seq.cast("long").alias("seq"), outcome.alias("outcome")))).alias("out"))
+    def step(state: tuple, row: list) -> tuple:
+        (errors, until), (at, seq, failed) = state, row
+        if at < until:
+            return state, (seq, "suspended")
+        if not failed:
+            return (0, -1), (seq, "success")
+        wait = min(SUSPEND_MOST, SUSPEND * 2 ** min(errors, DOUBLINGS))
+        return (errors + 1, at + wait * 1_000_000), (seq, "error")
 
-    return g.select(by, F.explode(F.aggregate("calls", start, step).out).alias("o")).select(by, "o.seq", "o.outcome")
+    rows = calls.select(by, _micros(at).alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col(failed), F.lit(False)).alias("failed"))
+    return folded(rows, by, ["at", "seq"], (0, -1), step, {"seq": pa.int64(), "outcome": pa.string()})
 
 
 def throttled(calls: DataFrame, by: str, at: str, per_second: float, burst: int) -> DataFrame:
-    """(by, seq, start_s): when each call may start under a token bucket, an ordered fold of a provider's calls."""
-    g = calls.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000).alias("at_s"), F.col("seq").cast("long").alias("seq")))).alias("calls"))
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(-1.0).alias("seen"), F.array().cast("array<struct<seq: bigint, start_s: double>>").alias("out"))
+    """(by, seq, start_s): when each call may start under a token bucket: an ordered fold."""
 
-    def step(acc: Column, c: Column) -> Column:
-        now = F.greatest(c.at_s, acc.seen)
-        have = F.when(acc.seen < 0, acc.tokens).otherwise(F.least(F.lit(float(burst)), acc.tokens + (now - acc.seen) * per_second))
-        wait = F.greatest(F.lit(0.0), (1 - have) / per_second)
-        return F.struct((have + wait * per_second - 1).alias("tokens"), (now + wait).alias("seen"), F.concat(acc.out, F.array(F.struct(c.seq.alias("seq"), (now + wait).alias("start_s")))).alias("out"))
+    def step(state: tuple, row: list) -> tuple:
+        (tokens, seen), (at, seq) = state, row
+        now = max(at / 1_000_000, seen)
+        have = tokens if seen < 0 else min(float(burst), tokens + (now - seen) * per_second)
+        wait = max(0.0, (1 - have) / per_second)
+        return (have + wait * per_second - 1, now + wait), (seq, now + wait)
 
-    return g.select(by, F.explode(F.aggregate("calls", start, step).out).alias("o")).select(by, "o.seq", "o.start_s")
+    rows = calls.select(by, _micros(at).alias("at"), F.col("seq").cast("long").alias("seq"))
+    return folded(rows, by, ["at", "seq"], (float(burst), -1.0), step, {"seq": pa.int64(), "start_s": pa.float64()})
 
 
 def once_each(requests: DataFrame, keys: list[str]) -> DataFrame:

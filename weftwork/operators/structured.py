@@ -37,24 +37,40 @@ def kinds(item: Column) -> Column:
 
 def microdata(nodes: Column) -> Column:
     """Items of itemscope elements that lie in no other, as JSON texts; the items nested in them are objects of theirs."""
-    scopes = F.filter(nodes, lambda n: dom.attr(n, "itemscope").isNotNull())
-    text = lambda n: F.coalesce(dom.attr(n, "content"), F.when(n.tag.isin("a", "link", "area"), dom.attr(n, "href")), F.when(n.tag.isin("img", "source"), dom.attr(n, "src")), dom.attr(n, "datetime"), trimmed(n.text))
-
-    def flat(s: Column) -> Column:
-        """Plain properties of one scope; the first value of a name."""
-        props = F.filter(nodes, lambda n: dom.attr(n, "itemprop").isNotNull() & dom.attr(n, "itemscope").isNull() & (n.scope == s.id))
-        names = F.transform(props, lambda n: dom.attr(n, "itemprop"))
-        once = F.filter(props, lambda n, i: F.array_position(names, dom.attr(n, "itemprop")) == i + 1)
-        kind = F.struct(F.lit("@type").alias("k"), F.coalesce(dom.attr(s, "itemtype"), F.lit("")).alias("v"))
-        return F.concat(F.array(kind), F.transform(once, lambda n: F.struct(dom.attr(n, "itemprop").alias("k"), text(n).alias("v"))))
+    kept = F.filter(nodes, lambda n: dom.attr(n, "itemscope").isNotNull() | dom.attr(n, "itemprop").isNotNull())
+    text = lambda n: F.coalesce(dom.attr(n, "content"), F.when(n.tag.isin("a", "link", "area"), dom.attr(n, "href")), F.when(n.tag.isin("img", "source"), dom.attr(n, "src")), dom.attr(n, "datetime"), trimmed(dom.whole(nodes, n)))
+    slim = F.transform(kept, lambda n: F.struct(n.id.alias("id"), n.scope.alias("scope"), dom.attr(n, "itemscope").isNotNull().alias("item"), dom.attr(n, "itemprop").alias("name"), F.when(dom.attr(n, "itemscope").isNull(), text(n)).alias("value"), F.coalesce(dom.attr(n, "itemtype"), F.lit("")).alias("type")))
+    # Sorted by scope, then place, the properties of a scope are one slice: no scope looks at all others' properties.
+    order = F.transform(slim, lambda x: F.struct(F.coalesce(x.scope, F.lit(-1)).alias("of"), x.id.alias("id"), x["item"].alias("item"), x["name"].alias("name"), x["value"].alias("value"), x["type"].alias("type")))
+    return let(F.array_sort(order), _items)
+
+
+def _items(rows: Column) -> Column:
+    """Items from rows (of: the scope that each lies in, id, item, name, value, type), sorted by scope and place."""
+    scopes = F.transform(rows, lambda x: x.of)
+    # One map from scope to where its slice begins and how long it is.
+    groups = F.map_from_entries(F.transform(F.array_distinct(scopes), lambda s: F.struct(s.alias("k"), F.array_position(scopes, s).cast("int").alias("v"))))
+    ends = F.map_from_entries(F.transform(F.array_distinct(scopes), lambda s: F.struct(s.alias("k"), (F.size(rows) - F.array_position(F.reverse(scopes), s) + 1).cast("int").alias("v"))))
+    none = F.slice(rows, 1, 0)
+
+    def inside(at: Column) -> Column:
+        begin = F.try_element_at(groups, at)
+        return F.coalesce(F.slice(rows, begin, F.try_element_at(ends, at) - begin + 1), none)
 
     as_json = lambda pairs: F.to_json(F.map_from_entries(pairs))
 
+    def flat(of: Column, kind: Column) -> Column:
+        """Plain properties of one scope; the first value of a name."""
+        props = F.filter(inside(of), lambda x: ~x["item"] & x["name"].isNotNull())
+        names = F.transform(props, lambda x: x["name"])
+        once = F.filter(props, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+        return F.concat(F.array(F.struct(F.lit("@type").alias("k"), kind.alias("v"))), F.transform(once, lambda x: F.struct(x["name"].alias("k"), x["value"].alias("v"))))
+
     def whole(s: Column) -> Column:
-        inner = F.filter(scopes, lambda n: dom.attr(n, "itemprop").isNotNull() & (n.scope == s.id))
-        return as_json(F.concat(flat(s), F.transform(inner, lambda n: F.struct(dom.attr(n, "itemprop").alias("k"), as_json(flat(n)).alias("v")))))
+        inner = F.filter(inside(s.id), lambda x: x["item"] & x["name"].isNotNull())
+        return as_json(F.concat(flat(s.id, s["type"]), F.transform(inner, lambda x: F.struct(x["name"].alias("k"), as_json(flat(x.id, x["type"])).alias("v")))))
 
-    return F.transform(F.filter(scopes, lambda s: s.scope.isNull()), whole)
+    return F.transform(F.filter(inside(F.lit(-1)), lambda x: x["item"]), whole)
 
 
 def items(nodes: Column) -> Column:

@@ -34,7 +34,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page(df: DataFrame, html: Column, key: str) -> DataFrame:
-    """Parsed pages with `page_id` and `nodes`; dealt out first, for parsing is the dear part."""
+    """Parsed pages with `page_id` and `nodes`."""
     pages = df.select(c(key).alias("page_id"), F.concat(F.lit("https://site"), c(key), F.lit(".example.com/")).alias("url"), html.alias("html"))
     return dom.with_nodes(pages)
 
@@ -366,11 +366,11 @@ def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.conflicts(rows.join(both, "item_pos")).select("item_pos", "conflicts")
 
 
-@query("""select o_orderkey, case when o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0 and o_orderstatus = 'F') then 'permanent_closed' else case when o_orderstatus = 'F' then 'active' else 'unreachable' end end as status from orders""")
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0 and o_orderstatus = 'F') then 'closed' else case when o_orderstatus = 'F' then 'active' else 'unreachable' end end as status from orders""")
 def closed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A live site refutes a map's closed verdict."""
     site = F.when(c("o_orderstatus") == "F", "active").otherwise("unreachable")
-    verdict = F.when(c("o_orderkey") % 3 == 0, "permanent_closed").otherwise("open")
+    verdict = F.when(c("o_orderkey") % 3 == 0, "permanently_closed").otherwise("open")
     return table(spark, sf_dir, "orders").select("o_orderkey", resolve.closed_status(site, verdict, c("o_orderkey") % 2 == 0).alias("status"))
 
 
@@ -404,7 +404,7 @@ def catalogue_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", maps.catalogue_card(body, asked, F.lit("Москва")).alias("m")).select("s_suppkey", "m.status", "m.name", "m.phone", "m.website")
 
 
-@query("""select s_suppkey, ['open', 'permanent_closed'][s_suppkey % 2 + 1] as status, s_name as name, 'addr ' || s_suppkey as address, '+7' || s_suppkey as phone, 'http://s' || s_suppkey || '.example' as website, (s_suppkey % 5 + 0.5)::double as rating,
+@query("""select s_suppkey, ['open', 'permanently_closed'][s_suppkey % 2 + 1] as status, s_name as name, 'addr ' || s_suppkey as address, '+7' || s_suppkey as phone, 'http://s' || s_suppkey || '.example' as website, (s_suppkey % 5 + 0.5)::double as rating,
   case when s_suppkey % 2 = 0 then 60.0 else 30.0 end::double as latitude, 'Cafe, Bar' as categories from supplier""")
 def org_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organization pages of the new format (read as JSON) and of the old one (read by patterns)."""
@@ -416,11 +416,11 @@ def org_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.organization(s).select("s_suppkey", "org.status", "org.name", "org.address", "org.phone", "org.website", "org.rating", "org.latitude", "org.categories")
 
 
-@query("""with p as (select o_custkey as item_pos, o_orderkey as ord, case when o_orderstatus = 'F' then 'open' when o_orderstatus = 'O' then 'permanent_closed' else 'temporary_closed' end as status from orders)
+@query("""with p as (select o_custkey as item_pos, o_orderkey as ord, case when o_orderstatus = 'F' then 'open' when o_orderstatus = 'O' then 'permanently_closed' else 'temporarily_closed' end as status from orders)
 select item_pos, coalesce(arg_min(status, ord) filter (where status = 'open'), arg_min(status, ord)) as status, 'u' || coalesce(min(ord) filter (where status = 'open'), min(ord)) as page from p group by 1""")
 def org_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of an item's organization pages the first that is not closed."""
-    status = F.when(c("o_orderstatus") == "F", "open").when(c("o_orderstatus") == "O", "permanent_closed").otherwise("temporary_closed")
+    status = F.when(c("o_orderstatus") == "F", "open").when(c("o_orderstatus") == "O", "permanently_closed").otherwise("temporarily_closed")
     p = table(spark, sf_dir, "orders").select(c("o_custkey").alias("item_pos"), c("o_orderkey").alias("ord"), status.alias("status"), F.concat(F.lit("u"), "o_orderkey").alias("url"))
     return maps.preferred_page(p)
 
@@ -447,9 +447,18 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cache_hits(*_puts_gets(spark, sf_dir))
 
 
-@query()
+@query("""with recursive e as (select user_id::varchar as cache_key, event_id, epoch_us(ts) as us, case event_type when 'click' then 0 when 'error' then 1 else 2 end as kind from events where event_type in ('click', 'error', 'view')),
+o as (select *, row_number() over (partition by cache_key order by us, kind, case when kind = 2 then event_id else 0 end) as k from e),
+f as (select cache_key, 0::bigint as k, null::varchar as v1, 0::bigint as until, null::varchar as v2, null::bigint as get_id, null::varchar as value, null::varchar as level from (select distinct cache_key from o)
+  union all select o.cache_key, o.k, case when kind = 0 then event_id::varchar when kind = 2 and not (v1 is not null and us < until) and v2 is not null then v2 else v1 end,
+    case when kind = 0 then us + 3600000000 when kind = 2 and not (v1 is not null and us < until) and v2 is not null then us + 300000000 else until end,
+    case when kind = 1 then event_id::varchar else v2 end, case when kind = 2 then event_id end,
+    case when kind = 2 then case when v1 is not null and us < until then v1 else v2 end end,
+    case when kind = 2 then case when v1 is not null and us < until then 'first' when v2 is not null then 'second' else 'miss' end end
+  from f join o on o.cache_key = f.cache_key and o.k = f.k + 1)
+select cache_key, get_id, value, level from f where get_id is not null""")
 def cache_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tiers with promotion. Rows only: promotion depends on earlier gets; a fixture tests it."""
+    """Two tiers with promotion."""
     puts, gets = _puts_gets(spark, sf_dir)
     return state.tiered_hits(puts.filter("ttl_seconds > 0"), puts.filter("ttl_seconds = 0"), gets)
 
@@ -463,18 +472,29 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.error_streaks(e, "user_id", ["event_id"], c("failed")).select("event_id", "streak", "suspend_s")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, ts, epoch_us(ts) as us, event_type, row_number() over (partition by user_id order by epoch_us(ts), event_id) as k from events),
+f as (select user_id, 0::bigint as k, null::bigint as seq, 0 as errors, -1::bigint as until, '' as outcome from (select distinct user_id from e)
+  union all select e.user_id, e.k, e.event_id, case when us < until then errors when event_type = 'error' then errors + 1 else 0 end,
+    case when us < until then until when event_type = 'error' then us + least(600, 30 * (1 << least(errors, 8))) * 1000000 else -1 end,
+    case when us < until then 'suspended' when event_type = 'error' then 'error' else 'success' end
+  from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+select user_id, seq, outcome from f where seq is not null""")
 def breaker_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls through a breaker, suspended ones told. Rows only: each outcome depends on those before; a fixture tests it."""
+    """Calls through a breaker, suspended ones told."""
     e = table(spark, sf_dir, "events").select("user_id", c("event_id").alias("seq"), "ts", (c("event_type") == "error").alias("failed"))
     return state.breaker(e, "user_id", "ts", "failed")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, ts, epoch_us(ts) as us, event_type, row_number() over (partition by user_id order by epoch_us(ts), event_id) as k from events),
+f as (select user_id, 0::bigint as k, null::bigint as seq, 2.0::double as tokens, -1.0::double as seen from (select distinct user_id from e)
+  union all select user_id, k, event_id, have + wait * 0.01 - 1, now + wait from (select *, greatest(0.0, (1 - have) / 0.01::double) as wait from (
+    select e.user_id, e.k, e.event_id, greatest(us / 1000000.0::double, seen) as now, case when seen < 0 then tokens else least(2.0, tokens + (greatest(us / 1000000.0::double, seen) - seen) * 0.01::double) end as have
+    from f join e on e.user_id = f.user_id and e.k = f.k + 1)))
+select user_id, seq, round(seen, 3) as start_s from f where seq is not null""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When calls may start under a rate limit. Rows only, as above."""
+    """When calls may start under a rate limit."""
     e = table(spark, sf_dir, "events").select("user_id", c("event_id").alias("seq"), "ts")
-    return state.throttled(e, "user_id", "ts", 0.01, 2)
+    return state.throttled(e, "user_id", "ts", 0.01, 2).withColumn("start_s", F.round("start_s", 3))
 
 
 @query("""select c_custkey, case when c_custkey % 3 = 0 then 'item:search:v1:' || c_name else 'item:v1:https://a.example/' || c_custkey end || ':seed:' ||
@@ -529,6 +549,28 @@ def enrich_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.when(c("c_custkey") % 2 == 0, F.lit("<p>Часы работы: 10:00-20:00</p>")).otherwise("")
     html = _html("<article>hello ", k, "</article><footer><a href='tel:+7812", F.lpad(k, 7, "0"), "'>x</a><address>ул. Мира, д. ", k, "</address>", hours, "</footer>")
     fetches = t.select(url.alias("url"), F.lit(1).alias("attempt"), html.alias("html"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), F.lit(False).alias("tls_error"))
-    cards = t.select(c("c_custkey").alias("item_pos"), F.lit("permanent_closed").alias("status"), F.lit("Card").alias("name"), F.lit("ул. Иная, д. 1").alias("address"), F.lit("+78120000000").alias("phone"), F.lit("").alias("website"), F.lit("10:00-20:00").alias("hours"))
+    cards = t.select(c("c_custkey").alias("item_pos"), F.lit("permanently_closed").alias("status"), F.lit("Card").alias("name"), F.lit("ул. Иная, д. 1").alias("address"), F.lit("+78120000000").alias("phone"), F.lit("").alias("website"), F.lit("10:00-20:00").alias("hours"))
     out = enrich(items, Sources(fetches, cards=cards))
     return out.select("item_pos", "status", "address", "address_source", "hours", "hours_source", "phone", "phone_poisoned", "content")
+
+
+@query("""select s_suppkey as item_pos, 'active' as status, '+7812555' || lpad(s_suppkey::varchar, 4, '0') as phone, 'ул. Садовая, д. ' || s_suppkey as address, 'a' || s_suppkey || '@b.example' as email,
+  '+7812555' || lpad(s_suppkey::varchar, 4, '0') || ' contacts' as numbers, s_suppkey % 2 = 0 as tls_fallback_used, 1.5::double as latitude from supplier""")
+def enrich_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homepages that only link to a contacts page; half of them answered over plain HTTP alone."""
+    from weftwork.plans.enrich import Sources, enrich
+
+    k, t = c("s_suppkey").cast("string"), table(spark, sf_dir, "supplier")
+    url = F.concat(F.lit("https://s"), k, F.lit(".example/"))
+    items = t.select(c("s_suppkey").alias("item_pos"), url.alias("url"), F.lit("").alias("city"), F.lit("places").alias("mode"))
+    items = items.withColumn("skip_maps_check", F.lit(False))
+    home = _html("<article>hello</article><a href='/contacts'>Контакты</a>")
+    page = _html("<footer><address>ул. Садовая, д. ", k, "</address><a href='tel:+7812555", F.lpad(k, 4, "0"), "'>x</a><a href='mailto:a", k, "@b.example'>m</a></footer>")
+
+    def fetch(at: Column, attempt: int, html: Column, bad: Column) -> DataFrame:
+        return t.select(at.alias("url"), F.lit(attempt).alias("attempt"), F.when(bad, "").otherwise(html).alias("html"), F.when(bad, 0).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), bad.alias("tls_error"))
+
+    fetches = fetch(url, 1, home, c("s_suppkey") % 2 == 0).unionByName(fetch(url, 2, home, F.lit(False))).unionByName(fetch(F.concat(url, F.lit("contacts")), 1, page, F.lit(False)))
+    cards = t.select(c("s_suppkey").alias("item_pos"), F.lit("open").alias("status"), *[F.lit("").alias(f) for f in ("name", "address", "phone", "website", "hours")], F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude"))
+    out = enrich(items, Sources(fetches, cards=cards))
+    return out.select("item_pos", "status", "phone", "address", "email", F.array_join(F.transform("numbers", lambda n: F.concat_ws(" ", n.value, n.source)), ";").alias("numbers"), "tls_fallback_used", "latitude")

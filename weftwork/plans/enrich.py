@@ -1,19 +1,22 @@
 """The whole enrichment of a table of records from already collected material, as one plan over tables.
 
-items ⟕ cache → misses ⟕ map cards, ⟕ homepages (parsed once) ⟕ renders where the raw page tells too little ⟕ contacts pages
-found on them, ⟕ search results and their pages where a record has no page → claims → one aggregate by (item, field).
+items ⟕ map cards, ⟕ homepages ⟕ renders where the raw page tells too little ⟕ contacts pages found on them, ⟕ search results
+and their pages where a record has no page → claims → one aggregate by (item, field). Each set of pages is read once: facts,
+text, links and all numbers come from one parse and are written to the shared folder, without the markup.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import truncate
 from weftwork.operators import extract, facts, phones, resolve, search
+from weftwork.functions import urls, validate
 from weftwork.sources import dom, tables
+from weftwork.sources.shared import written
 
 FIELDS = ["place_name", "place_type", "address", "legal_address", "phone", "website", "hours", "price", "email", "event_date"]
 SEED = ["place_name", "address", "phone", "website", "hours", "email", "price"]
@@ -39,33 +42,46 @@ class Sources:
     results: DataFrame | None = None
 
 
-def _read(pages: DataFrame) -> DataFrame:
-    """Facts, text, image, date and contacts link of pages (page_id, url, html, city)."""
-    f = facts.page_facts(pages)
-    n = dom.with_nodes(pages.select("page_id", "url", "html"))
-    t = n.select("page_id", extract.title(F.col("nodes")).alias("title"), extract.main_text(F.col("nodes")).alias("text"), extract.image(F.col("nodes")).alias("image"), extract.published(F.col("nodes"), F.col("url")).alias("published"), extract.contacts_page(F.col("nodes"), F.col("url")).alias("contacts_url"))
-    return f.join(t, "page_id")
+def _read(pages: DataFrame, name: str) -> DataFrame:
+    """Facts, text, image, date, contacts link, vendor and candidate numbers of pages (page_id, url, html, city), written."""
+    n = F.col("nodes")
+    p = dom.with_nodes(pages).withColumns({"title": extract.title(n), "text": extract.main_text(n), "image": extract.image(n), "published": extract.published(n, F.col("url")), "contacts_url": extract.contacts_page(n, F.col("url")), "all": phones.every(n)})
+    return written(facts.page_facts(p).drop("html"), name)
+
+
+def _numbers(read: DataFrame) -> DataFrame:
+    return phones.numbers(read.select("page_id", "vendor", "all", F.col("phone_poisoned").alias("poisoned")))
 
 
 def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFrame:
-    """items (item_pos, name, url, city, mode, skip_maps_check, seed_*...) with resolved facts, provenance, status and content."""
-    got = tables.settled(src.fetches).select("url", "html", "status", F.coalesce("final_url", "url").alias("final_url"))
+    """items (item_pos, name, url, city, mode, skip_maps_check, seed_*...) with resolved facts, provenance, status and content.
+
+    Beside these: numbers (every number of the item's pages with its trust, role and city), search_context and search_sources,
+    coordinates of the map card, and the flags render_skipped and tls_fallback_used. Addresses that may point inside are
+    never read.
+    """
+    got = tables.settled(src.fetches).filter(~urls.private_target(F.col("url"))).select("url", "html", "status", F.coalesce("final_url", "url").alias("final_url"), "tls_fallback_used")
+    got = written(got, "enrich-fetches")
     home = items.select("item_pos", "url", "city").filter("coalesce(url, '') != ''").join(got, "url", "left")
     active = home.filter("status = 'active' and coalesce(html, '') != ''").select(F.col("item_pos").alias("page_id"), "url", "html", "city")
-    read = _read(active).withColumn("thin", extract.is_thin(F.col("text")))
-    numbers = phones.site_numbers(dom.with_nodes(active)).groupBy("page_id").agg(F.max("anchored").alias("anchored"))
-    read = read.join(numbers, "page_id", "left").withColumn("enough", facts.raw_is_sufficient(facts.has_contacts(), F.col("phone_poisoned"), F.coalesce("anchored", F.lit(False)), F.lit(config.render_skip_disabled)))
+    read = _read(active, "enrich-home").withColumn("thin", extract.is_thin(F.col("text")))
+    numbers = _numbers(read).withColumn("page_ord", F.lit(0))
+    read = read.join(numbers.groupBy("page_id").agg(F.max("anchored").alias("anchored")), "page_id", "left").withColumn("enough", facts.raw_is_sufficient(facts.has_contacts(), F.col("phone_poisoned"), F.coalesce("anchored", F.lit(False)), F.lit(config.render_skip_disabled)))
     if src.renders is not None:
         # Only pages that tell too little are rendered; a render counts where it tells strictly more.
         need = read.filter("thin or not enough").select("page_id", "url", "city").join(src.renders.select("url", "html").dropDuplicates(["url"]), "url").filter("octet_length(html) >= 512")
-        more = _read(need.select("page_id", "url", "html", "city")).withColumn("n2", facts.contact_count())
+        more = _read(need.select("page_id", "url", "html", "city"), "enrich-renders").withColumn("n2", facts.contact_count())
         keep = read.withColumn("n1", facts.contact_count()).join(more.select("page_id", "n2", F.col("text").alias("t2")), "page_id", "left")
         better = keep.filter("n2 > n1").select("page_id")
         cols = [c for c in read.columns if c not in ("anchored", "thin", "enough")]
-        read = read.select(cols).join(better, "page_id", "left_anti").unionByName(more.join(better, "page_id").select(cols))
-    contacts = read.filter("contacts_url is not null and (hours is null or email is null or address is null)").select("page_id", F.col("contacts_url").alias("url"))
+        rendered = more.join(better, "page_id").select(cols)
+        numbers = numbers.join(better, "page_id", "left_anti").unionByName(_numbers(rendered).withColumn("page_ord", F.lit(0)))
+        read = read.select(*cols, "anchored", "thin", "enough").join(better, "page_id", "left_anti").unionByName(rendered, allowMissingColumns=True)
+    lacking = F.col("hours").isNull() | F.col("email").isNull() | F.col("address").isNull() | ~F.coalesce("anchored", F.lit(False))
+    contacts = read.filter(F.col("contacts_url").isNotNull() & lacking).select("page_id", F.col("contacts_url").alias("url"))
     second = contacts.join(got.filter("status = 'active'").select("url", "html"), "url").join(items.select(F.col("item_pos").alias("page_id"), "city"), "page_id")
-    second = facts.page_facts(second.select("page_id", "url", "html", "city")).withColumn("n2", facts.contact_count())
+    second = _read(second.select("page_id", "url", "html", "city"), "enrich-contacts").withColumn("n2", facts.contact_count())
+    numbers = numbers.unionByName(_numbers(second).withColumn("page_ord", F.lit(1)))
     first = read.withColumn("n1", facts.contact_count()).select("page_id", "n1")
     second = second.join(first, "page_id").filter("n2 > n1 or phone_poisoned")
 
@@ -75,29 +91,38 @@ def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFra
 
     seeds = items.select("item_pos", *[F.col(f"seed_{f}").alias(f) if f"seed_{f}" in items.columns else F.lit(None).cast("string").alias(f) for f in SEED])
     claims = resolve.claims(seeds, "operator_verified", 0, SEED).unionByName(site(read, 2)).unionByName(site(second, 3))
-    closed = items.select("item_pos", F.lit(None).cast("string").alias("maps_status"))
+    closed = items.select("item_pos", F.lit(None).cast("string").alias("maps_status"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
     if src.cards is not None:
         allowed = items.filter("mode = 'places' and not coalesce(skip_maps_check, false)").select("item_pos")
         cards = src.cards.join(allowed, "item_pos")
-        card_facts = cards.select("item_pos", F.col("name").alias("place_name"), "address", "phone", "website", "hours", ((F.coalesce("phone", F.lit("")) != "") & (F.coalesce("website", F.lit("")) != "")).alias("rich"))
+        card_facts = cards.select("item_pos", F.col("name").alias("place_name"), "address", "phone", "website", "hours", *[c for c in ("latitude", "longitude") if c in cards.columns], ((F.coalesce("phone", F.lit("")) != "") & (F.coalesce("website", F.lit("")) != "")).alias("rich"))
         claims = claims.unionByName(resolve.claims(card_facts, "maps", 1, ["place_name", "address", "phone", "website", "hours"], F.col("rich")))
-        closed = cards.select("item_pos", F.col("status").alias("maps_status")).dropDuplicates(["item_pos"])
+        point = [F.col(c) if c in cards.columns else F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")]
+        closed = cards.select("item_pos", F.col("status").alias("maps_status"), *point).dropDuplicates(["item_pos"])
     content = read.select(F.col("page_id").alias("item_pos"), "title", truncate(F.col("text"), config.most_content).alias("content"), "image", "published")
+    context = items.select("item_pos", F.lit(None).cast("string").alias("search_context"), F.lit(None).cast("string").alias("search_sources"))
     if src.results is not None:
+        context = search.aggregate(src.results, ["item_pos"], ["pos"]).select("item_pos", F.col("context").alias("search_context"), F.col("sources").alias("search_sources"))
         found = search.distinct_results(src.results, ["item_pos"], ["pos"])
         snip = found.groupBy("item_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", search.line(F.col("title"), F.col("snippet")).alias("line")))), lambda x: F.coalesce(x.line, F.lit(""))), "\n\n").alias("context"))
         snippet = snip.select("item_pos", facts.snippet_facts(F.col("context")).alias("f")).select("item_pos", "f.*")
         claims = claims.unionByName(resolve.claims(snippet, "search", 4, ["address", "phone", "price"]))
         bare = items.filter("coalesce(url, '') = ''").select("item_pos")
         leads = found.join(bare, "item_pos").select("item_pos", "pos", "url")
-        texts = dom.with_nodes(leads.select("url").distinct().join(got.filter("coalesce(html, '') != ''"), "url").select("url", "html"))
-        texts = texts.select("url", extract.main_text(F.col("nodes")).alias("text"), extract.image(F.col("nodes")).alias("image"))
+        wanted = leads.select("url").distinct().join(got.filter("coalesce(html, '') != ''"), "url")
+        texts = _read(wanted.select(F.col("url").alias("page_id"), "url", "html", F.lit("").alias("city")), "enrich-search")
+        # Facts of found pages: each fact of the first page that has it, as the weakest claims.
+        told = leads.withColumn("place", F.row_number().over(Window.partitionBy("item_pos").orderBy("pos"))).filter(F.col("place") <= config.search_pages).join(texts, "url")
+        firsts = [F.min(F.when(F.col(f).isNotNull(), F.struct("place", f)))[f].alias(f) for f in FIELDS if f not in ("phone", "website")]
+        claims = claims.unionByName(resolve.claims(told.groupBy("item_pos").agg(*firsts), "search", 5, [f for f in FIELDS if f not in ("phone", "website")]))
         pages = search.source_pages(bare, leads, texts, config.search_pages)
         content = content.unionByName(pages.select("item_pos", F.lit(None).cast("string").alias("title"), truncate(F.col("content"), config.most_content).alias("content"), "image", F.lit(None).cast("string").alias("published")))
     resolved = resolve.provenance(resolve.resolve(claims), FIELDS)
-    status = home.select("item_pos", F.coalesce("status", F.lit("unreachable")).alias("site_status"))
-    out = items.select("item_pos").join(status, "item_pos", "left").join(closed, "item_pos", "left").join(content, "item_pos", "left").join(resolved, "item_pos", "left")
+    status = home.select("item_pos", F.coalesce("status", F.lit("unreachable")).alias("site_status"), F.coalesce("tls_fallback_used", F.lit(False)).alias("tls_fallback_used"))
+    skipped = read.select(F.col("page_id").alias("item_pos"), F.coalesce(F.col("enough") & ~F.col("thin"), F.lit(False)).alias("render_skipped"))
+    member = validate.city_membership(F.col("value"), F.col("city"))
+    kept = resolve.accumulated_numbers(numbers.withColumnRenamed("page_id", "item_pos")).join(items.select("item_pos", "city"), "item_pos").withColumn("m", member)
+    every = kept.groupBy("item_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "place", F.struct("value", "source", "trustworthy", "anchored", "role", "m.match", "m.foreign").alias("n")))), lambda x: x.n).alias("numbers"))
+    out = items.select("item_pos").join(status, "item_pos", "left").join(skipped, "item_pos", "left").join(every, "item_pos", "left").join(context, "item_pos", "left").join(closed, "item_pos", "left").join(content, "item_pos", "left").join(resolved, "item_pos", "left")
     final = resolve.closed_status(F.coalesce("site_status", F.lit("")), F.col("maps_status"), F.col("site_status").isNotNull())
     return out.withColumn("status", final).drop("site_status", "maps_status")
-
-

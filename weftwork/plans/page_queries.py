@@ -163,16 +163,16 @@ PROJECT = news.Project("src7", taboo=("scum", "idiot"), positive=("the", "der",
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news entries."""
+    """Documents as news entries: the title is the first 60 characters, the snippet all that follows."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("news_id"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 60).alias("snippet"), F.concat(F.lit("https://news.example.com/"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("doc_id").cast("string"))).alias("url"), "source", (F.col("doc_id") % 3).alias("engines"))
+    return d.select(F.col("doc_id").alias("news_id"), F.substring("text", 1, 60).alias("title"), F.expr("substring(text, 61)").alias("snippet"), F.concat(F.lit("https://news.example.com/"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("doc_id").cast("string"))).alias("url"), "source", (F.col("doc_id") % 3).alias("engines"))
 
 
 def _word(text: str, w: str) -> str:
     return rf"regexp_matches({text}, '(^|[^\p{{L}}\p{{Nd}}]){w}($|[^\p{{L}}\p{{Nd}}])')::int"
 
 
-_SCORE = rf"""with e as (select doc_id as news_id, lower(substr(text, 1, 60)) as t, substr(text, 61, 60) as s, source, doc_id from documents),
+_SCORE = rf"""with e as (select doc_id as news_id, lower(substr(text, 1, 60)) as t, substr(text, 61) as s, source, doc_id from documents),
 f as (select *, t || ' ' || lower(s) as b from e)
 select news_id, (case when doc_id % 11 = 0 or contains(source, 'src7') or contains('src7', source) or {_word('t', 'scum')} + {_word('t', 'idiot')} > 0 then 0 else
   50 + least(25, 5 * ({' + '.join(_word('b', w) for w in PROJECT.positive)})) + case when doc_id % 3 > 1 then 10 else 0 end + case when strlen(s) > 100 then 5 else 0 end
@@ -193,14 +193,16 @@ def news_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.listed(news_score(spark, sf_dir).withColumn("status", F.lit("new")), "new", 60, 20).select("news_id", "score")
 
 
-_STORE = f"select page_id, {_HOST.format('url')} as u, page_id % 4 as part from pages"
+_STORE = r"select page_id, regexp_extract(url, '^([^?#]*)', 1) as u, page_id % 4 as part from (select * from pages union all select page_id + 1000000, url || '?again', html from pages where page_id % 3 = 0)"
 
 
 @query(f"""with p as ({_STORE}), s as (select page_id, u from p where part = 0), b as (select page_id, u, row_number() over (partition by u order by page_id) as k from p where part > 0)
 select page_id, u as url from s union all select page_id, u from b where k = 1 and u not in (select u from s)""")
 def news_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store with a batch's new addresses, the first of each."""
-    p = _pages(spark, sf_dir, "page_id", "url").select("page_id", U.host(F.col("url")).alias("url"), (F.col("page_id") % 4).alias("part"))
+    p = _pages(spark, sf_dir, "page_id", "url")
+    p = p.unionByName(p.filter("page_id % 3 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat("url", F.lit("?again")).alias("url")))
+    p = p.select("page_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("url"), (F.col("page_id") % 4).alias("part"))
     return news.added(p.filter("part = 0").drop("part"), p.filter("part > 0").drop("part").withColumn("seq", F.col("page_id")))
 
 

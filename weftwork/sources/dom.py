@@ -32,7 +32,7 @@ RAW = frozenset("script style iframe noscript noembed noframes xmp textarea titl
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-#: Text of a whole subtree is kept up to so many characters; longer ones are put together from their text nodes where asked for.
+#: Text of a whole subtree is kept with its node up to so many characters; `whole` puts longer ones together where asked for.
 SUBTREE = 4000
 
 NODE = T.StructType(
@@ -150,12 +150,20 @@ class _Page:
     def __init__(self, nodes: list[dict]) -> None:
         self.nodes = nodes
         self.children: dict[int, list[int]] = {}
+        self.place: dict[int, int] = {}
+        self.texts: dict[int, str] = {}
+        self.phones: dict[int, bool] = {}
+        self.labels: dict[int, list[str]] = {}
         for i, n in enumerate(nodes):
             if n["tag"][0] != "#":
-                self.children.setdefault(n["parent"], []).append(i)
+                siblings = self.children.setdefault(n["parent"], [])
+                self.place[i] = len(siblings)
+                siblings.append(i)
 
     def text(self, i: int) -> str:
-        """Text under a node without that of noise elements; the node itself counts whatever it is."""
+        """Text under a node without that of noise elements; the node itself counts whatever it is. Kept, for walks ask again."""
+        if i in self.texts:
+            return self.texts[i]
         out, skip = [], -1
         for n in self.nodes[i : self.nodes[i]["last"] + 1]:
             if n["id"] <= skip:
@@ -164,7 +172,24 @@ class _Page:
                 skip = n["last"]
             elif n["tag"] == "#text":
                 out.append(n["own"])
-        return "".join(out)
+        self.texts[i] = "".join(out)
+        return self.texts[i]
+
+    def phone_in(self, i: int) -> bool:
+        if i not in self.phones:
+            self.phones[i] = bool(_PHONE.search(self.text(i)))
+        return self.phones[i]
+
+    def named(self, parent: int) -> list[str]:
+        """For each child of a node, the text of the nearest earlier one that is no navigation, has text and no phone."""
+        if parent not in self.labels:
+            out, last = [], ""
+            for k in self.children.get(parent, ()):
+                out.append(last)
+                if not self.navigation(k) and not self.phone_in(k) and (t := self.text(k).strip()):
+                    last = t
+            self.labels[parent] = out
+        return self.labels[parent]
 
     def navigation(self, i: int) -> bool:
         n = self.nodes[i]
@@ -177,8 +202,7 @@ class _Page:
         for level in range(LEVELS + 1):
             if i < 0:
                 break
-            before = [k for k in self.children.get(self.nodes[i]["parent"], ()) if k < i]
-            found = next((t for k in reversed(before) if not self.navigation(k) and (t := self.text(k).strip()) and not _PHONE.search(t)), "")
+            found = self.named(self.nodes[i]["parent"])[self.place[i]]
             if not found and level and not self.navigation(i):
                 found = self.nodes[i]["own"].strip()
             if found:
@@ -191,15 +215,16 @@ class _Page:
         for _ in range(LEVELS + 1):
             if i < 0:
                 break
-            after = next((k for k in self.children.get(self.nodes[i]["parent"], ()) if k > i), -1)
+            siblings = self.children[self.nodes[i]["parent"]]
+            after = siblings[self.place[i] + 1] if self.place[i] + 1 < len(siblings) else -1
             for k in (i, after):
-                if k >= 0 and _PHONE.search(self.text(k)):
+                if k >= 0 and self.phone_in(k):
                     return k
             i = self.nodes[i]["parent"]
         return -1
 
     def narrowest(self, i: int) -> int:
-        while (k := next((k for k in self.children.get(i, ()) if self.nodes[k]["tag"] not in P.NOISE_TAGS and _PHONE.search(self.text(k))), -1)) >= 0:
+        while (k := next((k for k in self.children.get(i, ()) if self.nodes[k]["tag"] not in P.NOISE_TAGS and self.phone_in(k)), -1)) >= 0:
             i = k
         return i
 
@@ -288,10 +313,15 @@ def _nodes(html: str | None, url: str | None, phones: bool = True) -> list[dict]
 
 
 @arrow_udf(T.ArrayType(NODE))
-def parse_nodes(html: pa.Array, url: pa.Array) -> pa.Array:
+def _parse_nodes(html: pa.Array, url: pa.Array) -> pa.Array:
     return pa.array([_nodes(h, u) for h, u in zip(html.to_pylist(), url.to_pylist())], _ARROW)
 
 
+#: Said to be nondeterministic so that the optimizer never copies it: a filter that it derives from an explode over nodes
+#: would parse each page a second time.
+parse_nodes = _parse_nodes.asNondeterministic()
+
+
 def with_nodes(pages: DataFrame, html: str = "html", url: str = "url", to: str = "nodes") -> DataFrame:
     """pages with a column of nodes. Filters belong before this, for they do not pass a Python function."""
     return pages.withColumn(to, parse_nodes(html, url))
@@ -305,6 +335,12 @@ def node(nodes: Column, i: Column) -> Column:
     return F.try_element_at(nodes, i + 1)
 
 
+def whole(nodes: Column, n: Column) -> Column:
+    """All text under a node, whatever its length: kept with the node if short, else put together from its text nodes."""
+    inside = F.filter(F.slice(nodes, n.id + 1, n.last - n.id + 1), lambda x: x.tag == "#text")
+    return F.coalesce(n.text, F.array_join(F.transform(inside, lambda x: x.own), ""))
+
+
 def text_of(nodes: Column, root: Column) -> Column:
     """All text under a node, but for boilerplate, head and title."""
     inside = F.filter(F.slice(nodes, root.id + 1, root.last - root.id + 1), lambda n: (n.tag == "#text") & ~n.boiler)

@@ -33,19 +33,31 @@ def is_transient(status: Column, code: Column) -> Column:
 
 
 def classified(fetches: DataFrame) -> DataFrame:
-    """fetches (url, attempt, html, status_code, final_url, tls_error) with status and transient, the body capped by bytes."""
-    body = F.when(F.octet_length("html") <= BODY, F.col("html")).otherwise(F.decode(F.substring(F.encode("html", "UTF-8"), 1, BODY), "UTF-8"))
-    out = fetches.withColumn("status", page_status(F.col("url"), F.col("final_url"), F.col("status_code"))).withColumn("html", body)
+    """fetches (url, attempt, html, status_code, final_url, tls_error) with status and transient, the body capped by bytes.
+
+    A letter that the cap cuts through goes. A certificate error is a status of its own.
+    """
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode("html", "UTF-8"), 1, BODY).cast("string")), "\uFFFD$", "")
+    body = F.when(F.octet_length("html") <= BODY, F.col("html")).otherwise(cut)
+    status = F.when(F.coalesce("tls_error", F.lit(False)), "tls_invalid").otherwise(page_status(F.col("url"), F.col("final_url"), F.col("status_code")))
+    out = fetches.withColumn("status", status).withColumn("html", body)
     return out.withColumn("transient", is_transient(F.col("status"), F.col("status_code")))
 
 
 def settled(fetches: DataFrame) -> DataFrame:
-    """One row a URL: its first attempt that was not transient, else its last; equal calls collapse. A certificate error
-    gives way to the plain-HTTP row of the same URL, if the URL was https."""
+    """One row a URL: its first attempt that was not transient, else its last; equal calls collapse.
+
+    After a certificate error a row of the same https URL without one is the plain-HTTP retry: it counts if it reached a page
+    (`tls_fallback_used`); if it did not, or there is none, the status is `tls_invalid`.
+    """
     c = classified(fetches)
-    rank = F.struct(F.when(F.coalesce("tls_error", F.lit(False)), 1).otherwise(0), F.when(F.col("transient"), 1).otherwise(0), F.when(F.col("transient"), -F.col("attempt")).otherwise(F.col("attempt")))
-    best = c.withColumn("rn", F.row_number().over(Window.partitionBy("url").orderBy(rank))).filter("rn = 1").drop("rn")
-    return best
+    bad = F.coalesce("tls_error", F.lit(False))
+    failed = F.max(bad).over(Window.partitionBy("url")) & F.col("url").startswith("https:")
+    c = c.withColumns({"_failed": failed, "_bad": bad}).withColumn("_useless", F.col("_bad") | (F.col("_failed") & (F.col("status") == "unreachable")))
+    rank = F.struct(F.col("_useless"), F.when(F.col("transient"), 1).otherwise(0), F.when(F.col("transient"), -F.col("attempt")).otherwise(F.col("attempt")))
+    best = c.withColumn("_rn", F.row_number().over(Window.partitionBy("url").orderBy(rank))).filter("_rn = 1")
+    invalid = F.col("_failed") & F.col("_useless")
+    return best.withColumns({"status": F.when(invalid, "tls_invalid").otherwise(F.col("status")), "tls_fallback_used": F.col("_failed") & ~F.col("_useless")}).drop("_rn", "_failed", "_bad", "_useless")
 
 
 def searched(raw: DataFrame, provider: str, order: int = 0) -> DataFrame:
