@@ -322,6 +322,34 @@ def test_enrichment_without_a_page_reads_search_results(spark):
     assert (r.content, r.address, r.address_source, r.status) == ("found\n\n---\n\nmore", "ул. Мира, д. 5", "search", "")
 
 
+def test_cached_records_are_not_enriched_again(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from weftwork.plans import metrics
+    from weftwork.plans.enrich import Config, enrich_cached
+
+    def at(day: int):
+        return F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+
+    def run(known, html, day):
+        items = spark.createDataFrame([(i, f"n{i}", f"https://s{i}.example/", "", "places", False) for i in (1, 2)], "item_pos long, name string, url string, city string, mode string, skip_maps_check boolean")
+        rows = [(f"https://s{i}.example/", 1, html, 200, None, False) for i in (1, 2)]
+        fetches = spark.createDataFrame(rows, "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")
+        seen = Observation()
+        out = metrics.observed(enrich_cached(items, Sources(fetches), known, at(day), config=Config(markdown=True)), seen)
+        out.write.parquet(str(tmp_path / str(day)))
+        return spark.read.parquet(str(tmp_path / str(day))), seen.get
+
+    one, counts = run(None, "<article><h2>old</h2><a href='tel:+78125550001'>x</a></article>", 1)
+    assert (counts["records"], counts["cache_misses"], counts["site_resolved"], counts["phone_official_site"]) == (2, 2, 2, 2)
+    assert all(r.content.startswith("## old") for r in one.collect())
+    two, counts = run(one.filter("item_pos = 1"), "<article>new</article>", 5)
+    assert (counts["cache_hits"], counts["cache_misses"]) == (1, 1)
+    assert {r.item_pos: (r.content, r.cache_hit) for r in two.collect()}[2] == ("new", False)
+    assert {r.item_pos: (r.phone, r.cache_hit) for r in two.collect()}[1] == ("+78125550001", True)
+    assert metrics.phone_sources(two).collect() == [("official_site", 1)]
+
+
 def test_streams(spark, tmp_path):
     from weftwork.streaming import live
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import patterns as P
 from weftwork.functions.text import clean_hours, clean_lines, let, one_spaced, trimmed
 from weftwork.functions.urls import host_port, path, scheme, slug_class
+from weftwork.operators import structured
 from weftwork.sources import dom
 
 #: Text under so many characters is thin; markdown over so many times the first text is taken for noise.
@@ -90,12 +91,33 @@ def image(nodes: Column) -> Column:
     return meta(nodes, "og:image")
 
 
-def published(nodes: Column, url: Column) -> Column:
-    """A publication date as text: meta family, then time elements, then a date in the URL."""
+def metadata(nodes: Column) -> dict[str, Column]:
+    """Title, author, description, site name and language of a page."""
+    page = first(nodes, lambda n: n.tag == "html")
+    return {
+        "title": title(nodes),
+        "author": meta(nodes, "author", "article:author"),
+        "description": meta(nodes, "description", "og:description"),
+        "site_name": meta(nodes, "og:site_name"),
+        "language": F.nullif(trimmed(dom.attr(page, "lang")), F.lit("")),
+    }
+
+
+def stated_date(nodes: Column) -> Column:
+    """The publication date that a page's meta family or its first time element states, as text."""
     when = first(nodes, lambda n: (n.tag == "time") & dom.attr(n, "datetime").isNotNull())
-    in_url = F.regexp_extract(url, r"/((?:19|20)[0-9]{2})[/-]([01]?[0-9])[/-]([0-3]?[0-9])(?:/|$|-)", 0)
-    day = F.regexp_replace(F.regexp_replace(in_url, "^/|[/-]$", ""), "/", "-")
-    return F.coalesce(meta(nodes, "article:published_time", "datePublished", "date", "pubdate", "dc.date"), dom.attr(when, "datetime"), F.nullif(day, F.lit("")))
+    return F.coalesce(meta(nodes, "article:published_time", "datePublished", "date", "pubdate", "dc.date"), dom.attr(when, "datetime"))
+
+
+def date_in_url(url: Column) -> Column:
+    found = F.regexp_extract(url, r"/((?:19|20)[0-9]{2})[/-]([01]?[0-9])[/-]([0-3]?[0-9])(?:/|$|-)", 0)
+    return F.nullif(F.regexp_replace(F.regexp_replace(found, "^/|[/-]$", ""), "/", "-"), F.lit(""))
+
+
+def published(nodes: Column, url: Column) -> Column:
+    """A publication date as text: meta family, then time elements, then the first article item, then a date in the URL."""
+    article = let(structured.first_of(structured.items(nodes), P.ARTICLE_TYPES), structured.article)
+    return F.coalesce(stated_date(nodes), article["published"], date_in_url(url))
 
 
 def contacts_page(nodes: Column, base: Column) -> Column:

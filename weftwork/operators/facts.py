@@ -87,6 +87,7 @@ def page_facts(pages: DataFrame, city: str = "city") -> DataFrame:
         F.coalesce(c("ar.published"), c("ev.start")).alias("event_date"),
         c("pick.poisoned").alias("phone_poisoned"),
         c("vendor").alias("vendor"),
+        c("ar.published").alias("article_date"),
     )
 
 

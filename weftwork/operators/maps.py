@@ -223,3 +223,16 @@ def first_answer(cards: DataFrame, by: str = "item_pos") -> DataFrame:
 def maps_query(name: Column) -> Column:
     """A search text without the site restriction and quotes."""
     return trimmed(F.replace(F.replace(name, F.lit("site:yandex.ru/maps/org"), F.lit("")), F.lit('"'), F.lit("")))
+
+
+def org_query(name: Column, city: Column, address: Column) -> Column:
+    """A search for an organization's page: its quoted name, the city, and the distinctive words of an address if it has any."""
+    hint = F.coalesce(street_hint(address, city), F.lit(""))
+    text = F.concat(F.lit('site:yandex.ru/maps/org "'), name, F.lit('" '), city)
+    return F.concat(text, F.when(hint != "", F.concat(F.lit(" "), hint)).otherwise(""))
+
+
+def rendered_html(answer: Column) -> Column:
+    """The page in a render service's answer {url, html, error}; null for an error, no page, or no such answer."""
+    a = F.from_json(answer, "url string, html string, error string")
+    return F.when(F.coalesce(a.error, F.lit("")) == "", F.nullif(a.html, F.lit("")))

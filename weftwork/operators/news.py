@@ -73,3 +73,12 @@ def updated(store: DataFrame, changes: DataFrame) -> DataFrame:
 def absent(store: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes that name no entry: an error for a caller to see."""
     return changes.join(store.select("news_id"), "news_id", "left_anti")
+
+
+def known_urls(store: DataFrame) -> DataFrame:
+    return store.filter("url is not null").select("url").distinct()
+
+
+def totals(store: DataFrame) -> DataFrame:
+    """One row: entries and different URLs of the store."""
+    return store.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("url").alias("urls"))

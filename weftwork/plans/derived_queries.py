@@ -574,3 +574,60 @@ def enrich_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = t.select(c("s_suppkey").alias("item_pos"), F.lit("open").alias("status"), *[F.lit("").alias(f) for f in ("name", "address", "phone", "website", "hours")], F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude"))
     out = enrich(items, Sources(fetches, cards=cards))
     return out.select("item_pos", "status", "phone", "address", "email", F.array_join(F.transform("numbers", lambda n: F.concat_ws(" ", n.value, n.source)), ";").alias("numbers"), "tls_fallback_used", "latitude")
+
+
+@query("""select s_suppkey as item_pos, 'active' as status, case when s_suppkey % 3 < 2 then '+7812555' || lpad(s_suppkey::varchar, 4, '0') end as phone, case when s_suppkey % 3 < 2 then 'ул. Садовая, д. ' || s_suppkey end as address,
+  case s_suppkey % 3 when 0 then repeat('word ', 119) || 'word' when 1 then 'hi' else 'readable ' || s_suppkey end as content, 'T' as title, case when s_suppkey % 3 = 2 then 'A' end as author, 'ru' as "language", false as render_skipped from supplier""")
+def enrich_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homepages that tell too little: a third has a render, a third a contacts page with one, a third a readability text."""
+    from weftwork.plans.enrich import Sources, enrich
+
+    k, t, kind = c("s_suppkey").cast("string"), table(spark, sf_dir, "supplier"), c("s_suppkey") % 3
+    url = F.concat(F.lit("https://s"), k, F.lit(".example/"))
+    items = t.select(c("s_suppkey").alias("item_pos"), url.alias("url"), F.lit("").alias("city"), F.lit("places").alias("mode"), F.lit(True).alias("skip_maps_check"))
+    home = F.concat(F.lit("<html lang='ru'><head><title>T</title></head><body><article>hi</article>"), F.when(kind == 1, "<a href='/contacts'>Контакты</a>").otherwise(""), F.lit("</body></html>"))
+    full = _html("<article>", F.repeat(F.lit("word "), 120), "</article><footer><address>ул. Садовая, д. ", k, "</address><a href='tel:+7812555", F.lpad(k, 4, "0"), "'>x</a></footer>")
+
+    def fetch(at: Column, html: Column) -> DataFrame:
+        return t.select(at.alias("url"), F.lit(1).alias("attempt"), html.alias("html"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), F.lit(False).alias("tls_error"))
+
+    contacts = F.concat(url, F.lit("contacts"))
+    renders = t.select(url.alias("url"), F.when(kind == 0, full).otherwise("<p>blocked</p>").alias("html")).unionByName(t.select(contacts.alias("url"), full.alias("html")))
+    readable = t.filter(kind == 2).select(url.alias("url"), F.concat(F.lit("readable "), k).alias("content"), F.lit("").alias("title"), F.lit("A").alias("author"), F.lit(None).cast("string").alias("excerpt"))
+    out = enrich(items, Sources(fetch(url, home).unionByName(fetch(contacts, F.lit("<p>x</p>"))), renders=renders, readability=readable))
+    return out.select("item_pos", "status", "phone", "address", "content", "title", "author", "language", "render_skipped")
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then '2024-05-01' when 1 then '2023-01-02' else '2022-11-09' end as published from part""")
+def jsonld_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of an article item comes after the page's own, before that of the address."""
+    kind = c("p_partkey") % 3
+    item = F.when(kind < 2, """<script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "2024-05-01"}</script>""").otherwise("")
+    own = F.when(kind == 1, "<time datetime='2023-01-02'>x</time>").otherwise("")
+    pages = table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.concat(F.lit("https://a.example/2022/11/09/"), c("p_partkey").cast("string")).alias("url"), _html(item, own).alias("html"))
+    return dom.with_nodes(pages).select(c("page_id").alias("p_partkey"), extract.published(c("nodes"), c("url")).alias("published"))
+
+
+@query("""select s_suppkey, 'site:yandex.ru/maps/org "' || s_name || '" Санкт-Петербург' || case s_suppkey % 3 when 0 then ' невский' when 1 then '' else ' литейный' end as query from supplier""")
+def org_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for an organization's page."""
+    k = c("s_suppkey").cast("string")
+    address = F.element_at(F.array(F.concat(F.lit("СПб, Невский пр., д. "), k), F.lit(""), F.concat(F.lit("Литейный проспект, "), k)), (c("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", maps.org_query(c("s_name"), F.lit("Санкт-Петербург"), address).alias("query"))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then '<p>' || c_custkey || '</p>' end as html from customer""")
+def render_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a render service's answers: one is whole, one an error, one empty, one cut off."""
+    page = F.concat(F.lit("<p>"), c("c_custkey").cast("string"), F.lit("</p>"))
+    answer = F.to_json(F.struct(F.lit("u").alias("url"), F.when(c("c_custkey") % 4 == 2, "").otherwise(page).alias("html"), F.when(c("c_custkey") % 4 == 1, "timeout").alias("error")))
+    cut = F.when(c("c_custkey") % 4 == 3, F.substring(answer, 1, 9)).otherwise(answer)
+    return table(spark, sf_dir, "customer").select("c_custkey", maps.rendered_html(cut).alias("html"))
+
+
+@query("select count(*) as entries, count(distinct user_id) as urls from events")
+def news_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and different addresses of a store."""
+    from weftwork.operators import news
+
+    return news.totals(table(spark, sf_dir, "events").select(F.concat(F.lit("https://n.example/"), c("user_id").cast("string")).alias("url")))

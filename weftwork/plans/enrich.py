@@ -2,61 +2,95 @@
 
 items ⟕ map cards, ⟕ homepages ⟕ renders where the raw page tells too little ⟕ contacts pages found on them, ⟕ search results
 and their pages where a record has no page → claims → one aggregate by (item, field). Each set of pages is read once: facts,
-text, links and all numbers come from one parse and are written to the shared folder, without the markup.
+text, links and all numbers come from one parse and are written to the shared folder, without the markup. `enrich_cached`
+serves records from a table of earlier results and enriches the others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import truncate
-from weftwork.operators import extract, facts, phones, resolve, search
+from weftwork.operators import extract, facts, phones, resolve, search, state
 from weftwork.functions import urls, validate
 from weftwork.sources import dom, tables
 from weftwork.sources.shared import written
 
 FIELDS = ["place_name", "place_type", "address", "legal_address", "phone", "website", "hours", "price", "email", "event_date"]
 SEED = ["place_name", "address", "phone", "website", "hours", "email", "price"]
+META = ["title", "author", "description", "site_name", "language"]
+#: A render under so many bytes is an error page.
+LEAST_RENDER = 512
 
 
 @dataclass(frozen=True)
 class Config:
-    """most_content: characters of content, 0 for all. search_pages: pages read for a record without one."""
+    """most_content: characters of content, 0 for all. search_pages: pages read for a record without one. markdown: whether
+    content is markdown, not plain text."""
 
     most_content: int = 0
     search_pages: int = search.PAGES
     render_skip_disabled: bool = False
+    markdown: bool = False
 
 
 @dataclass(frozen=True)
 class Sources:
     """Collected material. fetches: url, attempt, html, status_code, final_url, tls_error. renders: url, html. cards: item_pos,
-    status, name, address, phone, website, hours. results: item_pos, pos, url, title, snippet. Any but fetches may be None."""
+    status, name, address, phone, website, hours. results: item_pos, pos, url, title, snippet. readability: url, content, title,
+    author, excerpt, one row a url. Any but fetches may be None."""
 
     fetches: DataFrame
     renders: DataFrame | None = None
     cards: DataFrame | None = None
     results: DataFrame | None = None
+    readability: DataFrame | None = None
 
 
-def _read(pages: DataFrame, name: str) -> DataFrame:
-    """Facts, text, image, date, contacts link, vendor and candidate numbers of pages (page_id, url, html, city), written."""
+def _read(pages: DataFrame, name: str, config: Config) -> DataFrame:
+    """Facts, text, metadata, contacts link, vendor and candidate numbers of pages (page_id, url, html, city), written."""
     n = F.col("nodes")
-    p = dom.with_nodes(pages).withColumns({"title": extract.title(n), "text": extract.main_text(n), "image": extract.image(n), "published": extract.published(n, F.col("url")), "contacts_url": extract.contacts_page(n, F.col("url")), "all": phones.every(n)})
-    return written(facts.page_facts(p).drop("html"), name)
+    text = extract.markdown(n) if config.markdown else extract.main_text(n)
+    p = dom.with_nodes(pages).withColumns({**extract.metadata(n), "text": text, "image": extract.image(n), "published": extract.stated_date(n), "contacts_url": extract.contacts_page(n, F.col("url")), "all": phones.every(n)})
+    read = facts.page_facts(p).withColumn("published", F.coalesce("published", "article_date", extract.date_in_url(F.col("url"))))
+    return written(read.drop("html", "article_date"), name)
 
 
 def _numbers(read: DataFrame) -> DataFrame:
     return phones.numbers(read.select("page_id", "vendor", "all", F.col("phone_poisoned").alias("poisoned")))
 
 
+def longer(told: DataFrame, more: DataFrame) -> DataFrame:
+    """told (page_id, text and metadata) with the text of `more` where that is longer; metadata that it lacks come with it."""
+    names = [c for c in META if c in more.columns]
+    j = told.join(more.select("page_id", F.col("text").alias("_text"), *[F.col(c).alias(f"_{c}") for c in names]), "page_id", "left")
+    wins = F.length(F.coalesce("_text", F.lit(""))) > F.length(F.coalesce("text", F.lit("")))
+    filled = {c: F.when(wins, F.coalesce(F.nullif(c, F.lit("")), f"_{c}", c)).otherwise(F.col(c)) for c in names}
+    return j.withColumns({"text": F.when(wins, F.col("_text")).otherwise(F.col("text")), **filled}).drop("_text", *[f"_{c}" for c in names])
+
+
+def _rendered(read: DataFrame, numbers: DataFrame, wanted: DataFrame, src: Sources, name: str, place: int, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read and numbers with the renders of the wanted pages (page_id, url, city) where these tell strictly more contacts, and
+    all renders read. A page whose numbers are poisoned stays so."""
+    renders = src.renders.groupBy("url").agg(F.max("html").alias("html")).filter(F.octet_length("html") >= LEAST_RENDER)
+    more = _read(wanted.join(renders, "url").select("page_id", "url", "html", "city"), name, config)
+    raw = read.select("page_id", facts.contact_count().alias("n1"), F.col("phone_poisoned").alias("p1"))
+    better = more.withColumn("n2", facts.contact_count()).join(raw, "page_id", "left").filter("n2 > coalesce(n1, 0)")
+    poisoned = F.col("phone_poisoned") | F.coalesce("p1", F.lit(False))
+    better = better.withColumns({"phone_poisoned": poisoned, "phone": F.when(~poisoned, F.col("phone"))}).drop("n1", "n2", "p1")
+    ids = better.select("page_id")
+    numbers = numbers.join(ids, "page_id", "left_anti").unionByName(_numbers(better).withColumn("page_ord", F.lit(place)))
+    return read.join(ids, "page_id", "left_anti").unionByName(better, allowMissingColumns=True), numbers, more
+
+
 def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFrame:
     """items (item_pos, name, url, city, mode, skip_maps_check, seed_*...) with resolved facts, provenance, status and content.
 
-    Beside these: numbers (every number of the item's pages with its trust, role and city), search_context and search_sources,
+    Content is the longest of the page's own text, that of a readability service and that of its render, with title, author,
+    description, site name and language. Beside these: numbers (every number of the item's pages with its trust, role and city), search_context and search_sources,
     coordinates of the map card, and the flags render_skipped and tls_fallback_used. Addresses that may point inside are
     never read.
     """
@@ -64,24 +98,36 @@ def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFra
     got = written(got, "enrich-fetches")
     home = items.select("item_pos", "url", "city").filter("coalesce(url, '') != ''").join(got, "url", "left")
     active = home.filter("status = 'active' and coalesce(html, '') != ''").select(F.col("item_pos").alias("page_id"), "url", "html", "city")
-    read = _read(active, "enrich-home").withColumn("thin", extract.is_thin(F.col("text")))
+    read = _read(active, "enrich-home", config)
+    told = read.select("page_id", "url", *META, "text", "image", "published")
+    if src.readability is not None:
+        service = src.readability.select("url", F.col("content").alias("text"), "title", "author", F.col("excerpt").alias("description"))
+        told = longer(told, told.select("page_id", "url").join(service, "url"))
     numbers = _numbers(read).withColumn("page_ord", F.lit(0))
-    read = read.join(numbers.groupBy("page_id").agg(F.max("anchored").alias("anchored")), "page_id", "left").withColumn("enough", facts.raw_is_sufficient(facts.has_contacts(), F.col("phone_poisoned"), F.coalesce("anchored", F.lit(False)), F.lit(config.render_skip_disabled)))
+    anchored = numbers.groupBy("page_id").agg(F.max("anchored").alias("anchored"))
+
+    def enough(pages: DataFrame) -> DataFrame:
+        sure = facts.raw_is_sufficient(facts.has_contacts(), F.col("phone_poisoned"), F.coalesce("anchored", F.lit(False)), F.lit(config.render_skip_disabled))
+        return pages.withColumn("enough", sure)
+
+    read = enough(read.join(anchored, "page_id", "left").join(told.select("page_id", extract.is_thin(F.col("text"), config.markdown).alias("thin")), "page_id"))
+    skipped = read.select(F.col("page_id").alias("item_pos"), F.coalesce(F.col("enough") & ~F.col("thin"), F.lit(False)).alias("render_skipped"))
     if src.renders is not None:
-        # Only pages that tell too little are rendered; a render counts where it tells strictly more.
-        need = read.filter("thin or not enough").select("page_id", "url", "city").join(src.renders.select("url", "html").dropDuplicates(["url"]), "url").filter("octet_length(html) >= 512")
-        more = _read(need.select("page_id", "url", "html", "city"), "enrich-renders").withColumn("n2", facts.contact_count())
-        keep = read.withColumn("n1", facts.contact_count()).join(more.select("page_id", "n2", F.col("text").alias("t2")), "page_id", "left")
-        better = keep.filter("n2 > n1").select("page_id")
-        cols = [c for c in read.columns if c not in ("anchored", "thin", "enough")]
-        rendered = more.join(better, "page_id").select(cols)
-        numbers = numbers.join(better, "page_id", "left_anti").unionByName(_numbers(rendered).withColumn("page_ord", F.lit(0)))
-        read = read.select(*cols, "anchored", "thin", "enough").join(better, "page_id", "left_anti").unionByName(rendered, allowMissingColumns=True)
+        # Only pages that tell too little are rendered; a render's text counts where it is longer.
+        read, numbers, more = _rendered(read, numbers, read.filter("thin or not enough").select("page_id", "url", "city"), src, "enrich-renders", 0, config)
+        told = longer(told, more.select("page_id", "title", "text"))
+        read = read.drop("anchored").join(numbers.groupBy("page_id").agg(F.max("anchored").alias("anchored")), "page_id", "left")
     lacking = F.col("hours").isNull() | F.col("email").isNull() | F.col("address").isNull() | ~F.coalesce("anchored", F.lit(False))
-    contacts = read.filter(F.col("contacts_url").isNotNull() & lacking).select("page_id", F.col("contacts_url").alias("url"))
-    second = contacts.join(got.filter("status = 'active'").select("url", "html"), "url").join(items.select(F.col("item_pos").alias("page_id"), "city"), "page_id")
-    second = _read(second.select("page_id", "url", "html", "city"), "enrich-contacts").withColumn("n2", facts.contact_count())
-    numbers = numbers.unionByName(_numbers(second).withColumn("page_ord", F.lit(1)))
+    contacts = read.filter(F.col("contacts_url").isNotNull() & lacking).select("page_id", F.col("contacts_url").alias("url"), "city")
+    second = contacts.join(got.filter("status = 'active' and coalesce(html, '') != ''").select("url", "html"), "url")
+    second = _read(second.select("page_id", "url", "html", "city"), "enrich-contacts", config)
+    sites = _numbers(second).withColumn("page_ord", F.lit(1))
+    if src.renders is not None:
+        sure = enough(second.join(sites.groupBy("page_id").agg(F.max("anchored").alias("anchored")), "page_id", "left")).filter("enough")
+        wanted = contacts.filter(~urls.private_target(F.col("url"))).join(sure.select("page_id"), "page_id", "left_anti")
+        second, sites, _ = _rendered(second, sites, wanted, src, "enrich-contacts-renders", 1, config)
+    second = second.withColumn("n2", facts.contact_count())
+    numbers = numbers.unionByName(sites)
     first = read.withColumn("n1", facts.contact_count()).select("page_id", "n1")
     second = second.join(first, "page_id").filter("n2 > n1 or phone_poisoned")
 
@@ -99,7 +145,7 @@ def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFra
         claims = claims.unionByName(resolve.claims(card_facts, "maps", 1, ["place_name", "address", "phone", "website", "hours"], F.col("rich")))
         point = [F.col(c) if c in cards.columns else F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")]
         closed = cards.select("item_pos", F.col("status").alias("maps_status"), *point).dropDuplicates(["item_pos"])
-    content = read.select(F.col("page_id").alias("item_pos"), "title", truncate(F.col("text"), config.most_content).alias("content"), "image", "published")
+    content = told.select(F.col("page_id").alias("item_pos"), *META, truncate(F.col("text"), config.most_content).alias("content"), "image", "published")
     context = items.select("item_pos", F.lit(None).cast("string").alias("search_context"), F.lit(None).cast("string").alias("search_sources"))
     if src.results is not None:
         context = search.aggregate(src.results, ["item_pos"], ["pos"]).select("item_pos", F.col("context").alias("search_context"), F.col("sources").alias("search_sources"))
@@ -110,19 +156,35 @@ def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFra
         bare = items.filter("coalesce(url, '') = ''").select("item_pos")
         leads = found.join(bare, "item_pos").select("item_pos", "pos", "url")
         wanted = leads.select("url").distinct().join(got.filter("coalesce(html, '') != ''"), "url")
-        texts = _read(wanted.select(F.col("url").alias("page_id"), "url", "html", F.lit("").alias("city")), "enrich-search")
+        texts = _read(wanted.select(F.col("url").alias("page_id"), "url", "html", F.lit("").alias("city")), "enrich-search", config)
         # Facts of found pages: each fact of the first page that has it, as the weakest claims.
         told = leads.withColumn("place", F.row_number().over(Window.partitionBy("item_pos").orderBy("pos"))).filter(F.col("place") <= config.search_pages).join(texts, "url")
         firsts = [F.min(F.when(F.col(f).isNotNull(), F.struct("place", f)))[f].alias(f) for f in FIELDS if f not in ("phone", "website")]
         claims = claims.unionByName(resolve.claims(told.groupBy("item_pos").agg(*firsts), "search", 5, [f for f in FIELDS if f not in ("phone", "website")]))
         pages = search.source_pages(bare, leads, texts, config.search_pages)
-        content = content.unionByName(pages.select("item_pos", F.lit(None).cast("string").alias("title"), truncate(F.col("content"), config.most_content).alias("content"), "image", F.lit(None).cast("string").alias("published")))
+        content = content.unionByName(pages.select("item_pos", truncate(F.col("content"), config.most_content).alias("content"), "image"), allowMissingColumns=True)
     resolved = resolve.provenance(resolve.resolve(claims), FIELDS)
     status = home.select("item_pos", F.coalesce("status", F.lit("unreachable")).alias("site_status"), F.coalesce("tls_fallback_used", F.lit(False)).alias("tls_fallback_used"))
-    skipped = read.select(F.col("page_id").alias("item_pos"), F.coalesce(F.col("enough") & ~F.col("thin"), F.lit(False)).alias("render_skipped"))
     member = validate.city_membership(F.col("value"), F.col("city"))
     kept = resolve.accumulated_numbers(numbers.withColumnRenamed("page_id", "item_pos")).join(items.select("item_pos", "city"), "item_pos").withColumn("m", member)
     every = kept.groupBy("item_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "place", F.struct("value", "source", "trustworthy", "anchored", "role", "m.match", "m.foreign").alias("n")))), lambda x: x.n).alias("numbers"))
     out = items.select("item_pos").join(status, "item_pos", "left").join(skipped, "item_pos", "left").join(every, "item_pos", "left").join(context, "item_pos", "left").join(closed, "item_pos", "left").join(content, "item_pos", "left").join(resolved, "item_pos", "left")
     final = resolve.closed_status(F.coalesce("site_status", F.lit("")), F.col("maps_status"), F.col("site_status").isNotNull())
     return out.withColumn("status", final).drop("site_status", "maps_status")
+
+
+def enrich_cached(items: DataFrame, src: Sources, cached: DataFrame | None, now: Column, ttl: str = "7 days", config: Config = Config()) -> DataFrame:
+    """enrich's rows with cache_key, stored_at and cache_hit: records with a result in `cached` no older than ttl have that,
+    the others are enriched. Rows without cache_hit are what a caller appends to the table that it passes as `cached` next time.
+    """
+    seed = state.seed_print(*[F.col(f"seed_{f}") if f"seed_{f}" in items.columns else F.lit(None).cast("string") for f in SEED if f != "email"])
+    keyed = items.withColumn("cache_key", state.cache_key(F.col("url"), F.col("name"), seed, F.coalesce("skip_maps_check", F.lit(False))))
+    if cached is None:
+        new = enrich(items, src, config).join(keyed.select("item_pos", "cache_key"), "item_pos")
+        return new.withColumns({"stored_at": now, "cache_hit": F.lit(False)})
+    fresh = cached.filter((F.col("stored_at") > now - F.expr(f"interval {ttl}")) & (F.col("stored_at") <= now)).drop("item_pos", "cache_hit")
+    fresh = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*[c for c in fresh.columns if c != "cache_key"]), "stored_at").alias("r"))
+    hits = keyed.select("item_pos", "cache_key").join(fresh, "cache_key").select("item_pos", "cache_key", "r.*").withColumn("cache_hit", F.lit(True))
+    missing = keyed.join(fresh.select("cache_key"), "cache_key", "left_anti")
+    new = enrich(missing.drop("cache_key"), src, config).join(missing.select("item_pos", "cache_key"), "item_pos")
+    return hits.unionByName(new.withColumns({"stored_at": now, "cache_hit": F.lit(False)}))
