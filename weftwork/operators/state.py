@@ -103,22 +103,37 @@ def error_streaks(calls: DataFrame, by: str, order: list[str], failed: Column) -
     return c.withColumn("suspend_s", F.when(F.col("streak") > 0, suspension(F.col("streak"))).otherwise(0))
 
 
-def breaker(calls: DataFrame, by: str, at: str, failed: str) -> DataFrame:
+def backend_calls(calls: DataFrame, timeout_s: float = 0) -> DataFrame:
+    """calls (status, error, took_s, cancelled) with `failed` and `cancelled` as a breaker before a backend counts them.
+
+    An error, a call over the time-out (0: none) and an answer without a status are failures; that a place was not found is
+    none. Errors of a caller who had given up are not charged to the backend.
+    """
+    late = F.coalesce(F.col("took_s") > timeout_s, F.lit(False)) if timeout_s > 0 else F.lit(False)
+    wrong = F.col("error").isNotNull() | late
+    return calls.withColumns({"failed": wrong | F.col("status").isNull(), "cancelled": wrong & F.coalesce("cancelled", F.lit(False))})
+
+
+def breaker(calls: DataFrame, by: str, at: str, failed: str, cancelled: str | None = None) -> DataFrame:
     """(by, seq, outcome): each call through a circuit breaker, suspended while an earlier error's suspension lasts.
 
-    A suspended call does not reach the provider, so what later calls meet depends on it: an ordered fold.
+    A suspended call does not reach the provider, so what later calls meet depends on it: an ordered fold. A call for which
+    `cancelled` holds counts neither as an error nor as a success.
     """
 
     def step(state: tuple, row: list) -> tuple:
-        (errors, until), (at, seq, failed) = state, row
+        (errors, until), (at, seq, failed, cancelled) = state, row
         if at < until:
             return state, (seq, "suspended")
+        if cancelled:
+            return state, (seq, "cancelled")
         if not failed:
             return (0, -1), (seq, "success")
         wait = min(SUSPEND_MOST, SUSPEND * 2 ** min(errors, DOUBLINGS))
         return (errors + 1, at + wait * 1_000_000), (seq, "error")
 
-    rows = calls.select(by, _micros(at).alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col(failed), F.lit(False)).alias("failed"))
+    flags = [(F.coalesce(F.col(f), F.lit(False)) if f else F.lit(False)).alias(n) for f, n in ((failed, "failed"), (cancelled, "cancelled"))]
+    rows = calls.select(by, _micros(at).alias("at"), F.col("seq").cast("long").alias("seq"), *flags)
     return folded(rows, by, ["at", "seq"], (0, -1), step, {"seq": pa.int64(), "outcome": pa.string()})
 
 

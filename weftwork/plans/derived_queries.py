@@ -267,9 +267,10 @@ def _supplier_page() -> Column:
 _SUPPLIER_FACTS = "select s_suppkey, s_name as place_name, 'ул. Садовая, д. ' || s_suppkey as address, 'пр. Ленина, д. ' || s_suppkey as legal_address, '+7812555' || lpad(s_suppkey::varchar, 4, '0') as phone, '10:00-20:00' as hours, s_suppkey || ' руб.' as price, 'a' || s_suppkey || '@b.example' as email, false as phone_poisoned from supplier"
 
 
-def _supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _supplier_facts(spark: SparkSession, sf_dir: str, html: Column | None = None) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    pages = s.select(c("s_suppkey").alias("page_id"), F.concat(F.lit("https://site"), c("s_suppkey"), F.lit(".example.com/")).alias("url"), _supplier_page().alias("html"), F.lit("").alias("city"))
+    html = _supplier_page() if html is None else html
+    pages = s.select(c("s_suppkey").alias("page_id"), F.concat(F.lit("https://site"), c("s_suppkey"), F.lit(".example.com/")).alias("url"), html.alias("html"), F.lit("").alias("city"))
     return facts.page_facts(pages).withColumnRenamed("page_id", "s_suppkey")
 
 
@@ -279,11 +280,15 @@ def facts_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _supplier_facts(spark, sf_dir).select("s_suppkey", "place_name", "address", "legal_address", "phone", "hours", "price", "email", "phone_poisoned")
 
 
-@query("select s_suppkey, 5 as n, true as contacts, true as any_fact, true as sufficient, null::varchar as reason from supplier")
+@query("""select s_suppkey, [5, 0, 0, 1][s_suppkey % 4 + 1] as n, s_suppkey % 4 in (0, 3) as contacts, s_suppkey % 4 <> 2 as any_fact, s_suppkey % 4 in (0, 3) or s_suppkey % 8 = 2 as sufficient,
+  case when s_suppkey % 8 = 3 then 'thin_content' when s_suppkey % 4 = 1 or s_suppkey % 8 = 6 then 'absent_contacts' end as reason from supplier""")
 def render_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much a page tells and whether it need be rendered."""
-    f = _supplier_facts(spark, sf_dir).withColumn("enough", facts.raw_is_sufficient(facts.has_contacts(), c("phone_poisoned"), F.lit(False)))
-    return f.select("s_suppkey", facts.contact_count().alias("n"), facts.has_contacts().alias("contacts"), facts.has_any_fact().alias("any_fact"), c("enough").alias("sufficient"), facts.render_reason(F.lit(False), c("enough")).alias("reason"))
+    """How much a page tells and whether it need be rendered: whole pages, a bare name, nothing (half with a number that
+    stands in a contact area), an address of e-mail alone (half with a thin text)."""
+    name = F.concat(F.lit("<script type='application/ld+json'>{\"@type\": \"Organization\", \"name\": \""), c("s_name"), F.lit("\"}</script>"))
+    page = F.element_at(F.array(_supplier_page(), _html(name), _html("<p>hello</p>"), _html("<footer><a href='mailto:a@b.example'>m</a></footer>")), (c("s_suppkey") % 4 + 1).cast("int"))
+    f = _supplier_facts(spark, sf_dir, page).withColumn("enough", facts.raw_is_sufficient(facts.has_contacts(), c("phone_poisoned"), c("s_suppkey") % 8 == 2))
+    return f.select("s_suppkey", facts.contact_count().alias("n"), facts.has_contacts().alias("contacts"), facts.has_any_fact().alias("any_fact"), c("enough").alias("sufficient"), facts.render_reason(c("s_suppkey") % 8 == 3, c("enough")).alias("reason"))
 
 
 @query("select p_partkey, case when p_partkey % 3 = 0 then 'https://img.example/' || p_partkey end as image, case p_partkey % 3 when 0 then '2024-02-03' when 1 then '2023-01-02T03:04' else '2022-11-09' end as published from part")
@@ -527,6 +532,21 @@ def fetch_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.settled(f).select("url", "attempt")
 
 
+@query("""with recursive e as (select user_id % 20 as backend, event_id, event_id * 7 as moment, event_type = 'error' or value > 100 as wrong, event_id % 5 = 0 as mute, event_id % 3 = 0 as gone,
+    row_number() over (partition by user_id % 20 order by event_id) as k from events),
+f as (select backend, 0::bigint as k, null::bigint as seq, 0 as errors, -1::bigint as until, '' as outcome from (select distinct backend from e)
+  union all select e.backend, e.k, e.event_id, case when moment < until or wrong and gone then errors when wrong or mute then errors + 1 else 0 end,
+    case when moment < until or wrong and gone then until when wrong or mute then moment + least(600, 30 * (1 << least(errors, 8))) else -1 end,
+    case when moment < until then 'suspended' when wrong and gone then 'cancelled' when wrong or mute then 'error' else 'success' end
+  from f join e on e.backend = f.backend and e.k = f.k + 1)
+select backend, seq, outcome from f where seq is not null""")
+def backend_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of map backends through breakers: late ones and answers without a status fail, callers who gave up are not charged."""
+    status = F.when(c("event_id") % 5 != 0, F.when(c("event_id") % 2 == 0, "not_found").otherwise("open"))
+    e = table(spark, sf_dir, "events").select((c("user_id") % 20).alias("backend"), c("event_id").alias("seq"), F.timestamp_seconds(c("event_id") * 7).alias("at"), status.alias("status"), F.when(c("event_type") == "error", "refused").alias("error"), c("value").alias("took_s"), (c("event_id") % 3 == 0).alias("cancelled"))
+    return state.breaker(state.backend_calls(e, 100), "backend", "at", "failed", "cancelled")
+
+
 @query("""select s_suppkey, i::int as pos, 'https://r' || s_suppkey || '-' || i || '.example' as url, 'T' || i as title from supplier, (select unnest([0, 1]) as i)""")
 def search_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows out of a provider's JSON answer."""
@@ -536,6 +556,41 @@ def search_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.searched(raw, "brave").select(c("query").alias("s_suppkey"), "pos", "url", "title")
 
 
+@query("""select s_suppkey, provider, i::int as pos, 'https://' || provider || s_suppkey || '-' || i || '.example' as url, 'T' || i as title, case when i = 0 then 'd' end as snippet
+  from supplier, (select unnest(['google', 'searxng', 'proxy']) as provider), (select unnest([0, 1]) as i) where provider <> 'proxy' or s_suppkey % 3 = 0""")
+def search_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows out of two providers' answers; a third's come in a fetch proxy's envelope, with errors and other codes."""
+    s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("query"))
+
+    def answer(name: str, many: str, link: str, text: str) -> Column:
+        row = lambda i: F.struct(F.concat(F.lit(f"https://{name}"), c("query"), F.lit(f"-{i}.example")).alias(link), F.lit(f"T{i}").alias("title"), F.lit(None if i else "d").cast("string").alias(text))
+        return F.to_json(F.struct(F.array(row(0), row(1)).alias(many)))
+
+    google = tables.searched(s.withColumn("payload", answer("google", "items", "link", "snippet")), "google")
+    searxng = answer("searxng", "results", "url", "content")
+    own = tables.searched(s.withColumn("payload", searxng), "searxng")
+    kind = c("query") % 3
+    envelope = F.to_json(F.struct(answer("proxy", "results", "url", "content").alias("body"), F.when(kind == 1, 403).otherwise(200).alias("status"), F.when(kind == 2, "timeout").alias("error")))
+    proxied = tables.unwrapped(s.withColumn("payload", envelope)).select("query", c("body").alias("payload"))
+    rows = google.unionByName(own).unionByName(tables.searched(proxied, "searxng").withColumn("provider", F.lit("proxy")))
+    return rows.select(c("query").alias("s_suppkey"), "provider", "pos", "url", "title", "snippet")
+
+
+@query("""select s_suppkey, 'https://yandex.ru/maps/org/a/' || s_suppkey || '/ https://yandex.com/maps/org/b/2/' || case when s_suppkey % 2 = 0 then ' https://yandex.ru/maps/org/c/3/' else '' end as links,
+  s_suppkey % 2 = 0 as is_org, s_name || ' Москва' as query, ['open', 'permanently_closed', 'open'][s_suppkey % 3 + 1] as status from supplier""")
+def org_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An organization's links on a page, told from other addresses; its search without the restriction; the status of a page
+    that was not rendered."""
+    k = c("s_suppkey").cast("string")
+    first = F.concat(F.lit("<a href='https://yandex.ru/maps/org/a/"), k, F.lit("/?x=1'>"))
+    more = F.when(c("s_suppkey") % 2 == 0, "<a href='https://yandex.ru/maps/org/c/3/'><a href='https://www.yandex.ru/maps/org/d/4/'>").otherwise("")
+    html = _html(first, first, "<a href='https://yandex.ru/maps/2/x/'><a href='https://yandex.com/maps/org/b/2/'>", more)
+    url = F.when(c("s_suppkey") % 2 == 0, "https://yandex.com/maps/org/x/1/").otherwise("https://yandex.ru/maps/2/x/")
+    page = F.element_at(F.array(F.lit('{"status" : "open"}'), F.lit('{"status":"permanent-closed"}'), F.lit("<p>x</p>")), (c("s_suppkey") % 3 + 1).cast("int"))
+    asked = maps.org_query(c("s_name"), F.lit("Москва"), F.lit(""))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(maps.org_links(html), " ").alias("links"), maps.is_org_link(url).alias("is_org"), F.regexp_replace(maps.maps_query(asked), " +", " ").alias("query"), maps.plain_status(page).alias("status"))
+
+
 @query("""select c_custkey as item_pos, 'active' as status, case when c_custkey % 3 = 0 then 'Seed ' || c_custkey else 'ул. Мира, д. ' || c_custkey end as address, case when c_custkey % 3 = 0 then 'operator_verified' else 'official_site' end as address_source,
   '10:00-20:00' as hours, case when c_custkey % 2 = 0 then 'official_site' else 'maps' end as hours_source, '+7812' || lpad(c_custkey::varchar, 7, '0') as phone, false as phone_poisoned, 'hello ' || c_custkey as content from customer""")
 def enrich_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
