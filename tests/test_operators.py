@@ -350,18 +350,41 @@ def test_cached_records_are_not_enriched_again(spark, tmp_path):
     assert metrics.phone_sources(two).collect() == [("official_site", 1)]
 
 
-def test_streams(spark, tmp_path):
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _streamed(spark, tmp_path, batches, schema, plan, out):
+    """The rows of out's column by seq, of a stream that reads one batch after the other."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    src = str(tmp_path / "in")
+    rows = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = plan(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+        q = q.foreachBatch(lambda df, _: rows.extend(df.collect())).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    return [r[out] for r in sorted(rows, key=lambda r: r.seq)]
+
+
+def test_streamed_breaker(spark, tmp_path):
     from weftwork.streaming import live
 
-    src = str(tmp_path / "calls")
-    spark.createDataFrame([("p", 1, 0.0, True), ("p", 2, 10.0, False), ("p", 3, 31.0, False)], "provider string, seq long, at_s double, failed boolean").write.parquet(src)
-    stream = spark.readStream.schema("provider string, seq long, at_s double, failed boolean").parquet(src)
-    q = live.breaker(stream).writeStream.format("memory").queryName("outcomes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-        assert [r.outcome for r in spark.table("outcomes").orderBy("seq").collect()] == ["error", "suspended", "success"]
-    finally:
-        q.stop()
+    batches = [[("p", 2, 10.0, False), ("p", 1, 0.0, True)], [("p", 3, 20.0, False), ("p", 4, 31.0, True)], [("p", 5, 90.0, False), ("p", 6, 91.0, False)]]
+    got = _streamed(spark, tmp_path, batches, "provider string, seq long, at_s double, failed boolean", live.breaker, "outcome")
+    assert got == ["error", "suspended", "suspended", "error", "suspended", "success"]
+
+
+def test_streamed_cache(spark, tmp_path):
+    from weftwork.streaming import live
+
+    batches = [
+        [("k", 1, 5.0, True, None, 0.0), ("k", 0, 5.0, False, "a", 60.0), ("z", 2, 5.0, True, None, 0.0)],
+        [("k", 3, 64.0, True, None, 0.0), ("k", 4, 65.0, True, None, 0.0), ("z", 5, 66.0, False, "b", 0.0)],
+        [("z", 6, 1e9, True, None, 0.0), ("k", 7, 70.0, True, None, 0.0)],
+    ]
+    got = _streamed(spark, tmp_path, batches, "cache_key string, seq long, at_s double, is_get boolean, value string, ttl_s double", live.cached, "value")
+    assert got == ["a", None, "a", None, "b", None]
 
 
 def test_patterns_are_safe_for_cyrillic():
