@@ -91,8 +91,8 @@ WORDINGS = (
     ("Zlib", "warranty freely", "", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
 MARKS = ("license", "licence", "licensed", "licenced", "released", "distributed", "spdx", "redistribution", "redistribute", "permission", "unencumbered")
-#: A text is looked at if it holds one of these, whatever the case.
-_ANY = "licen[sc]e|spdx|redistribut|permission is|permission to|unencumbered|released under|distributed under"
+#: A text is looked at if it holds a mark, whatever the case and whatever stands beside it.
+_ANY = "|".join(MARKS)
 #: Names of license files.
 FILES = r"(?i)(^|/)(un)?licen[sc]es?([._-][^/]*)?$|(^|/)copying([._-][^/]*)?$"
 _WORD = re.compile("(?<![a-z0-9])v(?=[0-9])|[a-z0-9]+")
