@@ -5,8 +5,10 @@ given to shards largest first, and the map is kept with a version. Rebalancing e
 and leaves every other slot where it was, so only records of moved slots change place.
 
 Nulls and edges: a null text has no bytes (size 1) and the crc32 of the empty text; a null doc_id is dealt by its text alone;
-repeated rows share a slot and get places of their own, but over EQUAL equal rows are dealt to slots one by one, so that they
-fill no slot, shard or task; an empty table gives an empty result.
+repeated rows share a slot and get places of their own, but over EQUAL equal rows are numbered and dealt to the slots in turn, so
+that they fill no slot, shard or task, and each slot gets as many whatever the partitions; an empty table gives an empty result.
+Rows are equal in doc_id and text. Equal texts of different ids are records of their own and lie in shards of their own: the law
+promises near-equal bytes alone.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from weftwork.llm.common import small, written
 SLOTS = 8192
 #: A slot is cut into parts of about so many rows before its rows are numbered, so that no task sorts a whole slot of any size.
 PART_ROWS = 100_000
-#: Equal rows from which on they are dealt one by one.
-EQUAL = 1000
+#: Equal rows from which on they are dealt one by one, and parts that each such group is numbered in.
+EQUAL, PARTS = 1000, 1024
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
@@ -37,14 +39,24 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def spread(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """recs, written; rows that are one of over EQUAL equal ones get a hash of their own. Which of them is where does not matter."""
+    """recs, written; rows that are one of over EQUAL equal ones are numbered from 0 and go to the slots in turn, each with a hash of its own.
+
+    They are numbered in parts, after the counts of the parts before: which row gets which number depends on the partitions,
+    but as the rows are equal and the numbers are the same, the slots' counts do not.
+    """
     recs = written(recs, "shard-records")
     many = recs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EQUAL).select(F.col("hash").alias("of"))
     if not many.limit(1).count():
         return recs
-    own = F.when(F.col("of").isNotNull(), F.xxhash64("hash", F.rand(7))).otherwise(F.col("hash"))
-    recs = recs.join(small(many), F.col("hash") == F.col("of"), "left").withColumn("hash", own).drop("of")
-    return written(recs.withColumn("vslot", F.pmod("hash", F.lit(slots)).cast("int")), "shard-records")
+    both = recs.join(small(many), F.col("hash") == F.col("of"), "left")
+    hot = written(both.filter("of is not null").drop("of").withColumn("batch", (F.monotonically_increasing_id() % PARTS).cast("int")), "shard-equal")
+    before = Window.partitionBy("hash").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hot.groupBy("hash", "batch").agg(F.count(F.lit(1)).alias("n")).select("hash", "batch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    hot = hot.withColumn("rank", F.row_number().over(Window.partitionBy("hash", "batch").orderBy("size")) - 1)
+    hot = hot.join(counts, ["hash", "batch"]).withColumn("number", F.col("offset") + F.col("rank"))
+    turn = F.pmod(F.pmod("hash", F.lit(slots)) + F.col("number"), F.lit(slots)).cast("int")
+    hot = hot.select("doc_id", "size", "text_crc32", F.xxhash64("hash", "number").alias("hash"), turn.alias("vslot"))
+    return written(both.filter("of is null").select(*hot.columns).union(hot), "shard-records")
 
 
 def slot_bytes(recs: DataFrame) -> list[tuple[int, int]]:
