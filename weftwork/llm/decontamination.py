@@ -10,7 +10,9 @@ symbols); the others are verified: the least edit distance, in symbols, between
 
 Windows end where a walk does, after four or five symbols, not at the item's end: CGK distances grow with the square of the
 edits, so whole items at the limit of a fifth agree in too few steps for any number of walks to be afforded (figures in the
-README). Items under LEAST symbols are found where their whole sequence stands, exactly.
+README). Items under LEAST symbols are too short for walks and are found without loss: where no edit is allowed by their whole
+sequence, where one is by the sequences that are left when one symbol goes, of the item and of the text's windows one shorter,
+as long and one longer (two sequences one edit apart share one of these).
 
 Nulls and edges: a null text matches nothing; an item without a symbol matches nothing; items of equal symbols match alike; an
 empty benchmark or table gives an empty result.
@@ -30,13 +32,14 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from weftwork.llm.common import LETTERS_DIGITS, mix, ranges, raw, slices, word_hashes, words
 
-#: An item is found where at least this share of its symbols needs no edit; shorter items must stand there as they are.
+#: An item is found where at least this share of its symbols needs no edit; items of fewer symbols are looked up whole.
 SIMILAR, LEAST = 0.8, 8
 #: Walks, steps of one, steps sampled from it, and places that these must see for a window of an item to get a key. Tests
 #: measure the recall at the limit: 0.95 or more for every kind of edit and every length.
 WALKS, STEPS, SAMPLED, SEEN = 14, 8, 5, 4
-#: Symbols of benchmark items that are searched for in one pass over the documents, about; candidates' symbols counted at once.
-BLOCK, COUNTED = 1_000_000, 1 << 20
+#: Symbols of benchmark items that are searched for in one pass over the documents, at most, but for one item that is longer by
+#: itself; candidates' symbols counted at once.
+BLOCK, COUNTED = 500_000, 1 << 20
 # Code points of scripts without spaces between words, first and last.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 # Punctuation over 0x7F that is part of no word, first and last.
@@ -113,6 +116,8 @@ class Items:
     bare: np.ndarray = field(init=False)
     #: Symbols of the short items by length: their sequences, sorted, as numbers, and the item of each.
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
+    #: Short items that one edit is allowed in: by length, the numbers of their sequences, whole and less one symbol, and items.
+    lacking: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
     #: Made where they are used.
     tables: np.ndarray | None = field(init=False, default=None)
 
@@ -132,14 +137,26 @@ class Items:
             once = np.r_[True, (key[1:] != key[:-1]) | (mine[1:] != mine[:-1])] if len(key) else np.zeros(0, bool)
             self.keys.append(key[once])
             self.owners.append(mine[once])
-        self.bare = np.flatnonzero(~known)
-        self.short = {}
+        self.short, less = {}, {}
         for n in range(1, LEAST):
             mine = np.flatnonzero(self.size == n)
-            if len(mine):
+            allowed = int(self.most(mine[:1])[0]) if len(mine) else 0
+            if allowed > 1:
+                known[mine] = False
+            elif allowed:
+                for i in mine.tolist():
+                    for length, numbers in ((n, _sequences(self.words[i], n)), (n - 1, _lacking(self.words[i], n).ravel())):
+                        less.setdefault(length, []).append((numbers, np.full(len(numbers), i)))
+            elif len(mine):
                 whole = np.array([_sequences(self.words[i], n)[0] for i in mine.tolist()], dtype=np.uint64)
                 order = np.argsort(whole)
                 self.short[n] = whole[order], mine[order]
+        self.lacking = {}
+        for length, parts in less.items():
+            numbers, items = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((items, numbers))
+            self.lacking[length] = numbers[order], items[order]
+        self.bare = np.flatnonzero(~known)
 
     def candidates(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (text, item) with a window alike. Equal keys of a text count once, however often the text has them."""
@@ -162,6 +179,15 @@ class Items:
             text, low = pair // len(sorted_keys), pair % len(sorted_keys)
             high = np.searchsorted(sorted_keys, sorted_keys[low], "right")
             found.append(np.unique(np.repeat(text, high - low) * many + owners[ranges(low, high)]))
+        for length, (numbers, items) in self.lacking.items():
+            for span, runs in [(length, _sequences(symbols, length)), *((length + 1, r) for r in _lacking(symbols, length + 1))]:
+                low = np.searchsorted(numbers, runs, "left")
+                place = np.flatnonzero(numbers[np.minimum(low, len(numbers) - 1)] == runs)
+                text = np.searchsorted(first, place, side="right") - 1
+                inside = place + span <= first[text + 1]
+                place, text = place[inside], text[inside]
+                high = np.searchsorted(numbers, runs[place], "right")
+                found.append(np.repeat(text, high - low[place]) * many + items[ranges(low[place], high)])
         pair = np.unique(np.concatenate(found))
         return np.stack([pair // max(many, 1), pair % max(many, 1)], axis=1)
 
@@ -233,12 +259,23 @@ def _sequences(symbols: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _lacking(symbols: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of each run of n symbols without its first, without its second and so on: a row for each symbol that goes."""
+    count, base = max(len(symbols) - n + 1, 0), 0x9E3779B97F4A7C15
+    head = [_sequences(symbols, k) for k in range(n)]
+    out = np.zeros((n, count), dtype=np.uint64)
+    for k in range(n):
+        after = n - 1 - k
+        out[k] = head[k][:count] * np.uint64(pow(base, after, 1 << 64)) + head[after][k + 1 : k + 1 + count]
+    return out
+
+
 def blocks(benchmark: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> Iterator[Items]:
     """The benchmark as blocks of about `block` symbols, split by a hash, so that what is sent to the executors is bounded."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # A symbol has one byte at least, a word six with its blank, about.
+    # A symbol has two bytes at least, a letter and a blank.
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-size // (6 * block))
+    n = -(-size // (2 * block))
     for i in range(n):
         part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").toArrow()
         symbols, first = tokens(part["text"].combine_chunks()) if len(part) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
