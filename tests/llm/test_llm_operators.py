@@ -419,17 +419,17 @@ def _edited(r, words, kind, edits):
 def test_recall_at_the_limit(kind):
     """Whole search against all windows: items at a fifth of edits, in texts of 300 words."""
     r = random.Random(kind)
-    for size in (1, 2, 4, 7, 8, 9, 10, 12, 15, 20, 30, 40, 60):
+    for size in (1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40, 60):
         items, texts = [], []
         for i in range(100):
             w = [f"w{r.getrandbits(40)}" for _ in range(size)]
             items.append(w)
             filler = [f"f{r.getrandbits(40)}" for _ in range(300)]
-            texts.append(" ".join(filler[:150] + _edited(r, w, kind, int(0.2 * size + 1e-9) if size >= decontamination.LEAST else 0) + filler[150:]))
+            texts.append(" ".join(filler[:150] + _edited(r, w, kind, int(0.2 * size + 1e-9)) + filler[150:]))
         symbols, first = decontamination.tokens(pa.array([" ".join(w) for w in items]))
         known = decontamination.Items([[i] for i in range(100)], [symbols[a:b] for a, b in zip(first[:-1], first[1:])])
         found = known.search(*decontamination.tokens(pa.array(texts)))
-        assert sum(any(m[0] == i for m in ms) for i, ms in enumerate(found)) >= 95, size
+        assert sum(any(m[0] == i for m in ms) for i, ms in enumerate(found)) >= (95 if size >= decontamination.LEAST else 100), size
         assert sum(len(ms) for ms in found) <= 100
 
 
@@ -452,8 +452,9 @@ def test_search_finds_what_all_windows_find():
                 for j, q in enumerate(t, 1):
                     new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
                 row = new
-            most = int(0.2 * len(w) + 1e-9) if len(w) >= decontamination.LEAST else 0
+            most = int(0.2 * len(w) + 1e-9)
             if min(row) <= most:
+                assert len(w) >= decontamination.LEAST or got[i] == min(row)
                 whole, hit = whole + 1, hit + (got.get(i) == min(row))
             else:
                 assert i not in got
@@ -715,6 +716,20 @@ def test_licenses_in_lines_headers_and_whole_texts():
     assert {t: licenses.best(t)[0] for t in cases} == cases
 
 
+def test_wrapped_notices_pass_the_filter(spark):
+    """Every wording with each blank a line end and a comment sign, through the query; and what its own text gives."""
+    rows = [(i, f"d{i}/x.c", "\n * ".join(text.split())) for i, (_, _, _, text) in enumerate(licenses.WORDINGS)]
+    rows += [(100, "e/LICENSE", "Permission\n * is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (101, "e/x/y.c", "int main"), (102, "f/z", "RELEASED\t\n under\u00a0the MIT License")]
+    got = {r.id: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got == {i: (licenses.best(t)[0], "own") for i, _, t in rows if i != 101} | {101: ("MIT", "inherited")}
+
+
+def test_license_ties_go_to_the_longer_template_then_the_name():
+    both = "Licensed under the MIT License. Released under the ISC License."
+    assert licenses.best(both)[:2] == ("MIT", pytest.approx(1.0))
+    assert licenses.best("Released under the ISC License. Licensed under the MIT License.")[:2] == licenses.best(both)[:2]
+
+
 def test_license_cosine_by_definition():
     """Every window's cosine, from whole vectors over all terms."""
     known = licenses.templates()
@@ -844,6 +859,20 @@ def pages(spark):
     return spark.createDataFrame([(*r, "i", "h") for r in rows], "page_id long, url string, html string, id string, how string")
 
 
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    """4,000 equal rows among 4,000 others, in 3 and in 7 partitions: the same place for every distinct row, the same counts."""
+    monkeypatch.setattr(sharding, "EQUAL", 100)
+    rows = [(7, "the same text")] * 4000 + [(1000 + i, f"text {i} " * (i % 50)) for i in range(4000)]
+    random.Random(4).shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sharding.shard(d.repartition(n)).select("doc_id", "size", "text_crc32", "shard", "slot").collect() for n in (3, 7)]
+    assert sorted(map(tuple, runs[0])) == sorted(map(tuple, runs[1]))
+    held = {}
+    for r in runs[0]:
+        held[r.shard] = held.get(r.shard, 0) + r.size
+    assert len(held) == 16 and max(held.values()) - min(held.values()) < 0.02 * max(held.values())
+
+
 def test_pages_inherit_by_their_addresses(docs, pages):
     got = {r.id: (r.license, r.how) for r in licenses.scan_documents(docs.limit(0), pages).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"), 4: (None, "none")}

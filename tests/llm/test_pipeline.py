@@ -66,7 +66,7 @@ def _leaks(text, items):
             for j, q in enumerate(symbols, 1):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
             row = new
-        if w and min(row) <= (int(0.2 * len(w) + 1e-9) if len(w) >= 8 else 0):
+        if w and min(row) <= int(0.2 * len(w) + 1e-9):
             return True
     return False
 

@@ -4,13 +4,15 @@ Fingerprints at most `radius` bits apart must be equal in one of radius+1 blocks
 to one cell a block (pigeonhole: no link is lost). Within a cell, bit planes are stored vertically, one machine word holding
 one bit of 64 fingerprints; carry-save counters add up the differing bits of many pairs at once, and pairs of a block are
 abandoned once all of them exceed the radius. A cell gives a spanning forest of its links, never all its pairs. A cell over
-CELL fingerprints is divided by the blocks of another cut of the bits, of which one must agree too; what is still over CELL
-after DIVIDED such cuts (fingerprints that hardly differ) is cut into chunks, and every two chunks meet in a cell of their own.
+CELL fingerprints is divided by the blocks of another cut of the bits, of which one must agree too, up to DIVIDED times and as
+long as that halves the largest cell; what is still over CELL (fingerprints that hardly differ) is cut into chunks, and every two
+chunks meet in a cell of their own.
 
 Nulls and edges: a null or wordless text has the fingerprint zero and links like any other; fewer words than a shingle give
 one shingle; equal fingerprints are one node; null doc_ids are kept, and a component of them alone has a null id.
 
-The pipeline's near-duplicate filter (`deduplicated`) proposes groups in this way and confirms their links by exact Jaccard.
+The pipeline's near-duplicate filter (`deduplicated`) proposes groups in this way and confirms their links by exact Jaccard, both
+with the large groups divided as `setlinks` says.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from weftwork.llm.common import LOWER_TABLE, mix, slices, small, written
+from weftwork.llm.setlinks import links_within, set_alike, set_forest
 
 #: A cell over so many fingerprints is cut into chunks; cells under MERGE share one comparison.
 CELL, MERGE, DIVIDED = 8192, 1024, 3
@@ -99,7 +102,10 @@ def shingles_udf(size: int):
 
     @arrow_udf("binary")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t or b"", size)).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        out = []
+        for a, b in slices(texts, 4 << 20):
+            out += [np.unique(shingle_hashes(t or b"", size)).tobytes() for t in texts[a:b].cast(pa.binary()).to_pylist()]
+        return pa.array(out, pa.binary())
 
     return shingles
 
@@ -244,8 +250,6 @@ def divided(cells: DataFrame, radius: int, level: int) -> DataFrame:
     """cells with those over CELL nodes of one lane divided by radius+1 blocks of bits, cut elsewhere at each level: two
     fingerprints within the radius agree in one of any radius+1 blocks, so they meet again."""
     large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select(F.col("cell").alias("of"))
-    if not large.limit(1).count():
-        return cells
     shift, n, keys = 64 * level // (DIVIDED + 1) // (radius + 1) + level, radius + 1, []
     for k in range(n):
         mask = sum(1 << (b + shift) % 64 for b in range(64 * k // n, 64 * (k + 1) // n))
@@ -256,15 +260,26 @@ def divided(cells: DataFrame, radius: int, level: int) -> DataFrame:
     return written(out, "simhash-cells")
 
 
-def links(cells: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+def largest(cells: DataFrame) -> int:
+    return cells.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+
+
+def links(cells: DataFrame, radius: int) -> DataFrame:
     """Distinct links (u, v) between nodes that share a cell and are at most radius bits apart, a spanning forest a cell.
 
     Cells over CELL nodes are divided; those that stay so large are cut by a hash of the node, and every two chunks of a cell
     meet in one cell of their own.
     """
     cells = written(cells, "simhash-cells")
-    for level in range(1, DIVIDED + 1) if lanes == 1 else ():
-        cells = divided(cells, radius, level)
+    most = largest(cells)
+    for level in range(1, DIVIDED + 1):
+        if most <= CELL:
+            break
+        finer = divided(cells, radius, level)
+        # Fingerprints that agree in nearly all bits stay together in every block: their cell would only be there five times.
+        if 2 * (left := largest(finer)) > most:
+            break
+        cells, most = finer, left
     sums = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(CELL)).cast("int")
     cells = cells.join(sums, "cell").withColumn("k", chunks)
@@ -273,7 +288,29 @@ def links(cells: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     cells = cells.withColumn("other", F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
     cells = cells.select(F.when(few, F.col("cell")).otherwise(F.xxhash64("cell", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))).alias("cell"), "node", "print")
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare(radius, lanes), "u long, v long").distinct()
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare(radius, 1), "u long, v long").distinct()
+
+
+def wide_links(cells: DataFrame, radius: int) -> DataFrame:
+    """`links` of fingerprints of several lanes, by leaders and chunks of large cells."""
+
+    @arrow_udf("binary")
+    def as_bytes(prints: pa.Array) -> pa.Array:
+        flat = np.asarray(prints.flatten()).reshape(len(prints), -1)
+        return pa.array([x.tobytes() for x in flat], pa.binary())
+
+    @arrow_udf("boolean")
+    def alike(mine: pa.Array, leads: pa.Array) -> pa.Array:
+        x = mine.to_pylist()
+        a, b = (np.frombuffer(b"".join(c), dtype=np.uint64).reshape(len(c), -1) for c in (x, [t or bytes(len(x[0])) for t in leads.to_pylist()]))
+        return pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= radius)
+
+    def near_forest(loads: list[bytes], _: np.ndarray) -> list[tuple[int, int]]:
+        a, b = forest(np.frombuffer(b"".join(loads), dtype=np.uint64).reshape(len(loads), -1), radius)
+        return list(zip(a.tolist(), b.tolist()))
+
+    rows = cells.select("cell", "node", F.lit(1).alias("weight"), as_bytes("print").alias("load"))
+    return links_within(rows, CELL, alike, near_forest, components, merge=MERGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,67 +332,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (i, j) that join all sets of Jaccard similarity SIMILAR or more, exactly; a spanning forest."""
-    n, sizes = len(sets), np.array([len(x) for x in sets])
-    alike = lambda both, i, j: both * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (sizes[i] + sizes[j])
-    if n == 2:
-        return [(0, 1)] if alike(len(np.intersect1d(*sets, assume_unique=True)), 0, 1) else []
-    _, term = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    owners = owner[np.argsort(term, kind="stable")]
-    ends = np.cumsum(np.bincount(term, minlength=1))
-    begins = np.r_[0, ends[:-1]]
-    at = np.r_[0, np.cumsum(sizes)]
-    label, out = np.arange(n), []
-    for i in range(n):
-        if (label == label[i]).all():
-            break
-        mine = term[at[i] : at[i + 1]]
-        times = ends[mine] - begins[mine]
-        places = np.repeat(begins[mine] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        both = np.bincount(owners[places], minlength=n)
-        for j in np.flatnonzero(alike(both, i, slice(None)) & (label != label[i])).tolist():
-            if label[j] != label[i]:
-                out.append((i, j))
-                label[label == label[j]] = label[i]
-    return out
-
-
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by cell: (cell, node, shingles): gives the links (u, v) that hold exactly."""
-    last, nodes, sets = None, [], []
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for cell, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if cell != last:
-                out += [(nodes[i], nodes[j]) for i, j in similar_forest(sets)] if len(sets) > 1 else []
-                last, nodes, sets = cell, [], []
-            nodes.append(node)
-            sets.append(np.frombuffer(shingles, dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
-    out = [(nodes[i], nodes[j]) for i, j in similar_forest(sets)] if len(sets) > 1 else []
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-
 def confirmed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int) -> DataFrame:
     """Links (u, v) between nodes of one proposed group (node, root) whose shingle sets are similar, compared exactly.
 
-    docs has id, h and text, nodes the id and h of one text of each. A group of over SHINGLES shingles is cut by a hash of
-    the node; every two chunks of it meet in one cell of their own.
+    docs has id, h and text, nodes the id and h of one text of each. A group of over SHINGLES shingles is divided.
     """
     nodes = nodes.select("node", "n", F.col("least.id").alias("k_id"), F.col("least.h").alias("k_h")).join(roots, "node")
-    sums = nodes.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("k"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    wanted = written(nodes.join(sums, "root").select("node", "root", "k", "k_id", "k_h"), "simhash-proposed")
+    wanted = written(nodes.select("node", F.col("root").alias("cell"), F.col("n").alias("weight"), "k_id", "k_h"), "simhash-proposed")
     same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
-    texts = docs.join(wanted.hint("shuffle_hash"), same).groupBy("node").agg(F.first("root").alias("root"), F.first("k").alias("k"), F.first("text").alias("text"))
-    sets = texts.select("node", "root", "k", shingles_udf(size)("text").alias("shingles"))
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")
-    few = F.col("k") <= 1
-    cells = sets.withColumn("other", F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
-    cells = cells.select(F.when(few, F.col("root")).otherwise(F.xxhash64("root", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))).alias("cell"), "node", "shingles")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(confirm, "u long, v long").distinct()
+    texts = docs.join(wanted.hint("shuffle_hash"), same).groupBy("node").agg(F.first("cell").alias("cell"), F.first("weight").alias("weight"), F.first("text").alias("text"))
+    sets = texts.select("cell", "node", "weight", shingles_udf(size)("text").alias("load"))
+    return links_within(sets, SHINGLES, set_alike(SIMILAR), set_forest(SIMILAR), components)
 
 
 def grouped(prints: DataFrame, least, radius: int, lanes: int, cells, confirm=None) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +353,7 @@ def grouped(prints: DataFrame, least, radius: int, lanes: int, cells, confirm=No
     """
     more = [F.first(c).alias(c) for c in ("keys", "n") if c in prints.columns]
     nodes = written(prints.groupBy("node").agg(F.first("print").alias("print"), F.min(least).alias("least"), *more), "simhash-nodes")
-    roots = components(links(cells(nodes), radius, lanes))
+    roots = components(links(cells(nodes), radius) if lanes == 1 else wide_links(cells(nodes), radius))
     if confirm:
         roots = components(confirm(nodes, roots))
     tagged = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -388,8 +375,8 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4) -> DataF
 SHINGLE, LANES, KEYS, RADIUS = 5, 8, 8, 144
 #: Texts are near duplicates from a Jaccard similarity of 4 / 5 on: as a ratio, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
-#: A proposed group of so many shingles is cut into chunks.
-SHINGLES = 2_000_000
+#: A proposed group of over so many shingles is divided.
+SHINGLES = 1_000_000
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
