@@ -319,35 +319,102 @@ def test_enrichment_without_a_page_reads_search_results(spark):
     fetches = spark.createDataFrame([("https://r.example/1", 1, "<article>found</article>", 200, None, False), ("https://r.example/2", 1, "<article>more</article>", 404, None, False)], "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")
     results = spark.createDataFrame([(1, 0, "https://r.example/1", "T", "Адрес: ул. Мира, д. 5"), (1, 1, "https://r.example/2", "", "")], "item_pos long, pos int, url string, title string, snippet string")
     r = enrich(items, Sources(fetches, results=results)).first()
-    assert (r.content, r.address, r.address_source, r.status) == ("found\n\n---\n\nmore", "ул. Мира, д. 5", "search", "")
+    assert (r.content, r.address, r.address_source, r.status) == ("found\n\n---\n\nmore", "ул. Мира, д. 5", "search", "active")
 
 
 def test_cached_records_are_not_enriched_again(spark, tmp_path):
     from pyspark.sql import Observation
 
     from weftwork.plans import metrics
-    from weftwork.plans.enrich import Config, enrich_cached
+    from weftwork.plans.enrich import Config, enrich_cached, result_store
 
-    def at(day: int):
-        return F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+    store = result_store(spark, str(tmp_path / "store"))
 
-    def run(known, html, day):
-        items = spark.createDataFrame([(i, f"n{i}", f"https://s{i}.example/", "", "places", False) for i in (1, 2)], "item_pos long, name string, url string, city string, mode string, skip_maps_check boolean")
-        rows = [(f"https://s{i}.example/", 1, html, 200, None, False) for i in (1, 2)]
+    def run(html, day, ids=(1, 2)):
+        items = spark.createDataFrame([(i, f"n{i}", f"https://s{i}.example/", "", "places", False) for i in ids], "item_pos long, name string, url string, city string, mode string, skip_maps_check boolean")
+        rows = [(f"https://s{i}.example/", 1, html, 200, None, False) for i in ids]
         fetches = spark.createDataFrame(rows, "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")
         seen = Observation()
-        out = metrics.observed(enrich_cached(items, Sources(fetches), known, at(day), config=Config(markdown=True)), seen)
-        out.write.parquet(str(tmp_path / str(day)))
-        return spark.read.parquet(str(tmp_path / str(day))), seen.get
-
-    one, counts = run(None, "<article><h2>old</h2><a href='tel:+78125550001'>x</a></article>", 1)
-    assert (counts["records"], counts["cache_misses"], counts["site_resolved"], counts["phone_official_site"]) == (2, 2, 2, 2)
-    assert all(r.content.startswith("## old") for r in one.collect())
-    two, counts = run(one.filter("item_pos = 1"), "<article>new</article>", 5)
-    assert (counts["cache_hits"], counts["cache_misses"]) == (1, 1)
-    assert {r.item_pos: (r.content, r.cache_hit) for r in two.collect()}[2] == ("new", False)
-    assert {r.item_pos: (r.phone, r.cache_hit) for r in two.collect()}[1] == ("+78125550001", True)
-    assert metrics.phone_sources(two).collect() == [("official_site", 1)]
+        at = F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+        out = metrics.observed(enrich_cached(items, Sources(fetches), store, at, f"day-{day}", config=Config(markdown=True)), seen)
+        return {r.item_pos: (r.content, r.phone, r.cache_hit) for r in out.collect()}, seen.get
+
+    one, counts = run("<article><h2>old</h2><a href='tel:+78125550001'>x</a></article>", 1, ids=(1,))
+    assert (counts["records"], counts["cache_misses"], counts["site_resolved"], counts["phone_official_site"]) == (1, 1, 1, 1)
+    assert one[1][0].startswith("## old")
+    two, counts = run("<article>new</article>", 5)
+    assert (counts["cache_hits"], counts["cache_misses"], counts["site_resolved"]) == (1, 1, 0)
+    assert two == {1: (one[1][0], "+78125550001", True), 2: ("new", None, False)}
+    again, _ = run("<article>newest</article>", 5)
+    assert again == two and store.manifest()["version"] == 2
+    late, _ = run("<article>newest</article>", 9)
+    assert late == {1: ("newest", None, False), 2: ("new", None, True)}
+    assert store.compact() and len(store.manifest()["batches"]) == 1
+    assert {r.content for r in store.read().collect()} == {"newest", "new"} and not store.put(None, "day-9")
+
+
+def test_store_keeps_the_newest_whoever_writes(spark, tmp_path):
+    from weftwork.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"), ("k",), "at", "gone")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, at int, v string, gone boolean")
+    assert store.read() is None and not store.compact()
+    assert store.put(rows(("a", 2, "new", False), ("b", 1, "x", False)), "1") and store.put(rows(("a", 1, "old", False), ("c", 1, "y", None)), "2")
+    assert store.put(rows(("b", 1, "later batch", False), ("c", 2, None, True)), "3") and not store.put(rows(("a", 9, "repeat", False)), "3")
+    got = lambda: {r.k: r.v for r in store.read().collect()}
+    assert got() == {"a": "new", "b": "later batch"}
+    # Another writer commits between this one's look at the manifest and its own commit.
+    other, look = Store(spark, store.path, store.keys, store.newest, store.gone), Store.manifest
+    calls = []
+
+    def slow(self):
+        calls.append(1)
+        last = look(self)
+        if len(calls) == 2:
+            Store.manifest = look
+            other.put(rows(("d", 1, "theirs", False)), "5")
+        return last
+
+    try:
+        Store.manifest = slow
+        assert store.put(rows(("e", 1, "mine", False)), "4")
+    finally:
+        Store.manifest = look
+    assert got() == {"a": "new", "b": "later batch", "d": "theirs", "e": "mine"} and store.manifest()["version"] == 5
+    assert store.compact() and got()["e"] == "mine"
+
+
+def test_a_stream_that_is_killed_and_restarted_changes_the_news_store_once(spark, tmp_path):
+    from weftwork.streaming import live
+
+    kind = "url string, news_id string, title string, score int, status string, action string, seq long"
+    src, store = str(tmp_path / "in"), live.news_store(spark, str(tmp_path / "store"))
+    add = lambda *x: spark.createDataFrame(list(x), kind).coalesce(1).write.mode("append").parquet(src)
+    add(("https://a.b/1", "1", "one", 50, "new", "add", 1), ("https://a.b/2", "2", "two", 60, "new", "add", 2), ("https://a.b/1", "9", "later", 10, "new", "add", 3))
+
+    def run(fail=False):
+        stream = spark.readStream.schema(kind).parquet(src)
+        upsert = live.news_upsert(store, "news")
+
+        def batch(df, n):
+            upsert(df, n)
+            if fail:
+                raise RuntimeError("killed after the batch was stored")
+
+        q = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(batch).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception as e:
+            assert "killed" in str(e)
+
+    run(fail=True)
+    run()
+    state = lambda: {r.url: (r.news_id, r.title, r.score, r.status) for r in store.read().collect()}
+    assert state() == {"https://a.b/1": ("1", "one", 50, "new"), "https://a.b/2": ("2", "two", 60, "new")} and store.manifest()["version"] == 1
+    add(("https://a.b/2", None, None, 70, "", "update", 4), ("https://a.b/3", "3", "three", 5, "new", "add", 5), ("https://a.b/1", None, None, None, None, "purge", 6))
+    run(fail=True)
+    run()
+    assert state() == {"https://a.b/2": ("2", "two", 70, "new"), "https://a.b/3": ("3", "three", 5, "new")} and store.manifest()["version"] == 2
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
+from weftwork.functions.once import built_once
 from weftwork.functions.text import first_group, first_match, let, trimmed
 from weftwork.functions.validate import area_code, city_codes, legal_address, valid_address, valid_phone, valid_price
 from weftwork.operators import extract, phones, structured
@@ -45,50 +46,59 @@ def organization_is_legal(org: Column, address: Column, element: Column) -> Colu
     return F.coalesce(org.legal_id | org.legal_name.isNotNull() | legal_address(org.address) | (org.address.isNotNull() & (other(address) | other(element))), F.lit(False))
 
 
-def page_facts(pages: DataFrame, city: str = "city") -> DataFrame:
-    """pages (page_id, url, html, city, and nodes if they are parsed already) with one column a fact, phone_poisoned and vendor.
-
-    The page is parsed once for its nodes and once for its markup without noise; each layer only fills what the ones before it left open, but for the phone, which the
-    best-placed candidate may replace.
-    """
-    cols = [c for c in pages.columns if c != "nodes"]
-    p = pages if "nodes" in pages.columns else dom.with_nodes(pages)
-    p = p.withColumns({"clean": dom.noise_free_html(F.col("html")), "items": structured.items(F.col("nodes"))})
-    i = F.col("items")
-    p = p.withColumns({"pl": let(structured.first_of(i, P.PLACE_TYPES), structured.place), "ar": let(structured.first_of(i, P.ARTICLE_TYPES), structured.article), "ev": let(structured.first_of(i, ("Event",)), structured.event), "orgi": structured.first_of(i, P.ORGANIZATION_TYPES)})
-    p = p.withColumns({"og": structured.organization(F.col("orgi")), "rx": markup_facts(F.col("clean"))})
-    c = F.col
-    elements = F.transform(F.filter(F.col("nodes"), lambda n: n.tag == "address"), lambda n: trimmed(dom.whole(c("nodes"), n)))
-    p = p.withColumns({"venues": F.filter(elements, lambda a: valid_address(a) & ~legal_address(a)), "seats": F.filter(elements, lambda a: valid_address(a) & legal_address(a))})
-    element = F.try_element_at(F.col("venues"), F.lit(1))
+@built_once
+def _layers(city: str) -> list[dict[str, Column]]:
+    """What a page with nodes, clean, items, vendor and near gets, layer by layer."""
+    c, i = F.col, F.col("items")
+    first = {"pl": structured.place(structured.first_of(i, P.PLACE_TYPES)), "ar": structured.article(structured.first_of(i, P.ARTICLE_TYPES)), "ev": structured.event(structured.first_of(i, ("Event",))), "og": structured.organization(structured.first_of(i, P.ORGANIZATION_TYPES)), "rx": markup_facts(c("clean"))}
+    elements = F.transform(F.filter(c("nodes"), lambda n: n.tag == "address"), lambda n: trimmed(dom.whole(c("nodes"), n)))
+    second = {"venues": F.filter(elements, lambda a: valid_address(a) & ~legal_address(a)), "seats": F.filter(elements, lambda a: valid_address(a) & legal_address(a))}
+    element = F.try_element_at("venues", F.lit(1))
     before = F.coalesce(venue(c("pl.address")), venue(c("ev.location")))
-    p = p.withColumn("seat", organization_is_legal(c("og"), before, element))
-    p = p.withColumns(
-        {
-            "address": F.coalesce(before, F.when(~c("seat"), venue(c("og.address"))), venue(c("rx.address")), element),
-            "legal_address": F.coalesce(legal(c("pl.address")), legal(c("ev.location")), F.when(c("seat"), _if(valid_address, c("og.address"))), legal(c("og.address")), legal(c("rx.address")), F.try_element_at(c("seats"), F.lit(1))),
-            "prior": F.coalesce(_if(valid_phone, c("pl.phone")), _if(valid_phone, c("og.phone")), c("rx.phone")),
-        }
-    )
-    p = phones.with_candidates(p, c("prior")).withColumn("pick", phones.pick(c("candidates"), c(city), c("vendor")))
+    third = {"seat": organization_is_legal(c("og"), before, element), "before": before}
+    fourth = {
+        "address": F.coalesce(c("before"), F.when(~c("seat"), venue(c("og.address"))), venue(c("rx.address")), element),
+        "legal_address": F.coalesce(legal(c("pl.address")), legal(c("ev.location")), F.when(c("seat"), _if(valid_address, c("og.address"))), legal(c("og.address")), legal(c("rx.address")), F.try_element_at(c("seats"), F.lit(1))),
+        "prior": F.coalesce(_if(valid_phone, c("pl.phone")), _if(valid_phone, c("og.phone")), c("rx.phone")),
+    }
+    fifth = {"pick": phones.pick(F.concat(phones.valid(F.array(phones.candidate(c("prior"), phones.MICRODATA))), c("near")), c(city), c("vendor"))}
     value, local = c("pick.value"), F.coalesce(F.array_contains(city_codes(c(city)), area_code(c("pick.value"))), F.lit(False))
-    phone = F.when(c("pick.poisoned"), F.lit(None)).when(value.isNotNull() & (local | c("pick.region").isin("contacts", "microdata")), value).otherwise(F.coalesce("prior", value))
-    return p.select(
-        *cols,
-        F.coalesce(c("pl.name"), c("ev.name"), c("og.name")).alias("place_name"),
-        c("pl.kind").alias("place_type"),
-        "address",
-        "legal_address",
-        phone.alias("phone"),
-        F.coalesce(c("pl.website"), c("og.website")).alias("website"),
-        F.coalesce(c("pl.hours"), c("og.hours"), extract.visible_hours(c("nodes"))).alias("hours"),
-        F.coalesce(_if(valid_price, c("pl.price")), _if(valid_price, c("ev.price")), c("rx.price")).alias("price"),
-        extract.email(c("nodes")).alias("email"),
-        F.coalesce(c("ar.published"), c("ev.start")).alias("event_date"),
-        c("pick.poisoned").alias("phone_poisoned"),
-        c("vendor").alias("vendor"),
-        c("ar.published").alias("article_date"),
-    )
+    last = {
+        "place_name": F.coalesce(c("pl.name"), c("ev.name"), c("og.name")),
+        "place_type": c("pl.kind"),
+        "address": c("address"),
+        "legal_address": c("legal_address"),
+        "phone": F.when(c("pick.poisoned"), F.lit(None)).when(value.isNotNull() & (local | c("pick.region").isin("contacts", "microdata")), value).otherwise(F.coalesce("prior", value)),
+        "website": F.coalesce(c("pl.website"), c("og.website")),
+        "hours": F.coalesce(c("pl.hours"), c("og.hours"), extract.visible_hours(c("nodes"))),
+        "price": F.coalesce(_if(valid_price, c("pl.price")), _if(valid_price, c("ev.price")), c("rx.price")),
+        "email": extract.email(c("nodes")),
+        "event_date": F.coalesce(c("ar.published"), c("ev.start")),
+        "phone_poisoned": c("pick.poisoned"),
+        "vendor": c("vendor"),
+        "article_date": c("ar.published"),
+    }
+    return [first, second, third, fourth, fifth, last]
+
+
+@built_once
+def _items() -> Column:
+    return structured.items(F.col("nodes"))
+
+
+def page_facts(pages: DataFrame, city: str = "city", numbers: bool = False) -> DataFrame:
+    """pages (page_id, url, html, city; or what `dom.with_pages` made of them) with one column a fact, phone_poisoned and vendor;
+    with `numbers`, also `all`, the candidates of every finder.
+
+    Each layer only fills what the ones before it left open, but for the phone, which the best-placed candidate may replace.
+    """
+    p = pages if "clean" in pages.columns else dom.with_pages(pages)
+    cols = [c for c in pages.columns if c not in ("nodes", "clean")]
+    found, every = phones.found_columns()
+    *layers, last = _layers(city)
+    for layer in ({"items": _items()}, found, *layers):
+        p = p.withColumns(layer)
+    return p.select(*cols, *[v.alias(k) for k, v in last.items()], *([every["all"].alias("all")] if numbers else []))
 
 
 def has_contacts(poisoned: str = "phone_poisoned") -> Column:

@@ -70,15 +70,36 @@ def updated(store: DataFrame, changes: DataFrame) -> DataFrame:
     return j.withColumns({"status": status, "score": number}).drop("new_status", "new_score")
 
 
+def folded(store: DataFrame | None, actions: DataFrame) -> DataFrame:
+    """url, the entry after all actions (null for none) and `had`, whether the store had the URL, for each URL that actions name.
+
+    actions: url, seq, action (add, update, purge) and the columns of an entry. In order of seq, an add of a URL that is there
+    changes nothing, an update takes a status but "" and a score but -1, a purge takes the entry away. So of each URL the last
+    purge counts, the first add after it, and the last status and score after that: three aggregates that merge partial results,
+    however many actions a URL has.
+    """
+    names = [c for c in actions.columns if c not in ("url", "seq", "action")]
+    entry = F.struct(*names)
+    purges = actions.groupBy("url").agg(F.max(F.when(F.col("action") == "purge", F.col("seq"))).alias("purged"))
+    kind = actions.select(entry.alias("e")).schema["e"].dataType
+    held = purges.withColumn("held", F.lit(None).cast(kind)) if store is None else purges.join(store.select("url", entry.cast(kind).alias("held")), "url", "left")
+    alive = actions.join(held, "url").filter(F.col("purged").isNull() | (F.col("seq") > F.col("purged")))
+    stays = F.col("purged").isNull() & F.col("held").isNotNull()
+    adds = alive.filter((F.col("action") == "add") & ~stays).groupBy("url").agg(F.min_by(entry, "seq").alias("first"), F.min("seq").alias("from"))
+    begun = held.join(adds, "url", "left").select("url", F.col("held").isNotNull().alias("had"), F.when(stays, F.col("held")).otherwise(F.col("first")).alias("entry"), "from", "purged")
+    later = actions.filter("action = 'update'").join(begun.filter("entry is not null").select("url", "from", "purged"), "url").filter("seq > coalesce(from, seq - 1) and seq > coalesce(purged, seq - 1)")
+    last = lambda c, good: F.max(F.when(good, F.struct("seq", c)))[c].alias(f"new_{c}")
+    changes = later.groupBy("url").agg(last("status", F.coalesce("status", F.lit("")) != ""), last("score", F.coalesce("score", F.lit(-1)) >= 0))
+    j = begun.join(changes, "url", "left")
+    after = F.col("entry").withField("status", F.coalesce("new_status", "entry.status")).withField("score", F.coalesce("new_score", "entry.score"))
+    return j.select("url", F.when(F.col("entry").isNotNull(), after).alias("entry"), "had")
+
+
 def absent(store: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes that name no entry: an error for a caller to see."""
     return changes.join(store.select("news_id"), "news_id", "left_anti")
 
 
-def known_urls(store: DataFrame) -> DataFrame:
-    return store.filter("url is not null").select("url").distinct()
-
-
 def totals(store: DataFrame) -> DataFrame:
     """One row: entries and different URLs of the store."""
     return store.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("url").alias("urls"))

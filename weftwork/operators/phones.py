@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import patterns as P
+from weftwork.functions.once import built_once
 from weftwork.functions.text import any_of, digits, is_department, let, trimmed
 from weftwork.functions.validate import area_code, canonical_phone, city_codes, geographic_code, toll_free, valid_phone
 from weftwork.operators import structured
@@ -89,9 +90,9 @@ def branches(nodes: Column) -> Column:
     return F.slice(valid(F.transform(F.filter(found, lambda v: v.isNotNull() & quoted(v)), lambda v: candidate(v, BRANCH))), 1, MOST)
 
 
-def places(nodes: Column) -> Column:
-    """Phones of pages that describe two places or more, one each."""
-    several = F.filter(F.array(structured.places(nodes)), lambda p: F.size(p) >= 2)
+def places(items: Column) -> Column:
+    """Phones of pages whose items describe two places or more, one each."""
+    several = F.filter(F.array(structured.places(items)), lambda p: F.size(p) >= 2)
     return F.flatten(F.transform(several, lambda ps: F.slice(valid(F.transform(ps, lambda p: candidate(p.phone, PLACE))), 1, MOST)))
 
 
@@ -110,6 +111,14 @@ def vendor(nodes: Column) -> Column:
     return F.coalesce(*[F.when(any_of([*(F.contains(src, F.lit(t)) for t in s), *(F.contains(inline, F.lit(t)) for t in c)]), F.lit(name)) for name, s, c in P.VENDORS])
 
 
+@built_once
+def found_columns() -> list[dict[str, Column]]:
+    """What pages with nodes and items get, in turn: `vendor`, and the candidates `near` of four finders, which the pick and the
+    set of all numbers share; then `all`."""
+    n = F.col("nodes")
+    return [{"vendor": vendor(n), "near": F.concat(social(n), tel(n), microdata(n), meta_phone(n))}, {"all": _every(F.col("near"), n, F.col("items"))}]
+
+
 def with_candidates(pages: DataFrame, prior: Column | None = None) -> DataFrame:
     """pages with nodes, plus vendor and candidates in the finders' order (it breaks ties)."""
     n = F.col("nodes")
@@ -169,9 +178,12 @@ ANCHORED = (MICRODATA, CONTACTS, BRANCH, PLACE, SOCIAL)
 
 def every(nodes: Column) -> Column:
     """All candidates of all finders in their order, each as struct(c, plain): plain ones count only where no other finder has them."""
-    found = F.concat(social(nodes), tel(nodes), microdata(nodes), meta_phone(nodes), branches(nodes), places(nodes))
+    return _every(F.concat(social(nodes), tel(nodes), microdata(nodes), meta_phone(nodes)), nodes, structured.items(nodes))
+
+
+def _every(near: Column, nodes: Column, items: Column) -> Column:
     tagged = lambda a, is_plain: F.transform(a, lambda c: F.struct(c.alias("c"), F.lit(is_plain).alias("plain")))
-    return F.concat(tagged(found, False), tagged(plain(nodes), True))
+    return F.concat(tagged(F.concat(near, branches(nodes), places(items)), False), tagged(plain(nodes), True))
 
 
 def site_numbers(pages: DataFrame, poisoned: Column | None = None) -> DataFrame:

@@ -93,10 +93,31 @@ def closed_status(site_status: Column, maps_status: Column, fetched: Column) ->
     return F.when(closed.isNotNull() & ~live, closed).otherwise(site_status)
 
 
-def accumulated_numbers(numbers: DataFrame) -> DataFrame:
-    """Numbers of all pages of an item (item_pos, page_ord, place, key, trustworthy, anchored, ...): the strongest of each key,
-    trust before anchor, first page first."""
-    from weftwork.operators.phones import keep_strongest
+def number_lists(numbers: DataFrame, membership: Column | None = None) -> DataFrame:
+    """(item_pos, numbers) from the numbers of all pages of an item (item_pos, page_ord, place, key, value, source, trustworthy,
+    anchored, dni, role, role_label_raw, and what membership asks for).
 
+    Of several readings of a number the strongest counts, trust before anchor, first page first; but it is general if any
+    reading is, with the first general reading's label. One aggregate by (item, number): maxima and minima that any number of
+    partial readings can be merged into. The list goes by strength, then by digits.
+    """
+    member = membership if membership is not None else F.lit(None).cast("struct<match: boolean, foreign: boolean>")
     rank = F.col("trustworthy").cast("int") * 2 + F.col("anchored").cast("int")
-    return keep_strongest(numbers.withColumn("rank", rank), F.col("key"), F.col("rank"), F.struct("page_ord", "place"), ["item_pos"]).drop("first_seen")
+    place = F.struct("page_ord", "place")
+    best = F.min_by(F.struct("value", "source", "trustworthy", "anchored", "dni", "role", F.col("role_label_raw").alias("label"), "m.match", "m.foreign", rank.alias("rank")), F.struct((-rank).alias("r"), place.alias("p")))
+    general = F.min(F.when(F.col("role") == "", F.struct(place.alias("p"), F.col("role_label_raw").alias("label"))))
+    g = numbers.withColumn("m", member).filter("key != ''").groupBy("item_pos", "key").agg(best.alias("b"), general.alias("g"))
+    label = F.when(F.col("g").isNotNull(), F.col("g.label")).otherwise(F.col("b.label"))
+    number = F.struct("b.value", "b.source", "b.trustworthy", "b.anchored", "b.dni", F.when(F.col("g").isNotNull(), "").otherwise(F.col("b.role")).alias("role"), label.alias("role_label_raw"), "b.match", "b.foreign")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("b.rank")).alias("r"), "key", number.alias("n"))))
+    return g.groupBy("item_pos").agg(F.transform(rows, lambda x: x.n).alias("numbers"))
+
+
+def legal_against_venue(rows: DataFrame) -> DataFrame:
+    """(item_pos, legal_vs_venue): how many of a site's registered seats met another address that was there before."""
+    c = rows.filter(F.col("field").isin("address", "legal_address"))
+    venue = F.collect_list(F.when(F.col("field") == "address", F.struct("seq", "value")))
+    seats = F.collect_list(F.when(F.col("field") == "legal_address", F.struct("seq", "value")))
+    g = c.groupBy("item_pos").agg(venue.alias("venues"), seats.alias("seats")).filter(F.size("seats") > 0)
+    met = F.filter("seats", lambda s: F.exists("venues", lambda v: (v.seq <= s.seq) & (v.value != s.value)))
+    return g.select("item_pos", F.size(met).alias("legal_vs_venue"))

@@ -1,4 +1,7 @@
-"""schema.org items of a page, JSON-LD and microdata alike, as JSON texts that expressions project from."""
+"""schema.org items of a page, JSON-LD and microdata alike: JSON texts, each parsed once into a VARIANT that expressions project from.
+
+An item that names a property twice is no VARIANT and has no properties.
+"""
 
 from __future__ import annotations
 
@@ -17,22 +20,34 @@ def _listed(value: Column) -> Column:
     return F.coalesce(let(value, lambda v: F.when(v.rlike(r"^\s*\["), F.from_json(v, _TEXTS)).when(v.isNotNull(), F.array(v))), F.array().cast(_TEXTS))
 
 
-def raw(item: Column, key: str) -> Column:
-    return F.get_json_object(item, f"$['{key}']")
+def _get(v: Column, key: str, more: str = "", kind: str = "string") -> Column:
+    return F.try_variant_get(v, f"$['{key}']{more}", kind)
+
+
+def first_text(v: Column, key: str) -> Column:
+    """A property of a VARIANT as text; of several values the first."""
+    return F.when(F.startswith(_get(v, key), F.lit("[")), _get(v, key, "[0]")).otherwise(_get(v, key))
+
 
+def texts(v: Column, key: str) -> Column:
+    """A property of a VARIANT as an array of texts; none is empty."""
+    one = _get(v, key)
+    return F.when(one.isNull(), F.array().cast(_TEXTS)).when(F.startswith(one, F.lit("[")), F.coalesce(_get(v, key, kind=_TEXTS), F.array().cast(_TEXTS))).otherwise(F.array(one))
 
-def prop(item: Column, *keys: str) -> Column:
+
+def prop(v: Column, *keys: str) -> Column:
     """The first of the properties that has a non-empty text, trimmed; of several values the first."""
-    return F.coalesce(*[F.nullif(trimmed(F.try_element_at(_listed(raw(item, k)), F.lit(1))), F.lit("")) for k in keys])
+    return F.coalesce(*[F.nullif(trimmed(first_text(v, k)), F.lit("")) for k in keys])
 
 
-def nested(item: Column, key: str) -> Column:
-    """The first nested item of a property as JSON text, null if it is not one."""
-    return let(F.try_element_at(_listed(raw(item, key)), F.lit(1)), lambda v: F.when(v.rlike(r"^\s*\{"), v))
+def nested(v: Column, key: str) -> Column:
+    """The first nested item of a property as a VARIANT, null if it is not one. Microdata has them as texts."""
+    return let(F.ltrim(first_text(v, key)), lambda t: F.when(F.startswith(t, F.lit("{")), F.try_parse_json(t)))
 
 
 def kinds(item: Column) -> Column:
-    return F.transform(_listed(raw(item, "@type")), lambda t: F.regexp_replace(t, "^https?://schema.org/", ""))
+    """The types of an item's text: one property alone needs no whole parse."""
+    return F.transform(_listed(F.get_json_object(item, "$['@type']")), lambda t: F.regexp_replace(t, "^https?://schema.org/", ""))
 
 
 def microdata(nodes: Column) -> Column:
@@ -90,51 +105,56 @@ def first_of(all_items: Column, names: tuple[str, ...]) -> Column:
     return F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))["item"]
 
 
-def address(item: Column) -> Column:
+def address(v: Column) -> Column:
 
     def joined(inner: Column) -> Column:
         parts = F.concat_ws(", ", *[prop(inner, k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")])
-        return F.coalesce(F.nullif(parts, F.lit("")), F.when(inner.isNull(), prop(item, "address")))
+        return F.coalesce(F.nullif(parts, F.lit("")), F.when(inner.isNull(), prop(v, "address")))
 
-    return let(nested(item, "address"), joined)
+    return let(nested(v, "address"), joined)
 
 
-def price(item: Column) -> Column:
-    return F.coalesce(prop(nested(item, "offers"), "price"), prop(item, "priceRange"))
+def price(v: Column) -> Column:
+    return F.coalesce(prop(nested(v, "offers"), "price"), prop(v, "priceRange"))
 
 
-def hours(item: Column) -> Column:
+def hours(v: Column) -> Column:
     """Clauses "days opens-closes" of the specification joined by "; ", else the plain opening hours joined alike."""
 
     def clause(spec: Column) -> Column:
-        days = F.array_join(F.filter(F.transform(_listed(raw(spec, "dayOfWeek")), lambda d: F.regexp_replace(trimmed(d), "^.*/", "")), lambda d: d != ""), ",")
+        days = F.array_join(F.filter(F.transform(texts(spec, "dayOfWeek"), lambda d: F.regexp_replace(trimmed(d), "^.*/", "")), lambda d: d != ""), ",")
         return F.ltrim(F.concat(days, F.lit(" "), prop(spec, "opens"), F.lit("-"), prop(spec, "closes")))
 
-    clauses = F.filter(F.transform(F.filter(_listed(raw(item, "openingHoursSpecification")), lambda s: s.rlike(r"^\s*\{")), clause), lambda c: c.isNotNull())
-    plain = F.filter(F.transform(_listed(raw(item, "openingHours")), trimmed), lambda h: h != "")
+    specs = F.transform(F.filter(texts(v, "openingHoursSpecification"), lambda s: s.rlike(r"^\s*\{")), lambda s: let(F.try_parse_json(s), clause))
+    clauses = F.filter(specs, lambda c: c.isNotNull())
+    plain = F.filter(F.transform(texts(v, "openingHours"), trimmed), lambda h: h != "")
     return F.coalesce(F.nullif(F.array_join(clauses, "; "), F.lit("")), F.nullif(F.array_join(plain, "; "), F.lit("")))
 
 
-def kind(item: Column) -> Column:
-    return F.try_element_at(kinds(item), F.lit(1))
+def _kind(v: Column) -> Column:
+    return F.regexp_replace(first_text(v, "@type"), "^https?://schema.org/", "")
+
+
+def _named(v: Column, key: str) -> Column:
+    """The name of a nested item, or the property's own text."""
+    return let(nested(v, key), lambda inner: F.when(inner.isNotNull(), prop(inner, "name")).otherwise(prop(v, key)))
 
 
 def place(item: Column) -> Column:
-    return F.struct(prop(item, "name").alias("name"), kind(item).alias("kind"), address(item).alias("address"), prop(item, "telephone").alias("phone"), prop(item, "url").alias("website"), hours(item).alias("hours"), price(item).alias("price"))
+    """struct(name, kind, address, phone, website, hours, price) of an item's text."""
+    return let(F.try_parse_json(item), lambda v: F.struct(prop(v, "name").alias("name"), _kind(v).alias("kind"), address(v).alias("address"), prop(v, "telephone").alias("phone"), prop(v, "url").alias("website"), hours(v).alias("hours"), price(v).alias("price")))
 
 
 def article(item: Column) -> Column:
-    author = F.when(nested(item, "author").isNotNull(), prop(nested(item, "author"), "name")).otherwise(prop(item, "author"))
-    return F.struct(prop(item, "headline", "name").alias("headline"), author.alias("author"), prop(item, "description").alias("description"), prop(item, "datePublished").alias("published"))
+    return let(F.try_parse_json(item), lambda v: F.struct(prop(v, "headline", "name").alias("headline"), _named(v, "author").alias("author"), prop(v, "description").alias("description"), prop(v, "datePublished").alias("published")))
 
 
 def event(item: Column) -> Column:
-    at = F.when(nested(item, "location").isNotNull(), prop(nested(item, "location"), "name")).otherwise(prop(item, "location"))
-    return F.struct(prop(item, "name").alias("name"), prop(item, "startDate").alias("start"), prop(item, "endDate").alias("end"), at.alias("location"), price(item).alias("price"))
+    return let(F.try_parse_json(item), lambda v: F.struct(prop(v, "name").alias("name"), prop(v, "startDate").alias("start"), prop(v, "endDate").alias("end"), _named(v, "location").alias("location"), price(v).alias("price")))
 
 
 def organization(item: Column) -> Column:
-    return F.struct(prop(item, "name").alias("name"), prop(item, "legalName").alias("legal_name"), address(item).alias("address"), prop(item, "telephone").alias("phone"), prop(item, "url").alias("website"), hours(item).alias("hours"), has_legal_id(item).alias("legal_id"))
+    return let(F.try_parse_json(item), lambda v: F.struct(prop(v, "name").alias("name"), prop(v, "legalName").alias("legal_name"), address(v).alias("address"), prop(v, "telephone").alias("phone"), prop(v, "url").alias("website"), hours(v).alias("hours"), has_legal_id(item).alias("legal_id")))
 
 
 def has_legal_id(item: Column) -> Column:
@@ -144,9 +164,9 @@ def has_legal_id(item: Column) -> Column:
     return F.exists(keys, lambda k: trimmed(k).rlike(P.LEGAL_ID_KEY)) | F.exists(values, lambda v: v.rlike(P.LEGAL_ID))
 
 
-def places(nodes: Column) -> Column:
-    """Every place of the page: top-level items and those of an item's @graph."""
-    everything = F.flatten(F.transform(items(nodes), lambda i: F.concat(F.array(i), _listed(raw(i, "@graph")))))
+def places(all_items: Column) -> Column:
+    """Every place of a page: top-level items and those of an item's @graph."""
+    everything = F.flatten(F.transform(all_items, lambda i: F.concat(F.array(i), _listed(F.get_json_object(i, "$['@graph']")))))
     return F.transform(F.filter(everything, lambda i: of_kind(i, P.PLACE_TYPES)), place)
 
 

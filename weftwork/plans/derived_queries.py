@@ -632,9 +632,12 @@ def enrich_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select s_suppkey as item_pos, 'active' as status, case when s_suppkey % 3 < 2 then '+7812555' || lpad(s_suppkey::varchar, 4, '0') end as phone, case when s_suppkey % 3 < 2 then 'ул. Садовая, д. ' || s_suppkey end as address,
-  case s_suppkey % 3 when 0 then repeat('word ', 119) || 'word' when 1 then 'hi' else 'readable ' || s_suppkey end as content, 'T' as title, case when s_suppkey % 3 = 2 then 'A' end as author, 'ru' as "language", false as render_skipped from supplier""")
+  case s_suppkey % 3 when 0 then repeat('word ', 119) || 'word' when 1 then 'hi' else 'readable ' || s_suppkey end as content, 'T' as title, case when s_suppkey % 3 = 2 then 'A' end as author, 'ru' as "language", s_suppkey % 3 <> 0 as render_skipped from supplier""")
 def enrich_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Homepages that tell too little: a third has a render, a third a contacts page with one, a third a readability text."""
+    """Homepages that tell too little: a third has a render, a third a contacts page with one, a third a readability text.
+
+    The renders of two thirds of the homepages are error pages: their records stand on the raw page, as if none had been tried.
+    """
     from weftwork.plans.enrich import Sources, enrich
 
     k, t, kind = c("s_suppkey").cast("string"), table(spark, sf_dir, "supplier"), c("s_suppkey") % 3
@@ -653,6 +656,148 @@ def enrich_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_pos", "status", "phone", "address", "content", "title", "author", "language", "render_skipped")
 
 
+def _fetched(*rows: DataFrame) -> DataFrame:
+    """fetches from tables of (url, html)."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("url", F.lit(1).alias("attempt"), "html", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), F.lit(False).alias("tls_error"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str, url: Column, city: str = "", mode: str = "places") -> DataFrame:
+    """suppliers as records, s_suppkey and its text k beside them."""
+    k = c("s_suppkey").cast("string")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", k.alias("k"), c("s_suppkey").alias("item_pos"), c("s_name").alias("name"), url.alias("url"), F.lit(city).alias("city"), F.lit(mode).alias("mode"), F.lit(False).alias("skip_maps_check"))
+
+
+@query("""select s_suppkey as item_pos, case when s_suppkey % 4 = 0 then 'closed' else 'active' end as status, 'ул. Вторая, д. ' || s_suppkey as address, '+7812555' || lpad(s_suppkey::varchar, 4, '0') as phone,
+  'https://w' || s_suppkey || '.example/' as website, null::varchar as legal_address, 'search' as phone_source, 'one' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'two' as content from supplier""")
+def enrich_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a page: of each fact that found pages have the last page's stands, the phone by the record's city; registered seats
+    do not count; a record of which anything was read is active unless a map says that it is closed."""
+    from weftwork.plans.enrich import Sources, enrich
+
+    t = _suppliers(spark, sf_dir, F.lit(""), "Санкт-Петербург")
+    page = lambda n: F.concat(F.lit("https://r"), c("k"), F.lit(f".example/{n}"))
+    one = _html("<article>one</article><footer><address>ул. Первая, д. ", c("k"), "</address><address>ООО Ромашка, ул. Юридическая, д. 1</address><a href='tel:+74950000000'>x</a></footer>")
+    place = F.concat(F.lit('<script type="application/ld+json">{"@type": "Restaurant", "name": "N", "url": "https://w'), c("k"), F.lit('.example/"}</script>'))
+    two = _html(place, "<article>two</article><a href='tel:+74951111111'>y</a><a href='tel:+7812555", F.lpad(c("k"), 4, "0"), "'>x</a><footer><address>ул. Вторая, д. ", c("k"), "</address></footer>")
+    fetches = _fetched(t.select(page(1).alias("url"), one.alias("html")), t.select(page(2).alias("url"), two.alias("html")), t.select(page(3).alias("url"), F.lit("").alias("html")))
+    result = lambda pos, n: t.select("item_pos", F.lit(pos).alias("pos"), page(n).alias("url"), F.lit("T").alias("title"), F.lit("Адрес: ул. Снежная, д. 7").alias("snippet"))
+    results = result(0, 1).unionByName(result(1, 3)).unionByName(result(2, 2))
+    cards = t.filter("s_suppkey % 4 = 0").select("item_pos", F.lit("permanently_closed").alias("status"), *[F.lit("").alias(f) for f in ("name", "address", "phone", "website", "hours")])
+    out = enrich(t.drop("s_suppkey", "k"), Sources(fetches, cards=cards, results=results))
+    return out.select("item_pos", "status", "address", "phone", "website", "legal_address", "phone_source", "content")
+
+
+@query("""select s_suppkey as item_pos, '+7812444' || lpad(s_suppkey::varchar, 4, '0') || ' contacts departmental Бухгалтерия true false;+7812555' || lpad(s_suppkey::varchar, 4, '0') || ' contacts   true false;+7495333' || lpad(s_suppkey::varchar, 4, '0') || ' body   false true' as numbers,
+  '+7812555' || lpad(s_suppkey::varchar, 4, '0') as phone, 'https://s' || s_suppkey || '.example/ru/' as url from supplier""")
+def enrich_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of three pages: of the homepage's render, for the raw page tells nothing, and of the contacts page that only the
+    render links to. General where any page says so; strongest first, then by digits; the page where the record ended up."""
+    from weftwork.plans.enrich import Sources, enrich
+
+    url = F.concat(F.lit("https://s"), c("s_suppkey").cast("string"), F.lit(".example/"))
+    t = _suppliers(spark, sf_dir, url, "Санкт-Петербург")
+    far = F.concat(url, F.lit("ru/"))
+    link = lambda code: F.concat(F.lit("<a href='tel:+7" + code), F.lpad(c("k"), 4, "0"), F.lit("'>x</a>"))
+    shell = _html("<div id='app'></div>")
+    full = _html("<footer>", link("812555"), "</footer><p>page of the house</p><a href='contacts'>Контакты</a><p>", F.repeat(F.lit("word "), 120), "</p>")
+    contacts = _html("<main>", link("495333"), "</main><footer><p>Бухгалтерия</p>", link("812444"), link("812555"), "</footer>")
+    fetches = _fetched(t.select("url", shell.alias("html")), t.select(F.concat(far, F.lit("contacts")).alias("url"), contacts.alias("html")))
+    fetches = fetches.withColumn("final_url", F.when(~c("url").endswith("contacts"), F.concat("url", F.lit("ru/"))))
+    renders = t.select("url", full.alias("html"))
+    out = enrich(t.drop("s_suppkey", "k"), Sources(fetches, renders=renders))
+    shown = F.array_join(F.transform("numbers", lambda n: F.concat_ws(" ", n.value, n.source, n.role, n.role_label_raw, n.match, n.foreign)), ";")
+    return out.select("item_pos", shown.alias("numbers"), "phone", "url")
+
+
+@query("""select s_suppkey as item_pos, case s_suppkey % 4 when 0 then 59.5 when 1 then 5.0 when 2 then 5.0 end::double as latitude, case s_suppkey % 4 when 0 then 30.5 when 1 then 6.0 when 2 then 6.0 end::double as longitude,
+  case when s_suppkey % 4 = 3 then 'Other' else 'Near' end as place_name from supplier""")
+def enrich_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's own pair of coordinates, else those of its first card, unless they are zero. Half a pair is none."""
+    from weftwork.plans.enrich import Sources, enrich
+
+    t, kind = _suppliers(spark, sf_dir, F.lit("")), c("s_suppkey") % 4
+    t = t.withColumns({"latitude": F.when(kind < 2, 59.5), "longitude": F.when(kind == 0, 30.5)})
+    card = lambda pos, name, lat, lon: t.select("item_pos", F.lit(pos).alias("pos"), F.lit("open").alias("status"), name.alias("name"), *[F.lit("").alias(f) for f in ("address", "phone", "website", "hours")], lat.alias("latitude"), lon.alias("longitude"))
+    zero = lambda v: F.when(kind == 3, 0.0).otherwise(v)
+    cards = card(1, F.lit("Far"), F.lit(7.0), F.lit(8.0)).unionByName(card(0, F.when(kind == 3, "Other").otherwise("Near"), zero(5.0), zero(6.0)))
+    return enrich(t.drop("s_suppkey", "k"), Sources(_fetched(t.select("url", F.lit("").alias("html")).limit(0)), cards=cards)).select("item_pos", "latitude", "longitude", "place_name")
+
+
+@query("""with k as (select s_suppkey % 5 as kind from supplier)
+select 'records' as metric, count(*)::bigint as n from k union all select 'fetch_error', count(*) filter (kind = 4) from k union all select 'render_thin_content', count(*) filter (kind = 0) from k
+union all select 'render_absent_contacts', count(*) filter (kind = 1) from k union all select 'render_contacts_page', 0 union all select 'render_error', count(*) filter (kind = 2) from k
+union all select 'render_skipped_homepage', count(*) filter (kind = 3) from k union all select 'render_skipped_contacts', 0 union all select 'contacts_discovered', count(*) filter (kind = 1) from k
+union all select 'contacts_resolved', count(*) filter (kind = 1) from k union all select 'site_resolved', count(*) filter (kind = 0) + 2 * count(*) filter (kind = 1) from k union all select 'target_blocked', 0
+union all select 'legal_vs_venue', count(*) filter (kind = 1) from k union all select 'conflicts', count(*) filter (kind in (0, 1)) from k""")
+def enrich_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was done for records of five kinds: a thin page that a render helps; a page without contacts whose render links to a contacts
+    page with a registered seat; a failed render; a page whose branches' numbers make a render needless; a page that is not reached."""
+    from weftwork.plans import metrics
+    from weftwork.plans.enrich import Sources, enrich
+
+    url, kind = F.concat(F.lit("https://s"), c("s_suppkey").cast("string"), F.lit(".example/")), c("s_suppkey") % 5
+    t = _suppliers(spark, sf_dir, url)
+    long = F.concat(F.lit("<article>"), F.repeat(F.lit("word "), 120), F.lit("</article>"))
+    branches = F.lit("""<script>var b = '[{"phone": "+78121110001"}, {"phone": "+78121110002"}]';</script>""")
+    home = _html(F.when(kind == 3, F.concat(long, branches)).when(kind == 0, "<p>thin</p>").otherwise(long))
+    tel = F.concat(F.lit("<footer><a href='tel:+7812555"), F.lpad(c("k"), 4, "0"), F.lit("'>x</a><address>ул. Садовая, д. 1</address></footer>"))
+    render = _html(F.when(kind == 1, F.concat(tel, long, F.lit("<a href='/contacts'>Контакты</a>"))).otherwise(F.concat(tel, F.rpad(F.lit("<p>"), 600, "y"))))
+    contacts = _html("<address>ООО Ромашка, ул. Юридическая, д. 1</address><footer><a href='tel:+7812555", F.lpad(c("k"), 4, "0"), "'>x</a><address>ул. Садовая, д. 1</address><a href='mailto:a@b.example'>m</a><p>Часы работы: 10:00-20:00</p></footer>")
+    pages = _fetched(t.filter(kind < 4).select("url", home.alias("html")), t.filter(kind == 1).select(F.concat(url, F.lit("contacts")).alias("url"), contacts.alias("html")))
+    # A contacts page of which everything is known is not rendered; the homepage of the third kind has a render of a few bytes.
+    renders = t.filter(kind < 3).select("url", F.when(kind == 2, "<p>no</p>").otherwise(render).alias("html"))
+    cards = t.select("item_pos", F.lit("open").alias("status"), F.lit("").alias("name"), F.lit("").alias("address"), F.when(kind < 2, "+78120000000").otherwise("").alias("phone"), F.lit("").alias("website"), F.lit("").alias("hours"))
+    return metrics.totals(enrich(t.drop("s_suppkey", "k"), Sources(pages, renders=renders, cards=cards)))
+
+
+@query("""with e as (select event_id as seq, 'https://n.example/' || user_id as url, case when event_id % 7 = 0 then 'purge' when event_id % 7 < 3 then 'update' else 'add' end as action,
+  event_id::varchar as news_id, case when event_id % 5 = 0 then '' else event_type end as status, case when event_id % 3 = 0 then -1 else event_id % 100 end as score from events),
+p as (select url, max(seq) filter (action = 'purge') as purged from e group by url),
+a as (select e.url, min(e.seq) as start from e join p using (url) where action = 'add' and seq > coalesce(purged, -1) group by e.url),
+s as (select e.url, arg_max(status, seq) as status from e join a using (url) where action = 'update' and seq > start and status <> '' group by e.url),
+n as (select e.url, arg_max(score, seq) as score from e join a using (url) where action = 'update' and seq > start and score >= 0 group by e.url)
+select p.url, e.news_id, coalesce(s.status, e.status) as status, coalesce(n.score, e.score)::int as score from p left join a using (url) left join e on e.url = a.url and e.seq = a.start left join s on s.url = p.url left join n on n.url = p.url""")
+def news_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What adds, updates and purges of each address, in order, leave in the store."""
+    from weftwork.operators import news
+
+    i = c("event_id")
+    action = F.when(i % 7 == 0, "purge").when(i % 7 < 3, "update").otherwise("add")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("https://n.example/"), c("user_id").cast("string")).alias("url"), i.alias("seq"), action.alias("action"), i.cast("string").alias("news_id"), F.when(i % 5 == 0, "").otherwise(c("event_type")).alias("status"), F.when(i % 3 == 0, -1).otherwise(i % 100).cast("int").alias("score"))
+    return news.folded(None, e).select("url", "entry.news_id", "entry.status", "entry.score")
+
+
+@query("""select s_suppkey as item_pos, day, case when day = 2 and s_suppkey % 3 = 0 then 'day 2' when day = 2 and s_suppkey % 3 = 1 then 'day 2' else 'day 1' end as content,
+  day = 2 and s_suppkey % 3 = 2 as cache_hit from supplier, (select unnest([1, 2]) as day) where day = 2 or s_suppkey % 3 > 0""")
+def enrich_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of records: the second finds a third in the store, a third there is too old, a third is new. The second day is run twice."""
+    import uuid
+
+    from weftwork.plans import enrich as E
+
+    store = E.result_store(spark, f"{E.shared_path(spark)}/results-{uuid.uuid4().hex}")
+    t = _suppliers(spark, sf_dir, F.concat(F.lit("https://s"), c("s_suppkey").cast("string"), F.lit(".example/")))
+
+    def run(day: int, rows: DataFrame, text: str, batch: str, ttl: str) -> DataFrame:
+        at = F.lit(f"2024-01-{3 * day:02d} 00:00:00").cast("timestamp")
+        pages = _fetched(rows.select("url", _html("<article>", text, "</article>").alias("html")))
+        out = E.enrich_cached(rows.drop("s_suppkey", "k"), E.Sources(pages), store, at, batch, ttl)
+        return out.select("item_pos", F.lit(day).alias("day"), "content", "cache_hit")
+
+    one = run(1, t.filter("s_suppkey % 3 > 0"), "day 1", "a", "2 days")
+    one = E.written(one, "day-one")
+    # Those of the second third were read long before: they are put again, as old rows, and count as expired.
+    old = store.read().join(t.filter("s_suppkey % 3 = 1").select("url"), "url", "left_semi").withColumn("stored_at", F.lit("2023-01-01 00:00:00").cast("timestamp"))
+    aged = E.result_store(spark, f"{store.path}-aged")
+    aged.put(store.read().join(old.select("cache_key"), "cache_key", "left_anti").unionByName(old), "a")
+    store = aged
+    run(2, t, "day 2", "b", "7 days")
+    return one.unionByName(run(2, t, "day 3", "b", "7 days"))
+
+
 @query("""select p_partkey, case p_partkey % 3 when 0 then '2024-05-01' when 1 then '2023-01-02' else '2022-11-09' end as published from part""")
 def jsonld_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of an article item comes after the page's own, before that of the address."""

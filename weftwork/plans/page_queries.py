@@ -187,6 +187,19 @@ def news_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("news_id", news.score(PROJECT, c("title"), c("snippet"), c("url"), c("source"), c("engines")).alias("score"))
 
 
+#: The same text with a line for each block of the article, taken by its tag.
+_BLOCKS = rf"regexp_replace(regexp_extract(regexp_replace(html, '{_NOISE}', '', 'g'), '(?s)<article>(.*?)</article>', 1), '<br>', ' ', 'g')"
+_ARTICLE = _TEXT.format(rf"regexp_replace({_BLOCKS}, '</?(p|h[1-6]|ul|ol|li|div|table|tr|td|th|blockquote|section|pre|hr)( [^>]*)?>', chr(1), 'g')")
+
+
+@query(rf"""select page_id, regexp_replace(regexp_replace({_ARTICLE}, '[ ]*[ ]*', chr(10), 'g'), '^
++|
++$', '', 'g') as text from pages""")
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The densest run of blocks of each page, found without any content element's name."""
+    return dom.with_pages(_pages(spark, sf_dir, "page_id", "url", "html")).select("page_id", F.col("article").alias("text"))
+
+
 @query(f"select news_id, score from ({_SCORE}) where score >= 60 order by score desc, news_id limit 20")
 def news_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best entries: the limit is the feature."""

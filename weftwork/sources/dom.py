@@ -1,6 +1,7 @@
 """HTML pages as node lists: the one place where Python reads markup, a batch of pages at a time.
 
-`with_nodes` parses each page once into array<node>; every finder after that is a Catalyst expression over it. A node has
+`with_nodes` parses each page once into array<node>; every finder after that is a Catalyst expression over it (`with_pages` gives
+the markup without noise and the densest text too, from the same parse). A node has
 its number in document order, its parent, the number of its last descendant (so a subtree is a range of numbers), its tag
 (`#text` for text, `#comment`), its attributes, its own text and, for short subtrees, all of its text; and what it lies in: boilerplate, the nearest contact
 area, tracking part and item, emphasis, a link. (Asked for in a lambda, these would be worked out again for every node.) Phone-bearing nodes also carry the text that names
@@ -322,6 +323,96 @@ def _parse_nodes(html: pa.Array, url: pa.Array) -> pa.Array:
 parse_nodes = _parse_nodes.asNondeterministic()
 
 
+#: Blocks whose text counts as one piece of an article. A block is worth its characters outside links, less those inside and PIECE.
+_PIECES, PIECE = BLOCKS | {"body", "html", "li", "dt", "dd", "td", "th", "tr"}, 40
+
+
+def _article(nodes: list[dict]) -> str:
+    """The text of the densest part of a page, whatever its elements are called: a line a block.
+
+    Text goes to blocks in document order; boilerplate and noise are left out. The run of blocks of the greatest sum of worths
+    (of prefix sums, the greatest rise) is the article's core. If an element below the body holds the whole core, so do its
+    other blocks that are no link lists belong to it (a core of one block is widened to what that lies in); else only headings
+    right before the core do. Where no block is worth anything, as on very short pages, the best one is the core.
+    """
+    blocks: list[list] = []
+    home: dict[int, int] = {}
+    skip = -1
+    for i, n in enumerate(nodes):
+        if i <= skip or n["tag"] == "#phone":
+            continue
+        if n["tag"] in P.NOISE_TAGS or n["boiler"]:
+            skip = n["last"]
+            continue
+        if n["tag"][0] != "#":
+            home[i] = i if n["tag"] in _PIECES else home.get(n["parent"], i)
+        elif n["tag"] == "#text":
+            at = home.get(n["parent"], n["parent"])
+            if not blocks or blocks[-1][0] != at:
+                blocks.append([at, [], 0])
+            blocks[-1][1].append(n["own"])
+            blocks[-1][2] += len(n["own"].strip()) if n["href"] is not None else 0
+        if n["tag"] == "br" and blocks:
+            blocks[-1][1].append(" ")
+    texts = [" ".join("".join(b[1]).split()) for b in blocks]
+    rows = [(b[0], t, b[2]) for b, t in zip(blocks, texts) if t]
+    total, low, low_at, best, core = 0, 0, 0, 0, None
+    for k, (_, t, linked) in enumerate(rows):
+        total += len(t) - 2 * linked - PIECE
+        if total - low > best:
+            best, core = total - low, (low_at, k + 1)
+        if total < low:
+            low, low_at = total, k + 1
+    if core is None:
+        worth = [len(t) - 2 * linked for _, t, linked in rows]
+        if not worth or max(worth) <= 0:
+            return ""
+        core = worth.index(max(worth)), worth.index(max(worth)) + 1
+    a, b = core
+
+    def above(i: int) -> list[int]:
+        out = []
+        while i >= 0:
+            out.append(i)
+            i = nodes[i]["parent"]
+        return out[::-1]
+
+    shared = above(rows[a][0] if b - a > 1 else nodes[rows[a][0]]["parent"])
+    for at, _, _ in rows[a + 1 : b]:
+        shared = [x for x, y in zip(shared, above(at)) if x == y]
+    root = shared[-1] if shared else 0
+    if nodes[root]["tag"] not in ("html", "body"):
+        kept = [t for at, t, linked in rows if root <= at <= nodes[root]["last"] and 2 * linked <= len(t)]
+    else:
+        while a and nodes[rows[a - 1][0]]["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            a -= 1
+        kept = [t for _, t, _ in rows[a:b]]
+    return "\n".join(kept)
+
+
+_PAGE = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("clean", T.StringType()), T.StructField("article", T.StringType())])
+
+
+@arrow_udf(_PAGE)
+def _parse_pages(html: pa.Array, url: pa.Array) -> pa.Array:
+    nodes, clean, articles = [], [], []
+    for h, u in zip(html.to_pylist(), url.to_pylist()):
+        parsed = _nodes(h, u)
+        nodes.append(parsed)
+        clean.append(None if h is None else _written_out(parsed))
+        articles.append(_article(parsed))
+    return pa.StructArray.from_arrays([pa.array(nodes, _ARROW), pa.array(clean, pa.string()), pa.array(articles, pa.string())], ["nodes", "clean", "article"])
+
+
+parse_pages = _parse_pages.asNondeterministic()
+
+
+def with_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """pages with nodes, `clean` (the markup without noise elements) and `article` (the densest text), by one parse."""
+    out = pages.withColumn("_page", parse_pages(html, url))
+    return out.select(*pages.columns, "_page.nodes", "_page.clean", "_page.article")
+
+
 def with_nodes(pages: DataFrame, html: str = "html", url: str = "url", to: str = "nodes") -> DataFrame:
     """pages with a column of nodes. Filters belong before this, for they do not pass a Python function."""
     return pages.withColumn(to, parse_nodes(html, url))
@@ -347,27 +438,31 @@ def text_of(nodes: Column, root: Column) -> Column:
     return F.array_join(F.transform(inside, lambda n: n.own), "")
 
 
+def _written_out(nodes: list[dict]) -> str:
+    """A page written out again without script, style, noscript, template, svg and head: attributes and comments stay."""
+    parts, ends = [], []
+    skip = -1
+    for n in nodes:
+        if n["tag"] == "#phone":
+            break
+        while ends and ends[-1][0] < n["id"]:
+            parts.append(ends.pop()[1])
+        if n["id"] <= skip:
+            continue
+        if n["tag"] in P.NOISE_TAGS:
+            skip = n["last"]
+        elif n["tag"] == "#text":
+            parts.append(escape(n["own"], quote=False))
+        elif n["tag"] == "#comment":
+            parts.append(f"<!--{n['own']}-->")
+        else:
+            parts.append("<" + n["tag"] + "".join(f' {k}="{escape(v)}"' for k, v in n["attrs"]) + ">")
+            if n["tag"] not in VOID:
+                ends.append((n["last"], f"</{n['tag']}>"))
+    return "".join([*parts, *(e for _, e in reversed(ends))])
+
+
 @arrow_udf(T.StringType())
 def noise_free_html(html: pa.Array) -> pa.Array:
-    """Pages written out again without script, style, noscript, template, svg and head: attributes and comments stay."""
-    out = []
-    for h in html.to_pylist():
-        nodes, parts, ends = _nodes(h, "", phones=False), [], []
-        skip = -1
-        for n in nodes:
-            while ends and ends[-1][0] < n["id"]:
-                parts.append(ends.pop()[1])
-            if n["id"] <= skip:
-                continue
-            if n["tag"] in P.NOISE_TAGS:
-                skip = n["last"]
-            elif n["tag"] == "#text":
-                parts.append(escape(n["own"], quote=False))
-            elif n["tag"] == "#comment":
-                parts.append(f"<!--{n['own']}-->")
-            else:
-                parts.append("<" + n["tag"] + "".join(f' {k}="{escape(v)}"' for k, v in n["attrs"]) + ">")
-                if n["tag"] not in VOID:
-                    ends.append((n["last"], f"</{n['tag']}>"))
-        out.append(None if h is None else "".join([*parts, *(e for _, e in reversed(ends))]))
-    return pa.array(out, pa.string())
+    """Pages written out again without noise elements."""
+    return pa.array([None if h is None else _written_out(_nodes(h, "", phones=False)) for h in html.to_pylist()], pa.string())

@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir, read again: cuts the lineage and survives lost executors.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="weftwork-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    path = f"{shared_path(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

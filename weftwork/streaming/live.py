@@ -1,29 +1,40 @@
-"""Stateful operators over streams: first-seen news, breakers and caches that outlive a batch. The batch forms are in operators.state."""
+"""Operators over streams: the news store kept batch by batch, breakers and caches that outlive a batch. The batch forms are in
+operators.news and operators.state."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weftwork.functions.urls import normal_url
+from weftwork.operators import news
 from weftwork.operators.state import DOUBLINGS, SUSPEND, SUSPEND_MOST
+from weftwork.sources.store import Store
 
 
-def new_urls(entries: DataFrame, at: str = "ts", late: str = "1 day") -> DataFrame:
-    """Entries of a stream whose normalised URL is new within the watermark."""
-    return entries.withColumn("norm", normal_url(F.col("url"))).withWatermark(at, late).dropDuplicatesWithinWatermark(["norm"])
+def news_store(spark: SparkSession, path: str) -> Store:
+    """The news store: the entry of a URL as the last batch that named it left it."""
+    return Store(spark, path, ("url",), "rev", "gone")
 
 
-def counts(calls: DataFrame, at: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Calls and failures of each window and key, final once the watermark has passed."""
-    failed: Column = F.col("failed").cast("int")
-    w = calls.withWatermark(at, late).groupBy(F.window(at, window), by)
-    return w.agg(F.count(F.lit(1)).alias("calls"), F.sum(failed).alias("failures")).select(F.col("window.start").alias("start"), by, "calls", "failures")
+def news_upsert(store: Store, name: str) -> Callable[[DataFrame, int], None]:
+    """What a stream's foreachBatch calls with a batch of actions (`news.folded`) and its number.
+
+    The store knows batches by the stream's name and number, so a batch that is replayed after a failure changes nothing.
+    """
+
+    def upsert(actions: DataFrame, number: int) -> None:
+        if f"{name}-{number}" in store.manifest()["known"]:
+            return
+        after = news.folded(store.read(), actions).filter("had or entry is not null")
+        rows = after.select("url", "entry.*", F.col("entry").isNull().alias("gone"), F.lit(number).cast("long").alias("rev"))
+        store.put(rows, f"{name}-{number}")
+
+    return upsert
 
 
 class _Breaker(StatefulProcessor):
