@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from weftwork.functions import patterns as P
 from weftwork.functions.text import trimmed
+from weftwork.sources.shared import written
 
 _PUNCTUATION = r"\p{P}"
 
@@ -62,6 +63,30 @@ def catalogue_card(payload: Column, address: Column, city: Column) -> Column:
     return F.struct(F.when(found, "open").otherwise("not_found").alias("status"), card(item["name"]).alias("name"), card(item.address_name).alias("address"), card(value("phone")).alias("phone"), card(catalogue_url(value("website"))).alias("website"), card(F.nullif(item.schedule.comment, F.lit(""))).alias("hours"), card(item.point.lat).alias("latitude"), card(item.point.lon).alias("longitude"))
 
 
+#: Pairs of a word's records and cards from which on the word is hot.
+HOT = 1_000_000
+
+
+def matched(records: DataFrame, cards: DataFrame) -> DataFrame:
+    """(record_id, card_id, shared): the card of each record, where one has a distinctive word of its address and its city.
+
+    records: record_id, address, city; cards: card_id, address, city. Of several cards the one that shares most words counts,
+    then the smallest id. Both sides are inverted, a row a (city, word), and joined on that; a word with HOT pairs or more is
+    dealt over parts, each record's row to one, each card's to all of them. Pairs are counted before the best is picked.
+    """
+    key = lambda c: F.lower(trimmed(F.coalesce(c, F.lit(""))))
+    words = lambda df, id_: df.select(id_, key(F.col("city")).alias("town"), F.explode(street_words(F.col("address"), F.col("city"))).alias("word"))
+    mine, theirs = written(words(records, "record_id"), "match-records"), written(words(cards, "card_id"), "match-cards")
+    count = lambda df, name: df.groupBy("town", "word").agg(F.count(F.lit(1)).alias(name))
+    both = count(mine, "a").join(count(theirs, "b"), ["town", "word"])
+    both = written(both.select("town", "word", F.least(F.lit(1000), 1 + F.floor(F.col("a") * F.col("b") / HOT)).cast("int").alias("parts")), "match-words")
+    left = mine.join(both, ["town", "word"]).withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int")).drop("parts")
+    right = theirs.join(both, ["town", "word"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = left.join(right, ["town", "word", "part"]).groupBy("record_id", "card_id").agg(F.count(F.lit(1)).alias("shared"))
+    best = pairs.groupBy("record_id").agg(F.max_by(F.struct("card_id", "shared"), F.struct("shared", (-F.col("card_id")).alias("first"))).alias("b"))
+    return best.select("record_id", "b.card_id", "b.shared")
+
+
 def geocoded(payload: Column) -> Column:
     """The first building or branch of a geocoder's answer with a point that is not zero; null if there is none."""
     items = F.from_json(payload, f"struct<result: struct<items: array<struct<{_ITEM}>>>>")["result"]["items"]
@@ -185,11 +210,6 @@ def organization(pages: DataFrame, html: str = "html") -> DataFrame:
     return p.withColumn("org", F.when(d.isNotNull() & plain_urls & F.get_json_object("_block", "$").isNotNull(), block).otherwise(pattern)).drop("_block")
 
 
-def missing(org: Column) -> Column:
-    """The names of the fields that a parsed page lacks."""
-    return F.array_join(F.array_compact(F.array(*[F.when(org[f].isNull(), F.lit(f)) for f in ("name", "address", "phone", "hours", "website", "rating", "latitude")])), ",")
-
-
 def plain_status(html: Column) -> Column:
     """The status of a page fetched without rendering: open unless it says otherwise."""
     return F.coalesce(_status(F.nullif(F.regexp_extract(html, P.ORG_STATUS, 1), F.lit(""))), F.lit("open"))
@@ -211,6 +231,54 @@ def preferred_page(pages: DataFrame, by: str = "item_pos") -> DataFrame:
     return pages.filter("status is not null").groupBy(by).agg(best.alias("b")).select(by, F.col("b.status").alias("status"), F.col("b.url").alias("page"))
 
 
+#: Candidates of a record that are looked at, and attempts at the page of one.
+CANDIDATES, ATTEMPTS = 3, 3
+
+
+def read_page(wanted: DataFrame, rendered: DataFrame | None, plain: DataFrame | None) -> DataFrame:
+    """wanted (item_pos, url) with org and status of each page; null where no attempt gave one.
+
+    rendered, plain: url, attempt, html, error. The first of ATTEMPTS attempts without an error counts. A rendered page is read
+    whole and its status is unknown if it states none; only where a renderer answered with nothing, or there is none, does the plain page
+    count, which is open unless it says otherwise and tells nothing else.
+    """
+
+    def attempts(pages: DataFrame | None, name: str) -> DataFrame:
+        if pages is None:
+            return wanted.select("url").distinct().select("url", F.lit(None).cast("string").alias(name))
+        good = pages.filter((F.col("attempt") <= ATTEMPTS) & F.col("error").isNull()).join(wanted.select("url").distinct(), "url")
+        return good.groupBy("url").agg(F.min_by(F.coalesce("html", F.lit("")), "attempt").alias(name))
+
+    j = wanted.join(attempts(rendered, "shown"), "url", "left").join(attempts(plain, "raw"), "url", "left")
+    whole = organization(j.filter("shown != ''"), "shown").withColumn("status", F.coalesce("org.status", F.lit("unknown")))
+    kind = whole.schema["org"].dataType
+    answered = F.col("shown") == "" if rendered is not None else F.lit(True)
+    bare = j.filter(F.coalesce(answered, F.lit(False)) & F.col("raw").isNotNull()).select("item_pos", "url", F.lit(None).cast(kind).alias("org"), plain_status(F.col("raw")).alias("status"))
+    return whole.select("item_pos", "url", "org", "status").unionByName(bare)
+
+
+def lookup(items: DataFrame, results: DataFrame, rendered: DataFrame | None, plain: DataFrame | None) -> DataFrame:
+    """(item_pos, status, page, org): what the organization pages that a search found say of each item.
+
+    results: item_pos, pos, url. The first CANDIDATES organization links are looked at in order; the first page that is not
+    closed for good answers, else the first closed one; unknown if no page could be read, not_found without links. Pages are
+    only read for records that no earlier candidate has answered: a round for each place in the order.
+    """
+    links = results.filter(is_org_link(F.col("url"))).withColumn("ord", F.row_number().over(Window.partitionBy("item_pos").orderBy("pos")))
+    links = written(links.filter(F.col("ord") <= CANDIDATES).join(items.select("item_pos"), "item_pos").select("item_pos", "ord", "url"), "org-links")
+    said, open_ = None, links.select("item_pos").distinct()
+    for n in range(1, CANDIDATES + 1):
+        wanted = links.filter(F.col("ord") == n).join(open_, "item_pos").select("item_pos", "url")
+        now = written(read_page(wanted, rendered, plain).withColumn("ord", F.lit(n)), "org-pages")
+        said = now if said is None else said.unionByName(now)
+        open_ = open_.join(now.filter("status != 'permanently_closed'").select("item_pos"), "item_pos", "left_anti")
+    closed = (F.col("status") == "permanently_closed").cast("int")
+    best = said.groupBy("item_pos").agg(F.min_by(F.struct("status", "url", "org"), F.struct(closed.alias("c"), "ord")).alias("b"))
+    out = items.select("item_pos").join(links.select("item_pos").distinct().withColumn("found", F.lit(True)), "item_pos", "left").join(best, "item_pos", "left")
+    status = F.coalesce("b.status", F.when(F.col("found"), "unknown").otherwise("not_found"))
+    return out.select("item_pos", status.alias("status"), F.col("b.url").alias("page"), F.col("b.org").alias("org"))
+
+
 def first_answer(cards: DataFrame, by: str = "item_pos") -> DataFrame:
     """(by, backend, status): the first backend without an error that found the place, else the last not-found one."""
     ok = F.col("error").isNull()

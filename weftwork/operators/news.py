@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from weftwork.functions.text import any_of, has_word
 from weftwork.functions.urls import is_blocked, is_homepage, is_self_reference
@@ -45,6 +48,76 @@ def score(project: Project, title: Column, snippet: Column, url: Column, source:
     return F.when(F.coalesce(reject, F.lit(False)), 0).otherwise(total).cast("int")
 
 
+#: Different words of all projects up to which one automaton holds them all.
+WORDS = 200_000
+#: What a text's walk tells of a word: it stands in the title, as a word of its own; or so in title and snippet together.
+IN_TITLE, WORD_IN_TITLE, WORD = 1, 2, 4
+
+
+def _walk(words: list[str]):
+    """Column function (title, whole text, both lowered) -> map from each word found to what is told of it, by one walk a text
+    through an Aho-Corasick automaton of all words."""
+
+    def inked(text: str, at: int) -> bool:
+        return 0 <= at < len(text) and (text[at].isalpha() or text[at].isdecimal())
+
+    @arrow_udf("map<string, int>")
+    def found(titles: pa.Array, texts: pa.Array) -> pa.Array:
+        known = ahocorasick.Automaton()
+        for w in words:
+            known.add_word(w, w)
+        known.make_automaton()
+        out = []
+        for title, text in zip(titles.to_pylist(), texts.to_pylist()):
+            told: dict[str, int] = {}
+            for end, w in known.iter(text or "") if words else ():
+                start = end - len(w) + 1
+                whole = not inked(text, start - 1) and not inked(text, end + 1)
+                inside = end < len(title)
+                # A word at the title's end stands alone there whatever follows: a blank does.
+                told[w] = told.get(w, 0) | (IN_TITLE if inside else 0) | (WORD_IN_TITLE if inside and whole else 0) | (WORD if whole else 0)
+            out.append(list(told.items()))
+        return pa.array(out, pa.map_(pa.string(), pa.int32()))
+
+    return found
+
+
+def scored(entries: DataFrame, config: DataFrame) -> DataFrame:
+    """entries with the score of each against its own project; null without such a project.
+
+    entries: project, title, snippet, url, source, engines. config: project, taboo_words, positive_words, good_sources,
+    city_names, rival_cities, a row a project. All projects' different words are looked for in one walk a text, if there are no more
+    than WORDS; else each entry is held against the words of its project alone. The project's row comes to the entry by an
+    equi-join, and the rules are expressions over what was found.
+    """
+    lists = ("taboo_words", "positive_words", "good_sources", "city_names", "rival_cities")
+    lower = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower)
+    config = config.select("project", *[lower(c).alias(f"_{c}") for c in lists])
+    looked_for = F.array_distinct(F.concat(*[F.col(f"_{c}") for c in lists if c != "good_sources"]))
+    words = config.select(F.explode(looked_for).alias("w")).filter("w != ''").distinct()
+    t, s = F.lower(F.coalesce("title", F.lit(""))), F.coalesce("snippet", F.lit(""))
+    j = entries.withColumns({"_t": t, "_b": F.concat(t, F.lit(" "), F.lower(s))})
+    few = [r.w for r in words.limit(WORDS + 1).collect()]
+    if len(few) <= WORDS:
+        j = j.withColumn("_found", _walk(few)("_t", "_b")).join(config, "project", "left")
+    else:
+        edge = lambda c, w: c.rlike(F.concat(F.lit(r"(?<![\p{L}\p{Nd}])\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{Nd}])")))
+        told = lambda w: F.when(F.contains(F.col("_t"), w), IN_TITLE).otherwise(0) + F.when(edge(F.col("_t"), w), WORD_IN_TITLE).otherwise(0) + F.when(edge(F.col("_b"), w), WORD).otherwise(0)
+        j = j.join(config, "project", "left")
+        j = j.withColumn("_found", F.map_from_entries(F.transform(F.filter(looked_for, lambda w: w != ""), lambda w: F.struct(w.alias("k"), told(w).alias("v")))))
+    has = lambda w, bit: (w != "") & (F.coalesce(F.try_element_at("_found", w), F.lit(0)).bitwiseAND(bit) > 0)
+    count = lambda c, bit: F.size(F.filter(f"_{c}", lambda w: has(w, bit)))
+    reject = is_blocked(F.col("url")) | is_homepage(F.col("url")) | is_self_reference(F.col("source"), F.col("project")) | (count("taboo_words", WORD_IN_TITLE) > 0)
+    city = F.transform("_city_names", lambda w: F.when(has(w, WORD_IN_TITLE), CITY).when((w == "") | has(w, IN_TITLE), CITY_PART))
+    city = F.coalesce(F.try_element_at(F.filter(city, lambda x: x.isNotNull()), F.lit(1)), F.lit(0))
+    low = F.lower(F.coalesce("source", F.lit("")))
+    known = F.exists("_good_sources", lambda g: (low == g) | F.endswith(low, F.concat(F.lit("."), g)))
+    total = F.lit(BASE) + F.least(F.lit(WORDS_MOST), PER_WORD * count("positive_words", WORD)) + F.when(F.col("engines") > 1, ENGINES).otherwise(0) + F.when(F.octet_length(s) > LONG_BYTES, LONG).otherwise(0)
+    total = total + city - RIVAL * count("rival_cities", WORD_IN_TITLE) + F.when(known, SOURCE).otherwise(0)
+    value = F.when(F.col("_taboo_words").isNull(), None).when(F.coalesce(reject, F.lit(False)), 0).otherwise(total).cast("int")
+    return j.withColumn("score", value).drop("_t", "_b", "_found", *[f"_{c}" for c in lists])
+
+
 def listed(entries: DataFrame, status: str = "", least: int = 0, limit: int = 0) -> DataFrame:
     """Entries of a status (all for ""), with a score of at least `least`, by falling score, then id; the first `limit`."""
     out = entries.filter(F.col("score") >= least)

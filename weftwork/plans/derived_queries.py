@@ -798,6 +798,75 @@ def enrich_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(run(2, t, "day 3", "b", "7 days"))
 
 
+@query("""with w as (select s_suppkey, i, case when i = 2 and s_suppkey % 2 = 0 then '' else 'about ' || i || ' of ' || s_suppkey end as snippet from supplier, (select unnest(range(3)) as i))
+select s_suppkey, provider, i::int as pos, 'https://' || provider || s_suppkey || '-' || i || '.example/?a=b&c=1' as url, 'T ' || i as title, snippet
+from w, (select unnest(['ddg', 'startpage', 'proxy']) as provider) where provider <> 'proxy' or s_suppkey % 3 = 0""")
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows out of result pages of three providers: records by their shape, redirects unwrapped, menus and own links left out."""
+    k = c("s_suppkey").cast("string")
+    s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("query"), k.alias("k"))
+
+    def page(name: str, record) -> Column:
+        menu = "<ul><li><a href='/settings'>Settings and help</a></li><li><a href='https://other.example/'>Apps</a></li></ul>"
+        rows = []
+        for i in range(3):
+            url = F.concat(F.lit(f"https://{name}"), c("k"), F.lit(f"-{i}.example/?a=b&c=1"))
+            text = F.concat(F.lit(f"about <b>{i}</b> of "), c("k"))
+            rows.append(record(i, url, F.when(c("query") % 2 == 0, "").otherwise(text) if i == 2 else text))
+        return _html(menu, "<div id='links'>", *rows, "</div><footer><a href='/next'>Next page of results</a></footer>")
+
+    def ddg(i: int, url: Column, text: Column) -> Column:
+        to = F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode(url), F.lit("&amp;rut=f"))
+        return F.concat(F.lit("<div class='result web-result'><h2><a class='result__a' href='"), to, F.lit(f"'>T {i}</a></h2><a class='result__url' href='"), to, F.lit("'>site.example/x</a><a class='result__snippet' href='"), to, F.lit("'>"), text, F.lit("</a></div>"))
+
+    def startpage(i: int, url: Column, text: Column) -> Column:
+        return F.concat(F.lit("<section class='w-gl__result'><a href='"), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit(f"'><h3>T {i}</h3></a><p>"), text, F.lit("</p></section>"))
+
+    envelope = F.to_json(F.struct(page("proxy", ddg).alias("body"), F.when(c("query") % 3 == 1, 403).otherwise(200).alias("status"), F.when(c("query") % 3 == 2, "timeout").alias("error")))
+    rows = [tables.searched(s.withColumn("payload", p), name) for name, p in (("ddg", page("ddg", ddg)), ("startpage", page("startpage", startpage)), ("proxy", envelope))]
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return out.select(c("query").alias("s_suppkey"), "provider", "pos", "url", "title", "snippet")
+
+
+@query("""select s_suppkey as item_pos, case s_suppkey % 5 when 0 then 'open' when 1 then 'permanently_closed' when 2 then 'unknown' when 3 then 'not_found' else 'open' end as status,
+  case s_suppkey % 5 when 0 then 'https://yandex.ru/maps/org/b/' || s_suppkey when 1 then 'https://yandex.ru/maps/org/a/' || s_suppkey when 4 then 'https://yandex.ru/maps/org/a/' || s_suppkey end as page,
+  case when s_suppkey % 5 < 2 then 'House ' || s_suppkey end as name from supplier""")
+def org_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organization pages of five kinds of record: closed, then open; all closed; pages that no attempt reached; no links; a renderer
+    that answers with nothing, so that the plain page counts."""
+    t, kind = _suppliers(spark, sf_dir, F.lit("")), c("s_suppkey") % 5
+    link = lambda n: F.concat(F.lit(f"https://yandex.ru/maps/org/{n}/"), c("k"))
+    row = lambda pos, url: t.select("item_pos", F.lit(pos).alias("pos"), url.alias("url"))
+    results = row(0, F.lit("https://other.example/")).unionByName(row(1, F.when(kind != 3, link("a")))).unionByName(row(2, F.when(kind != 3, link("b")))).filter("url is not null")
+    block = lambda status: F.concat(F.lit('<script>{"shortTitle": "House '), c("k"), F.lit(f'", "fullAddress": "x", "status": "{status}"' + "}</script>"))
+    fetch = lambda n, attempt, html, error: t.select(link(n).alias("url"), F.lit(attempt).alias("attempt"), html.alias("html"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    first = fetch("a", 1, F.when(kind < 2, block("permanent-closed")).otherwise(""), F.when(kind == 2, "timeout"))
+    late = fetch("b", 1, none, F.lit("timeout")).unionByName(fetch("b", 2, F.when(kind == 0, block("open")).otherwise(block("permanent-closed")), F.when(kind == 2, "timeout")))
+    useless = fetch("b", 4, block("open"), none)
+    plain = fetch("a", 1, F.lit("<p>no status</p>"), none)
+    out = maps.lookup(t, results, first.unionByName(late).unionByName(useless), plain)
+    return out.select("item_pos", "status", "page", "org.name")
+
+
+_RECORDS = "select c_custkey as record_id, 'ул. ' || ['Садовая', 'Лесная', 'Полевая', 'Мира'][c_custkey % 4 + 1] || ' ' || 'Улочка' || c_custkey % 50 || ', д. 5' as address, ['Москва', 'Спб', null][c_nationkey % 3 + 1] as city from customer"
+_CARDS = "select s_suppkey as card_id, 'проспект ' || ['Садовая', 'Лесная', 'Речная'][s_suppkey % 3 + 1] || ' Улочка' || s_suppkey % 60 as address, ['Москва', 'спб ', ''][s_nationkey % 3 + 1] as city from supplier"
+
+
+@query(f"""with r as (select record_id, lower(trim(coalesce(city, ''))) as town, unnest(string_split(lower(regexp_replace(regexp_replace(address, '^ул\. ', ''), ', д\. 5$', '')), ' ')) as word from ({_RECORDS})),
+k as (select card_id, lower(trim(coalesce(city, ''))) as town, unnest(string_split(lower(regexp_replace(address, '^проспект ', '')), ' ')) as word from ({_CARDS})),
+p as (select record_id, card_id, count(*) as shared from r, k where r.town = k.town and r.word = k.word group by record_id, card_id),
+b as (select *, row_number() over (partition by record_id order by shared desc, card_id) as place from p)
+select record_id, card_id, shared from b where place = 1""")
+def card_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card of each record, out of a table of cards of all places: a join on the distinctive words of addresses."""
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    cu, su = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    records = cu.select(c("c_custkey").alias("record_id"), F.concat(F.lit("ул. "), pick(("Садовая", "Лесная", "Полевая", "Мира"), c("c_custkey") % 4), F.lit(" Улочка"), (c("c_custkey") % 50).cast("string"), F.lit(", д. 5")).alias("address"), pick(("Москва", "Спб", None), c("c_nationkey") % 3).alias("city"))
+    cards = su.select(c("s_suppkey").alias("card_id"), F.concat(F.lit("проспект "), pick(("Садовая", "Лесная", "Речная"), c("s_suppkey") % 3), F.lit(" Улочка"), (c("s_suppkey") % 60).cast("string")).alias("address"), pick(("Москва", "спб ", ""), c("s_nationkey") % 3).alias("city"))
+    return maps.matched(records, cards)
+
+
 @query("""select p_partkey, case p_partkey % 3 when 0 then '2024-05-01' when 1 then '2023-01-02' else '2022-11-09' end as published from part""")
 def jsonld_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of an article item comes after the page's own, before that of the address."""

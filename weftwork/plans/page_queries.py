@@ -200,6 +200,39 @@ def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.with_pages(_pages(spark, sf_dir, "page_id", "url", "html")).select("page_id", F.col("article").alias("text"))
 
 
+#: Words that projects share in part, two of each kind by the project's number, and one of its own.
+_POOL = ("the", "der", "la", "que", "and", "licensed", "to", "les", "on", "und", "of", "re", "ing", "de", "scum", "idiot", "en", "er", "st", "thou")
+
+
+def _pooled(n: str, step: int, many: int) -> str:
+    return f"list_transform(range({many}), lambda i: [{', '.join(repr(w) for w in _POOL)}][({n} * {step} + i * 3) % {len(_POOL)} + 1])"
+
+
+def _held(text: str, w: str) -> str:
+    """Whether a text has a word of its own; a plain pattern, since the pool has letters alone."""
+    return rf"regexp_matches({text}, '(^|[^\p{{L}}\p{{Nd}}])' || {w} || '($|[^\p{{L}}\p{{Nd}}])')"
+
+
+_PROJECTS = f"""select c_custkey as n, 'src' || c_custkey as project, [{', '.join(repr(w) for w in ('scum', 'idiot'))}, 'own' || c_custkey] as taboo, {_pooled('c_custkey', 1, 6)} as positive,
+  ['src' || c_custkey % 9, 'x'] as sources, {_pooled('c_custkey', 7, 2)} as cities, {_pooled('c_custkey', 5, 3)} as rivals from customer"""
+
+
+@query(rf"""with e as (select doc_id as news_id, lower(substr(text, 1, 60)) as t, substr(text, 61) as s, source, doc_id, 'src' || doc_id % 2000 as project from documents),
+f as (select *, t || ' ' || lower(s) as b from e), p as ({_PROJECTS}), j as (select f.*, p.* exclude (project) from f left join p using (project))
+select news_id, (case when n is null then null when doc_id % 11 = 0 or contains(source, project) or contains(project, source) or len(list_filter(taboo, lambda w: {_held('t', 'w')})) > 0 then 0 else
+  50 + least(25, 5 * len(list_filter(positive, lambda w: {_held('b', 'w')}))) + case when doc_id % 3 > 1 then 10 else 0 end + case when strlen(s) > 100 then 5 else 0 end
+  + coalesce(list_filter(list_transform(cities, lambda w: case when {_held('t', 'w')} then 10 when contains(t, w) then 5 end), lambda x: x is not null)[1], 0)
+  - 5 * len(list_filter(rivals, lambda w: {_held('t', 'w')})) + case when list_contains(sources, source) then 10 else 0 end end)::int as score from j""")
+def news_score_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of many projects, each scored against its own project's words, which a table of projects holds."""
+    n = F.col("c_custkey")
+    pooled = lambda step, many: F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.element_at(F.array(*map(F.lit, _POOL)), ((n * step + i * 3) % len(_POOL) + 1).cast("int")))
+    own = lambda name, k: F.concat(F.lit(name), k.cast("string"))
+    config = table(spark, sf_dir, "customer").select(own("src", n).alias("project"), F.array(F.lit("scum"), F.lit("idiot"), own("own", n)).alias("taboo_words"), pooled(1, 6).alias("positive_words"), F.array(own("src", n % 9), F.lit("x")).alias("good_sources"), pooled(7, 2).alias("city_names"), pooled(5, 3).alias("rival_cities"))
+    entries = _entries(spark, sf_dir).withColumn("project", own("src", F.col("news_id") % 2000))
+    return news.scored(entries, config).select("news_id", "score")
+
+
 @query(f"select news_id, score from ({_SCORE}) where score >= 60 order by score desc, news_id limit 20")
 def news_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best entries: the limit is the feature."""

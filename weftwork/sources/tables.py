@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import urls
+from weftwork.sources.results import results_udf
 
 #: Bytes of a body that are kept.
 BODY = 2_000_000
@@ -60,15 +61,31 @@ def settled(fetches: DataFrame) -> DataFrame:
     return best.withColumns({"status": F.when(invalid, "tls_invalid").otherwise(F.col("status")), "tls_fallback_used": F.col("_failed") & ~F.col("_useless")}).drop("_rn", "_failed", "_bad", "_useless")
 
 
+# Where engines that answer with a page keep it.
+RESULT_PAGES = {"ddg": "https://html.duckduckgo.com/html/", "startpage": "https://www.startpage.com/sp/search"}
+
+
 def searched(raw: DataFrame, provider: str, order: int = 0) -> DataFrame:
-    """search_results rows (query, provider, provider_ord, pos, url, title, snippet) from raw payloads (query, payload)."""
+    """search_results rows (query, provider, provider_ord, pos, url, title, snippet) from raw payloads (query, payload).
+
+    Payloads of ddg and startpage are result pages, those of proxy envelopes with a page of ddg in them; the others are JSON.
+    """
+    named = [F.lit(provider).alias("provider"), F.lit(order).alias("provider_ord")]
+    if provider == "proxy":
+        return searched(unwrapped(raw).select("query", F.col("body").alias("payload")), "ddg", order).withColumn("provider", F.lit("proxy"))
+    if provider in RESULT_PAGES:
+        rows = raw.withColumn("r", results_udf(RESULT_PAGES[provider])("payload")).select("query", F.posexplode("r").alias("pos", "r"))
+        return rows.select("query", *named, "pos", "r.url", "r.title", "r.snippet")
     schema, path, link, snippet = {
-        "brave": ("struct<web: struct<results: array<struct<url: string, title: string, description: string>>>>", "web.results", "url", "description"),
-        "google": ("struct<items: array<struct<link: string, title: string, snippet: string>>>", "items", "link", "snippet"),
-        "searxng": ("struct<results: array<struct<url: string, title: string, content: string>>>", "results", "url", "content"),
+        "brave": ("struct<web: struct<results: array<struct<url: string, title: string, description: string>>>>", ("web", "results"), "url", "description"),
+        "google": ("struct<items: array<struct<link: string, title: string, snippet: string>>>", ("items",), "link", "snippet"),
+        "searxng": ("struct<results: array<struct<url: string, title: string, content: string>>>", ("results",), "url", "content"),
     }[provider]
-    rows = raw.select("query", F.posexplode(F.from_json("payload", schema).getField(path.split(".")[0]) if "." not in path else F.from_json("payload", schema)["web"]["results"]).alias("pos", "r"))
-    return rows.select("query", F.lit(provider).alias("provider"), F.lit(order).alias("provider_ord"), "pos", F.col(f"r.{link}").alias("url"), "r.title", F.col(f"r.{snippet}").alias("snippet"))
+    found = F.from_json("payload", schema)
+    for part in path:
+        found = found.getField(part)
+    rows = raw.select("query", F.posexplode(found).alias("pos", "r"))
+    return rows.select("query", *named, "pos", F.col(f"r.{link}").alias("url"), "r.title", F.col(f"r.{snippet}").alias("snippet"))
 
 
 def unwrapped(proxied: DataFrame) -> DataFrame:
