@@ -111,6 +111,11 @@ def contact_count(poisoned: str = "phone_poisoned") -> Column:
     return sum((x.cast("int") for x in parts), F.lit(0))
 
 
+def lacks_rich_field(hours: Column, email: Column, address: Column, anchored: Column) -> Column:
+    """Whether a homepage leaves something for a contacts page to tell: hours, e-mail, address, or a number that is anchored."""
+    return hours.isNull() | email.isNull() | address.isNull() | ~F.coalesce(anchored, F.lit(False))
+
+
 def has_any_fact() -> Column:
     return F.coalesce(*[F.col(c) for c in FIELDS if c != "legal_address"]).isNotNull()
 

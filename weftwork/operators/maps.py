@@ -210,6 +210,11 @@ def organization(pages: DataFrame, html: str = "html") -> DataFrame:
     return p.withColumn("org", F.when(d.isNotNull() & plain_urls & F.get_json_object("_block", "$").isNotNull(), block).otherwise(pattern)).drop("_block")
 
 
+def missing(org: Column) -> Column:
+    """The names of the fields that a parsed page lacks."""
+    return F.array_join(F.array_compact(F.array(*[F.when(org[f].isNull(), F.lit(f)) for f in ("name", "address", "phone", "hours", "website", "rating", "latitude")])), ",")
+
+
 def plain_status(html: Column) -> Column:
     """The status of a page fetched without rendering: open unless it says otherwise."""
     return F.coalesce(_status(F.nullif(F.regexp_extract(html, P.ORG_STATUS, 1), F.lit(""))), F.lit("open"))
@@ -225,8 +230,8 @@ def is_org_link(url: Column) -> Column:
 
 
 def preferred_page(pages: DataFrame, by: str = "item_pos") -> DataFrame:
-    """(by, status, page): of an item's organization pages the first that is not closed, else the first closed one."""
-    closed = F.col("status").isin("permanently_closed", "temporarily_closed").cast("int")
+    """(by, status, page): of an item's organization pages the first that is not closed for good, else the first closed one."""
+    closed = (F.col("status") == "permanently_closed").cast("int")
     best = F.min(F.struct(closed.alias("closed"), "ord", "status", "url"))
     return pages.filter("status is not null").groupBy(by).agg(best.alias("b")).select(by, F.col("b.status").alias("status"), F.col("b.url").alias("page"))
 

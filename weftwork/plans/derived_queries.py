@@ -422,9 +422,9 @@ def org_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select o_custkey as item_pos, o_orderkey as ord, case when o_orderstatus = 'F' then 'open' when o_orderstatus = 'O' then 'permanently_closed' else 'temporarily_closed' end as status from orders)
-select item_pos, coalesce(arg_min(status, ord) filter (where status = 'open'), arg_min(status, ord)) as status, 'u' || coalesce(min(ord) filter (where status = 'open'), min(ord)) as page from p group by 1""")
+select item_pos, coalesce(arg_min(status, ord) filter (where status <> 'permanently_closed'), arg_min(status, ord)) as status, 'u' || coalesce(min(ord) filter (where status <> 'permanently_closed'), min(ord)) as page from p group by 1""")
 def org_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of an item's organization pages the first that is not closed."""
+    """Of an item's organization pages the first that is not closed for good."""
     status = F.when(c("o_orderstatus") == "F", "open").when(c("o_orderstatus") == "O", "permanently_closed").otherwise("temporarily_closed")
     p = table(spark, sf_dir, "orders").select(c("o_custkey").alias("item_pos"), c("o_orderkey").alias("ord"), status.alias("status"), F.concat(F.lit("u"), "o_orderkey").alias("url"))
     return maps.preferred_page(p)
@@ -867,6 +867,89 @@ def card_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.matched(records, cards)
 
 
+@query("""select s_suppkey, array_to_string(list_filter([case when s_suppkey % 2 = 0 then 'phone' end, 'hours', case when s_suppkey % 3 = 0 then 'website' end, 'rating', 'latitude'], lambda x: x is not null), ',') as missing from supplier""")
+def org_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an organization's page leaves out."""
+    k = c("s_suppkey").cast("string")
+    phone = F.when(c("s_suppkey") % 2 == 0, "").otherwise(F.concat(F.lit(', "phones": [{"number": "+7'), k, F.lit('"}]')))
+    site = F.when(c("s_suppkey") % 3 == 0, "").otherwise(F.lit(', "urls": ["http://s.example"]'))
+    html = F.concat(F.lit('<script>{"shortTitle": "n", "fullAddress": "a"'), phone, site, F.lit("}</script>"))
+    pages = maps.organization(table(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html")))
+    return pages.select("s_suppkey", maps.missing(c("org")).alias("missing"))
+
+
+@query("""select c_custkey, c_custkey % 2 = 0 or c_custkey % 3 = 0 or c_custkey % 5 = 0 or c_custkey % 7 = 0 as lacks from customer""")
+def missing_rich_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a homepage leaves something for a contacts page: one without an anchored number does, however rich."""
+    k = c("c_custkey")
+    has = lambda n: F.when(k % n != 0, "x")
+    return table(spark, sf_dir, "customer").select(k, facts.lacks_rich_field(has(2), has(3), has(5), k % 7 != 0).alias("lacks"))
+
+
+@query("""with t as (select p_partkey, repeat('a', p_partkey % 400) as one, repeat('b', p_partkey % 1300) || case when p_partkey % 2 = 0 then '](' else '' end as two from part)
+select p_partkey, case when length(one) < 200 then length(two) > length(one) else contains(two, '](') and length(two) >= length(one) and length(two) // greatest(length(one), 1) <= 3 end as better from t""")
+def second_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's second text replaces its first."""
+    k = c("p_partkey")
+    one, two = F.repeat(F.lit("a"), (k % 400).cast("int")), F.concat(F.repeat(F.lit("b"), (k % 1300).cast("int")), F.when(k % 2 == 0, "](").otherwise(""))
+    return table(spark, sf_dir, "part").select(k, extract.second_is_better(one, two).alias("better"))
+
+
+_CHOICES = "select s_suppkey as item_pos, unnest([case when s_suppkey % 5 = 0 then 'operator_verified' end, case when s_suppkey % 2 = 0 then 'official_site' end, case when s_suppkey % 3 = 0 then 'maps' end, case when s_suppkey % 7 = 0 then 'search' end]) as source from supplier"
+
+
+@query(f"""with r as (select item_pos, max(['search', 'maps', '', 'official_site', '', 'operator_verified'].list_position(source)) as rank from ({_CHOICES}) where source is not null group by item_pos)
+select ['search', 'maps', '', 'official_site', '', 'operator_verified'][rank] as phone_source, count(*) as records from r group by 1""")
+def phone_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records each source gave the phone of."""
+    from weftwork.plans import metrics
+
+    k, t = c("s_suppkey"), table(spark, sf_dir, "supplier")
+    kinds = (("operator_verified", 5, 0), ("maps", 3, 1), ("official_site", 2, 2), ("search", 7, 4))
+    rows = [resolve.claims(t.filter(k % n == 0).select(k.alias("item_pos"), F.lit(f"+7812{n}").alias("phone")), source, seq, ["phone"]) for source, n, seq in kinds]
+    claims = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return metrics.phone_sources(resolve.provenance(resolve.resolve(claims), ["phone"]))
+
+
+@query("""with e as (select page_id, 'p' || page_id % 3 as project, url from pages)
+select project, page_id::varchar as news_id, url, (page_id % 90)::int as score, page_id % 3 = 2 as enveloped from e""")
+def news_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The news store written, a folder a project, and read again; one project's file is an envelope; one project has no file."""
+    import uuid
+
+    from weftwork.sources.shared import shared_path
+
+    at = f"{shared_path(spark)}/news-{uuid.uuid4().hex}"
+    none = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
+    e = table(spark, sf_dir, "pages").select(c("page_id").cast("string").alias("news_id"), F.concat(F.lit("p"), (c("page_id") % 3).cast("string")).alias("project"), "url", none("title"), none("snippet"), none("source"), none("topic"), (c("page_id") % 90).cast("int").alias("score"), none("engine_count", "int"), none("discovered_at"), none("status"))
+    tables.write_news(e, f"{at}/folders")
+    stored = spark.read.schema(tables.NEWS).json(f"{at}/folders").withColumn("enveloped", F.lit(False)).filter("project != 'p2'")
+    # Files as other tools write them, one object that holds an array: a file for each thousand entries.
+    items = spark.read.schema(tables.NEWS).json(f"{at}/folders/project=p2").withColumn("project", F.lit("p2"))
+    files = items.groupBy(F.expr("cast(news_id as long) div 1000").alias("file")).agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    files.select("file", F.to_json(F.struct("items")).alias("value")).write.partitionBy("file").text(f"{at}/envelopes")
+    wrapped = tables.read_news(spark, f"{at}/envelopes").unionByName(tables.read_news(spark, f"{at}/nowhere")).withColumn("enveloped", F.lit(True))
+    names = ["project", "news_id", "url", "score", "enveloped"]
+    return stored.select(*names).unionByName(wrapped.select(*names))
+
+
+@query("""select 'p' || s_suppkey as project, 't' || s_suppkey || ',t' as taboo, case when s_suppkey % 2 = 0 then 'q' || s_suppkey end as first_query from supplier""")
+def news_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects out of a configuration file, some without queries."""
+    import uuid
+
+    from weftwork.sources.shared import shared_path
+
+    at = f"{shared_path(spark)}/config-{uuid.uuid4().hex}"
+    k = c("s_suppkey").cast("string")
+    project = F.struct(F.when(c("s_suppkey") % 2 == 0, F.array(F.struct(F.concat(F.lit("q"), k).alias("q")))).alias("queries"), F.array(F.concat(F.lit("t"), k), F.lit("t")).alias("taboo_words"))
+    files = table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.create_map(F.concat(F.lit("p"), k), project).alias("projects"))).alias("value"))
+    files.unionByName(files.limit(1).select(F.lit('{"projects": null}').alias("value"))).write.text(at)
+    # read_news_config reads a whole file as one object; here every line is a file's worth.
+    rows = spark.read.schema(tables.NEWS_CONFIG).json(at).select(F.explode("projects").alias("project", "c"))
+    return rows.select("project", F.array_join("c.taboo_words", ",").alias("taboo"), F.try_element_at("c.queries", F.lit(1)).getField("q").alias("first_query"))
+
+
 @query("""select p_partkey, case p_partkey % 3 when 0 then '2024-05-01' when 1 then '2023-01-02' else '2022-11-09' end as published from part""")
 def jsonld_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of an article item comes after the page's own, before that of the address."""

@@ -158,7 +158,7 @@ def enrich(items: DataFrame, src: Sources, config: Config = Config()) -> DataFra
     j = j.withColumn("adopt", F.col("shown") & F.coalesce(F.col("b.n") > F.coalesce("a.n", F.lit(0)), none))
     trusted = F.lit(can_render) & ~F.col("thin") & ~told & F.col("enough")
     j = j.withColumns({"skip": trusted, "render_failed": F.col("wanted") & ~F.col("shown"), "f": _adopted(F.col("adopt")), "page": F.when(F.col("shown"), F.col("b.contacts_url")).otherwise(F.col("a.contacts_url"))})
-    lacking = F.col("f.hours").isNull() | F.col("f.email").isNull() | F.col("f.address").isNull() | ~F.coalesce("f.anchored", none)
+    lacking = facts.lacks_rich_field(F.col("f.hours"), F.col("f.email"), F.col("f.address"), F.col("f.anchored"))
     elsewhere = (F.col("page") != F.col("asked")) & (F.col("page") != F.col("final_url"))
     j = written(j.withColumn("page", F.when(lacking & elsewhere, F.col("page"))), "enrich-home-decided")
 

@@ -11,7 +11,7 @@ from weftwork.functions import validate as V
 from weftwork.functions.patterns import PHONE
 from weftwork.operators import extract, news, search
 from weftwork.plans.registry import query, table
-from weftwork.sources import dom
+from weftwork.sources import dom, tables
 
 _NOISE = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
 #: Text between tags in DuckDB, entities undone.
@@ -120,6 +120,39 @@ def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.merged(r, ["site"])
 
 
+@query(f"""with r as (select *, pos % 3 as provider_ord from ({_RESULTS}) where not (pos % 3 = length(site) % 3)),
+f as (select *, row_number() over (partition by site, provider_ord, norm order by pos) as k from r),
+g as (select *, row_number() over (partition by site, provider_ord order by pos) as place from f where k = 1),
+h as (select * from g where place <= 8),
+c as (select site, provider_ord, string_agg({_LINE}, chr(10) || chr(10) order by pos) as context from h group by 1, 2),
+d as (select site, string_agg(context, chr(10) || chr(10) order by provider_ord) as context from c group by 1),
+s as (select *, row_number() over (partition by site, norm order by provider_ord, pos) as k2 from h),
+t as (select site, string_agg(url, chr(10) order by provider_ord, pos) as sources, count(*)::int as n from s where k2 = 1 group by 1)
+select t.site, coalesce(d.context, '') as context, sources, n from t left join d on t.site = d.site""")
+def search_merge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three providers' results merged, one of which failed for each group: what it gave before does not count."""
+    failed = F.when(F.col("pos") % 3 == F.length("site") % 3, "timeout")
+    return search.merged(_results(spark, sf_dir).withColumns({"provider_ord": F.col("pos") % 3, "error": failed}), ["site"])
+
+
+@query("""with d as (select doc_id, doc_id // 7 as item_pos, doc_id % 7 as pos, text from documents), f as (select *, row_number() over (partition by item_pos order by pos) as place from d)
+select item_pos, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place) as content, 'i' || min(doc_id) filter (where doc_id % 2 = 1) as image from f where place <= 5 and coalesce(text, '') <> '' group by 1""")
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each item's first five sources, in order, and the first image."""
+    d = table(spark, sf_dir, "documents").withColumns({"item_pos": F.expr("doc_id div 7"), "pos": F.col("doc_id") % 7, "url": F.col("doc_id").cast("string")})
+    image = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("i"), F.col("doc_id").cast("string")))
+    return search.source_pages(d.select("item_pos").distinct(), d.select("item_pos", "pos", "url"), d.select("url", "text", image.alias("image")))
+
+
+@query("""with r as (select page_id // 4 as query, page_id % 4 as pos, page_id % 2 as o, case when page_id % 5 <> 0 then url end as url, 't' || page_id as title from pages),
+f as (select *, row_number() over (partition by query order by o, pos) as place from r where url is not null) select query, place::int as place, url, title from f where place <= 2""")
+def search_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two addresses and titles of each query, over providers in their order."""
+    p = F.col("page_id")
+    rows = _pages(spark, sf_dir, "page_id", "url").select(F.expr("page_id div 4").alias("query"), (p % 2).alias("provider_ord"), (p % 4).alias("pos"), F.when(p % 5 != 0, F.col("url")).alias("url"), F.concat(F.lit("t"), p.cast("string")).alias("title"))
+    return tables.links(rows, 2)
+
+
 @query(f"""with a as (select page_id // 3 as q, page_id % 3 as o, 'p' || (page_id % 3) as provider, url as context, case when page_id % 2 = 0 then 'error ' || page_id end as error from pages),
 ok as (select q, arg_min(provider, o) as provider, arg_min(context, o) as context from a where error is null group by q),
 bad as (select q, string_agg(error, chr(10) order by o) as error from a where error is not null group by q)

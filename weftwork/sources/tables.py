@@ -88,6 +88,12 @@ def searched(raw: DataFrame, provider: str, order: int = 0) -> DataFrame:
     return rows.select("query", *named, "pos", F.col(f"r.{link}").alias("url"), "r.title", F.col(f"r.{snippet}").alias("snippet"))
 
 
+def links(rows: DataFrame, most: int) -> DataFrame:
+    """(query, place, url, title): the first addresses and titles of each query's results, for lookups that need no more."""
+    w = Window.partitionBy("query").orderBy("provider_ord", "pos")
+    return rows.filter("coalesce(url, '') != ''").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("query", "place", "url", "title")
+
+
 def unwrapped(proxied: DataFrame) -> DataFrame:
     """Bodies out of a fetch proxy's envelopes {body, status, error}: only those of status 200 without an error."""
     e = F.from_json("payload", "struct<body: string, status: int, error: string>")
