@@ -463,3 +463,101 @@ def test_patterns_are_safe_for_cyrillic():
             assert r"\b" not in value, name
             if any("а" <= ch <= "я" for ch in value.lower()) and "(?i" in value:
                 assert "(?iu)" in value, name
+
+
+ARTICLE = "<p>{0} first paragraph of the story, long enough to count, with a <a href='/x'>link</a> in it and some more words.</p><p>Short.</p><p>{0} second paragraph, also long enough to count, that goes on and on about the same thing.</p>"
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>A section of the site {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, kept, left",
+    [
+        ("<body><div>" + MENU + "</div><div><h2>Head</h2>" + ARTICLE + "<p>End.</p></div><div><p>Cookies.</p></div></body>", ["Head", "first", "Short.", "second", "End."], ["section", "Cookies"]),
+        ("<body>" + MENU + "<h1>Head</h1>" + ARTICLE + MENU + "</body>", ["Head", "first", "Short.", "second"], ["section"]),
+        ("<body><table><tr><td>" + MENU + "</td><td>" + ARTICLE + "</td></tr></table></body>", ["first", "second"], ["section"]),
+        ("<body><div>" + MENU + "</div><div>" + ARTICLE.format("One") + MENU + ARTICLE.format("Two") + "</div></body>", ["One first", "Two second"], []),
+        ("<body><div class='sidebar'><p>" + "aside words " * 60 + "</p></div><div>" + ARTICLE + "</div></body>", ["first"], ["aside"]),
+        ("<body><p>tiny</p></body>", ["tiny"], []),
+        ("<body>" + MENU + "</body>", [], ["section"]),
+        ("", [], []),
+    ],
+)
+def test_articles_without_containers(page, kept, left):
+    text = dom._article(dom._nodes(page, "https://a.b/"))
+    assert all(k in text for k in kept) and not any(x in text for x in left)
+
+
+def test_one_parse_gives_what_two_gave(spark):
+    html = "<html><head><style>p{}</style></head><body><p a='1'>x &amp; y</p><!-- c --><a href='tel:+78121112233'>z</a></body></html>"
+    r = dom.with_pages(spark.createDataFrame([(html, "https://a.b/"), (None, None)], "html string, url string")).withColumn("c", dom.noise_free_html(F.col("html"))).collect()
+    assert r[0].clean == r[0].c and r[1].clean is None and r[0].nodes == nodes(spark, html).first().nodes
+    plan = facts.page_facts(dom.with_pages(spark.createDataFrame([(1, html, "https://a.b/", "")], "page_id int, html string, url string, city string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_parse_pages(") == 1 and "noise_free_html(" not in plan
+
+
+def test_projects_scored_alike_by_walk_and_by_pattern(spark, monkeypatch):
+    from weftwork.operators import news
+
+    entries = [(i, p, t, s, f"https://n.example/{i}", src, e) for i, (p, t, s, src, e) in enumerate([("a", "Opening in New York", "great opening", "good.example", 2), ("a", "newyorker", "x" * 101, "www.good.example", 1), ("a", "no taboo", "", "", None), ("b", "Straße, a.b (c)", "c++ rocks", "", 0), ("b", None, None, None, None), ("c", "t", "s", "", 0), (None, "t", "s", "", 0), ("a", "the end new york", "york 2", "", 0), ("b", "xtaboo1", "Taboo", "b", 0)])]
+    config = [("a", ["Taboo"], ["opening", "great", "york 2", "york"], ["good.example"], ["New York", "york", ""], ["end"]), ("b", ["xtaboo"], ["c++", "a.b", "straße", r"\\E"], None, ["c"], [""]), ("d", [], [], [], [], [])]
+    e = spark.createDataFrame(entries, "news_id int, project string, title string, snippet string, url string, source string, engines int")
+    c = spark.createDataFrame(config, "project string, taboo_words array<string>, positive_words array<string>, good_sources array<string>, city_names array<string>, rival_cities array<string>")
+    run = lambda: {r.news_id: r.score for r in news.scored(e, c).collect()}
+    walked = run()
+    monkeypatch.setattr(news, "WORDS", 1)
+    assert run() == walked
+    for project, row in {x[0]: x for x in config}.items():
+        own = news.Project(project, *[tuple(x or ()) for x in row[1:]])
+        one = e.filter(F.col("project") == project).select("news_id", news.score(own, *map(F.col, ("title", "snippet", "url", "source", "engines"))).alias("s")).collect()
+        assert {r.news_id: r.s for r in one} == {k: v for k, v in walked.items() if entries[k][1] == project}
+    assert walked[5] is None and walked[6] is None
+
+
+def test_cards_meet_records_whatever_the_words_weigh(spark, monkeypatch):
+    from weftwork.operators import maps
+
+    rows = [(i, f"ул. {'Садовая' if i % 3 else 'Лесная'} улочка{i % 7}", "Москва" if i % 2 else None) for i in range(60)] + [(100, None, "Москва"), (101, "д. 5", "Москва"), (102, "Москва", "Москва")]
+    cards = [(i, f"Садовая ул., Улочка{i % 9}, 3", " москва" if i % 2 else "") for i in range(40)] + [(900, None, None)]
+    r, c = spark.createDataFrame(rows, "record_id long, address string, city string"), spark.createDataFrame(cards, "card_id long, address string, city string")
+    words = lambda a: {w for w in "".join(x if x.isalnum() else " " for x in (a or "").lower()).split() if w not in ("ул", "д") and not w[0].isdigit()}
+    town = lambda x: (x or "").strip().lower()
+    want = {}
+    for i, a, t in rows:
+        best = max(((len((words(a) & words(b)) - {town(t)}), -j) for j, b, u in cards if town(t) == town(u)), default=(0, 0))
+        if best[0]:
+            want[i] = (-best[1], best[0])
+    for hot in (10**6, 3):
+        monkeypatch.setattr(maps, "HOT", hot)
+        assert {x.record_id: (x.card_id, x.shared) for x in maps.matched(r, c).collect()} == want
+
+
+def test_result_pages_of_odd_shapes():
+    from weftwork.sources.results import records, target
+
+    base = "https://html.duckduckgo.com/html/"
+    find = lambda html: records(dom._nodes(html, base, phones=False), base)
+    assert find("") == [] and find("<p>No results.</p>") == []
+    one = "<div class='r'><a href='https://x.example/'>Title</a><p>Some text about it</p></div>"
+    assert find(one) == [("https://x.example/", "Title", "Some text about it")]
+    assert find("<ol>" + "".join(f"<li><a href='https://x{i}.example/'>T{i}</a> <span>text {i} of it</span></li>" for i in range(3)) + "</ol>") == [(f"https://x{i}.example/", f"T{i}", f"text {i} of it") for i in range(3)]
+    assert target("/l/?uddg=https%3A%2F%2Fa.example%2F%3Fb%3D1", base) == "https://a.example/?b=1"
+    assert target("//duckduckgo.com/y.js?ad=1", base) is None and target("javascript:void(0)", base) is None and target("https://[bad", base) is None
+
+
+def test_every_provider_is_known(spark):
+    raw = spark.createDataFrame([(1, None), (2, ""), (3, "{")], "query int, payload string")
+    for provider in ("brave", "google", "searxng", "ddg", "startpage", "proxy"):
+        assert tables.searched(raw, provider).collect() == []
+
+
+def test_a_render_alone_may_link_to_the_contacts_page(spark):
+    """A homepage shell whose render tells no more but has a link; links go by where the page was found; a page of no fetch
+    stands on the readability text."""
+    items = spark.createDataFrame([(1, "n", "https://s.ru/", "", "places", False), (2, "m", "https://t.ru/", "", "places", False)], "item_pos long, name string, url string, city string, mode string, skip_maps_check boolean")
+    fetches = spark.createDataFrame([("https://s.ru/", 1, "<div id='app'></div>", 200, "https://s.ru/ru/", False), ("https://s.ru/ru/contacts", 1, "<footer><address>ул. Садовая, д. 5</address><a href='tel:+78125550001'>x</a></footer>", 200, None, False)], "url string, attempt int, html string, status_code int, final_url string, tls_error boolean")
+    renders = spark.createDataFrame([("https://s.ru/", 2, "<a href='/other/contacts'>Контакты</a>" + "<p>" + "x " * 600), ("https://s.ru/", 1, "<a href='contacts'>Контакты</a>" + "<p>" + "x " * 600)], "url string, attempt int, html string")
+    service = spark.createDataFrame([("https://t.ru/", "told by a service", "T", "A", None)], "url string, content string, title string, author string, excerpt string")
+    one, two = enrich(items, Sources(fetches, renders=renders, readability=service)).orderBy("item_pos").collect()
+    assert (one.phone, one.address, one.url, one.status, one.render_skipped) == ("+78125550001", "ул. Садовая, д. 5", "https://s.ru/ru/", "active", False)
+    assert (one.legs.render_thin_content, one.legs.render_error, one.legs.contacts_resolved) == (1, 0, 1)
+    assert (two.content, two.title, two.author, two.status) == ("told by a service", "T", "A", "active")

@@ -101,7 +101,8 @@ def scored(entries: DataFrame, config: DataFrame) -> DataFrame:
     if len(few) <= WORDS:
         j = j.withColumn("_found", _walk(few)("_t", "_b")).join(config, "project", "left")
     else:
-        edge = lambda c, w: c.rlike(F.concat(F.lit(r"(?<![\p{L}\p{Nd}])\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{Nd}])")))
+        quoted = lambda w: F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        edge = lambda c, w: F.regexp_like(c, F.concat(F.lit(r"(?<![\p{L}\p{Nd}])\Q"), quoted(w), F.lit(r"\E(?![\p{L}\p{Nd}])")))
         told = lambda w: F.when(F.contains(F.col("_t"), w), IN_TITLE).otherwise(0) + F.when(edge(F.col("_t"), w), WORD_IN_TITLE).otherwise(0) + F.when(edge(F.col("_b"), w), WORD).otherwise(0)
         j = j.join(config, "project", "left")
         j = j.withColumn("_found", F.map_from_entries(F.transform(F.filter(looked_for, lambda w: w != ""), lambda w: F.struct(w.alias("k"), told(w).alias("v")))))
