@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
@@ -30,6 +30,8 @@ from weftwork.llm.learning import labelled
 
 #: Labelled rows in the index, neighbours that vote, examples to a posting block.
 SAMPLE, K, BLOCK = 8_000, 15, 128
+#: Terms of all examples together, at most: with longer texts there are fewer examples.
+POSTINGS = 6_000_000
 #: A term that one in so many examples holds has all its postings in one dense row.
 COMMON = 24
 #: Scores from here on are predicted toxic.
@@ -242,12 +244,22 @@ def ratio(held: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def within(rows: DataFrame, postings: int = 0) -> DataFrame:
+    """The examples (doc_id, terms...) that come first by a hash until they have POSTINGS terms: a bound on what the driver and the
+    workers hold, whatever the texts' length. At most SAMPLE rows are put in order, by id and size alone."""
+    sizes = rows.select("doc_id", F.size("terms").alias("n"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= (postings or POSTINGS):
+        return rows
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id"))
+    return rows.join(sizes.withColumn("upto", upto).filter(F.col("upto") <= (postings or POSTINGS)).select("doc_id"), "doc_id")
+
+
 def build(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     """The index over labelled rows that may teach: those whose crc32(doc_id as text) mod 4 is not 2."""
     known = labelled(docs, labels, "toxic", doc_crc(F.col("doc_id")) % 4 != 2, sample)
     rows = known.select("doc_id", "y", terms_udf("text").alias("t")).select("doc_id", "y", "t.*")
     # A doc_id that repeats is one example, so the examples are at most `sample`.
-    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("y", "terms", "times", "least")).alias("r")).select("doc_id", "r.*"), "toxicity-sample")
+    rows = within(written(rows.groupBy("doc_id").agg(F.min(F.struct("y", "terms", "times", "least")).alias("r")).select("doc_id", "r.*"), "toxicity-sample"))
     got = rows.orderBy("doc_id").toArrow()
     ids, y = np.asarray(got["doc_id"], dtype=np.int64), np.asarray(got["y"], dtype=np.int64)
     flat = [np.asarray(got[c].combine_chunks().flatten()) if len(got) else np.zeros(0, np.int64) for c in ("terms", "times")]
@@ -320,7 +332,7 @@ def score_udf(docs: DataFrame, index: Index, evidence: int = 3):
 
 
 def _broadcast(docs: DataFrame, index: Index):
-    """Bounded by SAMPLE examples: eight bytes for each of their terms, and sixteen for each distinct one."""
+    """Bounded by POSTINGS: eight bytes for each term of an example, and sixteen for each distinct one."""
     return docs.sparkSession.sparkContext.broadcast(index)
 
 
