@@ -570,6 +570,41 @@ def test_toxicity_vectors_by_definition(spark):
         assert np.allclose(cosines, want[: len(cosines)], atol=2e-6) and len(cosines) == sum(x > 1e-6 for x in want)
 
 
+def test_long_examples_are_bounded_by_their_terms(spark):
+    rows = spark.createDataFrame([(i, [1] * 10) for i in range(50)], "doc_id long, terms array<int>")
+    assert toxicity.within(rows, 500).count() == 50
+    some = sorted(x.doc_id for x in toxicity.within(rows, 123).collect())
+    assert len(some) == 12 and some == sorted(x.doc_id for x in toxicity.within(rows.repartition(7), 123).collect())
+
+
+def test_votes_weigh_examples_by_their_distance():
+    """Votes from the definition: cosines of the nearest examples weigh their labels; nothing near gives the prior; ties by cosine."""
+    r = np.random.default_rng(4)
+    n, many = 60, 40
+    size = r.integers(1, 12, n)
+    example, term = np.repeat(np.arange(n), size), np.concatenate([r.choice(many, k, replace=False) for k in size])
+    value = r.random(len(term)) + 0.1
+    value /= np.sqrt(np.bincount(example, value**2))[example]
+    y = r.integers(0, 2, n).astype(float)
+    index = toxicity.Index.of(np.arange(many, dtype=np.uint64), np.ones(many), 1.0, np.arange(n), y, example, term, value)
+    dense = np.zeros((n, many))
+    dense[example, term] = value
+    for q in range(30):
+        which = np.sort(r.choice(many, 6, replace=False))
+        weights = r.random(6)
+        weights /= np.sqrt((weights**2).sum())
+        cosines = dense[:, which] @ weights
+        best, got = index.nearest(which, weights)
+        want = np.sort(cosines[cosines > 0])[::-1][: toxicity.K]
+        assert np.allclose(np.sort(got)[::-1], want, atol=1e-6) and np.allclose(cosines[best], got, atol=1e-6)
+        vote = index.vote(best, got)
+        pull = 0.5 * got.max()
+        assert vote == pytest.approx((sum(c * y[b] for c, b in zip(got, best)) + pull * index.prior) / (got.sum() + pull))
+        if len(set(y[best])) == 1 and len(best) == toxicity.K:
+            assert (vote > 0.5) == bool(y[best[0]])
+    assert index.vote(np.zeros(0, np.int64), np.zeros(0)) == index.prior
+
+
 def test_log_likelihood_ratio_by_definition():
     held, n = np.array([[3.0, 0, 10, 2], [9, 5, 20, 0]]), np.array([30.0, 60.0])
     for j, got in enumerate(toxicity.ratio(held, n)):
@@ -788,6 +823,33 @@ def test_roll_up_counts_every_document(docs):
     got = tokencounts.roll_up(docs).collect()
     assert {(r.source, r.lang): [r.docs, r.tokens, r.bytes] for r in got if r.tokenizer == "words-1"} == want
     assert {(r.source, r.lang): r.docs for r in got if r.tokenizer != "words-1"} == {k: v[0] for k, v in want.items()}
+    assert {r.tokenizer for r in got} == set(tokencounts.TOKENIZERS)
+
+
+def test_the_second_batch_revises_the_first(spark, tmp_path):
+    """Each batch by itself: what was counted before, and every kind of change that the second takes to today's counts."""
+    r = random.Random(3)
+    d = spark.createDataFrame([(i, _words(r, r.randrange(1, 30)), "en", "ab"[i % 2]) for i in range(600)] + [(600, None, None, "a"), (601, "", "en", "a")], "doc_id long, text string, lang string, source string")
+    log = str(tmp_path / "log")
+    tokencounts.roll_up(d, log)
+    draws = {x.text: x.draw for x in d.selectExpr("text", "pmod(xxhash64(coalesce(text, ''), 'counts'), 100) draw").collect()}
+    assert min(draws.values()) < 5 and max(draws.values()) > 94 and any(4 < v < 15 for v in draws.values())
+    want, now = {}, {}
+    for x in d.collect():
+        t, k = x.text or "", draws[x.text]
+        old = [] if k < 5 else [t[: len(t) // 2]] if k < 15 else [t] * (1 + (k > 94))
+        for texts, to in ((old, want), ([t], now)):
+            for text in texts:
+                a = to.setdefault((x.source, x.lang), [0, 0, 0, 0])
+                for i, n in enumerate((1, len(text.split()), len(re.findall(r"\w+", text)), len(text.encode()))):
+                    a[i] += n
+    paths = {m.batch: m.path for m in tokencounts.manifest(spark, log).collect()}
+    load = {(x.source, x.lang, x.tokenizer): (x.docs, x.tokens, x.bytes) for x in spark.read.parquet(paths["load"]).collect()}
+    assert {k[:2]: v for k, v in load.items() if k[2] == "words-1"} == {k: (v[0], v[1], v[3]) for k, v in want.items()}
+    assert {k[:2]: v for k, v in load.items() if k[2] == "words-0"} == {k: (v[0], v[2], v[3]) for k, v in want.items()}
+    got = {(x.source, x.lang, x.tokenizer): (x.docs, x.tokens, x.bytes) for x in tokencounts.totals(spark, log).collect()}
+    assert {k[:2]: v for k, v in got.items() if k[2] == "words-1"} == {k: (v[0], v[1], v[3]) for k, v in now.items()}
+    assert not any(k[2] == "words-0" for k in got)
 
 
 def test_bpe_counts(spark, docs):
