@@ -623,6 +623,42 @@ def test_quality_held_out(spark):
     assert {r.doc_id for r in quality.accepted(d, labels).collect()} == {r.doc_id for r in got if r.predicted}
 
 
+def _statistics(text):
+    """The statistics one by one, from their definition."""
+    b = (text or "").encode()
+    stops = b".,;:!?'\"()-"
+    kind = lambda c: 0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 if c in b" \t\v\f\r" else 4 if c == 10 else 5 if c in stops else 7 if c >= 0xC0 else 8 if c >= 0x80 else 6
+    counts = [sum(kind(c) == k for c in b) for k in range(9)]
+    chars, w = max(len(text or ""), 1), re.findall(rb"[^\x20\x09-\x0D]+", b)
+    n, some, low = len(w), max(len(w), 1), [x.lower() for x in w]
+    share = [
+        sum(x == y for x, y in zip(low, low[1:])),
+        sum(kind(x[0]) == 0 for x in w),
+        sum(len(x) > 1 and all(kind(c) == 0 for c in x) for x in w),
+        sum(kind(x[-1]) == 5 for x in w),
+        sum(kind(x[-1]) == 6 for x in w),
+        sum(len(x) == 1 and kind(x[0]) == 6 for x in w),
+        sum(len(x) > 20 for x in w),
+    ]
+    one, two = Counter(low), Counter(zip(low, low[1:]))
+    tail = [len(one) / n, max(one.values()) / n] if n else [0, 0]
+    tail += [len(two) / (n - 1), max(two.values()) / (n - 1)] if n > 1 else [0, 0]
+    return [math.log1p(chars), *(c / chars for c in counts[:8]), math.log1p(n), chars / some, *(x / some for x in share), *tail]
+
+
+def test_statistics_by_definition():
+    r = random.Random(12)
+    parts = ["Alder", "BIRCH", "c", "é", "naïve", "漢字", "#", "%%%", "x.", "y,", "(z)", "1234", "a" * 25, "\x00", "end#", "the", "the", "The", "\n", "\t", "  ", "-"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(0, 60))) for _ in range(80)] + [None, "", " \n\t", "one", "one one", "ONE", "漢"]
+    texts += ["ends with same", "same begins here", "same"]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    assert got.shape[1] == 22
+    assert np.allclose(got, [_statistics(t) for t in texts], rtol=1e-5, atol=1e-6)
+    order = r.sample(range(len(texts)), len(texts))
+    assert (quality.statistics(pa.array([texts[i] for i in order], pa.string())) == got[order]).all()
+    assert quality.statistics(pa.array([], pa.string())).shape == (0, 22)
+
+
 def test_trees_as_arrays_descend_like_trees():
     rng = np.random.default_rng(4)
     x = rng.random((500, 6)).astype(np.float32)

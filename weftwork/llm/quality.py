@@ -56,6 +56,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         long = ends - begins
         ups = np.r_[0, np.cumsum(kinds == 0, dtype=np.int64)]
         again = np.r_[False, hashes[1:] == hashes[:-1]]
+        again[first[:-1][n > 0]] = False  # the word before is another text's
         last = kinds[ends - 1]
         share = [again, kinds[begins] == 0, (ups[ends] - ups[begins] == long) & (long > 1), last == 5, last == 6, (long == 1) & (last == 6), long > 20]
         out += [_sums(x, first) / some for x in share]
