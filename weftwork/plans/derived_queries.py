@@ -853,7 +853,7 @@ _RECORDS = "select c_custkey as record_id, 'ул. ' || ['Садовая', 'Ле
 _CARDS = "select s_suppkey as card_id, 'проспект ' || ['Садовая', 'Лесная', 'Речная'][s_suppkey % 3 + 1] || ' Улочка' || s_suppkey % 60 as address, ['Москва', 'спб ', ''][s_nationkey % 3 + 1] as city from supplier"
 
 
-@query(f"""with r as (select record_id, lower(trim(coalesce(city, ''))) as town, unnest(string_split(lower(regexp_replace(regexp_replace(address, '^ул\. ', ''), ', д\. 5$', '')), ' ')) as word from ({_RECORDS})),
+@query(rf"""with r as (select record_id, lower(trim(coalesce(city, ''))) as town, unnest(string_split(lower(regexp_replace(regexp_replace(address, '^ул\. ', ''), ', д\. 5$', '')), ' ')) as word from ({_RECORDS})),
 k as (select card_id, lower(trim(coalesce(city, ''))) as town, unnest(string_split(lower(regexp_replace(address, '^проспект ', '')), ' ')) as word from ({_CARDS})),
 p as (select record_id, card_id, count(*) as shared from r, k where r.town = k.town and r.word = k.word group by record_id, card_id),
 b as (select *, row_number() over (partition by record_id order by shared desc, card_id) as place from p)

@@ -242,8 +242,8 @@ def _pooled(n: str, step: int, many: int) -> str:
 
 
 def _held(text: str, w: str) -> str:
-    """Whether a text has a word of its own; a plain pattern, since the pool has letters alone."""
-    return rf"regexp_matches({text}, '(^|[^\p{{L}}\p{{Nd}}])' || {w} || '($|[^\p{{L}}\p{{Nd}}])')"
+    """Whether a text has a word of its own: one of letters and digits, in a text where all else is a blank."""
+    return f"contains({text}_, ' ' || {w} || ' ')"
 
 
 _PROJECTS = f"""select c_custkey as n, 'src' || c_custkey as project, [{', '.join(repr(w) for w in ('scum', 'idiot'))}, 'own' || c_custkey] as taboo, {_pooled('c_custkey', 1, 6)} as positive,
@@ -251,11 +251,16 @@ _PROJECTS = f"""select c_custkey as n, 'src' || c_custkey as project, [{', '.joi
 
 
 @query(rf"""with e as (select doc_id as news_id, lower(substr(text, 1, 60)) as t, substr(text, 61) as s, source, doc_id, 'src' || doc_id % 2000 as project from documents),
-f as (select *, t || ' ' || lower(s) as b from e), p as ({_PROJECTS}), j as (select f.*, p.* exclude (project) from f left join p using (project))
-select news_id, (case when n is null then null when doc_id % 11 = 0 or contains(source, project) or contains(project, source) or len(list_filter(taboo, lambda w: {_held('t', 'w')})) > 0 then 0 else
-  50 + least(25, 5 * len(list_filter(positive, lambda w: {_held('b', 'w')}))) + case when doc_id % 3 > 1 then 10 else 0 end + case when strlen(s) > 100 then 5 else 0 end
-  + coalesce(list_filter(list_transform(cities, lambda w: case when {_held('t', 'w')} then 10 when contains(t, w) then 5 end), lambda x: x is not null)[1], 0)
-  - 5 * len(list_filter(rivals, lambda w: {_held('t', 'w')})) + case when list_contains(sources, source) then 10 else 0 end end)::int as score from j""")
+f as materialized (select *, ' ' || regexp_replace(t, '[^\p{{L}}\p{{Nd}}]', ' ', 'g') || ' ' as t_, ' ' || regexp_replace(t || ' ' || lower(s), '[^\p{{L}}\p{{Nd}}]', ' ', 'g') || ' ' as b_ from e), p as materialized ({_PROJECTS}),
+k as (select news_id, t, t_, b_, p.* exclude (project) from f join p using (project)),
+taboos as (select distinct news_id from (select news_id, t_, unnest(taboo) as w from k) where {_held('t', 'w')}),
+goods as (select news_id, count(*) as goods from (select news_id, b_, unnest(positive) as w from k) where {_held('b', 'w')} group by 1),
+rivals as (select news_id, count(*) as rivals from (select news_id, t_, unnest(rivals) as w from k) where {_held('t', 'w')} group by 1),
+towns as (select news_id, arg_min(x, i) as town from (select news_id, i, case when {_held('t', 'w')} then 10 when contains(t, w) then 5 end as x from (select news_id, t, t_, unnest(cities) as w, generate_subscripts(cities, 1) as i from k)) where x is not null group by 1)
+select f.news_id, (case when n is null then null when doc_id % 11 = 0 or contains(source, f.project) or contains(f.project, source) or taboos.news_id is not null then 0 else
+  50 + least(25, 5 * coalesce(goods, 0)) + case when doc_id % 3 > 1 then 10 else 0 end + case when strlen(s) > 100 then 5 else 0 end + coalesce(town, 0) - 5 * coalesce(rivals.rivals, 0)
+  + case when list_contains(sources, source) then 10 else 0 end end)::int as score
+from f left join p using (project) left join taboos using (news_id) left join goods using (news_id) left join rivals using (news_id) left join towns using (news_id)""")
 def news_score_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of many projects, each scored against its own project's words, which a table of projects holds."""
     n = F.col("c_custkey")
