@@ -532,6 +532,8 @@ def test_cards_meet_records_whatever_the_words_weigh(spark, monkeypatch):
 
 
 def test_result_pages_of_odd_shapes():
+    import time
+
     from weftwork.sources.results import records, target
 
     base = "https://html.duckduckgo.com/html/"
@@ -540,6 +542,9 @@ def test_result_pages_of_odd_shapes():
     one = "<div class='r'><a href='https://x.example/'>Title</a><p>Some text about it</p></div>"
     assert find(one) == [("https://x.example/", "Title", "Some text about it")]
     assert find("<ol>" + "".join(f"<li><a href='https://x{i}.example/'>T{i}</a> <span>text {i} of it</span></li>" for i in range(3)) + "</ol>") == [(f"https://x{i}.example/", f"T{i}", f"text {i} of it") for i in range(3)]
+    many = "<div>" * 40 + "<ul>" + "".join(f"<li><a href='https://x{i}.example/'>T{i}</a><p>some <b>text</b> {i}</p></li>" for i in range(3000)) + "</ul>"
+    began = time.time()
+    assert find(many)[2999] == ("https://x2999.example/", "T2999", "some text 2999") and time.time() - began < 20
     assert target("/l/?uddg=https%3A%2F%2Fa.example%2F%3Fb%3D1", base) == "https://a.example/?b=1"
     assert target("//duckduckgo.com/y.js?ad=1", base) is None and target("javascript:void(0)", base) is None and target("https://[bad", base) is None
 

@@ -13,6 +13,7 @@ from weftwork.sources import dom
 
 # Query parameters that redirects carry the target in.
 TARGETS = ("uddg", "url", "u", "q")
+INLINE = frozenset(("#text", "#comment", "b", "em", "strong", "i", "span", "mark", "br"))
 _ADDRESS = re.compile(r"^(?:https?://)?[\w.-]+\.[\w-]+(?:[/ ›>]\S*)*$")
 RESULTS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("url", "title", "snippet")]))
 
@@ -40,6 +41,12 @@ def records(nodes: list[dict], base: str) -> list[tuple[str, str, str]]:
     with a text, its snippet the longest other piece of text that is not the title and no bare address.
     """
     plain = lambda t: " ".join(t.split())
+    # Pieces of text: elements that hold nothing but words and marks of emphasis. Told bottom up, so that no subtree is walked twice.
+    piece = [True] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        p = nodes[i]["parent"]
+        if p >= 0 and not (nodes[i]["tag"] in INLINE and piece[i]):
+            piece[p] = False
     kinds: dict[tuple, list[int]] = {}
     for i, n in enumerate(nodes):
         if n["tag"][0] != "#" and not (n["boiler"] and n["tag"] in ("script", "style", "noscript", "svg", "iframe")):
@@ -52,11 +59,10 @@ def records(nodes: list[dict], base: str) -> list[tuple[str, str, str]]:
         found, pieces = None, []
         for k in range(i, nodes[i]["last"] + 1):
             n = nodes[k]
-            if n["tag"] == "a" and found is None and (text := inside(k)) and (to := target(dict(n["attrs"]).get("href", ""), base)):
+            if n["tag"] == "a" and found is None and (to := target(dict(n["attrs"]).get("href", ""), base)) and (text := inside(k)):
                 found = to, text, k
-            elif n["tag"][0] != "#" and (text := inside(k)) and all(x["tag"] in ("#text", "#comment", "b", "em", "strong", "i", "span", "mark", "br") for x in nodes[k + 1 : n["last"] + 1]):
-                if found is None or not found[2] <= k <= nodes[found[2]]["last"]:
-                    pieces.append(text)
+            elif n["tag"][0] != "#" and piece[k] and (found is None or not found[2] <= k <= nodes[found[2]]["last"]) and (text := inside(k)):
+                pieces.append(text)
         if found is None:
             return None
         rest = [t for t in pieces if t != found[1] and not _ADDRESS.match(t)]
