@@ -81,7 +81,9 @@ def _wave(legs: list[DataFrame], name: str, config: Config) -> tuple[DataFrame,
     """The pages of some legs, read, and their numbers, written. A render is poisoned if the page that it is of is."""
     pages = reduce(DataFrame.unionByName, legs)
     read = _read(pages, name, config)
-    raw = F.max(F.when(~F.col("leg").endswith("_render"), F.col("poisoned"))).over(Window.partitionBy("item_pos"))
+    # Found pages are no record's: each is a group of its own, not all of them one.
+    owner = F.coalesce(F.col("item_pos").cast("string"), F.col("page_id"))
+    raw = F.max(F.when(~F.col("leg").endswith("_render"), F.col("poisoned"))).over(Window.partitionBy(owner))
     read = read.withColumn("poisoned", F.when(F.col("leg").endswith("_render"), F.coalesce(raw, F.lit(False))).otherwise(F.col("poisoned")))
     found = phones.numbers(read.filter("item_pos is not null").select("page_id", "vendor", "all", "poisoned"))
     return read.drop("all"), written(found, f"{name}-numbers")
