@@ -558,6 +558,18 @@ def test_short_addresses_make_no_pairs(spark, monkeypatch):
     assert maps.matched(r, c).filter("record_id = card_id and shared = 2").count() == 300 and not any(met)
 
 
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    html, url = pa.array(["<p>" + "x" * 1000, None, "", "<p>y"] * 50), pa.array(["https://a.example/"] * 200)
+    monkeypatch.setattr(dom, "MARKUP", 5000)
+    for parse, of in ((dom._parse_nodes, lambda x: x), (dom._parse_pages, lambda x: x["nodes"])):
+        parts = list(parse.func(iter([(html, url), (html[:0], url[:0])])))
+        assert max(len(p) for p in parts) <= 20 and [len(of(x)) for p in parts for x in p.to_pylist()] == [3, 0, 0, 3] * 50
+    monkeypatch.setattr(dom, "MARKUP", 1)
+    assert sum(len(p) for p in dom._parse_nodes.func(iter([(html, url)]))) == 200
+
+
 @pytest.mark.parametrize("name,want", CUT)
 def test_references_that_a_cut_left_open_stand_as_they_are(spark, tmp_path, name, want):
     from weftwork.plans import page_queries
