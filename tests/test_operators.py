@@ -558,6 +558,13 @@ def test_short_addresses_make_no_pairs(spark, monkeypatch):
     assert maps.matched(r, c).filter("record_id = card_id and shared = 2").count() == 300 and not any(met)
 
 
+@pytest.mark.parametrize("name", ["phone_pick", "phone_finders", "dni_detect", "site_contacts", "jsonld_article"])
+def test_a_table_of_one_file_is_parsed_by_many_tasks(spark, name):
+    from weftwork.plans import derived_queries
+
+    assert getattr(derived_queries, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
+
+
 def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     import pyarrow as pa
 
