@@ -558,7 +558,7 @@ def test_short_addresses_make_no_pairs(spark, monkeypatch):
     assert maps.matched(r, c).filter("record_id = card_id and shared = 2").count() == 300 and not any(met)
 
 
-@pytest.mark.parametrize("name", ["phone_pick", "phone_finders", "dni_detect", "site_contacts", "jsonld_article", "og_image_and_date"])
+@pytest.mark.parametrize("name", ["phone_pick", "phone_finders", "dni_detect", "site_contacts", "jsonld_article", "og_image_and_date", "jsonld_date"])
 def test_a_table_of_one_file_is_parsed_by_many_tasks(spark, name):
     from weftwork.plans import derived_queries
 
