@@ -565,6 +565,13 @@ def test_a_table_of_one_file_is_parsed_by_many_tasks(spark, name):
     assert getattr(derived_queries, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
 
 
+def test_result_pages_are_dealt_before_they_are_read(spark):
+    from weftwork.plans import derived_queries
+
+    plan = derived_queries.result_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition 8, true") == 3
+
+
 def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     import pyarrow as pa
 
