@@ -572,6 +572,17 @@ def test_result_pages_are_dealt_before_they_are_read(spark):
     assert plan.count("Repartition 8, true") == 3
 
 
+def test_enriched_pages_are_dealt_before_the_parse(spark, monkeypatch):
+    from weftwork.plans import derived_queries
+    from weftwork.plans import enrich as plan
+
+    seen, write = {}, plan.written
+    dealt = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Repartition 8, true")
+    monkeypatch.setattr(plan, "written", lambda df, name: seen.update({name: dealt(df)}) or write(df, name))
+    derived_queries.enrich_end_to_end(spark, "/root/testdata/sf0.001")
+    assert seen["enrich-first"] == 1 and seen["enrich-second"] == 1
+
+
 def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     import pyarrow as pa
 
