@@ -160,6 +160,31 @@ def test_branch_literals(spark):
     assert got == {"88121112233", "78121112244"}
 
 
+def _chain(n):
+    """A page's markup with n branches in a script's literal, a kilobyte each, and n other ones in a graph of places."""
+    flat = json.dumps([{"id": i, "phone": f"+7812{i:07d}", "about": "x" * 1000} for i in range(n)])
+    graph = json.dumps({"@graph": [{"@type": "Store", "telephone": f"+7495{i:07d}"} for i in range(n)]})
+    return f"<script>var b = '{flat}';</script><script type='application/ld+json'>{graph}</script>"
+
+
+@pytest.mark.parametrize("n", [200, 201, 260, 3000])
+def test_all_branches_and_places_of_a_page_count(spark, n):
+    got = phones.site_numbers(nodes(spark, _chain(n))).select("key", "source").collect()
+    assert sorted(map(tuple, got)) == sorted([(f"7812{i:07d}", "branch_json") for i in range(n)] + [(f"7495{i:07d}", "schema_place") for i in range(n)])
+
+
+def test_branches_of_all_scripts_count(spark):
+    scripts = [json.dumps([{"tel": f"+7812{i:03d}{k:04d}"} for k in range(90)]) for i in range(4)]
+    got = phones.site_numbers(nodes(spark, "".join(f"<script>x = '{s}'</script>" for s in scripts)))
+    assert {r.key for r in got.collect()} == {f"7812{i:03d}{k:04d}" for i in range(4) for k in range(90)}
+
+
+def test_branch_values_are_texts_of_flat_objects(spark):
+    mixed = r"""["[", 5, null, {"phone": "\u002b78121110001", "x": {"k": 1, "k": 2, "tel": "+78121110009"}}, "{\"tel\": \"+78121110008\"}", {"tel": 78121110002, "id": "78121110002"}, {"TEL": "+78121110003", "about": "a \"b\" c"}]"""
+    got = phones.site_numbers(nodes(spark, f"<script>var a = '{mixed}';</script>"))
+    assert {r.key for r in got.collect()} == {"78121110001", "78121110003"}
+
+
 def test_contacts_page(spark):
     f = lambda n: extract.contacts_page(n, F.lit("https://a.example/"))
     assert one(spark, "<a href='/about'>x</a><a href='/kontakty'>y</a><a href='https://b.example/contacts'>z</a>", f) == "https://a.example/kontakty"
